@@ -21,15 +21,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .storage import filesystem, save, shared_dir
 from .words import sliding, split_words, windows, word_hashes
 
-#: Words of the phrase that anchors a window, and code points of text to an automaton.
+#: Words of the phrase that anchors a window, and code points of text handled (and compiled into an automaton) at once.
 ANCHOR_WORDS = 8
-AUTOMATON_CHARS = 4_000_000
+PIECE_CHARS = 4_000_000
 
 
 def _anchors(h: np.ndarray, left: np.ndarray, n: int):
@@ -42,12 +43,16 @@ def _anchors(h: np.ndarray, left: np.ndarray, n: int):
 
 
 def _shards(batch: pa.RecordBatch):
-    """(shard, rows of it) pairs of a batch."""
+    """(shard, rows of it) pairs of a batch, each of about ``PIECE_CHARS`` at most."""
     shard = batch.column("shard").to_numpy()
     cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(shard)]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
-            yield int(shard[a]), batch.slice(a, b - a)
+            rows = batch.slice(a, b - a)
+            size = np.cumsum(pc.fill_null(pc.utf8_length(rows.column("text")), 0).to_numpy(zero_copy_only=False))
+            parts = np.unique([0, *np.searchsorted(size, np.arange(PIECE_CHARS, size[-1], PIECE_CHARS)), len(size)])
+            for i, j in zip(parts, parts[1:]):
+                yield int(shard[a]), rows.slice(i, j - i)
 
 
 class _Beside:
@@ -170,11 +175,7 @@ def _locate(n: int, passages: str):
     def run(batches):
         for batch in batches:
             for shard, rows in _shards(batch):
-                size = np.cumsum(np.array(pa.compute.fill_null(pa.compute.utf8_length(rows.column("text")), 0)))
-                cuts = np.searchsorted(size, np.arange(AUTOMATON_CHARS, size[-1], AUTOMATON_CHARS))
-                cuts = np.unique([0, *cuts, len(size)])
-                for a, b in zip(cuts, cuts[1:]):
-                    yield piece(shard, rows.column("id").slice(a, b - a), rows.column("text").slice(a, b - a))
+                yield piece(shard, rows.column("id"), rows.column("text"))
 
     return run
 
