@@ -16,5 +16,25 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup,)}
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    judged = judge(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filters import judge_urls
+
+    judged = judge_urls(_read(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_documents
+
+    return mix_documents(_read(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "epoch")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_quality_rules, op7_url_filters, op8_mixing)}
 SQL: dict[str, str] = {}
