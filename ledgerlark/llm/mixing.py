@@ -54,7 +54,7 @@ def _fill(nodes: DataFrame, parents: DataFrame | None, depth: int, budget: float
     after = family.orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
     nodes = nodes.where("weight > 0").withColumn("ratio", ratio)
     nodes = nodes.withColumn("at", (F.col("family") - F.coalesce(F.sum("capacity").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    level = F.min(F.when(F.col("ratio") >= F.col("at"), F.col("at"))).over(family)
+    level = F.max(F.when(F.col("ratio") >= F.col("at"), F.col("at"))).over(family)
     return nodes.withColumn("budget", F.least(F.col("capacity"), F.coalesce(level, F.col("ratio")) * F.col("weight"))).drop("ratio", "at", "family")
 
 

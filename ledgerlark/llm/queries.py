@@ -36,5 +36,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_read(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "epoch")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_quality_rules, op7_url_filters, op8_mixing)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_records, write_archives
+
+    folder, index = write_archives(_read(spark, sf_dir, "pages"))
+    return read_records(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_quality_rules, op7_url_filters, op8_mixing, op9_warc)}
 SQL: dict[str, str] = {}
