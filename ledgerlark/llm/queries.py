@@ -43,5 +43,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_quality_rules, op7_url_filters, op8_mixing, op9_warc)}
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_ids import ids_crc32, stored
+
+    held = stored(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return held.select(F.col("key").alias("doc_id"), "start", "n_tokens", ids_crc32("payload").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_quality_rules, op7_url_filters, op8_mixing, op9_warc, op10_token_ids)}
 SQL: dict[str, str] = {}
