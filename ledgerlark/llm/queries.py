@@ -16,6 +16,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    found = contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "item_words", "n_covered", "n_changed")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
@@ -23,6 +30,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_page_boilerplate
+
+    kept = drop_page_boilerplate(_read(spark, sf_dir, "pages"))
+    return kept.select("page_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filters import judge_urls
 
@@ -52,5 +66,5 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(F.col("key").alias("doc_id"), "start", "n_tokens", ids_crc32("payload").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_quality_rules, op7_url_filters, op8_mixing, op9_warc, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op5_quality_rules, op6_line_dedup, op7_url_filters, op8_mixing, op9_warc, op10_token_ids)}
 SQL: dict[str, str] = {}
