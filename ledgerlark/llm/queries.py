@@ -30,6 +30,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "item_words", "n_covered", "n_changed")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import classes
+
+    return classes(_read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
@@ -73,5 +79,5 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(F.col("key").alias("doc_id"), "start", "n_tokens", ids_crc32("payload").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_decontamination, op5_quality_rules, op6_line_dedup, op7_url_filters, op8_mixing, op9_warc, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_decontamination, op4_near_dedup, op5_quality_rules, op6_line_dedup, op7_url_filters, op8_mixing, op9_warc, op10_token_ids)}
 SQL: dict[str, str] = {}

@@ -21,12 +21,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .storage import filesystem, save, shared_dir
-from .words import sliding, split_words, windows, word_hashes
+from .words import pieces_of, sliding, split_words, windows, word_hashes
 
 #: Words of the phrase that anchors a window, and code points of text handled (and compiled into an automaton) at once.
 ANCHOR_WORDS = 8
@@ -48,11 +47,8 @@ def _shards(batch: pa.RecordBatch):
     cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(shard)]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
-            rows = batch.slice(a, b - a)
-            size = np.cumsum(pc.fill_null(pc.utf8_length(rows.column("text")), 0).to_numpy(zero_copy_only=False))
-            parts = np.unique([0, *np.searchsorted(size, np.arange(PIECE_CHARS, size[-1], PIECE_CHARS)), len(size)])
-            for i, j in zip(parts, parts[1:]):
-                yield int(shard[a]), rows.slice(i, j - i)
+            for rows in pieces_of(batch.slice(a, b - a), "text", PIECE_CHARS):
+                yield int(shard[a]), rows
 
 
 class _Beside:

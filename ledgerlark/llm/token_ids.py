@@ -31,77 +31,105 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from .storage import filesystem, save, shared_dir, write_whole
-from .words import mix
+from .words import mix, pieces_of, split_words, word_hashes
 
 END_ID = 1
-MEMO_WORDS = 300_000
-#: Words to an encoding call, and most keys of an index part.
-BLOCK_WORDS, PART_KEYS = 512, 100_000
+MEMO_WORDS = 400_000
+#: Words to an encoding call, code points of text handled at once, and most keys of an index part.
+BLOCK_WORDS, PIECE_CHARS, PART_KEYS = 512, 4_000_000, 100_000
 #: Bits to a key of a level of the hash, and levels before the rest is listed.
 GAMMA, LEVELS = 2, 40
 READ_BYTES, GAP_BYTES = 8 << 20, 64 << 10
 _STEM = re.compile(r"([^\W\d_]+)([^\w\s'’]*)")
-_SPACES = re.compile(r"[\x20\t\n\x0b\x0c\r]+")
 
 
 class WordEncoder:
-    """Ids of texts, equal to the tokenizer's own, by remembered words."""
+    """Little-endian ids of texts, equal to the tokenizer's own, by remembered words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.kind = Tokenizer.from_file(path), f"<u{width}"
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        suffix = model.get("end_of_word_suffix")
-        vocab = model["vocab"]
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        suffix, vocab = model.get("end_of_word_suffix"), model["vocab"]
         self.by_word = bool(suffix)
-        for token, number in vocab.items():
-            self.ends[number] = bool(suffix) and token.endswith(suffix)
-        self.memo: dict[str, np.ndarray] = {}
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends[[number for token, number in vocab.items() if token.endswith(suffix)]] = True
+        self.memo: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, stems: list[str]) -> dict[str, np.ndarray]:
+    def _pieces(self, stems: list[str]) -> dict[str, bytes]:
         """Ids of strings that are one piece each; where the ends don't tell the pieces apart, one by one."""
         out = {}
         for k in range(0, len(stems), BLOCK_WORDS):
             some = stems[k : k + BLOCK_WORDS]
-            ids = self._encode([" ".join(some)])[0]
+            ids = self._ids([" ".join(some)])[0]
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            parts = np.split(ids, cuts[:-1]) if len(cuts) == len(some) and cuts[-1] == len(ids) else self._encode(some)
-            out |= zip(some, parts)
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                data, at = ids.tobytes(), (cuts * ids.itemsize).tolist()
+                out |= zip(some, (data[a:b] for a, b in zip([0, *at], at)))
+            else:
+                out |= zip(some, (x.tobytes() for x in self._ids(some)))
         return out
 
-    def _learn(self, words: list[str]) -> dict[str, np.ndarray]:
-        split = {w: m.groups() for w in words if (m := _STEM.fullmatch(w))}
-        pieces = self._pieces(list(dict.fromkeys(x for pair in split.values() for x in pair if x)))
-        out = {w: np.concatenate([pieces[a], pieces[b]]) if b else pieces[a] for w, (a, b) in split.items()}
-        rest = [w for w in words if w not in split]
-        return out | dict(zip(rest, self._encode(rest)))
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        texts = [w.decode() for w in words]
+        # the tokenizer folds case itself; folding ASCII here only saves calls
+        split = [m.groups() if (m := _STEM.fullmatch(t.lower() if t.isascii() else t)) else None for t in texts]
+        stems = self.stems
+        new = list({x for p in split if p for x in p if x not in stems})
+        pieces = self._pieces(new)
+        if len(stems) < MEMO_WORDS:
+            stems |= pieces
+            pieces = stems
+        rest = iter(self._ids([t for t, p in zip(texts, split) if not p]))
+        get = lambda x: pieces[x] if x in pieces else stems[x]
+        return {w: get(p[0]) + get(p[1]) if p else next(rest).tobytes() for w, p in zip(words, split)}
+
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        ids = list(map(self.memo.get, words))
+        if None in ids:
+            seen = self._learn([w for w, x in zip(words, ids) if x is None])
+            ids = [seen[w] if x is None else x for w, x in zip(words, ids)]
+            if len(self.memo) < MEMO_WORDS:
+                self.memo |= seen
+        return ids
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; each distinct word of the array is looked up once."""
         if not self.by_word:
-            return self._encode(texts)
-        split = [[w for w in _SPACES.split(t) if w] for t in texts]
-        memo = self.memo
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in memo))
-        seen = self._learn(new)
-        for w in new[: max(0, MEMO_WORDS - len(memo))]:
-            memo[w] = seen[w]
-        none = np.zeros(0, np.uint32)
-        return [np.concatenate([memo[w] if w in memo else seen[w] for w in ws]) if ws else none for ws in split]
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
+            return self._ids([t or "" for t in texts.to_pylist()])
+        words = split_words(texts)
+        h = word_hashes(words)
+        _, some, of = np.unique(h, return_index=True, return_inverse=True)
+        second = word_hashes(words, 1)
+        if (second[some][of] != second).any():  # two words of one hash
+            return self._ids([t or "" for t in texts.to_pylist()])
+        data = words.data.tobytes()
+        ids = self._known([data[a:b] for a, b in zip(words.start[some].tolist(), words.end[some].tolist())])
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // flat.itemsize
+        n = size[of]
+        until = np.concatenate([[0], np.cumsum(n)])
+        begin = (np.cumsum(size) - size)[of] - until[:-1]
+        out = flat[np.repeat(begin, n) + np.arange(until[-1])]
+        return np.split(out, until[words.first[1:-1]])
+
+
+_encoders: dict[tuple[str, int], WordEncoder] = {}
+
+
+def encoder(path: str, width: int) -> WordEncoder:
     """One encoder a worker and file."""
-    return _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
+    if (path, width) not in _encoders:
+        _encoders[path, width] = WordEncoder(path, width)
+    return _encoders[path, width]
 
 
 def key_hash(key: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
@@ -168,21 +196,21 @@ _ENTRY = "key long, occurrence int, shard string, start long, n_tokens long"
 
 def _write_shards(folder: str, tokenizer: str, width: int, end_id: int):
     def run(batches):
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, width)
         files, root = filesystem(folder)
         files.create_dir(root, recursive=True)
+        end = int(end_id).to_bytes(width, "little")
         name, out, at, last, repeats = f"{uuid.uuid4().hex}.ids", None, 0, (), 0
         for batch in batches:
-            keys, texts = batch.column("key").to_pylist(), batch.column("text").to_pylist()
-            for a in range(0, len(keys), 512):
+            for part in pieces_of(batch, "text", PIECE_CHARS):
                 rows = []
-                for key, ids in zip(keys[a : a + 512], encode([t or "" for t in texts[a : a + 512]])):
+                for key, ids in zip(part.column("key").to_pylist(), encode(part.column("text"))):
                     out = out or files.open_output_stream(f"{root}/{name}")
-                    out.write(np.append(ids, end_id).astype(f"<u{width}").tobytes())
+                    out.write(ids.tobytes() + end)
                     repeats = repeats + 1 if last == (key,) else 0
-                    last = (key,)
-                    rows.append((key, repeats, name, at, len(ids) + 1))
-                    at += len(ids) + 1
+                    last, n = (key,), len(ids) + 1
+                    rows.append((key, repeats, name, at, n))
+                    at += n
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["key", "occurrence", "shard", "start", "n_tokens"])
         if out:
             out.close()

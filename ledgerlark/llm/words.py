@@ -103,3 +103,13 @@ def sliding(values: np.ndarray, n: int, fold) -> np.ndarray:
         got = fold(got[: len(got) - span], got[span:])
         span *= 2
     return fold(got[: len(values) - n + 1], got[n - span : n - span + len(values) - n + 1])
+
+
+def pieces_of(rows: pa.RecordBatch, column: str, chars: int):
+    """Slices of ``rows`` whose texts have about ``chars`` code points at most; a longer text is a slice of its own."""
+    if not len(rows):
+        return
+    size = np.cumsum(pc.fill_null(pc.utf8_length(rows.column(column)), 0).to_numpy(zero_copy_only=False))
+    cuts = np.unique([0, *np.searchsorted(size, np.arange(chars, size[-1], chars)), len(size)])
+    for a, b in zip(cuts, cuts[1:]):
+        yield rows.slice(a, b - a)
