@@ -31,7 +31,7 @@ def derive_deadlines(t):
 
 
 _REM = f"""base AS (SELECT d.*, {_LEFT} AS lft, CAST(trunc({_LEFT}) AS INT) AS days, t.primary_email, t.primary_phone, t.tenant_id AS ht, r.title, coalesce(f.name, 'your funder') AS fname
-    FROM {{deadlines}} d LEFT JOIN (SELECT * FROM {{tenants}} WHERE tenant_id % 13 <> 0) t USING (tenant_id) LEFT JOIN {{reports}} r ON r.report_id = d.source_id LEFT JOIN {{funders}} f ON f.funder_id = r.funder_id WHERE NOT acknowledged AND due_at > {_NOW}),
+    FROM {{deadlines}} d LEFT JOIN (SELECT * FROM {{tenants}} WHERE tenant_id % 13 <> 0) t USING (tenant_id) LEFT JOIN {{reports}} r ON r.report_id = d.source_id LEFT JOIN {{funders}} f ON f.funder_id = r.funder_id WHERE NOT acknowledged AND d.due_at > {_NOW}),
     skips AS (SELECT *, CASE WHEN ht IS NULL THEN 'tenant_not_found' WHEN primary_email IS NULL THEN 'no_tenant_email' END AS skip_reason FROM base),
     sends AS (SELECT s.*, channel, threshold FROM skips s JOIN (VALUES ('email', '30d', 30), ('email', '14d', 14), ('email', '7d', 7), ('email', '48h', 2), ('sms', '48h', 2)) v(channel, threshold, d) ON skip_reason IS NULL AND lft <= d AND
         CASE WHEN channel = 'sms' THEN NOT notified_48h_sms AND primary_phone IS NOT NULL WHEN d = 30 THEN NOT notified_30d WHEN d = 14 THEN NOT notified_14d WHEN d = 7 THEN NOT notified_7d ELSE NOT notified_1d END),
