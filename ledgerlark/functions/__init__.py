@@ -1,0 +1 @@
+"""Vectorised helpers that run inside tasks."""

@@ -1,0 +1 @@
+"""Reading and writing of documents, chunks, snapshots and tenants' exports."""
