@@ -34,9 +34,9 @@ from .storage import filesystem, save, shared_dir, write_whole
 from .words import mix, pieces_of, split_words, word_hashes
 
 END_ID = 1
-MEMO_WORDS = 400_000
+MEMO_WORDS = 120_000
 #: Words to an encoding call, code points of text handled at once, and most keys of an index part.
-BLOCK_WORDS, PIECE_CHARS, PART_KEYS = 512, 4_000_000, 100_000
+BLOCK_WORDS, PIECE_CHARS, PART_KEYS = 512, 2_000_000, 100_000
 #: Bits to a key of a level of the hash, and levels before the rest is listed.
 GAMMA, LEVELS = 2, 40
 READ_BYTES, GAP_BYTES = 8 << 20, 64 << 10
