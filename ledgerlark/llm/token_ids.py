@@ -40,7 +40,8 @@ BLOCK_WORDS, PIECE_CHARS, PART_KEYS = 512, 2_000_000, 100_000
 #: Bits to a key of a level of the hash, and levels before the rest is listed.
 GAMMA, LEVELS = 2, 40
 READ_BYTES, GAP_BYTES = 8 << 20, 64 << 10
-_STEM = re.compile(r"([^\W\d_]+)([^\w\s'’]*)")
+#: Letters, then marks that can't join them or form a contraction: one or two pieces.
+_STEM = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordEncoder:
