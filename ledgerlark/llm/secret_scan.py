@@ -38,6 +38,8 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 #: Most rows whose tokens train the models.
 TRAIN_ROWS = 10_000
 MIN_RATIO, MIN_PER_CHAR = 12.0, 0.6
+#: Weight of what was never seen, in the ordinary and the random model.
+BACK_OFF = (5.0, 20.0)
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -97,10 +99,13 @@ class MarkovRatio:
         if len({label for label, _ in counts}) < 2:
             return None
         size = len(ALPHABET)
-        table = []
-        for a in range(size):
-            sums = [sum(counts.get((label, a * size + b), 0) for b in range(size)) + size for label in (0, 1)]
-            table += [math.log((counts.get((1, a * size + b), 0) + 1) / sums[1]) - math.log((counts.get((0, a * size + b), 0) + 1) / sums[0]) for b in range(size)]
+        sums = [[sum(counts.get((label, a * size + b), 0) for b in range(size)) for a in range(size)] for label in (0, 1)]
+        seen = [sum(counts.get((0, a * size + b), 0) for a in range(size)) for b in range(size)]
+        # what was never seen: any character for random strings, the usual characters for ordinary ones
+        usual = [(n + 0.5) / (sum(seen) + 0.5 * size) for n in seen]
+        random = lambda a, b: (counts.get((1, a * size + b), 0) + BACK_OFF[1] / size) / (sums[1][a] + BACK_OFF[1])
+        plain = lambda a, b: (counts.get((0, a * size + b), 0) + BACK_OFF[0] * usual[b]) / (sums[0][a] + BACK_OFF[0])
+        table = [math.log(random(a, b) / plain(a, b)) for a in range(size) for b in range(size)]
         return cls(tuple(round(x, 6) for x in table))
 
     def ratio(self, token: Column) -> Column:
