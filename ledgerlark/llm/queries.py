@@ -80,4 +80,26 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_decontamination, op4_near_dedup, op5_quality_rules, op6_line_dedup, op7_url_filters, op8_mixing, op9_warc, op10_token_ids)}
-SQL: dict[str, str] = {}
+
+def _url_sql() -> str:
+    from .url_filters import LIMIT, RULES, VOCABULARY
+
+    def case(value) -> str:
+        arms = [f"WHEN (host = '{on}' OR ends_with(host, '.{on}')) AND starts_with(path, '{start}') THEN '{value((says, on, start))}'" for says, on, start in sorted(RULES, key=lambda r: -len(r[1] + r[2]))]
+        return "CASE " + " ".join(arms) + " END"
+
+    weight = " + ".join(f"CASE WHEN regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9]){term}([^a-z0-9]|$)') THEN {w} ELSE 0 END" for term, w in VOCABULARY.items())
+    return f"""WITH parts AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages)
+        SELECT page_id, host, path, {case(lambda r: r[1] + r[2])} AS rule, coalesce({case(lambda r: r[0])}, CASE WHEN {weight} >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict FROM parts"""
+
+
+_QUALITY_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split(translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda x: x <> '') AS w FROM documents),
+    g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+    r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM g) WHERE c > 1) GROUP BY 1),
+    l AS (SELECT doc_id, len(x) AS n_lines, len(x) - len(list_distinct(x)) AS dup FROM (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^ \\t-\\r]')) AS x FROM d)),
+    m AS (SELECT doc_id, t, len(w) AS n_words, length(regexp_replace(t, '[ \\t-\\r]', '', 'g')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, dup AS n_dup_lines, n_lines, coalesce(r.n, 0) AS n_repeat_words FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+    b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR n_symbols * 10 > n_words OR n_dup_lines * 10 > n_lines * 3 OR word_chars > n_words * 14 OR word_chars < n_words * 2
+        OR len(regexp_extract_all(t, '[A-Z]')) * 10 > word_chars * 4 OR len(regexp_extract_all(t, '[0-9]')) * 10 > word_chars * 3) AS kept FROM b"""
+SQL: dict[str, str] = {"op5_quality_rules": _QUALITY_SQL, "op7_url_filters": _url_sql()}
