@@ -19,7 +19,7 @@ LIMIT = 2
 #: The vocabulary: own choice of terms, with their weights.
 VOCABULARY = dict.fromkeys(
     "adult casino escort gambling hentai malware pharma phishing pills poker porn porno sexcam slots spam viagra warez webcamsex xxx".split(), LIMIT
-) | dict.fromkeys("bet bets betting bonus cheap crack dating discount download farm free girls hot keygen loan loans offer sex torrent track tracker tracking win winner".split(), 1)
+) | dict.fromkeys("ads bet bets betting bonus cheap crack dating discount download farm free girls hot keygen loan loans offer sex torrent track tracker tracking win winner".split(), 1)
 #: (verdict, host, start of path); the longest that fits decides.
 RULES = (
     ("allow", "org", "/"),
