@@ -115,3 +115,10 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "tex
         .withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
         .drop("q_text")
     )
+
+
+def keep(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with its columns."""
+    # written with its measures: a filter on a plan that still computes them is pushed below
+    # the projections and evaluates them again for each element of an array
+    return save(judge(docs, rules, text_col)).where("kept").select(*docs.columns)
