@@ -31,10 +31,10 @@ PATTERNS = (
     ("hex", r"[0-9a-f]+", 0, 24),
 )
 #: What a text must hold for the pattern to be tried, where that is quicker to see.
-HINTS = {"assign": PATTERNS[0][1], "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
+HINTS = {"assign": PATTERNS[0][1], "access": r"AKIA[A-Z0-9]{16}", "hex": r"(?<![0-9a-f])[0-9a-f]{24}"}
 KINDS = [p[0] for p in PATTERNS] + ["random"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 #: Most rows whose tokens train the models.
 TRAIN_ROWS = 10_000
 MIN_RATIO, MIN_PER_CHAR = 12.0, 0.6
@@ -72,12 +72,16 @@ def _found(text: Column, pattern: str, hint: str, group: int, least: int) -> Col
 
 
 def pattern_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``s_text`` and a column of spans for each pattern and for ``token``."""
+    """``docs`` with ``s_text``, a column of spans for each pattern, ``s_base`` with all of them and ``s_words``, the long tokens."""
     docs = docs.withColumn("s_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     docs = docs.withColumns({f"s_{kind}": _found(F.col("s_text"), pattern, HINTS[kind], group, least) for kind, pattern, group, least in PATTERNS})
     docs = docs.withColumn("s_base", F.array_sort(F.flatten(F.array(*[_kind(f"s_{k}", i) for i, k in enumerate(KINDS[:3])]))))
-    tokens = _found(F.col("s_text"), TOKEN, TOKEN, 0, 1)
-    return docs.withColumn("s_token", F.filter(tokens, lambda t: ~F.exists("s_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
+    return docs.withColumn("s_words", F.regexp_extract_all("s_text", F.lit(TOKEN), F.lit(0)))
+
+
+def _apart(tokens: Column) -> Column:
+    """Token spans that overlap no pattern's match."""
+    return F.filter(tokens, lambda t: ~F.exists("s_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
 
 
 def _kind(spans: str, number: int) -> Column:
@@ -124,7 +128,8 @@ def train(docs: DataFrame, text_col: str = "text", rows: int = TRAIN_ROWS) -> Ma
     """Models from the tokens of at most ``rows`` rows."""
     some = pattern_spans(docs.select(text_col).limit(rows), text_col)
     random = some.select(F.explode(F.flatten(F.array(*[f"s_{k}" for k in KINDS[:3]]))).alias("s")).select(F.col("s.value").alias("token"), F.lit(1).alias("label"))
-    plain = some.select(F.explode("s_token").alias("s")).select(F.col("s.value").alias("token"), F.lit(0).alias("label")).where(F.col("token").rlike("^[A-Za-z]+$"))
+    # letters-only tokens of texts without a match need no positions
+    plain = some.where(F.size("s_base") == 0).select(F.explode("s_words").alias("token"), F.lit(0).alias("label")).where(F.col("token").rlike("^[A-Za-z]+$"))
     return MarkovRatio.train(random.unionByName(plain))
 
 
@@ -136,9 +141,11 @@ def scan(docs: DataFrame, text_col: str = "text", model: MarkovRatio | None = No
     if model is None:
         added = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     else:
-        long_enough = lambda r, t: (r > MIN_RATIO) & (r > MIN_PER_CHAR * (t["end"] - t["start"] - 1))
-        secret = F.filter("s_token", lambda t: let(model.ratio(t["value"]), lambda r: long_enough(r, t)))
-        found = found.withColumn("s_random", secret)
+        secret = lambda token: let(model.ratio(token), lambda r: (r > MIN_RATIO) & (r > MIN_PER_CHAR * (F.length(token) - 1)))
+        # positions are sought only in texts that hold a secret token
+        placed = _apart(F.filter(find(F.col("s_text"), TOKEN), lambda t: secret(t["value"])))
+        found = found.withColumn("s_any", F.exists("s_words", secret))
+        found = found.withColumn("s_random", F.when(F.col("s_any"), placed).otherwise(F.array().cast(_SPANS)))
         added = _kind("s_random", KINDS.index("random"))
     counts = {f"n_{k}": F.size(f"s_{k}").cast("long") for k in KINDS[:3]}
     found = found.withColumns({**counts, "base_spans": F.col("s_base"), "spans": F.array_sort(F.concat("s_base", added))})
