@@ -7,15 +7,19 @@
    words share the highest.
 2. *Sampling.*  Shingles are dealt to ``SAMPLES`` bins by hash and each bin gives one sample of
    improved consistent weighted sampling, (shingle, t); an empty bin borrows from the next.
-3. *Bands.*  ``ROWS`` samples make a band key.  In each bucket all members are paired with the
-   least and the greatest text digest and a third member, chosen by a hash.
-4. *Verify.*  Weighted Jaccard similarity of whole texts; pairs at ``SIMILARITY`` or more are
+3. *Bands.*  ``ROWS`` samples make a band key; texts with one band key share a bucket, and
+   every two texts that share a bucket are compared, once.
+4. *Small buckets*, of ``SMALL`` texts at most, give all their pairs.
+5. *Large buckets* are cut into tiles of bounded texts and characters.  Each two tiles are a
+   cell, whose texts meet in one task; it gives the number of each text's links and the links
+   that join its classes, not its pairs.  A pair belongs to the cell of its first common band,
+   and to none if it shares a small bucket.
+6. *Verify.*  Weighted Jaccard similarity of whole texts; pairs at ``SIMILARITY`` or more are
    links and components of links are classes.
-5. *Again.*  In buckets that hold more than one class, members are paired with a member of the
-   bucket's least and greatest class, if those aren't theirs, and the new links are added.
 
-The nodes are distinct texts, so copies cost a row each and no pairs, and pairs grow with
-bucket sizes and not with their squares.  Popular partners are salted.
+The nodes are distinct texts, so copies cost a row each and no pairs.  Rows grow with bucket
+sizes and with their squares only over many tiles; the comparisons of a large bucket do grow
+with its square.  Popular partners are salted.
 
 Defined cases: null text is empty text; equal texts (empty ones too) are one class; a text
 with one to four words is one shingle; null ids are kept and rank last; an empty table gives
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from .storage import save
@@ -35,6 +40,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SAMPLES, ROWS = 128, 4
 IDF_FLOOR = 0.001
 PIECE_CHARS, GROUP_ROWS = 3_000_000, 200
+#: Texts of a small bucket, and the bounds of a tile of a large one.
+SMALL, TILE_ROWS, TILE_CHARS = 8, 2000, 4_000_000
 #: Inverse document frequencies are kept in fixed point, so that sums don't depend on order.
 _POINT = 1024.0
 
@@ -75,6 +82,11 @@ class Weigher:
         return doc[at], hash_[at], weight[at] * times / (SHINGLE * _POINT)
 
 
+def _fixed(weight: np.ndarray) -> np.ndarray:
+    """Weights as whole numbers, whose sums don't depend on order."""
+    return np.rint(weight * (SHINGLE * _POINT)).astype(np.int64)
+
+
 def _uniform(h: np.ndarray, n: int) -> np.ndarray:
     """Uniform numbers in (0, 1] from hashes."""
     return ((mix(h + np.uint64(n * 0xC2B2AE3D27D4EB4F & (2**64 - 1))) >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
@@ -148,7 +160,8 @@ def _sign(held):
                 codes, some = sample(doc, hash_, weight, len(rows))
                 keys = band_keys(codes)
                 lists = [k if s else k[:0] for k, s in zip(keys.view(np.int64), some)]
-                yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("digest"), pa.array(lists, pa.list_(pa.int64()))], ["id", "digest", "keys"])
+                chars = pc.utf8_length(rows.column("text")).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("digest"), chars, pa.array(lists, pa.list_(pa.int64()))], ["id", "digest", "chars", "keys"])
 
     return run
 
@@ -163,7 +176,7 @@ def _verify(held):
                 a, b, out = rows.column("a").to_pylist(), rows.column("b").to_pylist(), []
                 for i, (x, y) in enumerate(zip(a, b)):
                     part = slice(first[i], first[i + 1])
-                    mine = hash_[part], weight[part]
+                    mine = hash_[part], _fixed(weight[part])
                     if x is None:
                         rep, vector = y, mine
                         continue
@@ -193,6 +206,100 @@ def _links(pairs: DataFrame, texts: DataFrame, held, similarity: float) -> DataF
     return rows.select("a", "b", "text").mapInArrow(_verify(held), "a binary, b binary, similarity double").where(F.col("similarity") >= similarity)
 
 
+def _cell_links(band: int, cross: bool, keys: np.ndarray, large: np.ndarray, tile: np.ndarray, first: np.ndarray, hash_: np.ndarray, weight: np.ndarray, similarity: float) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that join the classes of a cell's texts, and each text's number of links.
+
+    ``keys``: band keys of the texts, ``large``: bits of the bands where their buckets are large,
+    ``tile``: their tiles, of which only different ones are compared if ``cross``,
+    ``first``: where their shingles begin."""
+    n = len(keys)
+    size, local = np.diff(first), np.unique(hash_, return_inverse=True)[1]
+    until = np.concatenate([[0], np.cumsum(weight)])
+    total = until[first[1:]] - until[first[:-1]]
+    bits = np.uint64(1) << np.arange(keys.shape[1], dtype=np.uint64)
+    early = bits[band] - np.uint64(1)
+    mine, label, links, degree = np.zeros(local.max(initial=-1) + 1, np.int64), np.arange(n), [], np.zeros(n, np.int64)
+    for x in range(n - 1):
+        # texts whose weights differ by more can't be similar; the margin is for rounding
+        near = np.minimum(total[x], total[x + 1 :]) >= (similarity - 1e-9) * np.maximum(total[x], total[x + 1 :])
+        near &= size[x + 1 :] > 0
+        if cross:
+            near &= tile[x + 1 :] != tile[x]
+        y = np.flatnonzero(near) + x + 1
+        if not len(y) or not size[x]:
+            continue
+        common = np.where(keys[y] == keys[x], bits, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+        y = y[(common & ~large[x] == 0) & (common & early == 0)]
+        if not len(y):
+            continue
+        part = slice(first[x], first[x + 1])
+        mine[local[part]] = weight[part]
+        begin = np.cumsum(size[y]) - size[y]
+        at = np.arange(size[y].sum()) + np.repeat(first[y] - begin, size[y])
+        both = np.add.reduceat(np.minimum(mine[local[at]], weight[at]), begin)
+        mine[local[part]] = 0
+        y = y[both / (total[x] + total[y] - both) >= similarity]
+        degree[x] += len(y)
+        degree[y] += 1
+        for other, at in zip(*np.unique(label[y], return_index=True)):
+            if other != label[x]:
+                links.append((x, int(y[at])))
+                label[label == other] = label[x]
+    return links, degree
+
+
+def _compare_cells(held, similarity: float):
+    """Of rows sorted by cell: links (a, b), and texts a with their number of links in the cell."""
+
+    def settle(key, rows):
+        digest, keys, large, tile, vectors = zip(*rows)
+        keys = np.array(keys, np.int64)
+        band = int(np.flatnonzero(keys[0] == key[0])[0])
+        first = np.concatenate([[0], np.cumsum([len(h) for h, _ in vectors])])
+        hash_, weight = (np.concatenate(x) for x in zip(*vectors))
+        links, degree = _cell_links(band, key[1] != key[2], keys, np.array(large, np.int64).view(np.uint64), np.array(tile), first, hash_, weight, similarity)
+        a = [digest[max(x, y, key=digest.__getitem__)] for x, y in links] + [digest[x] for x in np.flatnonzero(degree)]
+        b = [digest[min(x, y, key=digest.__getitem__)] for x, y in links] + [None] * (len(a) - len(links))
+        n = [None] * len(links) + degree[degree > 0].tolist()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], ["a", "b", "n"])
+
+    def run(batches):
+        now, rows = None, []
+        for batch in batches:
+            for piece in pieces_of(batch, "text", PIECE_CHARS):
+                doc, hash_, weight = held.value(piece.column("text"))
+                first = np.searchsorted(doc, np.arange(len(piece) + 1))
+                cells = zip(*(piece.column(c).to_pylist() for c in ("key", "c1", "c2")))
+                members = zip(*(piece.column(c).to_pylist() for c in ("digest", "keys", "large", "tile")))
+                for i, (key, member) in enumerate(zip(cells, members)):
+                    if key != now:
+                        if len(rows) > 1:
+                            yield settle(now, rows)
+                        now, rows = key, []
+                    if rows and rows[-1][0] == member[0]:
+                        continue  # null ids can give a text twice
+                    part = slice(first[i], first[i + 1])
+                    rows.append((*member, (hash_[part].copy(), _fixed(weight[part]))))
+        if len(rows) > 1:
+            yield settle(now, rows)
+
+    return run
+
+
+def _large_links(band: DataFrame, buckets: DataFrame, keys: DataFrame, texts: DataFrame, held, similarity: float) -> DataFrame:
+    """Links (a, b) that join the classes of large buckets, and their texts a with a number ``n`` of links."""
+    tiles = F.greatest(F.ceil(F.col("n") / TILE_ROWS), F.ceil(F.col("chars") / TILE_CHARS)).cast("int")
+    buckets = buckets.where(F.col("n") > SMALL).select(F.col("key").alias("k"), tiles.alias("tiles"))
+    held_in = save(band.join(buckets, F.col("key") == F.col("k")).select("digest", "pos", "key", "tiles"))
+    bits = held_in.groupBy("digest").agg(F.sum(F.expr("shiftleft(1L, pos)")).alias("large"))
+    texts = keys.join(bits, "digest").join(texts, "digest").select(F.col("digest").alias("t_digest"), "keys", "large", "text")
+    placed = held_in.withColumn("tile", F.pmod(F.xxhash64("digest"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    placed = placed.select("digest", "key", "tile", F.least("tile", "other").alias("c1"), F.greatest("tile", "other").alias("c2"))
+    rows = placed.join(texts, F.col("digest") == F.col("t_digest")).select("digest", "key", "tile", "c1", "c2", "keys", "large", "text")
+    rows = rows.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "digest")
+    return rows.mapInArrow(_compare_cells(held, similarity), "a binary, b binary, n long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``label``, the least node of its component, of all nodes of links (a, b)."""
     nodes = links.select(F.col("a").alias("node")).union(links.select("b"))
@@ -214,35 +321,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
     held = spark.sparkContext.broadcast(weigher(docs, text_col))
     id_type = docs.schema[id_col].dataType.simpleString()
-    signed = save(rows.mapInArrow(_sign(held), f"id {id_type}, digest binary, keys array<long>"))
-    band = save(signed.select("digest", F.explode("keys").alias("key")).distinct())
-    # the least and the greatest digest of a bucket, and one more by a hash of its own
-    pick = F.max_by("digest", F.xxhash64("digest")).alias("pick")
-    bucket = save(band.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), pick).where("lo < hi").withColumnRenamed("key", "k"))
-    shared = save(band.join(bucket, F.col("key") == F.col("k")).select("key", "digest", "lo", "hi", "pick"))
-    ordered = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    stars = shared.select("digest", F.explode(F.array_distinct(F.array("lo", "hi", "pick"))).alias("other")).where("digest != other")
-    pairs = save(stars.select(*ordered(F.col("digest"), F.col("other"))).distinct())
+    signed = save(rows.mapInArrow(_sign(held), f"id {id_type}, digest binary, chars long, keys array<long>"))
+    keys = signed.where(F.size("keys") > 0).groupBy("digest").agg(F.first("keys").alias("keys"), F.first("chars").alias("chars"))
+    band = save(keys.select("digest", "chars", F.posexplode("keys").alias("pos", "key")))
+    buckets = save(band.groupBy("key").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).where("n > 1"))
+    shared = save(band.join(buckets.select(F.col("key").alias("k"), "n"), F.col("key") == F.col("k")).select("key", "digest", "n"))
+    members = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("digest")).alias("m"))
+    later = lambda b, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda a: F.struct(a.alias("a"), b.alias("b")))
+    pairs = save(members.select(F.explode(F.flatten(F.transform("m", later))).alias("p")).select("p.a", "p.b").distinct())
     # one row a text that is in a bucket with others: that of its least id
     least = signed.groupBy("digest").agg(F.min("id").alias("id"))
     wanted = shared.select("digest").distinct().join(least, "digest").select(F.col("digest").alias("w_digest"), F.col("id").alias("w_id"))
     texts = save(rows.join(wanted, (F.col("digest") == F.col("w_digest")) & F.col("id").eqNullSafe(F.col("w_id")), "left_semi").select("digest", "text"))
-    links = save(_links(pairs, texts, held, similarity))
-    labels = components(links)
-    # once more between the classes that meet in a bucket: each member with one of another class
-    label = labels.select(F.col("node").alias("l_node"), "label")
-    placed = save(shared.select("key", "digest").join(label, F.col("digest") == F.col("l_node"), "left").select("key", "digest", F.coalesce("label", "digest").alias("label")))
-    ends = placed.groupBy("key").agg(F.min(F.struct("label", "digest")).alias("lo"), F.max(F.struct("label", "digest")).alias("hi")).where("lo.label < hi.label")
-    ends = save(ends.select(F.col("key").alias("k"), "lo", "hi"))
-    again = placed.join(ends, F.col("key") == F.col("k")).select("digest", "label", F.explode(F.array("lo", "hi")).alias("other")).where("label != other.label")
-    fresh = again.select(*ordered(F.col("digest"), F.col("other.digest"))).distinct()
-    fresh = save(fresh.join(pairs.withColumnsRenamed({"a": "p_a", "b": "p_b"}), (F.col("a") == F.col("p_a")) & (F.col("b") == F.col("p_b")), "left_anti"))
-    more = save(_links(fresh, texts, held, similarity))
-    if more.limit(1).count():
-        links = save(links.unionByName(more))
-        labels = components(links)
+    # null ids can give a text twice
+    links = save(_links(pairs, texts, held, similarity).select("a", "b").distinct())
+    large = save(_large_links(band, buckets, keys.select("digest", "keys"), texts, held, similarity))
+    labels = components(links.unionByName(large.where("b IS NOT NULL").select("a", "b")))
     label = labels.select(F.col("node").alias("l_node"), "label")
-    degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
+    ends = links.select("a", F.lit(1).cast("long").alias("n")).unionByName(links.select(F.col("b").alias("a"), F.lit(1).cast("long").alias("n")))
+    degree = ends.unionByName(large.where("b IS NULL").select("a", "n")).groupBy("a").agg(F.sum("n").alias("n_links"))
     texts_of = signed.groupBy("digest").agg(F.min("id").alias("least"))
     known = texts_of.join(label, F.col("digest") == F.col("l_node"), "left").withColumn("label", F.coalesce("label", "digest"))
     first = save(known.groupBy("label").agg(F.min("least").alias("class_id")).withColumnRenamed("label", "f_label"))

@@ -221,6 +221,40 @@ def test_near_dedup_null_ids(spark):
     assert sorted((r.id or -1, r.class_id or -1) for r in got) == [(-1, -1), (-1, 4), (4, 4)]
 
 
+def shared_passage_texts():
+    """Texts that share buckets by a long passage and are else unrelated, with near copies hidden among them."""
+    rng = random.Random(21)
+    passage = prose(rng, 70, 100_000)
+    out = [passage + " " + prose(rng, 40, 100_000) for _ in range(90)]
+    for i in range(0, 40, 4):
+        for k in range(1 + i // 8):
+            out.append(out[i] + f" tail{i} {k}")
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("tile_rows", [2000, 20])
+def test_near_dedup_settles_large_buckets(spark, monkeypatch, tile_rows):
+    """Classes and link counts are those of all pairs, also in a bucket of many unrelated texts, whole or in tiles."""
+    monkeypatch.setattr(near_dedup, "TILE_ROWS", tile_rows, raising=False)
+    texts = shared_passage_texts()
+    words = [WORD.findall(t) for t in texts]
+    n, df = len(texts), collections.Counter(w for ws in words for w in set(ws))
+    rare = math.log(1 + 1 / max(near_dedup.IDF_FLOOR, 1 / n))
+    weight = lambda k: sum(math.log(1 + n / df[w]) if df[w] >= 2 else rare for w in k) / len(k)
+    bags = [collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in words]
+    want_links = collections.Counter()
+    for i in range(n):
+        for j in range(i):
+            if similarity(bags[i], bags[j], weight) >= near_dedup.SIMILARITY:
+                want_links.update([i, j])
+    want, _ = classes_by_brute_force(texts)
+    assert len(set(want)) == 90
+    got = {r.id: r for r in near_dedup.classes(table(spark, texts)).collect()}
+    assert [got[i].class_id for i in range(n)] == want
+    assert [got[i].n_links for i in range(n)] == [want_links[i] for i in range(n)]
+
+
 def test_weighted_samples_follow_similarity():
     """The share of equal samples is near the weighted Jaccard similarity."""
     import numpy as np
