@@ -7,12 +7,16 @@ value of the item always stands for one value of the document.  A document is co
 the placements that count cover ``SHARE`` of an item's template words.  So a question with
 other numbers or names is caught, and one that only shares its shape is not.
 
+An item's window with few literals would match by its shape alone; it is joined by its raw
+words instead, whatever their case, and has no slots.  So items of numbers, names or capitals
+are found where they are copied.
+
 The benchmark is joined in blocks of at most ``BLOCK_WINDOWS`` windows, which is what bounds a
 broadcast; each block meets all documents.
 
 Defined cases: null text has no words; an item with fewer words than a window takes its own
-length as window; a window needs ``LITERALS`` words that are no placeholders (fewer if it is
-shorter); rows of one id are judged together, and so are null ids; repeated items are each
+length as window; a template window needs ``LITERALS`` words that are no placeholders (fewer
+if it is shorter), other windows are exact; rows of one id are judged together, and so are null ids; repeated items are each
 reported; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -53,18 +57,21 @@ def _key(w: Column, at: Column, n: int) -> Column:
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``item``, ``item_words``, ``n`` (length), ``item_at``, ``key``, ``item_slots`` (raw words at placeholders, else null)."""
+    """``item``, ``item_words``, ``n`` (length), ``exact``, ``item_at``, ``key``, ``item_slots`` (raw words at placeholders, else null)."""
     w = items.select(F.col(id_col).alias("item"), raw_words(F.col(text_col)).alias("raw"), template_words(F.col(text_col)).alias("w"))
     w = w.withColumn("item_words", F.size("w")).where("item_words > 0").withColumn("n", F.least(F.lit(WINDOW), F.col("item_words")))
     w = w.withColumn("item_at", F.explode(F.sequence(F.lit(0), F.col("item_words") - F.col("n"))))
     part = F.slice("w", F.col("item_at") + 1, F.col("n"))
     held = F.transform(part, lambda x: x.isin(NUMBER, NAME, UNIT))
     slots = F.transform(part, lambda x, k: F.when(x.isin(NUMBER, NAME, UNIT), F.get("raw", F.col("item_at") + k)))
-    key = F.when(F.col("n") == 1, _key(F.col("w"), F.col("item_at"), 1))
-    for n in range(2, WINDOW + 1):
-        key = key.when(F.col("n") == n, _key(F.col("w"), F.col("item_at"), n))
     literal = F.size(F.filter(held, lambda x: ~x))
-    return w.where(literal >= F.least(F.lit(LITERALS), F.col("n"))).select("item", "item_words", "n", "item_at", key.alias("key"), slots.alias("item_slots"))
+    w = w.withColumn("item_slots", slots).withColumn("exact", literal < F.least(F.lit(LITERALS), F.col("n")))
+    of = F.when(F.col("exact"), F.transform("raw", F.lower)).otherwise(F.col("w"))
+    key = F.when(F.col("n") == 1, _key(of, F.col("item_at"), 1))
+    for n in range(2, WINDOW + 1):
+        key = key.when(F.col("n") == n, _key(of, F.col("item_at"), n))
+    slots = F.when(F.col("exact"), F.transform("item_slots", lambda x: F.lit(None).cast("string"))).otherwise(F.col("item_slots"))
+    return w.select("item", "item_words", "n", "exact", "item_at", key.alias("key"), slots.alias("item_slots"))
 
 
 def _covered(places: Column, n: int) -> Column:
@@ -72,12 +79,12 @@ def _covered(places: Column, n: int) -> Column:
     return total(F.transform(places, lambda p, j: F.least(F.lit(n), F.coalesce(F.get(places, j + 1) - p, F.lit(n)))), "int")
 
 
-def _matches(docs: DataFrame, block: DataFrame, n: int) -> DataFrame:
+def _matches(docs: DataFrame, block: DataFrame, n: int, exact: bool) -> DataFrame:
     # the row at hand is the whole document: positions are made, hashed and looked up in one stage
-    w = docs.withColumn("w", template_words(F.col("text")))
+    w = docs.withColumn("w", F.transform(raw_words(F.col("text")), F.lower) if exact else template_words(F.col("text")))
     w = w.where(F.size("w") >= n).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("w") - n)))
     w = w.withColumn("key", _key(F.col("w"), F.col("at"), n))
-    found = w.join(F.broadcast(block.where(F.col("n") == n).drop("n")), "key")
+    found = w.join(F.broadcast(block.where((F.col("n") == n) & (F.col("exact") == exact)).drop("n", "exact")), "key")
     # raw words are made only for matches
     values = F.when(F.exists("item_slots", lambda x: x.isNotNull()), F.slice(raw_words(F.col("text")), F.col("at") + 1, n))
     pairs = F.array_compact(F.transform("item_slots", lambda x, k: F.when(x.isNotNull(), F.struct(x.alias("of"), F.get(values, k).alias("to")))))
@@ -88,13 +95,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """``id``, ``item``, ``item_words``, ``n_covered`` and ``n_changed`` (slots with another value) for each contaminated document and item."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     bench = save(benchmark_windows(items, item_id, item_text))
-    sizes = {r["n"]: r["c"] for r in bench.groupBy("n").agg(F.count("*").alias("c")).collect()}
+    sizes = {(r["n"], r["exact"]): r["c"] for r in bench.groupBy("n", "exact").agg(F.count("*").alias("c")).collect()}
     parts = []
-    for n, count in sorted(sizes.items()):
+    for (n, exact), count in sorted(sizes.items()):
         blocks = -(-count // BLOCK_WINDOWS)
-        parts += [_matches(rows, bench.where(F.pmod(F.xxhash64("item", "item_at"), F.lit(blocks)) == b), n) for b in range(blocks)]
+        parts += [_matches(rows, bench.where(F.pmod(F.xxhash64("item", "item_at"), F.lit(blocks)) == b), n, exact) for b in range(blocks)]
     if not parts:
-        parts = [_matches(rows, bench, WINDOW)]
+        parts = [_matches(rows, bench, WINDOW, False)]
     found = reduce(DataFrame.unionByName, parts)
     # a placement has at most as many windows as its item
     placed = found.groupBy("id", "item", "item_words", "shift").agg(F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))

@@ -153,6 +153,17 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs(ITEMS[1], ITEMS[1]), items).count() == 2
 
 
+def test_decontamination_finds_items_of_placeholders(spark):
+    """Copies of items that are mostly numbers, names or capitals are found, in any case; other values are not."""
+    bare = ["42 7 9 11 13 15", "The Treaty Of Versailles Ended The First World War In Paris", "WHO WROTE THE NOVEL ABOUT THE WHITE WHALE", "Ann Bob 3"]
+    items = spark.createDataFrame([*enumerate(bare)], "item_id long, text string")
+    filler = prose(random.Random(7), 40)
+    texts = [f"{filler} {t} {filler}" for b in bare for t in (b, b.lower(), b.upper())] + [f"{filler} 43 8 1 12 14 16", "The Battle Of Waterloo Ended The Last Great Reign In Europe", "Eve Carl 4"]
+    got = {(r.id, r.item): r for r in decontamination.contaminated(table(spark, texts), items).collect()}
+    assert set(got) == {(i, i // 3) for i in range(12)}
+    assert all(r.n_covered == r.item_words and r.n_changed == 0 for r in got.values())
+
+
 def test_decontamination_places_match(spark):
     """Raw and template words stand in the same places."""
     text = "Dr. Ann-Marie paid $5.50 (or 12 kg!) -- in 2024, at 3pm; ÉCOLE № 7 x²"
