@@ -4,7 +4,7 @@ Two first-order character models, of random strings and of ordinary identifiers,
 from labelled tokens: those inside a pattern's match are random, those outside that hold
 letters only are ordinary.  A token is a secret if the log-likelihood ratio of the models is
 over ``MIN_RATIO``, and over ``MIN_PER_CHAR`` for each of its character pairs.  Model spans are added where
-they overlap no pattern's match.
+they overlap no pattern's match.  Tokens of fewer than 8 characters are not scored.
 
 Positions come from ``\\G``-anchored matches that return the gap before each match, so one pass
 finds all and a text without a match is left at once.  All of it is built-in functions; a
@@ -34,7 +34,7 @@ PATTERNS = (
 HINTS = {"assign": PATTERNS[0][1], "access": r"AKIA[A-Z0-9]{16}", "hex": r"(?<![0-9a-f])[0-9a-f]{24}"}
 KINDS = [p[0] for p in PATTERNS] + ["random"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}"
 #: Most rows whose tokens train the models.
 TRAIN_ROWS = 10_000
 MIN_RATIO, MIN_PER_CHAR = 12.0, 0.6
@@ -72,7 +72,7 @@ def _found(text: Column, pattern: str, hint: str, group: int, least: int) -> Col
 
 
 def pattern_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``s_text``, a column of spans for each pattern, ``s_base`` with all of them and ``s_words``, the long tokens."""
+    """``docs`` with ``s_text``, a column of spans for each pattern, ``s_base`` with all of them and ``s_words``, the tokens."""
     docs = docs.withColumn("s_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     docs = docs.withColumns({f"s_{kind}": _found(F.col("s_text"), pattern, HINTS[kind], group, least) for kind, pattern, group, least in PATTERNS})
     docs = docs.withColumn("s_base", F.array_sort(F.flatten(F.array(*[_kind(f"s_{k}", i) for i, k in enumerate(KINDS[:3])]))))

@@ -121,6 +121,25 @@ def test_secret_model_held_out(spark):
     assert secret_scan.MarkovRatio.train(labelled.where("label = 1")) is None
 
 
+def test_secret_scan_short_tokens(spark):
+    """Random strings of 8 to 19 characters are scored: held-out recall and false hits by length."""
+    rng = random.Random(17)
+    pieces = ["ing", "er", "con", "sta", "ble", "lo", "mi", "ran", "tion", "der"]
+    plain = lambda n: "".join(rng.choice(pieces) for _ in range(n))[:n]
+    train = [f"see {''.join(rng.choice('0123456789abcdef') for _ in range(40))} and token={''.join(rng.choice(secret_scan.ALPHABET[:62]) for _ in range(40))} end" for _ in range(300)]
+    train += [" ".join(plain(rng.randrange(8, 30)) for _ in range(30)) for _ in range(100)]
+    model = secret_scan.train(table(spark, train))
+    secret = [(n, "".join(rng.choice(secret_scan.ALPHABET[:62]) for _ in range(n))) for n in range(8, 20) for _ in range(40)]
+    usual = [(n, plain(n)) for n in range(8, 20) for _ in range(40)]
+    rows = table(spark, [f"a {t} b" for _, t in secret + usual])
+    got = {r.doc_id: any(s.kind == 3 for s in r.spans) for r in secret_scan.scan(rows, model=model).collect()}
+    recall = lambda low, high: [sum(got[i] for i, (n, _) in enumerate(secret) if low <= n < high) / sum(low <= n < high for n, _ in secret)][0]
+    false_hits = sum(got[len(secret) + i] for i in range(len(usual))) / len(usual)
+    print("recall", [round(recall(n, n + 1), 2) for n in range(8, 20)], "false", false_hits)
+    assert recall(16, 20) >= 0.98 and recall(12, 16) >= 0.9 and recall(8, 12) >= 0.5
+    assert false_hits <= 0.01
+
+
 ITEMS = [
     "Maria bought 12 kg of rice for 40 dollars at the market in town before noon",
     "the train leaves the old station every morning and comes back late in the evening of the day",
