@@ -12,8 +12,8 @@ of its words, one after another; words are encoded once and remembered (up to
 
 Shards and index parts are written under the attempt's own name, and the index names shards,
 so rerun tasks do no harm.  Defined cases: a null text is empty and has the end id only; null
-keys come first; a key that repeats is stored as key and occurrence (0, 1, ..., in order of
-text); an empty table has no shards; other columns are ignored.
+keys come first; a key that repeats is stored as key and occurrence (0, 1, ..., equal texts
+together); an empty table has no shards; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,19 +31,55 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from .storage import filesystem, save, shared_dir, write_whole
-from .words import mix, pieces_of, split_words, word_hashes
+from .words import Words, mix, pieces_of, split_words, word_hashes
 
 END_ID = 1
-MEMO_WORDS = 120_000
+#: Words whose ids a worker remembers, and parts of words with ids of their own.
+MEMO_WORDS, STEM_WORDS = 1_000_000, 200_000
 #: Words to an encoding call, code points of text handled at once, and most keys of an index part.
 BLOCK_WORDS, PIECE_CHARS, PART_KEYS = 512, 2_000_000, 100_000
 #: Bits to a key of a level of the hash, and levels before the rest is listed.
 GAMMA, LEVELS = 2, 40
 READ_BYTES, GAP_BYTES = 8 << 20, 64 << 10
+#: Bytes that a reading task reads.
+TASK_BYTES = 16 << 20
 #: Letters, then marks that can't join them or form a contraction: one or two pieces.
 _STEM = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+class _Memo:
+    """Ids of words by two hashes of their bytes, in sorted arrays: about 30 bytes a word."""
+
+    def __init__(self, kind: str):
+        self.hash, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, kind)
+
+    def __len__(self) -> int:
+        return len(self.hash)
+
+    def find(self, hash_: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The place of each word, or -1."""
+        if not len(self):
+            return np.full(len(hash_), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hash, hash_), len(self) - 1)
+        return np.where((self.hash[at] == hash_) & (self.check[at] == check), at, -1)
+
+    def add(self, hash_: np.ndarray, check: np.ndarray, begin: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        """Words that ``find`` doesn't know; of two with one hash, one is kept."""
+        hash_ = np.concatenate([self.hash, hash_])
+        self.hash, order = np.unique(hash_, return_index=True)
+        self.check = np.concatenate([self.check, check])[order]
+        self.begin = np.concatenate([self.begin, begin + len(self.flat)])[order]
+        self.size = np.concatenate([self.size, size])[order]
+        self.flat = np.concatenate([self.flat, flat])
+
+
+def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` at ``begin``, one after another."""
+    until = np.cumsum(size)
+    return flat[np.repeat(begin - (until - size), size) + np.arange(until[-1] if len(until) else 0)]
+
+
 class WordEncoder:
     """Little-endian ids of texts, equal to the tokenizer's own, by remembered words."""
 
@@ -59,7 +95,8 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if suffix:
             self.ends[[number for token, number in vocab.items() if token.endswith(suffix)]] = True
-        self.memo: dict[bytes, bytes] = {}
+        # words of late have a small table of their own, so that the large one is seldom sorted anew
+        self.memo, self.late = _Memo(self.kind), _Memo(self.kind)
         self.stems: dict[str, bytes] = {"": b""}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -79,48 +116,69 @@ class WordEncoder:
                 out |= zip(some, (x.tobytes() for x in self._ids(some)))
         return out
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words not met before."""
         texts = [w.decode() for w in words]
         # the tokenizer folds case itself; folding ASCII here only saves calls
         split = [m.groups() if (m := _STEM.fullmatch(t.lower() if t.isascii() else t)) else None for t in texts]
         stems = self.stems
         new = list({x for p in split if p for x in p if x not in stems})
         pieces = self._pieces(new)
-        if len(stems) < MEMO_WORDS:
+        if len(stems) < STEM_WORDS:
             stems |= pieces
             pieces = stems
+        else:
+            pieces |= {x: stems[x] for p in split if p for x in p if x in stems}
         rest = iter(self._ids([t for t, p in zip(texts, split) if not p]))
-        get = lambda x: pieces[x] if x in pieces else stems[x]
-        return {w: get(p[0]) + get(p[1]) if p else next(rest).tobytes() for w, p in zip(words, split)}
-
-    def _known(self, words: list[bytes]) -> list[bytes]:
-        ids = list(map(self.memo.get, words))
-        if None in ids:
-            seen = self._learn([w for w, x in zip(words, ids) if x is None])
-            ids = [seen[w] if x is None else x for w, x in zip(words, ids)]
-            if len(self.memo) < MEMO_WORDS:
-                self.memo |= seen
-        return ids
-
-    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text; each distinct word of the array is looked up once."""
-        if not self.by_word:
-            return self._ids([t or "" for t in texts.to_pylist()])
-        words = split_words(texts)
-        h = word_hashes(words)
-        _, some, of = np.unique(h, return_index=True, return_inverse=True)
-        second = word_hashes(words, 1)
-        if (second[some][of] != second).any():  # two words of one hash
-            return self._ids([t or "" for t in texts.to_pylist()])
+        return [pieces[p[0]] + pieces[p[1]] if p else next(rest).tobytes() for p in split]
+
+    def _remember(self, *words: np.ndarray) -> None:
+        if len(self.memo) + len(self.late) < MEMO_WORDS:
+            self.late.add(*words)
+            if len(self.late) * 8 > len(self.memo):
+                late, self.late = self.late, _Memo(self.kind)
+                self.memo.add(late.hash, late.check, late.begin, late.size, late.flat)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each text has; a distinct word of the array is looked up once."""
+        if self.by_word:
+            words = split_words(texts)
+            h = word_hashes(words)
+            of, distinct = pd.factorize(h)
+            some = np.empty(len(distinct), np.int64)
+            some[of[::-1]] = np.arange(len(h) - 1, -1, -1)
+            size = words.end - words.start
+            # words of up to eight bytes and of one length have hashes of their own
+            long = np.flatnonzero(size > 8)
+            second = word_hashes(Words(words.data, words.start[long], words.end[long], words.first), 1)
+            check = np.zeros(len(distinct), np.uint64)
+            check[of[long]] = second
+            if not ((size[some][of] != size).any() or (check[of[long]] != second).any()):  # no two words of one hash
+                return self._join(words, h[some], check ^ size[some].astype(np.uint64), of, some)
+        ids = self._ids([t or "" for t in texts.to_pylist()])
+        return np.concatenate([np.zeros(0, self.kind), *ids]), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _join(self, words: Words, h: np.ndarray, check: np.ndarray, of: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, late = self.memo.find(h, check), self.late.find(h, check)
+        known, held = at >= 0, late >= 0
+        begin, size = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        new = np.flatnonzero(~known & ~held)
         data = words.data.tobytes()
-        ids = self._known([data[a:b] for a, b in zip(words.start[some].tolist(), words.end[some].tolist())])
-        flat = np.frombuffer(b"".join(ids), self.kind)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // flat.itemsize
+        fresh = self._learn([data[a:b] for a, b in zip(words.start[some[new]].tolist(), words.end[some[new]].tolist())]) if len(new) else []
+        flat = np.frombuffer(b"".join(fresh), self.kind)
+        size[new] = np.fromiter(map(len, fresh), np.int64, len(fresh)) // flat.itemsize
+        begin[new] = np.cumsum(size[new]) - size[new] + len(self.memo.flat) + len(self.late.flat)
+        begin[known], size[known] = self.memo.begin[at[known]], self.memo.size[at[known]]
+        begin[held], size[held] = self.late.begin[late[held]] + len(self.memo.flat), self.late.size[late[held]]
+        # the words that this array has, and no more, are put side by side
+        own = _gather(np.concatenate([self.memo.flat, self.late.flat, flat]), begin, size)
+        begin = np.cumsum(size) - size
         n = size[of]
+        out = _gather(own, begin[of], n)
+        if len(new):
+            self._remember(h[new], check[new], np.cumsum(size[new]) - size[new], size[new].astype(np.int32), flat)
         until = np.concatenate([[0], np.cumsum(n)])
-        begin = (np.cumsum(size) - size)[of] - until[:-1]
-        out = flat[np.repeat(begin, n) + np.arange(until[-1])]
-        return np.split(out, until[words.first[1:-1]])
+        return out, np.diff(until[words.first])
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
@@ -200,25 +258,50 @@ def _write_shards(folder: str, tokenizer: str, width: int, end_id: int):
         encode = encoder(tokenizer, width)
         files, root = filesystem(folder)
         files.create_dir(root, recursive=True)
-        end = int(end_id).to_bytes(width, "little")
         name, out, at, last, repeats = f"{uuid.uuid4().hex}.ids", None, 0, (), 0
         for batch in batches:
             for part in pieces_of(batch, "text", PIECE_CHARS):
-                rows = []
-                for key, ids in zip(part.column("key").to_pylist(), encode(part.column("text"))):
-                    out = out or files.open_output_stream(f"{root}/{name}")
-                    out.write(ids.tobytes() + end)
+                ids, n = encode(part.column("text"))
+                n = n + 1
+                until = np.cumsum(n)
+                whole = np.full(until[-1], end_id, ids.dtype)
+                own = np.ones(len(whole), bool)
+                own[until - 1] = False
+                whole[own] = ids
+                out = out or files.open_output_stream(f"{root}/{name}")
+                out.write(whole.tobytes())
+                occurrence = []
+                for key in part.column("key").to_pylist():
                     repeats = repeats + 1 if last == (key,) else 0
-                    last, n = (key,), len(ids) + 1
-                    rows.append((key, repeats, name, at, n))
-                    at += n
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["key", "occurrence", "shard", "start", "n_tokens"])
+                    last = (key,)
+                    occurrence.append(repeats)
+                columns = [part.column("key"), pa.array(occurrence, pa.int32()), pa.array([name] * len(n), pa.string()), pa.array(until - n + at), pa.array(n)]
+                at += int(until[-1])
+                yield pa.RecordBatch.from_arrays(columns, ["key", "occurrence", "shard", "start", "n_tokens"])
         if out:
             out.close()
 
     return run
 
 
+def _numbered(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries with the occurrences of keys that several shards share counted on, and (shard, first, n_tokens)."""
+    last = F.max_by("occurrence", F.struct(F.col("key").isNotNull(), "key", "occurrence"))
+    # one row a shard, as many as writing tasks; a shard's last key may go on in the next ones
+    shards = entries.groupBy("shard").agg(F.min(F.struct(F.col("key").isNotNull(), "key")).alias("least"), F.max(F.struct(F.col("key").isNotNull(), "key")).alias("most"), (last + 1).alias("last"), F.sum("n_tokens").alias("n_tokens"))
+    order = Window.orderBy("least", "most", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    of_key = Window.partitionBy("most").orderBy("least", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = shards.withColumn("first", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).withColumn("here", F.coalesce(F.sum("last").over(of_key), F.lit(0)))
+    ended = shards.groupBy("most").agg(F.sum("last").alias("there")).withColumnRenamed("most", "e_most")
+    shards = shards.join(ended, F.col("least") == F.col("e_most"), "left")
+    before = F.when(F.col("least") == F.col("most"), F.col("here")).otherwise(F.coalesce("there", F.lit(0)))
+    shards = save(shards.select("shard", "first", "n_tokens", F.col("least.key").alias("least"), before.cast("int").alias("before")))
+    on = shards.where("before > 0").select(F.col("shard").alias("b_shard"), "least", "before")
+    more = F.when(F.col("key").eqNullSafe(F.col("least")), F.coalesce("before", F.lit(0))).otherwise(0)
+    numbered = entries.join(on, F.col("shard") == F.col("b_shard"), "left").withColumn("occurrence", (F.col("occurrence") + more).cast("int"))
+    return numbered.select(*entries.columns), shards.select("shard", "first", "n_tokens")
+
+
 def _flat(rows: DataFrame) -> DataFrame:
     """A null key as key 0 with a negative occurrence, so that no integer goes through pandas as a float."""
     flat = F.when(F.col("key").isNull(), -1 - F.col("occurrence")).otherwise(F.col("occurrence"))
@@ -255,16 +338,16 @@ def write_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     files, root = filesystem(folder)
     files.create_dir(f"{root}/index", recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("key").sortWithinPartitions(F.asc_nulls_first("key"), "text")
-    entries = save(ordered.mapInArrow(_write_shards(f"{folder}/shards", tokenizer, width, end_id), _ENTRY))
+    # rows of one key are dealt out by their texts
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(F.asc_nulls_first("key"), "h").sortWithinPartitions(F.asc_nulls_first("key"), "h", "text").drop("h")
+    entries, shards = _numbered(save(ordered.mapInArrow(_write_shards(f"{folder}/shards", tokenizer, width, end_id), _ENTRY)))
+    entries = save(entries)
     count = entries.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // PART_KEYS))
     built = _flat(entries).withColumn("part", part_of(F.col("key"), F.col("occurrence"), parts)).groupBy("part").applyInPandas(_write_part(f"{folder}/index"), "part int, keys long")
     assert (built.agg(F.sum("keys")).first()[0] or 0) == count, "the index doesn't hold every key"
-    # one row a shard, as many as writing tasks
-    shards = entries.groupBy("shard").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.sum("n_tokens").alias("n_tokens"))
-    before = Window.orderBy(F.asc_nulls_first("least"), F.asc_nulls_first("most")).rowsBetween(Window.unboundedPreceding, -1)
-    return folder, parts, save(shards.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first"), "n_tokens"))
+    return folder, parts, shards
 
 
 def part_of(key, occurrence, parts: int):
@@ -297,34 +380,39 @@ def lookup(keys: DataFrame, folder: str, parts: int) -> DataFrame:
 
 
 def _read_payload(folder: str, width: int):
+    names = ["key", "occurrence", "shard", "start", "n_tokens"]
+
     def run(batches):
         files, root = filesystem(f"{folder}/shards")
-        source, opened, data, a, b = None, None, b"", 0, 0
+        source, opened = None, None
         for batch in batches:
             starts, sizes, shards = (batch.column(c).to_pylist() for c in ("start", "n_tokens", "shard"))
-            out = []
-            for i, (shard, start, n) in enumerate(zip(shards, starts, sizes)):
-                lo, hi = start * width, (start + n) * width
+            at = 0
+            while at < len(shards):
+                shard, lo, hi = shards[at], starts[at], starts[at] + sizes[at]
+                to = at + 1
+                while to < len(shards) and shards[to] == shard and (starts[to] - hi) * width <= GAP_BYTES and (starts[to] + sizes[to] - lo) * width <= READ_BYTES:
+                    hi = max(hi, starts[to] + sizes[to])
+                    to += 1
                 if shard != opened:
                     if source is not None:
                         source.close()
-                    source, opened, data, a, b = files.open_input_file(f"{root}/{shard}"), shard, b"", 0, 0
-                if not (a <= lo and hi <= b):
-                    end = hi
-                    for j in range(i + 1, len(shards)):  # the reads that follow, while they are near
-                        if shards[j] != shard or starts[j] * width - end > GAP_BYTES or (starts[j] + sizes[j]) * width - lo > READ_BYTES:
-                            break
-                        end = max(end, (starts[j] + sizes[j]) * width)
-                    data, a, b = source.read_at(end - lo, lo), lo, end
-                out.append(data[lo - a : hi - a])
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "occurrence", "shard", "start", "n_tokens")] + [pa.array(out, pa.binary())], ["key", "occurrence", "shard", "start", "n_tokens", "payload"])
+                    source, opened = files.open_input_file(f"{root}/{shard}"), shard
+                data = source.read_at((hi - lo) * width, lo * width)
+                out = [data[(starts[i] - lo) * width : (starts[i] + sizes[i] - lo) * width] for i in range(at, to)]
+                # a batch holds one read, so that long texts don't add up
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, to - at) for c in names] + [pa.array(out, pa.binary())], [*names, "payload"])
+                at = to
 
     return run
 
 
 def read_ids(found: DataFrame, folder: str, width: int = 2) -> DataFrame:
     """``found`` (rows of ``lookup``) with ``payload``, the raw ids, by sorted range reads of the shards."""
-    ordered = found.repartitionByRange("shard", "start").sortWithinPartitions("shard", "start")
+    found = save(found)
+    # tasks share out the bytes to be read, not the few bytes of the rows that ask for them
+    tasks = max(1, -(-(found.agg(F.sum("n_tokens")).first()[0] or 0) * width // TASK_BYTES))
+    ordered = found.repartitionByRange(tasks, "shard", "start").sortWithinPartitions("shard", "start")
     return ordered.mapInArrow(_read_payload(folder, width), _ENTRY + ", payload binary")
 
 

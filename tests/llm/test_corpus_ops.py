@@ -160,25 +160,44 @@ TEXTS = [None, "", "Hello, world! it's 42 ÉCOLE İstanbul x\u00a0y o\u0301 “q
 def test_ids_equal_the_tokenizers():
     encode, real = token_ids.WordEncoder(TOKENIZER, 2), Tokenizer.from_file(TOKENIZER)
     for _ in range(2):  # the second time from memory
-        for got, want in zip(encode(pa.array(TEXTS)), real.encode_batch([t or "" for t in TEXTS], add_special_tokens=False)):
+        ids, n = encode(pa.array(TEXTS))
+        for got, want in zip(np.split(ids, np.cumsum(n)[:-1]), real.encode_batch([t or "" for t in TEXTS], add_special_tokens=False), strict=True):
             assert got.tolist() == want.ids
 
 
+def check_store(got, rows):
+    """Stored ids are the tokenizer's; starts follow the keys, nulls first; occurrences number a key's rows in order."""
+    real = Tokenizer.from_file(TOKENIZER)
+    ids = {t: [*real.encode(t or "", add_special_tokens=False).ids, 1] for _, t in rows}
+    got = sorted(got, key=lambda r: r.start)
+    assert [r.key for r in got] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))
+    assert sorted((str(r.key), np.frombuffer(r.payload, "<u2").tolist()) for r in got) == sorted((str(k), ids[t]) for k, t in rows)
+    at, seen = 0, collections.Counter()
+    for r in got:
+        payload = np.frombuffer(r.payload, "<u2")
+        assert (r.start, r.n_tokens, r.occurrence) == (at, len(payload), seen[r.key]) and r.crc == zlib.crc32(payload.astype("<u4").tobytes())
+        at, seen[r.key] = at + len(payload), seen[r.key] + 1
+
+
 def test_token_store(spark):
     rows = [(i * 3 - 20, t) for i, t in enumerate(TEXTS)] + [(None, "null key"), (-17, "again"), (-17, "again")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash"))
-    got = token_ids.stored(df, TOKENIZER).withColumn("crc", token_ids.ids_crc32("payload")).collect()
-    assert len(got) == len(rows)
-    real = Tokenizer.from_file(TOKENIZER)
-    at = 0
-    for r, (key, text) in zip(sorted(got, key=lambda r: r.start), sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))):
-        ids = real.encode(text or "", add_special_tokens=False).ids + [1]
-        assert (r.key, r.start, r.n_tokens) == (key, at, len(ids))
-        assert np.frombuffer(r.payload, "<u2").tolist() == ids and r.crc == zlib.crc32(np.array(ids, "<u4").tobytes())
-        at += len(ids)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash")).withColumn("h", F.lit("clash"))
+    check_store(token_ids.stored(df, TOKENIZER).withColumn("crc", token_ids.ids_crc32("payload")).collect(), rows)
     assert token_ids.stored(df.where("false"), TOKENIZER).count() == 0
 
 
+def test_token_store_splits_a_hot_key(spark):
+    """Rows of one key, and of null keys, are written by several tasks and numbered through."""
+    rows = [(7, f"hot {i}") for i in range(300)] + [(None, f"none {i}") for i in range(200)] + [(i, f"cold {i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = token_ids.stored(df, TOKENIZER).withColumn("crc", token_ids.ids_crc32("payload")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    check_store(got, rows)
+
+
 def test_unknown_keys_are_not_found(spark):
     df = spark.createDataFrame([(i, f"text {i}") for i in range(500)], "doc_id long, text string")
     folder, parts, _ = token_ids.write_ids(df, TOKENIZER)
