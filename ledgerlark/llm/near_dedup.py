@@ -1,10 +1,9 @@
 """MinHash near-dedup by improved consistent weighted sampling over TF-IDF shingles.
 
 1. *Weights.*  A shingle is five words; its weight is its count in the text times its inverse
-   document frequency, taken as the mean of its words' own.  Document frequencies count all
-   documents; those of words in at least ``IDF_FLOOR`` of them are kept (at most mean distinct
-   words per document / ``IDF_FLOOR`` words, which bounds what is sent to tasks), all rarer
-   words share the highest.
+   document frequency, taken as the mean of its words' own, log(1 + 1 / max(share, ``IDF_FLOOR``)) for a
+   word's share of all documents.  So words below the floor weigh the same, and those above it
+   are at most mean distinct words per document / ``IDF_FLOOR``, which bounds what is sent to tasks.
 2. *Sampling.*  Shingles are dealt to ``SAMPLES`` bins by hash and each bin gives one sample of
    improved consistent weighted sampling, (shingle, t); an empty bin borrows from the next.
 3. *Bands.*  ``ROWS`` samples make a band key; texts with one band key share a bucket, and
@@ -22,8 +21,9 @@ sizes and with their squares only over many tiles; the comparisons of a large bu
 with its square.  Popular partners are salted.
 
 Defined cases: null text is empty text; equal texts (empty ones too) are one class; a text
-with one to four words is one shingle; null ids are kept and rank last; an empty table gives
-an empty result; other columns are ignored.
+with one to four words is one shingle; classes are of texts, so rows that repeat or have null
+or equal ids each get their text's; null ids rank last; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -148,8 +148,8 @@ def weigher(docs: DataFrame, text_col: str = "text", floor: float = IDF_FLOOR) -
     """Document frequencies of the words of all documents."""
     n = docs.count()
     counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_words, "word long, df long")
-    common = counts.groupBy("word").agg(F.sum("df").alias("df")).where(F.col("df") >= max(2.0, n * floor)).toPandas()
-    return Weigher(common["word"].to_numpy(np.int64).view(np.uint64), np.log(1 + n / common["df"].to_numpy(np.float64)), float(np.log(1 + 1 / max(floor, 1 / max(n, 1)))))
+    common = counts.groupBy("word").agg(F.sum("df").alias("df")).where(F.col("df") >= n * floor).toPandas()
+    return Weigher(common["word"].to_numpy(np.int64).view(np.uint64), np.log(1 + n / common["df"].to_numpy(np.float64)), float(np.log(1 + 1 / floor) if n * floor > 1 else np.log(1 + n)))
 
 
 def _sign(held):
@@ -161,7 +161,7 @@ def _sign(held):
                 keys = band_keys(codes)
                 lists = [k if s else k[:0] for k, s in zip(keys.view(np.int64), some)]
                 chars = pc.utf8_length(rows.column("text")).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("digest"), chars, pa.array(lists, pa.list_(pa.int64()))], ["id", "digest", "chars", "keys"])
+                yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("row"), rows.column("digest"), chars, pa.array(lists, pa.list_(pa.int64()))], ["id", "row", "digest", "chars", "keys"])
 
     return run
 
@@ -309,19 +309,21 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         seen = near.join(labels.select(F.col("node").alias("l_node"), "label"), F.col("other") == F.col("l_node"))
         step = seen.groupBy("node").agg(F.min("label").alias("label"), F.max(F.when(F.col("other") == F.col("node"), F.col("label"))).alias("old"))
+        # a label's own label is nearer to the least, so that rounds grow with the logarithm of a chain
+        step = step.join(labels.select(F.col("node").alias("j_node"), F.col("label").alias("jump")), F.col("label") == F.col("j_node")).select("node", "old", F.least("label", "jump").alias("label"))
         moved = Observation()
         labels = save(step.observe(moved, F.count_if(F.col("old") != F.col("label")).alias("n"))).select("node", "label")
         if not moved.get["n"]:
             return labels
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: ``id``, ``class_id`` (the least id of its class) and ``n_links`` (links of its text to different texts)."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(id, row, digest) of all documents, ``row`` being a hash of all columns, and (k_digest, class, class_id, n_links) of all texts."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
     held = spark.sparkContext.broadcast(weigher(docs, text_col))
     id_type = docs.schema[id_col].dataType.simpleString()
-    signed = save(rows.mapInArrow(_sign(held), f"id {id_type}, digest binary, chars long, keys array<long>"))
+    signed = save(rows.mapInArrow(_sign(held), f"id {id_type}, row long, digest binary, chars long, keys array<long>"))
     keys = signed.where(F.size("keys") > 0).groupBy("digest").agg(F.first("keys").alias("keys"), F.first("chars").alias("chars"))
     band = save(keys.select("digest", "chars", F.posexplode("keys").alias("pos", "key")))
     buckets = save(band.groupBy("key").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).where("n > 1"))
@@ -344,11 +346,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     known = texts_of.join(label, F.col("digest") == F.col("l_node"), "left").withColumn("label", F.coalesce("label", "digest"))
     first = save(known.groupBy("label").agg(F.min("least").alias("class_id")).withColumnRenamed("label", "f_label"))
     known = known.join(first, F.col("label") == F.col("f_label")).join(degree.withColumnRenamed("a", "d_node"), F.col("digest") == F.col("d_node"), "left")
-    known = save(known.select(F.col("digest").alias("k_digest"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return signed.select("id", "digest").join(known, F.col("digest") == F.col("k_digest")).select("id", "class_id", "n_links")
+    known = save(known.select(F.col("digest").alias("k_digest"), F.col("label").alias("class"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    return signed.select("id", "row", "digest"), known
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document: ``id``, ``class_id`` (the least id of its class) and ``n_links`` (links of its text to different texts)."""
+    signed, known = _classes(docs, id_col, text_col, similarity)
+    return signed.join(known, F.col("digest") == F.col("k_digest")).select("id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document of the least id of each class."""
-    kept = classes(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    """``docs`` with one row of each class: one of the least id, of rows that tie that of the least hash."""
+    signed, known = _classes(docs, id_col, text_col, SIMILARITY)
+    same = signed.groupBy("digest", "id", "row").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "n")).alias("first")
+    chosen = save(same.join(known, F.col("digest") == F.col("k_digest")).groupBy("class").agg(first).select(F.col("first.id").alias("c_id"), F.col("first.row").alias("c_row"), F.col("first.n").alias("c_n")))
+    kept = docs.withColumn("c_hash", F.xxhash64(*docs.columns)).join(chosen, (F.col("c_hash") == F.col("c_row")) & F.col(id_col).eqNullSafe(F.col("c_id")))
+    # rows that are equal in all columns can only be told apart by dropping the others
+    return kept.where("c_n = 1").select(*docs.columns).unionByName(kept.where("c_n > 1").select(*docs.columns).distinct())

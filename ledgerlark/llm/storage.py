@@ -1,8 +1,8 @@
 """Intermediate tables and files in the folder that driver and executors share.
 
 Lineage is cut by writing Parquet under ``spark.checkpoint.dir``; a lost executor then
-costs a reread, not a recomputation.  Outside a cluster (tests) the setting may be unset and
-a temporary folder is used.
+costs a reread, not a recomputation.  Only a local session, as in tests, may leave the setting
+unset; a temporary folder is used then.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder name in the cluster's shared checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="ledgerlark-"))
     return f"{base.rstrip('/')}/ledgerlark-{uuid.uuid4().hex}"
 
