@@ -29,6 +29,8 @@ from .storage import filesystem, save, shared_dir
 
 #: Bytes after which a task begins another archive; gap up to which ranges are read as one; most bytes of such a read.
 ARCHIVE_BYTES, GAP_BYTES, READ_BYTES = 256 << 20, 64 << 10, 8 << 20
+#: Packed bytes that a reading task reads.
+TASK_BYTES = 4 << 20
 _DATE = "2024-01-01T00:00:00Z"
 _INDEX = "page_id long, url string, record_type string, payload_digest string, file string, offset long, length long"
 
@@ -130,8 +132,8 @@ def _reader(folder: str):
         source, opened = None, None
         for batch in batches:
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length"))))
-            out = []
             for name, start, end, records in _ranges(rows):
+                out = []
                 if name != opened:
                     if source is not None:
                         source.close()
@@ -146,8 +148,8 @@ def _reader(folder: str):
                     number = lambda x: int(x[len("<urn:page:") : -1]) if len(x) > len("<urn:page:>") else None
                     refers = warc.get("warc-refers-to")
                     out.append((number(warc["warc-record-id"]), warc["warc-target-uri"], got["payload"].decode() if kind == "response" else None, int(got["http"]["content-length"]), said, kind, number(refers) if refers else None))
-            types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            if out:
+                # a batch holds one read, so that long pages don't add up
+                types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     return run
@@ -155,7 +157,9 @@ def _reader(folder: str):
 
 def read_records(selected: DataFrame, folder: str) -> DataFrame:
     """The records of the index rows ``selected``: page_id, url, payload (null in a revisit), payload_bytes, payload_digest, record_type, refers_to."""
-    ordered = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # tasks share out the bytes to be read, not the few bytes of the index rows
+    tasks = max(1, -(-(selected.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    ordered = selected.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(_reader(folder), "page_id long, url string, payload string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
