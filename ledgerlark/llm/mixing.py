@@ -12,7 +12,7 @@ rows and then the rows inside a bucket, so a leaf with a third of all rows is no
 Defined cases: null node names are a node of their own; null text has no tokens (such rows go
 with whole epochs, or before the prefix ends); equal rows are told apart by no order but are
 equal; unlisted nodes weigh ``default_weight``; an empty table gives an empty result; columns of
-the input stay, ``epoch`` comes in.
+the input stay, ``epoch`` comes in and replaces one of its name.
 """
 
 from __future__ import annotations
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, levels: list[Column], tokens: Column, weights=(), total
     keyed = keyed.withColumn("m_upto", F.sum("m_t").over(inside)).join(bucket, (F.col("m_leaf") == F.col("b_leaf")) & (F.col("m_bucket") == F.col("b_bucket")))
     copies = F.col("m_full") + (F.col("b_before") + F.col("m_upto") <= F.col("m_rest")).cast("int")
     chosen = keyed.withColumn("m_copies", copies).where("m_copies > 0")
-    return chosen.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("m_copies") - 1))).select("m_row.*", "epoch")
+    return chosen.withColumn("m_epoch", F.explode(F.sequence(F.lit(0), F.col("m_copies") - 1))).select(*[F.col(f"m_row.{c}") for c in columns if c != "epoch"], F.col("m_epoch").alias("epoch"))
 
 
 #: Target weights of the production mix: domains, languages, sources (equal).
