@@ -1,6 +1,6 @@
 """URL filters: a weighted vocabulary found by Aho-Corasick, and allow and block rules.
 
-Terms count only at boundaries (no letter or digit beside them).  A strict term weighs as much
+Terms count only at boundaries (no letter or digit of any script beside them).  A strict term weighs as much
 as the limit, a soft term half of it, and each distinct term counts once: one strict or two
 distinct soft terms reject.
 
@@ -58,7 +58,7 @@ def term_weight(vocabulary: dict[str, int] = VOCABULARY):
         for term, weight in vocabulary.items():
             automaton.add_word(term, (term, weight))
         automaton.make_automaton()
-        letter = lambda c: c.isalnum() and c.isascii()
+        letter = str.isalnum
 
         def of(url: str | None) -> int:
             if not url or not len(automaton):
