@@ -1,28 +1,33 @@
 """Secret scans: fixed patterns, and character Markov models for strings no pattern knows.
 
 Two first-order character models, of random strings and of ordinary identifiers, are trained
-from labelled tokens: those inside a pattern's match are random, those outside that hold
-letters only are ordinary.  A token is a secret if the log-likelihood ratio of the models is
-over ``MIN_RATIO``, and over ``MIN_PER_CHAR`` for each of its character pairs.  Model spans are added where
-they overlap no pattern's match.  Tokens of fewer than 8 characters are not scored.
-
-Positions come from ``\\G``-anchored matches that return the gap before each match, so one pass
-finds all and a text without a match is left at once.  All of it is built-in functions; a
-model is a table of ``len(ALPHABET) ** 2`` numbers, whatever the corpus.
+from labelled tokens.  Random are the values of pattern matches in a sample of the documents and
+generated strings; ordinary are the sample's other tokens of letters, digits and underscores.
+A fifth of both is held out.  A token is a secret if the log-likelihood ratio of the models is over
+``MIN_RATIO`` and, for each of its character pairs, over a threshold that at most ``FALSE_ALARMS`` of
+the held-out ordinary tokens reach (``MIN_PER_CHAR`` at least; no higher than half of what 95 % of the held-out
+random strings reach, should the sample hold secrets that no pattern knows).  Model spans are added
+where they overlap no pattern's match.  Tokens of fewer than 8 characters are not scored.
+
+The sample is of ``TRAIN_ROWS`` rows on average, chosen by a hash of the row.  Positions come from
+``\\G``-anchored matches that return the gap before each match, so one pass finds all and a text
+without a match is left at once.  All of it is built-in functions; a model is a table of
+``128 ** 2`` numbers, whatever the corpus.
 
 Defined cases: null text is empty; very long tokens are scored whole; repeated rows are scanned
-alone; without labelled tokens of both kinds, or in an empty table, only patterns are used;
-columns of the input stay, clashing ones excepted.
+alone; with fewer than ``MIN_LABELLED`` ordinary tokens, as in an empty table, ``train`` gives
+None and only patterns are used; columns of the input stay, those named like a result excepted.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .native import let, total
+from .native import let
+from .storage import save
 
 #: Kinds in order, with their pattern, the group whose length counts, and its least length: fixed values.
 PATTERNS = (
@@ -31,13 +36,17 @@ PATTERNS = (
     ("hex", r"[0-9a-f]+", 0, 24),
 )
 #: What a text must hold for the pattern to be tried, where that is quicker to see.
-HINTS = {"assign": PATTERNS[0][1], "access": r"AKIA[A-Z0-9]{16}", "hex": r"(?<![0-9a-f])[0-9a-f]{24}"}
+HINTS = {
+    "assign": lambda text: (text.contains(":") | text.contains("=")) & text.rlike(PATTERNS[0][1]),
+    "access": lambda text: text.contains("AKIA") & text.rlike(r"AKIA[A-Z0-9]{16}"),
+    "hex": lambda text: text.rlike("[0-9a-f]{24}"),
+}
 KINDS = [p[0] for p in PATTERNS] + ["random"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}"
-#: Most rows whose tokens train the models.
-TRAIN_ROWS = 10_000
-MIN_RATIO, MIN_PER_CHAR = 12.0, 0.6
+#: Rows of the sample, generated strings, and ordinary tokens that a model needs.
+TRAIN_ROWS, GENERATED, MIN_LABELLED = 10_000, 3000, 100
+MIN_RATIO, MIN_PER_CHAR, FALSE_ALARMS = 12.0, 0.6, 0.0005
 #: Weight of what was never seen, in the ordinary and the random model.
 BACK_OFF = (5.0, 20.0)
 _SPANS = "array<struct<start:int,end:int,value:string>>"
@@ -66,14 +75,14 @@ def find(text: Column, pattern: str, group: int = 0) -> Column:
     return let(parts, spans)
 
 
-def _found(text: Column, pattern: str, hint: str, group: int, least: int) -> Column:
+def _found(text: Column, pattern: str, hint, group: int, least: int) -> Column:
     hits = F.filter(find(text, pattern, group), lambda x: F.length(x["value"]) >= least)
-    return F.when(text.rlike(hint), hits).otherwise(F.array().cast(_SPANS))
+    return F.when(hint(text), hits).otherwise(F.array().cast(_SPANS))
 
 
 def pattern_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``s_text``, a column of spans for each pattern, ``s_base`` with all of them and ``s_words``, the tokens."""
-    docs = docs.withColumn("s_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    """``s_row``, the rows of ``docs``, with ``s_text``, a column of spans for each pattern, ``s_base`` with all of them and ``s_words``, the tokens."""
+    docs = docs.select(F.struct("*").alias("s_row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("s_text"))
     docs = docs.withColumns({f"s_{kind}": _found(F.col("s_text"), pattern, HINTS[kind], group, least) for kind, pattern, group, least in PATTERNS})
     docs = docs.withColumn("s_base", F.array_sort(F.flatten(F.array(*[_kind(f"s_{k}", i) for i, k in enumerate(KINDS[:3])]))))
     return docs.withColumn("s_words", F.regexp_extract_all("s_text", F.lit(TOKEN), F.lit(0)))
@@ -88,68 +97,98 @@ def _kind(spans: str, number: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(number).alias("kind"), x["end"].alias("end")))
 
 
+def _pair(token: Column, i: Column) -> Column:
+    """Number of the pair of characters from ``i``, counted from 1, of an ASCII token."""
+    return F.ascii(F.substr(token, i, F.lit(1))) * 128 + F.ascii(F.substr(token, i + 1, F.lit(1)))
+
+
 @dataclass(frozen=True)
 class MarkovRatio:
-    """Log-likelihood ratios of character pairs, random over ordinary, row by row of ``ALPHABET``."""
+    """Log-likelihood ratios of character pairs, random over ordinary, row by row of ASCII, and the least mean ratio of a secret's pairs."""
 
     table: tuple[float, ...]
+    per_pair: float = MIN_PER_CHAR
 
     @classmethod
-    def train(cls, labelled: DataFrame) -> MarkovRatio | None:
-        """From rows of ``token`` and ``label`` (1 random, 0 ordinary)."""
-        chars = labelled.select("label", F.array_compact(F.transform(F.split("token", ""), _code)).alias("c")).where(F.size("c") > 1)
-        pairs = chars.select("label", F.explode(F.transform(F.slice("c", 2, F.size("c") - 1), lambda y, i: F.get("c", i) * len(ALPHABET) + y)).alias("pair"))
-        counts = {(r["label"], r["pair"]): r["count"] for r in pairs.groupBy("label", "pair").count().collect()}  # at most 2 * alphabet**2 rows
+    def fit(cls, labelled: DataFrame) -> MarkovRatio | None:
+        """From rows of ``token`` (of ``ALPHABET``, two characters or more) and ``label`` (1 random, 0 ordinary)."""
+        pairs = labelled.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: _pair(F.col("token"), i))).alias("pair"))
+        counts = {(r["label"], r["pair"]): r["count"] for r in pairs.groupBy("label", "pair").count().collect()}  # at most 2 * 128**2 rows
         if len({label for label, _ in counts}) < 2:
             return None
-        size = len(ALPHABET)
-        sums = [[sum(counts.get((label, a * size + b), 0) for b in range(size)) for a in range(size)] for label in (0, 1)]
-        seen = [sum(counts.get((0, a * size + b), 0) for a in range(size)) for b in range(size)]
+        codes, size = [ord(c) for c in ALPHABET], len(ALPHABET)
+        sums = {(label, a): sum(counts.get((label, a * 128 + b), 0) for b in codes) for label in (0, 1) for a in codes}
+        seen = {b: sum(counts.get((0, a * 128 + b), 0) for a in codes) for b in codes}
         # what was never seen: any character for random strings, the usual characters for ordinary ones
-        usual = [(n + 0.5) / (sum(seen) + 0.5 * size) for n in seen]
-        random = lambda a, b: (counts.get((1, a * size + b), 0) + BACK_OFF[1] / size) / (sums[1][a] + BACK_OFF[1])
-        plain = lambda a, b: (counts.get((0, a * size + b), 0) + BACK_OFF[0] * usual[b]) / (sums[0][a] + BACK_OFF[0])
-        table = [math.log(random(a, b) / plain(a, b)) for a in range(size) for b in range(size)]
-        return cls(tuple(round(x, 6) for x in table))
+        usual = {b: (n + 0.5) / (sum(seen.values()) + 0.5 * size) for b, n in seen.items()}
+        random = lambda a, b: (counts.get((1, a * 128 + b), 0) + BACK_OFF[1] / size) / (sums[1, a] + BACK_OFF[1])
+        plain = lambda a, b: (counts.get((0, a * 128 + b), 0) + BACK_OFF[0] * usual[b]) / (sums[0, a] + BACK_OFF[0])
+        table = [0.0] * 128**2
+        for a in codes:
+            for b in codes:
+                table[a * 128 + b] = round(math.log(random(a, b) / plain(a, b)), 6)
+        return cls(tuple(table))
 
     def ratio(self, token: Column) -> Column:
         """The log-likelihood ratio of a token of two characters or more."""
         table = F.split(F.lit(",".join(map(str, self.table))), ",").cast("array<double>")
-        score = lambda c: total(F.transform(c, lambda y, i: F.coalesce(F.get(table, F.get(c, i - 1) * len(ALPHABET) + y), F.lit(0.0))), "double")
-        return let(F.transform(F.split(token, ""), _code), score)
+        return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda sum_, i: sum_ + F.get(table, _pair(token, i)))
+
+    def secret(self, token: Column) -> Column:
+        return let(self.ratio(token), lambda r: (r > MIN_RATIO) & (r > self.per_pair * (F.length(token) - 1)))
+
+
+def generated(spark: SparkSession, n: int = GENERATED) -> DataFrame:
+    """``n`` random strings (``token``): lower and upper hexadecimal, Base64 and its letters and digits, of 12 to 40 characters."""
+    digest = F.sha2(F.col("id").cast("string"), 256)
+    base64 = F.base64(F.unhex(digest))
+    token = F.element_at(F.array(digest, F.upper(digest), base64, F.regexp_replace(base64, "[+/=]", "")), (F.col("id") % 4 + 1).cast("int"))
+    return spark.range(n).select(F.substring(token, F.lit(1), F.expr("12 + id div 4 % 29").cast("int")).alias("token"))
 
 
-def _code(char: Column) -> Column:
-    at = F.instr(F.lit(ALPHABET), char)
-    return F.when((at > 0) & (char != ""), at - 1)
+def labelled(docs: DataFrame, text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
+    """``token``, ``label`` (1 random, 0 ordinary) and ``held_out`` (a fifth) from a sample of ``rows`` rows on average."""
+    share = min(1.0, rows / max(docs.count(), 1))
+    some = docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 30)) < int(share * (1 << 30)))
+    some = pattern_spans(some.select(text_col), text_col)
+    matched = some.select(F.explode(F.flatten(F.array(*[f"s_{k}" for k in KINDS[:3]]))).alias("s")).select(F.col("s.value").alias("token"))
+    matched = matched.where(F.length("token") >= 12).unionByName(generated(docs.sparkSession)).withColumn("label", F.lit(1))
+    # tokens of texts without a match need no positions
+    plain = some.where(F.size("s_base") == 0).select(F.explode("s_words").alias("token"), F.lit(0).alias("label")).where(F.col("token").rlike(r"^[A-Za-z0-9_]+$"))
+    both = matched.where(~F.col("token").rlike(rf"[^{ALPHABET}]")).unionByName(plain)
+    return both.withColumn("held_out", F.pmod(F.xxhash64("token"), F.lit(5)) == 0)
 
 
 def train(docs: DataFrame, text_col: str = "text", rows: int = TRAIN_ROWS) -> MarkovRatio | None:
-    """Models from the tokens of at most ``rows`` rows."""
-    some = pattern_spans(docs.select(text_col).limit(rows), text_col)
-    random = some.select(F.explode(F.flatten(F.array(*[f"s_{k}" for k in KINDS[:3]]))).alias("s")).select(F.col("s.value").alias("token"), F.lit(1).alias("label"))
-    # letters-only tokens of texts without a match need no positions
-    plain = some.where(F.size("s_base") == 0).select(F.explode("s_words").alias("token"), F.lit(0).alias("label")).where(F.col("token").rlike("^[A-Za-z]+$"))
-    return MarkovRatio.train(random.unionByName(plain))
+    """Models from the ``labelled`` tokens that aren't held out, with the threshold that those held out call for."""
+    tokens = save(labelled(docs, text_col, rows))
+    if tokens.where("label = 0 AND NOT held_out").limit(MIN_LABELLED).count() < MIN_LABELLED:
+        return None
+    model = MarkovRatio.fit(tokens.where("NOT held_out"))
+    mean = F.round(model.ratio(F.col("token")) / (F.length("token") - 1), 3)
+    held = tokens.where("held_out").select("label", mean.alias("mean"))
+    at = held.agg(F.percentile(F.when(F.col("label") == 0, F.col("mean")), 1 - FALSE_ALARMS).alias("plain"), F.percentile(F.when(F.col("label") == 1, F.col("mean")), 0.05).alias("random")).first()
+    if at["plain"] is None or at["random"] is None:
+        return model
+    return replace(model, per_pair=max(MIN_PER_CHAR, min(at["plain"], at["random"] / 2)))
 
 
 def scan(docs: DataFrame, text_col: str = "text", model: MarkovRatio | None = None) -> DataFrame:
     """``docs`` with ``n_assign``, ``n_access``, ``n_hex``, ``base_spans`` and ``spans`` (arrays of start, kind number, end, by start and kind)."""
-    columns = docs.columns
     model = model or train(docs, text_col)
     found = pattern_spans(docs, text_col)
     if model is None:
         added = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     else:
-        secret = lambda token: let(model.ratio(token), lambda r: (r > MIN_RATIO) & (r > MIN_PER_CHAR * (F.length(token) - 1)))
         # positions are sought only in texts that hold a secret token
-        placed = _apart(F.filter(find(F.col("s_text"), TOKEN), lambda t: secret(t["value"])))
-        found = found.withColumn("s_any", F.exists("s_words", secret))
+        placed = _apart(F.filter(find(F.col("s_text"), TOKEN), lambda t: model.secret(t["value"])))
+        found = found.withColumn("s_any", F.exists("s_words", model.secret))
         found = found.withColumn("s_random", F.when(F.col("s_any"), placed).otherwise(F.array().cast(_SPANS)))
         added = _kind("s_random", KINDS.index("random"))
     counts = {f"n_{k}": F.size(f"s_{k}").cast("long") for k in KINDS[:3]}
-    found = found.withColumns({**counts, "base_spans": F.col("s_base"), "spans": F.array_sort(F.concat("s_base", added))})
-    return found.select(*[c for c in columns if c not in {*counts, "base_spans", "spans"}], *counts, "base_spans", "spans")
+    results = {**counts, "base_spans": F.col("s_base"), "spans": F.array_sort(F.concat("s_base", added))}
+    kept = [F.col(f"s_row.{c}") for c in docs.columns if c not in results]
+    return found.select(*kept, *[c.alias(name) for name, c in results.items()])
 
 
 def spans_text(spans: Column) -> Column:
