@@ -13,8 +13,10 @@ from pyspark.sql.window import Window
 SENTENCE_SUPPORT, FACTUALITY, RUBRIC, READING_EASE, WORD_RATIOS = 0.9, 0.9, 0.75, 40.0, (0.95, 1.05)
 JUDGE_SUPPORT, COSINE_SUPPORT, SURFACE, FLAG, ITERATIONS = 0.7, 0.6, 8.0, 6.0, 5
 CHECKS = ("factuality", "rubric", "hallucinations", "readability", "word_count")
+#: Patterns of names: fixed values.
 PROGRAM = r"\b(?:[A-Z][A-Za-z0-9]*(?:\s+|-)){1,6}(?:Program|Initiative|Award|Grant|Fund)\b"
 ENTITIES = (r"(?i)\bCFDA[ #:]*([\d.]+)", r"\b([A-Z]{2,6})-(\d{4,})\b", r"(?i)\bPublic Law[ #]*(\d+-\d+)\b", r"\b(2 CFR \d+\.\d+)\b")
+NAMED = r"\b([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){1,4})\b(?=\s+(?:Program|Grant|Act|Fund|Initiative))"
 _WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -130,13 +132,16 @@ def hallucination_check(drafts: DataFrame, grounded: DataFrame) -> DataFrame:
 
 
 def entity_mentions(drafts: DataFrame, known: DataFrame) -> DataFrame:
-    """(draft_id, entity, resolved): catalogue, award, law and regulation numbers and program names that a known name does or doesn't hold."""
-    lists = [F.regexp_extract_all("content", F.lit(p), F.lit(0)) for p in (*ENTITIES, PROGRAM)]
-    rows = drafts.select("draft_id", F.explode(F.array_distinct(F.concat(*lists))).alias("entity"))
+    """(draft_id, entity, resolved): catalogue, award, law and regulation numbers, and named programs and acts, that a known
+    name (draft_id, name) of the draft does or doesn't hold.  A name is two to five capitalised words and the first word
+    of the eight characters that follow them."""
+    lists = [F.regexp_extract_all("content", F.lit(p), F.lit(0)) for p in ENTITIES]
+    part = lambda n: F.regexp_extract_all("content", F.lit(NAMED + r"(?=([\s\S]{0,8}))"), F.lit(n))
+    named = F.zip_with(part(1), part(2), lambda name, rest: F.concat_ws(" ", name, F.regexp_extract(rest, r"\S+", 0)))
+    rows = drafts.select("draft_id", F.explode(F.array_distinct(F.concat(*lists, named))).alias("entity"))
     low = F.lower("entity")
-    names = known.where("name <> ''").select(F.lower("name").alias("k_name"))
-    # a theta join by nature; known names are the small side, whose size Spark checks
-    hit = rows.join(names, F.col("k_name").contains(low) | low.contains(F.col("k_name")), "left_semi").withColumn("resolved", F.lit(True))
+    names = known.where("name <> ''").select(F.col("draft_id").alias("k_draft"), F.lower("name").alias("k_name"))
+    hit = rows.join(names, (F.col("draft_id") == F.col("k_draft")) & (F.col("k_name").contains(low) | low.contains(F.col("k_name"))), "left_semi").withColumn("resolved", F.lit(True))
     return rows.join(hit, ["draft_id", "entity"], "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
 
 

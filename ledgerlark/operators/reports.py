@@ -81,9 +81,10 @@ def approval_check(reports: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def latest_drafts(drafts: DataFrame) -> DataFrame:
-    """The draft of the highest version per field; a null version counts 0, a null field is skipped."""
-    order = Window.partitionBy("report_id", "field_no").orderBy(F.desc(F.coalesce("version", F.lit(0))))
-    return drafts.where("field_no IS NOT NULL").withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+    """The draft of the highest version per field; a null version counts 0, a null field is skipped, of equal versions the greatest row counts."""
+    rows = drafts.where("field_no IS NOT NULL")
+    newest = rows.groupBy("report_id", "field_no").agg(F.max_by(F.struct(*rows.columns), F.struct(F.coalesce("version", F.lit(0)), F.struct(*rows.columns))).alias("d"))
+    return newest.select("d.*")
 
 
 def next_version(fields: DataFrame, drafts: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def coerce_citations(drafts: DataFrame, accept_brackets: bool = False) -> DataFr
     rows = drafts.select("draft_id", F.posexplode(F.from_json("citations", "array<map<string,string>>")).alias("pos", "c"))
     c = lambda k: F.col("c")[k]
     key = F.regexp_replace(c("id"), r"^\[|\]$", "") if accept_brackets else c("id")
-    whole = lambda x: F.when(F.trim(x).rlike(r"^[+-]?\d+$"), F.trim(x).cast("int"))
+    whole = lambda x: F.when(F.trim(x).rlike(r"^[+-]?\d+$"), F.trim(x).try_cast("int"))
     text = lambda *names: F.coalesce(*[F.nullif(c(n), F.lit("")) for n in names], F.lit(""))
     return rows.select("draft_id", "pos", whole(key).alias("id"), whole(c("page")).alias("page"), text("excerpt", "quote").alias("excerpt"), text("source", "document_title").alias("source")).where("id IS NOT NULL")
 

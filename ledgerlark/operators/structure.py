@@ -54,7 +54,7 @@ def split_page_markers(docs: DataFrame) -> DataFrame:
     """(doc_id, place, page_number, text): text parted at ``N----------``; what stands before the first marker is page 1."""
     marker = r"(?m)^\s*(\d+)-{10,}\s*$|(\d+)-{10,}"
     rows = docs.select("doc_id", F.split("markdown", marker).alias("texts"), F.regexp_extract_all("markdown", F.lit(r"(\d+)-{10,}"), F.lit(1)).alias("numbers"))
-    number = lambda i: F.when(i == 0, F.lit(1)).otherwise(F.get("numbers", i - 1).cast("int"))
+    number = lambda i: F.when(i == 0, F.lit(1)).otherwise(F.get("numbers", i - 1).try_cast("int"))
     parts = F.transform("texts", lambda x, i: F.struct(i.alias("place"), number(i).alias("page_number"), _trim(x).alias("text")))
     kept = F.filter(parts, lambda p: (p["place"] > 0) | (p["text"] != "") | (F.size("texts") == 1))
     return rows.select("doc_id", F.explode(kept).alias("p")).select("doc_id", "p.*")

@@ -45,12 +45,12 @@ def readability_grade(t):
 
 
 def _programs(t):
-    """Drafts that name programs: the first words of a document and of a part."""
+    """Whole drafts with programs named after their words at the end."""
     name = lambda n: F.concat(F.lit("The "), F.initcap(F.regexp_replace(F.substring("content", n, 12), "[^a-z]+", " ")), F.lit(" Grant was awarded. "))
-    return t("draft_texts").select("draft_id", "funder_id", F.concat(name(1), name(20), name(1)).alias("content"))
+    return t("draft_texts").select("draft_id", "funder_id", F.concat("content", F.lit(". "), name(1), name(20), name(1)).alias("content"))
 
 
-_PROG = """progs AS (SELECT draft_id, funder_id, concat(a, b, a) AS content FROM (SELECT draft_id, funder_id,
+_PROG = """progs AS (SELECT draft_id, funder_id, concat(content, '. ', a, b, a) AS content FROM (SELECT draft_id, funder_id, content,
     concat('The ', list_aggregate(list_transform(string_split(regexp_replace(substr(content, 1, 12), '[^a-z]+', ' ', 'g'), ' '), lambda x: concat(upper(substr(x, 1, 1)), lower(substr(x, 2)))), 'string_agg', ' '), ' Grant was awarded. ') AS a,
     concat('The ', list_aggregate(list_transform(string_split(regexp_replace(substr(content, 20, 12), '[^a-z]+', ' ', 'g'), ' '), lambda x: concat(upper(substr(x, 1, 1)), lower(substr(x, 2)))), 'string_agg', ' '), ' Grant was awarded. ') AS b FROM {draft_texts})),
     found AS (SELECT draft_id, funder_id, unnest(l) AS raw, generate_subscripts(l, 1) AS k FROM (SELECT draft_id, funder_id, regexp_extract_all(content, '\\b(?:[A-Z][A-Za-z0-9]*(?:\\s+|-)){1,6}(?:Program|Initiative|Award|Grant|Fund)\\b') AS l FROM progs)),
@@ -98,13 +98,18 @@ def hallucination_check(t):
     return E.hallucination_check(drafts, grounded).withColumns({"grounded": F.array_join("grounded", "|"), "hallucinated": F.array_join("hallucinated", "|"), "score": F.round("score", 9)})
 
 
-@query("""WITH d AS (SELECT draft_id, concat('See CFDA 93.', draft_id % 900 + 100, ' and DW-', draft_id + 10000, ' under Public Law ', draft_id % 90 + 10, '-', draft_id % 50, ' and 2 CFR 200.', draft_id % 40, ' for this.') AS c FROM {draft_texts}),
-    e AS (SELECT DISTINCT draft_id, unnest([concat('CFDA 93.', draft_id % 900 + 100), concat('DW-', draft_id + 10000), concat('Public Law ', draft_id % 90 + 10, '-', draft_id % 50), concat('2 CFR 200.', draft_id % 40)]) AS entity FROM d)
-    SELECT draft_id, entity, EXISTS (SELECT 1 FROM (SELECT concat('2 CFR 200.', n_nationkey) AS name FROM {nation}) k WHERE contains(lower(name), lower(entity)) OR contains(lower(entity), lower(name))) AS resolved FROM e""")
+@query("""WITH d AS (SELECT draft_id, concat(content, '. See CFDA 93.', draft_id % 900 + 100, ' and DW-', draft_id + 10000, ' under Public Law ', draft_id % 90 + 10, '-', draft_id % 50, ' and 2 CFR 200.', draft_id % 40,
+        ' for this. In the Rural Wellness Initiative, and by the Clean Air Act of old, a Kids Fund of the Big Blue Sea Grants.') AS c FROM {draft_texts}),
+    e AS (SELECT DISTINCT draft_id, unnest(list_concat(regexp_extract_all(c, '(?i)\\bCFDA[ #:]*([\\d.]+)'), regexp_extract_all(c, '\\b([A-Z]{2,6})-(\\d{4,})\\b'), regexp_extract_all(c, '(?i)\\bPublic Law[ #]*(\\d+-\\d+)\\b'), regexp_extract_all(c, '\\b(2 CFR \\d+\\.\\d+)\\b'),
+        ['Rural Wellness Initiat', 'Clean Air Act', 'Big Blue Sea Grants.'])) AS entity FROM d)
+    SELECT draft_id, entity, contains(lower(concat('2 CFR 200.', draft_id % 25)), lower(entity)) OR contains(lower(entity), lower(concat('2 CFR 200.', draft_id % 25))) OR entity = 'Clean Air Act' AND draft_id % 2 = 0 AS resolved FROM e""")
 def entity_mentions(t):
     i = F.col("draft_id")
-    text = F.concat(F.lit("See CFDA 93."), i % 900 + 100, F.lit(" and DW-"), i + 10000, F.lit(" under Public Law "), i % 90 + 10, F.lit("-"), i % 50, F.lit(" and 2 CFR 200."), i % 40, F.lit(" for this."))
-    return E.entity_mentions(t("draft_texts").select("draft_id", text.alias("content")), t("nation").select(F.concat(F.lit("2 CFR 200."), F.col("n_nationkey")).alias("name")))
+    tail = " for this. In the Rural Wellness Initiative, and by the Clean Air Act of old, a Kids Fund of the Big Blue Sea Grants."
+    text = F.concat(F.col("content"), F.lit(". See CFDA 93."), i % 900 + 100, F.lit(" and DW-"), i + 10000, F.lit(" under Public Law "), i % 90 + 10, F.lit("-"), i % 50, F.lit(" and 2 CFR 200."), i % 40, F.lit(tail))
+    names = F.array_compact(F.array(F.concat(F.lit("2 CFR 200."), i % 25), F.when(i % 2 == 0, "The Clean Air Act of 1970")))
+    drafts = t("draft_texts")
+    return E.entity_mentions(drafts.select("draft_id", text.alias("content")), drafts.select("draft_id", F.explode(names).alias("name")))
 
 
 @query(f"""WITH {_SENT}, cited AS (SELECT draft_id, sentence_index, CASE WHEN sentence_index % 3 = 0 THEN NULL ELSE CAST(sentence_index % 4 AS VARCHAR) END AS cite FROM sent)
@@ -130,11 +135,12 @@ def factuality_check(t):
     return _factuality(t).withColumns({c: F.round(c, 9) for c in ("mean_support", "supported_share")})
 
 
-@query("""WITH v AS (SELECT a.chunk_id % 50 AS draft_id, CAST(a.chunk_id // 50 AS INT) AS sentence_index, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM {chunk_vectors} a JOIN {chunk_vectors} b ON b.chunk_id = (a.chunk_id + 50) % 500)
-    SELECT draft_id, count(*) AS n_sentences, round(avg(CASE WHEN support_score >= 0.7 AND c >= 0.6 THEN 1.0 ELSE 0.0 END), 9) AS score FROM v JOIN {judge_scores} USING (draft_id, sentence_index) GROUP BY draft_id""")
+@query("""WITH v AS (SELECT a.chunk_id % 50 AS draft_id, CAST(a.chunk_id // 50 AS INT) AS sentence_index, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM {chunk_vectors} a LEFT JOIN {chunk_vectors} b ON b.chunk_id = (a.chunk_id + 50) % (SELECT count(*) FROM {chunk_vectors}))
+    SELECT draft_id, count(*) AS n_sentences, round(avg(CASE WHEN support_score >= 0.7 AND c >= 0.6 THEN 1.0 ELSE 0.0 END), 9) AS score FROM v LEFT JOIN {judge_scores} USING (draft_id, sentence_index) GROUP BY draft_id""")
 def factuality_with_cosine(t):
-    v = t("chunk_vectors").where("chunk_id < 500")
-    base = v.select((F.col("chunk_id") % 50).alias("draft_id"), F.expr("CAST(chunk_id div 50 AS INT)").alias("sentence_index"), F.col("embedding").alias("sentence_vec"), ((F.col("chunk_id") + 50) % 500).alias("other"))
+    v = t("chunk_vectors")
+    n = v.count()
+    base = v.select((F.col("chunk_id") % 50).alias("draft_id"), F.expr("CAST(chunk_id div 50 AS INT)").alias("sentence_index"), F.col("embedding").alias("sentence_vec"), ((F.col("chunk_id") + 50) % n).alias("other"))
     vectors = base.join(v.select(F.col("chunk_id").alias("other"), F.col("embedding").alias("chunk_vec")), "other").drop("other")
     return E.factuality_with_cosine(base.select("draft_id", "sentence_index"), t("judge_scores"), vectors).withColumn("score", F.round("score", 9))
 

@@ -16,15 +16,17 @@ def _new_dir(spark):
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{base.rstrip('/')}/jobs-{uuid.uuid4().hex}" if base else tempfile.mkdtemp()
 
 
-@query("""SELECT doc_id, octet_length(CAST(c AS BLOB)) AS length, CASE WHEN octet_length(CAST(c AS BLOB)) <= 4000 THEN sha256(c) END AS sha256, CASE WHEN octet_length(CAST(c AS BLOB)) > 4000 THEN 'pdf_too_large' WHEN doc_id % 4 = 0 THEN 'not_a_pdf' END AS reject_reason
+@query("""SELECT doc_id, octet_length(CAST(c AS BLOB)) AS length, CASE WHEN octet_length(CAST(c AS BLOB)) <= 104857600 THEN sha256(c) END AS sha256, CASE WHEN octet_length(CAST(c AS BLOB)) > 104857600 THEN 'pdf_too_large' WHEN doc_id % 4 = 0 THEN 'not_a_pdf' END AS reject_reason
     FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE '%PDF-' END || text AS c FROM {documents})""".replace("octet_length(CAST(c AS BLOB))", "strlen(c)"))
 def document_manifest(t):
     content = F.concat(F.when(F.col("doc_id") % 4 == 0, "").otherwise("%PDF-"), "text").cast("binary")
     rows = t("documents").select(F.col("doc_id").cast("string").alias("path"), content.alias("content")).withColumn("length", F.octet_length("content"))
-    return A.document_manifest(rows, max_bytes=4000).select(F.col("path").cast("long").alias("doc_id"), "length", "sha256", "reject_reason")
+    return A.document_manifest(rows).select(F.col("path").cast("long").alias("doc_id"), "length", "sha256", "reject_reason")
 
 
 def _parsed(t):
@@ -33,14 +35,14 @@ def _parsed(t):
     i = F.col("doc_id")
     heading = F.array(F.struct(F.concat(F.lit("H"), i).alias("text"), (i % 3 + 1).cast("int").alias("level"), F.lit(1).alias("page_number")))
     table = F.array(F.struct(F.lit(1).alias("page_number"), F.array(F.array(F.lit("a"), i.cast("string"))).alias("rows"), F.lit("m").alias("markdown"), F.lit(None).cast("string").alias("caption")))
-    page = lambda n, h, tb: F.struct(F.lit(n).alias("page_number"), F.substring("text", 1, 50).alias("text"), h.alias("headings"), tb.alias("tables"))
+    page = lambda n, h, tb: F.struct(F.lit(n).alias("page_number"), F.col("text"), h.alias("headings"), tb.alias("tables"))
     rows = docs.select(i.cast("string").alias("document_id"), F.lit("e").alias("engine"), F.lit(5).alias("duration_ms"), F.lit(2).alias("page_count"), F.lit("md").alias("markdown"), F.array(page(1, heading, F.slice(table, 1, 0)), page(2, F.slice(heading, 1, 0), table)).alias("pages"))
     path = _new_dir(docs.sparkSession) + "/parsed"
     rows.write.json(path)
     return A.read_parsed_documents(docs.sparkSession, path)
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(p - 1 AS INT) AS pos, CAST(p AS INT) AS page_number, substr(text, 1, 50) AS text FROM {documents} CROSS JOIN range(1, 3) r(p)")
+@query("SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(p - 1 AS INT) AS pos, CAST(p AS INT) AS page_number, text FROM {documents} CROSS JOIN range(1, 3) r(p)")
 def flatten_pages(t):
     return A.flatten_pages(_parsed(t))
 
@@ -107,11 +109,11 @@ def tenant_import_merge(t):
     return _import(t, "merge")
 
 
-def _staged(df, name, n=4):
-    """A table as files in a folder, for file streams."""
-    path = f"{_new_dir(df.sparkSession)}/{name}"
-    df.coalesce(n).write.parquet(path)
-    return df.sparkSession, path
+def _staged(df, name):
+    """A table as files in a folder, as many as Spark writes, and how many a micro-batch takes so that there are several."""
+    spark, path = df.sparkSession, f"{_new_dir(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return spark, path, max(1, len(spark.read.schema(df.schema).parquet(path).inputFiles()) // 3)
 
 
 def _until_end(df, time):
@@ -121,7 +123,7 @@ def _until_end(df, time):
 
 def _drain(df, time, make):
     """Drain a stream of ``df`` twice from one checkpoint: the rows, then the row that ends all windows."""
-    spark, path = _staged(df, "rows", 1)
+    spark, path, _ = _staged(df, "rows")
     base = _new_dir(spark)
     make_stream = lambda: make(K.read_stream(spark, path, df.schema))
     K.drain(make_stream(), f"{base}/out", f"{base}/check")
@@ -152,15 +154,15 @@ def drift_stream(t):
 def reminder_stream(t):
     hours = F.explode(F.array(*[F.expr(f"TIMESTAMP '1998-06-15 0{h}:00:00'") for h in range(3)]))
     rows = t("deadlines").where("due_at > TIMESTAMP '1998-06-15'").select("deadline_id", F.explode(F.array(F.lit("30d"), F.lit("14d"))).alias("threshold"), F.lit("email").alias("channel")).select("*", hours.alias("at"))
-    spark, path = _staged(rows, "rows", 3)
+    spark, path, files = _staged(rows.repartition("at"), "rows")
     base = _new_dir(spark)
-    return K.drain(K.reminder_stream(K.read_stream(spark, path, rows.schema, 1)), f"{base}/out", f"{base}/check").drop("at")
+    return K.drain(K.reminder_stream(K.read_stream(spark, path, rows.schema, files)), f"{base}/out", f"{base}/check").drop("at")
 
 
 @query("SELECT doc_id AS document_id, CASE WHEN trim(text) = '' THEN 'failed' ELSE 'indexed' END AS parse_status FROM {documents}")
 def ingest_stream(t):
     rows = t("documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 10).alias("tenant_id"), "text")
-    spark, path = _staged(rows, "queue", 2)
+    spark, path, files = _staged(rows, "queue")
     base = _new_dir(spark)
-    K.ingest_stream(K.read_stream(spark, path, rows.schema, 1), f"{base}/chunks", f"{base}/status", f"{base}/check", target=200, overlap=25, backup=50).awaitTermination()
+    K.ingest_stream(K.read_stream(spark, path, rows.schema, files), f"{base}/chunks", f"{base}/status", f"{base}/check", target=200, overlap=25, backup=50).awaitTermination()
     return spark.read.parquet(f"{base}/status").select("document_id", "parse_status")

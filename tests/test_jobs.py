@@ -28,13 +28,36 @@ def test_vector_topk_equals_numpy(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(40, 5))
     rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "chunk_id long, embedding array<float>")
-    got = R.vector_topk(rows.where("chunk_id < 3").withColumnRenamed("chunk_id", "query_id"), rows, k=4, block_rows=2)
+    got = R.vector_topk(rows.where("chunk_id < 3").withColumnRenamed("chunk_id", "query_id"), rows, k=4, block_rows=2, scoped=False)
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     for q in range(3):
         want = np.argsort(-(unit @ unit[q]))[:4].tolist()
         assert [r.chunk_id for r in got.where(F.col("query_id") == q).orderBy("rank").collect()] == want
 
 
+def test_arms_never_leave_their_scope(spark):
+    """Two tenants with equal texts and vectors: a request gets its own chunks and its funder's shared ones, and null vectors nothing."""
+    rows = [(i, [1, 2, None][i % 3], 5 + i % 2, "river water budget", [1.0, float(i)]) for i in range(12)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, tenant_id long, funder_id int, content string, embedding array<float>")
+    asked = spark.createDataFrame([(1, 1, 5, "the river budget", [1.0, 1.0]), (2, 2, None, "river", [1.0, 1.0]), (3, None, None, "river", [1.0, 1.0]), (4, 1, 5, "of the", None)], "query_id long, tenant_id long, funder_id int, query string, embedding array<float>")
+    want = {(q, c) for q, tenant, funder in ((1, 1, 5), (2, 2, None)) for c, owner, by, _, _ in rows if owner == tenant or owner is None and by == funder}
+    matches = R.lexical_match(asked, chunks)
+    assert {(r.query_id, r.chunk_id) for r in matches.collect()} == want == {(r.query_id, r.chunk_id) for r in R.vector_topk(asked, chunks).collect()}
+    assert {(r.query_id, r.chunk_id) for r in R.bm25_rank(asked, chunks, matches).collect()} == want
+    assert {(r.query_id, r.chunk_id): r.score for r in R.lexical_rank(asked, chunks, matches).collect()} == {p: pytest.approx(2 / 3 if p[0] == 1 else 1.0) for p in want}
+
+
+def test_named_entities(spark):
+    drafts = spark.createDataFrame([(1, "By the Rural Wellness Initiative and the Clean Air Act, a Kids Fund. Big Blue Sea Grants and CFDA 93.1")], "draft_id long, content string")
+    known = spark.createDataFrame([(1, "clean air act of 1970"), (2, "rural wellness initiative")], "draft_id long, name string")
+    assert {(r.entity, r.resolved) for r in E.entity_mentions(drafts, known).collect()} == {("Rural Wellness Initiat", False), ("Clean Air Act,", False), ("Big Blue Sea Grants", False), ("CFDA 93.1", False)}
+
+
+def test_large_numbers_are_no_error(spark):
+    rows = spark.createDataFrame([(1, '[{"id":"99999999999"},{"id":"2"}]')], "draft_id long, citations string")
+    assert [r.id for r in reports.coerce_citations(rows).collect()] == [2]
+
+
 def test_cover_density():
     assert cover_density([np.array([0]), np.array([1])]) == pytest.approx(1.0)
     assert cover_density([np.array([0, 10]), np.array([5])]) == pytest.approx(2 / 6 + 2 / 6)
@@ -134,10 +157,9 @@ def chunk_by_hand(text, target, overlap, backup):
         stop = min(at + target, len(marks))
         while stop < len(marks):
             window = text[marks[at][0] : marks[stop - 1][1]]
-            ends = [m.end() for m in __import__("re").finditer(r"[.!?][\"')\]]*\s+", window)]
-            starts = [m.start() for m in __import__("re").finditer(r"[.!?][\"')\]]*\s+", window)]
+            found = list(__import__("re").finditer(r"[.!?]\s+|\n\n+", window))
             paragraph = window.rfind("\n\n")
-            cut = paragraph + 2 if paragraph >= 0 and (not starts or paragraph >= starts[-1]) else ends[-1] if ends else None
+            cut = paragraph + 2 if paragraph >= 0 and (not found or paragraph >= found[-1].start()) else found[-1].end() if found else None
             if cut is not None:
                 n = sum(a - marks[at][0] < cut for a, _ in marks[at:stop])
                 if n > 0 and n >= target - backup:
@@ -154,7 +176,7 @@ def chunk_by_hand(text, target, overlap, backup):
     return out
 
 
-@pytest.mark.parametrize("text", ["", "   ", "Hello world. " * 70, " ".join(f"Sentence number {i}." for i in range(400)), "alpha " * 4000, "One.\n\nTwo? " * 300])
+@pytest.mark.parametrize("text", ["", "   ", "Hello world. " * 70, " ".join(f"Sentence number {i}." for i in range(400)), "alpha " * 4000, "One.\n\nTwo? " * 300, 'He said "go." Next (so.) it! went\n\n\non. ' * 200, "a.\n \n\nb? c" * 300])
 def test_chunker_against_rules(text):
     got = chunk(text, 100, 20, 30)
     assert [(c, n) for _, c, n, _, _ in got] == chunk_by_hand(text, 100, 20, 30)
