@@ -1,33 +1,31 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost and selectivity are measured on a bounded sample; the rules are then put in
-order of rejections per second and evaluated as one ``CASE``, which stops at the first rule
-that rejects.  The order changes only what is evaluated, never the verdict.
+A rule is an expression over the text.  Each rule's cost and selectivity are measured on a
+bounded sample of the rows, and the rules are put in order of rejections per cost.  ``keep``
+evaluates them as one nested condition over the text: a row that a rule rejects never meets the
+next ones.  The order changes only what is evaluated, never the verdict.  ``judge`` reports all
+measures of every row, so it has nothing to skip.
 
 Defined cases: null text has no words (and so fails the word count); repeated rows are judged
-alone; a null id is kept; an empty table gives an empty result; other columns are untouched.
+alone; a null id is kept; an empty table gives an empty result; other columns are untouched,
+but for those of ``judge``'s own results, which replace columns of their name.
 """
 
 from __future__ import annotations
 
+import math
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .native import WHITE, let, total, without, word_windows, words
 from .storage import save
 
-#: Rows of the sample on which rules are costed.
-SAMPLE_ROWS = 1000
-
-
-@dataclass(frozen=True)
-class Rule:
-    """``rejects`` is over the columns of ``measure`` and must not be null."""
-
-    name: str
-    rejects: Column
+#: Rows of the sample on which rules are costed, on average, and times that a rule is evaluated on each.
+SAMPLE_ROWS, REPEATS = 1000, 5
 
 
 def _repeat_words(w: Column, n: int) -> Column:
@@ -49,76 +47,115 @@ def _repeat_words(w: Column, n: int) -> Column:
     return let(word_windows(w, n), of).cast("long")
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``q_text``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_lines``, ``n_dup_lines`` and ``n_repeat_words``."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return (
-        docs.withColumn("q_text", text)
-        .withColumn("q_words", words(F.col("q_text")))
-        .withColumn("q_lines", F.filter(F.split("q_text", "\n"), lambda x: F.length(without(x, WHITE)) > 0))
-        .withColumns(
-            {
-                "n_words": F.size("q_words").cast("long"),
-                "word_chars": F.length(without(F.col("q_text"), WHITE)).cast("long"),
-                "n_symbols": (F.length("q_text") - F.length(without(F.col("q_text"), "#*$%&|<>"))).cast("long"),
-                "n_lines": F.size("q_lines").cast("long"),
-                "n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
-                "n_repeat_words": _repeat_words(F.col("q_words"), 5),
-            }
-        )
-        .drop("q_words", "q_lines")
-    )
-
-
-def base_failed() -> Column:
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
+class TextMeasures:
+    """Measures of a text as expressions over it; one that no rule asks for is never evaluated."""
+
+    def __init__(self, text: Column, words_: Column):
+        self.text, self.words = text, words_
+
+    n_words = property(lambda self: F.size(self.words).cast("long"))
+    word_chars = property(lambda self: F.length(without(self.text, WHITE)).cast("long"))
+    n_symbols = property(lambda self: (F.length(self.text) - F.length(without(self.text, "#*$%&|<>"))).cast("long"))
+    lines = property(lambda self: F.filter(F.split(self.text, "\n"), lambda x: F.length(without(x, WHITE)) > 0))
+    n_lines = property(lambda self: F.size(self.lines).cast("long"))
+    n_dup_lines = property(lambda self: let(self.lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")))
+    n_repeat_words = property(lambda self: _repeat_words(self.words, 5))
+
+
+class _Split(TextMeasures):
+    """The same over lines that are there."""
+
+    lines = property(lambda self: F.col("q_lines"))
+
+
+class _Ready(TextMeasures):
+    """The same, as columns that are there."""
+
+    n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words = (property(lambda self, c=c: F.col(f"q_{c}")) for c in MEASURES)
+
+
+@dataclass(frozen=True)
+class Rule:
+    """``rejects`` gives a condition over measures of a text; it must not be null."""
+
+    name: str
+    rejects: Callable[[TextMeasures], Column]
+
+
+def base_failed(m: TextMeasures) -> Column:
     """Fewer than ten words, or over a fifth of them in repeated five-word windows."""
-    return (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
+    return (m.n_words < 10) | (m.n_repeat_words * 100 > m.n_words * 20)
+
+
+def _many(letters: str, tenths: int):
+    return lambda m: (F.length(m.text) - F.length(without(m.text, letters))) * 10 > m.word_chars * tenths
 
 
 def default_rules() -> list[Rule]:
-    text, n = F.col("q_text"), F.col("n_words")
-    capitals = F.length(text) - F.length(without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    digits = F.length(text) - F.length(without(text, "0123456789"))
     return [
-        Rule("words", n < 10),
-        Rule("symbols", F.col("n_symbols") * 10 > n),
-        Rule("repeated_lines", F.col("n_dup_lines") * 10 > F.col("n_lines") * 3),
-        Rule("repeated_words", F.col("n_repeat_words") * 100 > n * 20),
-        Rule("word_length", (F.col("word_chars") > n * 14) | (F.col("word_chars") < n * 2)),
-        Rule("capitals", capitals * 10 > F.col("word_chars") * 4),
-        Rule("digits", digits * 10 > F.col("word_chars") * 3),
+        Rule("words", lambda m: m.n_words < 10),
+        Rule("symbols", lambda m: m.n_symbols * 10 > m.n_words),
+        Rule("repeated_lines", lambda m: m.n_dup_lines * 10 > m.n_lines * 3),
+        Rule("repeated_words", lambda m: m.n_repeat_words * 100 > m.n_words * 20),
+        Rule("word_length", lambda m: ~m.word_chars.between(m.n_words * 2, m.n_words * 14)),
+        Rule("capitals", _many("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 4)),
+        Rule("digits", _many("0123456789", 3)),
     ]
 
 
-def ordered_rules(measured: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per second on a sample of ``sample_rows`` rows, which is at most
-    what is read on the driver's behalf; ties keep the given order."""
-    sample = save(measured.limit(sample_rows))
-    sample.agg(F.count("*")).collect()
+def passes(text: Column, rules: list[Rule]) -> Column:
+    """True where no rule rejects; the rules are evaluated in order, up to the first that does."""
+
+    def cascade(held: Column) -> Column:
+        m = TextMeasures(held["text"], held["words"])
+        return reduce(lambda rest, rule: F.when(rule.rejects(m), False).otherwise(rest), reversed(rules), F.lit(True))
+
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return let(text, lambda t: let(F.struct(t.alias("text"), words(t).alias("words")), cascade))
+
+
+def ordered_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules by rejections per cost on a sample of ``sample_rows`` rows on average, chosen by a hash of the row.
+
+    A cost is the time of a pass over the sample less that of an empty pass, the least of two,
+    to the nearest power of two, so that the order doesn't hang on chance; ties keep the given order."""
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    some = docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = save(some.select(F.col(text_col).cast("string").alias("text")).coalesce(1)).select("text", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
+
+    def timed(rule: Rule) -> tuple[int, float]:
+        took = []
+        for _ in range(2):
+            began = time.perf_counter()
+            left = sample.agg(F.count_if(passes(F.col("text"), [rule]))).first()[0]
+            took.append(time.perf_counter() - began)
+        return left, min(took)
+
+    rows, idle = timed(Rule("nothing", lambda m: F.length(m.text) < 0))
     worth = []
     for rule in rules:
-        began = time.perf_counter()
-        rejected = sample.agg(F.count_if(rule.rejects)).first()[0]
-        worth.append(rejected / max(time.perf_counter() - began, 1e-4))
-    return [r for _, _, r in sorted(zip((-w for w in worth), range(len(rules)), rules))]
+        left, took = timed(rule)
+        worth.append((rows - left) / 2 ** round(math.log2(max(took - idle, 0.02))))
+    return [rule for _, _, rule in sorted(zip((-w for w in worth), range(len(rules)), rules))]
 
 
 def judge(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with the measures, ``base_failed``, ``failed_rule`` (the first that rejects, in the cascade's order, or null) and ``kept``."""
-    measured = measure(docs, text_col)
-    cascade = F
-    for rule in ordered_rules(measured, rules or default_rules()):
-        cascade = cascade.when(rule.rejects, F.lit(rule.name))
-    return (
-        measured.withColumn("base_failed", base_failed())
-        .withColumn("failed_rule", cascade)
-        .withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
-        .drop("q_text")
-    )
+    rules = ordered_rules(docs, rules or default_rules(), text_col)
+    rows = docs.select(F.struct("*").alias("q_row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("q_text"))
+    m = _Split(F.col("q_text"), F.col("q_words"))
+    rows = rows.withColumns({"q_words": words(F.col("q_text")), "q_lines": TextMeasures(F.col("q_text"), F.col("q_words")).lines}).withColumns({f"q_{c}": getattr(m, c) for c in MEASURES})
+    ready = _Ready(F.col("q_text"), F.col("q_words"))
+    failed = reduce(lambda held, rule: held.when(rule.rejects(ready), rule.name), rules, F)
+    rows = rows.withColumn("q_failed", failed).withColumn("q_base", base_failed(ready))
+    results = {c: F.col(f"q_{c}") for c in MEASURES} | {"base_failed": F.col("q_base"), "failed_rule": F.col("q_failed"), "kept": ~F.col("q_base") & F.col("q_failed").isNull()}
+    kept = [F.col(f"q_row.{c}") for c in docs.columns if c not in results]
+    return rows.select(*kept, *[c.alias(name) for name, c in results.items()])
 
 
 def keep(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with its columns."""
-    # written with its measures: a filter on a plan that still computes them is pushed below
-    # the projections and evaluates them again for each element of an array
-    return save(judge(docs, rules, text_col)).where("kept").select(*docs.columns)
+    """The rows of ``docs`` that no rule rejects, with its columns."""
+    return docs.where(passes(F.col(text_col), ordered_rules(docs, rules or default_rules(), text_col)))
