@@ -2,7 +2,8 @@
 
 Two first-order character models, of random strings and of ordinary identifiers, are trained
 from labelled tokens.  Random are the values of pattern matches in a sample of the documents and
-generated strings; ordinary are the sample's other tokens of letters, digits and underscores.
+generated strings; ordinary are the sample's other tokens of letters, digits and underscores
+that two different texts or more hold, so that secrets no pattern knows aren't learnt as ordinary.
 A fifth of both is held out.  A token is a secret if the log-likelihood ratio of the models is over
 ``MIN_RATIO`` and, for each of its character pairs, over a threshold that at most ``FALSE_ALARMS`` of
 the held-out ordinary tokens reach (``MIN_PER_CHAR`` at least; no higher than half of what 95 % of the held-out
@@ -153,8 +154,9 @@ def labelled(docs: DataFrame, text_col: str = "text", rows: int = TRAIN_ROWS) ->
     some = pattern_spans(some.select(text_col), text_col)
     matched = some.select(F.explode(F.flatten(F.array(*[f"s_{k}" for k in KINDS[:3]]))).alias("s")).select(F.col("s.value").alias("token"))
     matched = matched.where(F.length("token") >= 12).unionByName(generated(docs.sparkSession)).withColumn("label", F.lit(1))
-    # tokens of texts without a match need no positions
-    plain = some.where(F.size("s_base") == 0).select(F.explode("s_words").alias("token"), F.lit(0).alias("label")).where(F.col("token").rlike(r"^[A-Za-z0-9_]+$"))
+    # tokens of texts without a match need no positions; a secret is seldom in two texts, an identifier often is
+    plain = some.where(F.size("s_base") == 0).select(F.xxhash64("s_text").alias("of"), F.explode("s_words").alias("token")).where(F.col("token").rlike(r"^[A-Za-z0-9_]+$"))
+    plain = plain.distinct().groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token", F.lit(0).alias("label"))
     both = matched.where(~F.col("token").rlike(rf"[^{ALPHABET}]")).unionByName(plain)
     return both.withColumn("held_out", F.pmod(F.xxhash64("token"), F.lit(5)) == 0)
 
