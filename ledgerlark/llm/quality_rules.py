@@ -25,7 +25,7 @@ from .native import WHITE, let, total, without, word_windows, words
 from .storage import save
 
 #: Rows of the sample on which rules are costed, on average, and times that a rule is evaluated on each.
-SAMPLE_ROWS, REPEATS = 1000, 5
+SAMPLE_ROWS, REPEATS = 1000, 2
 
 
 def _repeat_words(w: Column, n: int) -> Column:
