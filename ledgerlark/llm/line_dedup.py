@@ -49,7 +49,8 @@ def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float
     often = often.join(total, F.col("d_host").eqNullSafe(F.col("t_host"))).where(F.col("n") > F.col("pages") * ratio)
     # at most mean lines / ratio keys a host
     listed = save(often.groupBy("d_host").agg(F.collect_list("key").alias("b_keys")).withColumnRenamed("d_host", "b_host"))
-    listed = dealt(listed, "b_host").withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.col("h_tasks") - 1))).drop("h_tasks")
+    # written again, so that Spark knows its size and shuffles no pages for a small one
+    listed = save(dealt(listed, "b_host").withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.col("h_tasks") - 1))).drop("h_tasks"))
     salted = dealt(rows, "d_host").withColumn("d_salt", F.pmod("d_hash", F.col("h_tasks")).cast("int"))
     joined = salted.join(listed, F.col("d_host").eqNullSafe(F.col("b_host")) & (F.col("d_salt") == F.col("b_salt")), "left")
     kept = F.when(F.col("b_keys").isNull(), F.coalesce("d_lines", F.array().cast("array<string>"))).otherwise(
