@@ -102,4 +102,26 @@ _QUALITY_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter
     b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR n_symbols * 10 > n_words OR n_dup_lines * 10 > n_lines * 3 OR word_chars > n_words * 14 OR word_chars < n_words * 2
         OR len(regexp_extract_all(t, '[A-Z]')) * 10 > word_chars * 4 OR len(regexp_extract_all(t, '[0-9]')) * 10 > word_chars * 3) AS kept FROM b"""
-SQL: dict[str, str] = {"op5_quality_rules": _QUALITY_SQL, "op7_url_filters": _url_sql()}
+_SUBSTRING_SQL = """WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split(translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda x: x <> '') AS w FROM documents),
+    x AS (SELECT r, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+    g AS (SELECT r, i, word, CASE WHEN i <= n - 34 THEN md5(string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) END AS k FROM x),
+    c AS (SELECT r, i, word, CASE WHEN k IS NOT NULL AND count(*) OVER (PARTITION BY k) > 1 THEN 1 ELSE 0 END AS again FROM g),
+    v AS (SELECT r, i, word, max(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM c),
+    s AS (SELECT r, count(*) AS n_words, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM v GROUP BY 1)
+    SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (r)"""
+_LINES_SQL = r"""WITH t AS (SELECT page_id, lower(nullif(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')) AS host, regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', chr(10), 'g') AS h FROM pages),
+    u AS (SELECT page_id, host, regexp_replace(regexp_replace(h, '(?i)</?(?:a|abbr|b|code|em|i|q|s|small|span|strong|sub|sup|u)\b[^<>]*>', '', 'g'), '<[^<>]*>', chr(10), 'g') AS h FROM t),
+    p AS MATERIALIZED (SELECT row_number() OVER () AS r, page_id, host, list_filter(list_transform(string_split_regex(h, '[\r\n]+'), lambda x: trim(x)), lambda x: x <> '') AS lines FROM u),
+    k AS (SELECT host, unnest(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^ \t-\r]')))) AS line FROM p),
+    n AS (SELECT host, count(*) AS pages FROM p GROUP BY 1), o AS (SELECT host, line, count(*) AS c FROM k GROUP BY 1, 2),
+    b AS (SELECT o.host, list(line) AS often FROM o JOIN n ON o.host IS NOT DISTINCT FROM n.host WHERE c >= 3 AND c > pages * 0.1 GROUP BY 1),
+    q AS (SELECT page_id, lines, CASE WHEN often IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(often, x)) END AS kept FROM p LEFT JOIN b ON p.host IS NOT DISTINCT FROM b.host)
+    SELECT page_id, CAST(len(lines) AS INTEGER) AS n_lines, CAST(len(lines) - len(kept) AS INTEGER) AS n_dropped, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM q"""
+# a digest is eight groups of five hex digits, each four letters of base 32
+_WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS kept FROM pages), d AS (SELECT *, sha1(h) AS x FROM p)
+    SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, {digest} AS payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to FROM d"""
+_LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(x, {at}, 5) AS INTEGER) >> {by}) & 31) + 1, 1)"
+SQL: dict[str, str] = {
+    "op1_substring_dedup": _SUBSTRING_SQL, "op5_quality_rules": _QUALITY_SQL, "op6_line_dedup": _LINES_SQL, "op7_url_filters": _url_sql(),
+    "op9_warc": _WARC_SQL.format(digest=" || ".join(_LETTER.format(at=5 * (i // 4) + 1, by=15 - 5 * (i % 4)) for i in range(32))),
+}
