@@ -239,13 +239,24 @@ def draft_cost(calls: DataFrame, prices: DataFrame, default: tuple[float, float]
 
 
 def citation_envelope(citations: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Writer citations with the retrieved chunk of their number; unmatched ones keep their page in both page columns."""
-    key = F.regexp_replace(F.trim(F.col("id").cast("string")), r"^\[|\]$", "")
-    c = chunks.select(F.col("draft_id").alias("k_draft"), F.col("citation_id").cast("string").alias("k_id"), "chunk_id", "content", "page_start", "page_end")
-    rows = citations.withColumn("key", key).join(c, (F.col("draft_id") == F.col("k_draft")) & (F.col("key") == F.col("k_id")), "left")
+    """Writer citations with the retrieved chunk of their number (``1``, ``"1"`` or ``"[1]"``), which becomes ``[1]``.
+
+    Unmatched ones keep the id, and the document, chunk and section if any, that the writer gave, with their page (0 without one) in both page columns."""
+    raw = F.col("id").cast("string")
+    number = dict(citations.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint")
+    marker = F.concat(F.lit("["), raw, F.lit("]")) if number else raw
+    types = dict(chunks.dtypes)
+    own = {"document_id": "document_id", "chunk_id": "chunk_id", "section_heading": "section"}
+    given = [(F.col(c).try_cast(types[name]) if c in citations.columns else F.lit(None).cast(types[name])).alias(f"w_{name}") for name, c in own.items()]
+    rows = citations.select("draft_id", F.coalesce(marker, F.lit("")).alias("marker"), F.regexp_replace(F.trim(raw), r"^\[|\]$", "").alias("key"), "excerpt", "page", *given)
+    c = chunks.select(F.col("draft_id").alias("k_draft"), F.col("citation_id").cast("string").alias("k_id"), *own, "content", "page_start", "page_end")
+    rows = rows.join(c, (F.col("draft_id") == F.col("k_draft")) & (F.col("key") == F.col("k_id")), "left")
+    pick = lambda matched, other: F.when(F.col("k_id").isNotNull(), matched).otherwise(other)
+    page = F.coalesce("page", F.lit(0))
     return rows.select(
-        "draft_id", F.col("key").alias("citation_id"), "chunk_id", F.coalesce(F.nullif("excerpt", F.lit("")), F.substring("content", 1, 240)).alias("excerpt"),
-        F.when(F.col("k_id").isNull(), F.col("page")).otherwise(F.col("page_start")).alias("page_start"), F.when(F.col("k_id").isNull(), F.col("page")).otherwise(F.col("page_end")).alias("page_end"),
+        "draft_id", pick(F.concat(F.lit("["), "k_id", F.lit("]")), F.col("marker")).alias("id"), *[pick(F.col(name), F.col(f"w_{name}")).alias(name) for name in own],
+        pick(F.coalesce(F.nullif("excerpt", F.lit("")), F.substring("content", 1, 240)), F.coalesce("excerpt", F.lit(""))).alias("excerpt"),
+        pick(F.col("page_start"), page).alias("page_start"), pick(F.col("page_end"), page).alias("page_end"),
     )
 
 

@@ -224,13 +224,14 @@ def draft_cost(t):
     return E.draft_cost(calls.withColumnRenamed("tenant_id", "draft_id"), prices, (2.0, 10.0))
 
 
-@query("""SELECT d.draft_id, CAST(d.draft_id % 4 AS VARCHAR) AS citation_id, c.draft_id + 7 AS chunk_id, CASE WHEN d.draft_id % 3 = 0 THEN concat('x', d.draft_id) ELSE substr(c.content, 1, 240) END AS excerpt,
+@query("""SELECT d.draft_id, CASE WHEN c.draft_id IS NOT NULL OR d.draft_id % 2 = 0 THEN concat('[', d.draft_id % 4, ']') ELSE CAST(d.draft_id % 4 AS VARCHAR) END AS id, c.draft_id + 7 AS chunk_id, c.draft_id % 6 AS document_id, CASE WHEN c.draft_id IS NOT NULL THEN concat('Part ', d.draft_id % 4) END AS section_heading,
+    CASE WHEN d.draft_id % 3 = 0 THEN concat('x', d.draft_id) WHEN c.draft_id IS NULL THEN '' ELSE substr(c.content, 1, 240) END AS excerpt,
     CASE WHEN c.draft_id IS NULL THEN d.draft_id % 9 ELSE 1 END AS page_start, CASE WHEN c.draft_id IS NULL THEN d.draft_id % 9 ELSE 2 END AS page_end FROM {draft_texts} d LEFT JOIN {draft_texts} c ON c.draft_id = d.draft_id AND d.draft_id % 4 IN (1, 2)""")
 def citation_envelope(t):
     i = F.col("draft_id")
     cites = t("draft_texts").select("draft_id", F.when(i % 2 == 0, F.concat(F.lit("["), i % 4, F.lit("]"))).otherwise((i % 4).cast("string")).alias("id"), F.when(i % 3 == 0, F.concat(F.lit("x"), i)).otherwise(F.lit("")).alias("excerpt"), (i % 9).alias("page"))
-    chunks = t("draft_texts").select("draft_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("citation_id"), (i + 7).alias("chunk_id"), "content", F.lit(1).cast("long").alias("page_start"), F.lit(2).cast("long").alias("page_end"))
-    return E.citation_envelope(cites, chunks)
+    chunks = t("draft_texts").select("draft_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("citation_id"), (i + 7).alias("chunk_id"), (i % 6).alias("document_id"), "content", F.lit(1).cast("long").alias("page_start"), F.lit(2).cast("long").alias("page_end"))
+    return E.citation_envelope(cites, chunks.withColumn("section_heading", F.concat(F.lit("Part "), "citation_id")))
 
 
 @query("""SELECT draft_id, substr(concat_ws('|', CASE WHEN draft_id % 3 = 0 THEN 'surface_decision=block' END, CASE WHEN draft_id % 4 > 0 THEN concat('eval_failed:', concat_ws(',', 'factuality: failed', CASE WHEN draft_id % 4 > 1 THEN 'rubric: low' END, CASE WHEN draft_id % 4 > 2 THEN 'readability: failed' END)) END), 1, 500) AS failure_reason FROM {draft_texts}""")
