@@ -98,16 +98,29 @@ def draft_history(drafts: DataFrame) -> DataFrame:
     return drafts.withColumn("place", F.row_number().over(order))
 
 
+def _given(df: DataFrame, kinds: dict[str, str]) -> list[Column]:
+    """Columns that ``df`` may lack; they are null then."""
+    return [(F.col(c) if c in df.columns else F.lit(None).cast(kind)).alias(c) for c, kind in kinds.items()]
+
+
 def draft_context(fields: DataFrame, reports: DataFrame, awards: DataFrame, funders: DataFrame, tenants: DataFrame) -> DataFrame:
-    """All of a field's drafting request, or the first broken link as ``failure``."""
-    rows = fields.select("report_id", "field_no", "label")
-    rows = rows.join(reports.select("report_id", "award_id", F.col("tenant_id").alias("r_tenant")), "report_id", "left")
-    rows = rows.join(awards.select("award_id", "funder_id", "amount_usd", "program_name", F.lit(True).alias("has_award")), "award_id", "left")
-    rows = rows.join(funders.select("funder_id", F.col("name").alias("funder_name"), F.lit(True).alias("has_funder")), "funder_id", "left")
-    rows = rows.join(tenants.select(F.col("tenant_id").alias("r_tenant"), F.col("name").alias("tenant_name"), F.lit(True).alias("has_tenant")), "r_tenant", "left")
-    failure = F.when(F.col("award_id").isNull(), "report_not_found").when(F.col("has_award").isNull(), "award_not_found").when(F.col("has_funder").isNull(), "funder_not_found").when(F.col("has_tenant").isNull(), "tenant_not_found")
+    """All of a field's drafting request, or the first broken link as ``failure``.
+
+    An award of another tenant than the report's isn't found.  A funder's ``rubric`` is JSON text; what is no array counts as an empty one."""
+    bounds, org = {"key": "string", "field_type": "string", "word_count_min": "int", "word_count_max": "int"}, {"org_type": "string", "ein": "string"}
+    rows = fields.select("report_id", "field_no", "label", *_given(fields, bounds))
+    rows = rows.join(reports.select("report_id", F.col("award_id").alias("r_award"), F.col("tenant_id").alias("r_tenant"), F.lit(True).alias("has_report")), "report_id", "left")
+    a = awards.select(F.col("award_id").alias("r_award"), F.col("tenant_id").alias("r_tenant"), "funder_id", "amount_usd", "program_name", F.lit(True).alias("has_award"))
+    rows = rows.join(a, ["r_award", "r_tenant"], "left")
+    rows = rows.join(funders.select("funder_id", F.col("name").alias("funder_name"), *_given(funders, {"rubric": "string", "known_programs": "array<string>"}), F.lit(True).alias("has_funder")), "funder_id", "left")
+    rows = rows.join(tenants.select(F.col("tenant_id").alias("r_tenant"), F.col("name").alias("tenant_name"), *_given(tenants, org), F.lit(True).alias("has_tenant")), "r_tenant", "left")
+    failure = F.when(F.col("has_report").isNull(), "report_not_found").when(F.col("has_award").isNull(), "award_not_found").when(F.col("has_funder").isNull(), "funder_not_found").when(F.col("has_tenant").isNull(), "tenant_not_found")
     query = F.trim(F.regexp_replace(F.concat_ws(" ", "funder_name", "label"), r"\s+", " "))
-    return rows.select("report_id", "field_no", failure.alias("failure"), F.when(failure.isNull(), query).alias("query"), "program_name", "tenant_name", F.coalesce(F.col("amount_usd") > HIGH_STAKES_USD, F.lit(False)).alias("high_stakes"))
+    rubric = F.when(F.json_array_length("rubric").isNotNull(), F.col("rubric")).otherwise("[]")
+    return rows.select(
+        "report_id", "field_no", failure.alias("failure"), F.when(failure.isNull(), query).alias("query"), "label", *bounds, "program_name", "amount_usd", F.coalesce(F.col("amount_usd") > HIGH_STAKES_USD, F.lit(False)).alias("high_stakes"),
+        "funder_name", F.when(F.col("has_funder"), rubric).alias("rubric"), "known_programs", "tenant_name", *org,
+    )
 
 
 def promote_drafts(fields: DataFrame, drafts: DataFrame) -> DataFrame:
@@ -149,27 +162,34 @@ def export_sections(fields: DataFrame, citations: DataFrame) -> DataFrame:
     return rows.join(lists, ["report_id", "field_no"], "left").withColumn("cited_ids", F.coalesce("cited_ids", F.lit("")))
 
 
-def export_payload(reports: DataFrame, awards: DataFrame, funders: DataFrame, tenants: DataFrame, sections: DataFrame, approvals: DataFrame) -> DataFrame:
-    """One row per report ready for export: names, latest approval date, ordered sections."""
+def report_citations(sections: DataFrame, citations: DataFrame) -> DataFrame:
+    """(report_id, id, page, excerpt, source): what a report's bodies cite, each id once, as the first section to cite it has it."""
+    cited = sections.select("report_id", "field_no", "place", F.explode(F.split("cited_ids", ",")).alias("ref")).where("ref <> ''").select("report_id", "field_no", "place", F.col("ref").cast("int").alias("id"))
+    first = citations.join(cited, ["report_id", "field_no", "id"]).groupBy("report_id", "id").agg(F.min(F.struct("place", "pos", "page", "excerpt", "source")).alias("c"))
+    return first.select("report_id", "id", "c.page", "c.excerpt", "c.source")
+
+
+def export_payload(reports: DataFrame, awards: DataFrame, funders: DataFrame, tenants: DataFrame, sections: DataFrame, approvals: DataFrame, citations: DataFrame) -> DataFrame:
+    """One row per report ready for export: names, latest approval date, ordered sections, and its citations by id."""
     rows = reports.where(F.col("status") == APPROVABLE).select("report_id", "award_id", "tenant_id", "title").join(awards.select("award_id", "funder_id"), "award_id", "left")
     rows = rows.join(funders.select("funder_id", F.col("name").alias("funder_name")), "funder_id", "left").join(tenants.select("tenant_id", F.col("name").alias("tenant_name")), "tenant_id", "left")
     dated = approvals.groupBy("report_id").agg(F.substring(F.max("approved_at"), 1, 10).alias("approval_date"))
     listed = sections.groupBy("report_id").agg(F.sort_array(F.collect_list(F.struct("place", "label", "body"))).alias("sections"))
-    rows = rows.join(dated, "report_id", "left").join(listed, "report_id", "left")
-    return rows.select("report_id", "title", F.coalesce(_filled("funder_name"), F.lit(UNKNOWN_FUNDER)).alias("funder_name"), "tenant_name", "approval_date", F.coalesce("sections", F.array().cast("array<struct<place:int,label:string,body:string>>")).alias("sections"))
+    cited = report_citations(sections, citations).groupBy("report_id").agg(F.sort_array(F.collect_list(F.struct("id", "page", "excerpt", "source"))).alias("citations"))
+    rows = rows.join(dated, "report_id", "left").join(listed, "report_id", "left").join(cited, "report_id", "left")
+    list_of = lambda c: F.coalesce(c, F.array().cast(dict(rows.dtypes)[c])).alias(c)
+    return rows.select("report_id", "title", F.coalesce(_filled("funder_name"), F.lit(UNKNOWN_FUNDER)).alias("funder_name"), "tenant_name", "approval_date", list_of("sections"), list_of("citations"))
 
 
-def render_text(payload: DataFrame, citations: DataFrame | None = None) -> DataFrame:
-    """(report_id, text): header, sections, citations and the disclosure, parted by rules."""
+def render_text(payload: DataFrame) -> DataFrame:
+    """(report_id, text): header, sections, citations (if any) and the disclosure, parted by rules."""
     head = F.concat_ws("\n", "title", "funder_name", _filled("tenant_name"), F.concat(F.lit("Approved: "), F.nullif("approval_date", F.lit(""))))
     parts = F.transform("sections", lambda s: F.when(s["body"] != "", F.concat(s["label"], F.lit("\n\n"), s["body"])).otherwise(s["label"]))
-    if citations is None:
-        payload = payload.withColumn("cites", F.lit(None).cast("string"))
-    else:
-        line = F.concat(F.lit("["), F.col("id"), F.lit("] "), F.coalesce(F.concat(F.lit("p. "), F.col("page")), F.lit("no page")), F.coalesce(F.concat(F.lit(" — "), _filled("source")), F.lit("")), F.coalesce(F.concat(F.lit('\n    "'), _filled("excerpt"), F.lit('"')), F.lit("")))
-        lists = citations.groupBy("report_id").agg(F.sort_array(F.collect_list(F.struct("id", line.alias("line")))).alias("l"))
-        payload = payload.join(lists.select("report_id", F.concat(F.lit("Citations\n"), F.array_join("l.line", "\n")).alias("cites")), "report_id", "left")
-    blocks = F.concat(F.array(head), parts, F.array_compact(F.array("cites")), F.array(F.lit(DISCLOSURE)))
+    after = lambda start, c, end="": F.coalesce(F.concat(F.lit(start), F.nullif(F.trim(c), F.lit("")), F.lit(end)), F.lit(""))
+    page = lambda c: F.coalesce(F.concat(F.lit("p. "), c["page"]), F.lit("no page"))
+    lines = F.transform("citations", lambda c: F.concat(F.lit("["), c["id"], F.lit("] "), page(c), after(" — ", c["source"]), after('\n    "', c["excerpt"], '"')))
+    cites = F.when(F.size(lines) > 0, F.concat(F.lit("Citations\n"), F.array_join(lines, "\n")))
+    blocks = F.concat(F.array(head), parts, F.array_compact(F.array(cites)), F.array(F.lit(DISCLOSURE)))
     return payload.select("report_id", F.array_join(blocks, SECTION_RULE).alias("text"))
 
 

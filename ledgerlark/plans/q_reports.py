@@ -83,13 +83,19 @@ def draft_history(t):
     return H.draft_history(t("drafts")).select("report_id", "field_no", "version", "place")
 
 
-@query("""WITH r AS (SELECT * FROM {reports} WHERE report_id % 50 <> 0), a AS (SELECT * FROM {awards} WHERE award_id % 37 <> 0), f AS (SELECT * FROM {funders} WHERE funder_id <> 5), t AS (SELECT * FROM {tenants} WHERE tenant_id % 29 <> 0),
-    j AS (SELECT x.report_id, x.field_no, x.label, r.award_id, a.award_id AS ha, f.funder_id AS hf, t.tenant_id AS ht, f.name AS fname, program_name, t.name AS tname, amount_usd,
+@query("""WITH r AS (SELECT * FROM {reports} WHERE report_id % 50 <> 0), a AS (SELECT * FROM {awards} WHERE award_id % 37 <> 0), f AS (SELECT * FROM {funders} WHERE funder_id <> 5), t AS (SELECT * FROM {tenants} WHERE tenant_id % 29 <> 0), k AS (SELECT funder_id, string_agg(program_name, '|' ORDER BY program_name) AS programs FROM {known_programs} GROUP BY 1),
+    j AS (SELECT x.report_id, x.field_no, x.label, r.award_id, a.award_id AS ha, f.funder_id AS hf, t.tenant_id AS ht, f.name AS fname, program_name, t.name AS tname, amount_usd, k.programs,
     CASE WHEN r.award_id IS NULL THEN 'report_not_found' WHEN a.award_id IS NULL THEN 'award_not_found' WHEN f.funder_id IS NULL THEN 'funder_not_found' WHEN t.tenant_id IS NULL THEN 'tenant_not_found' END AS failure
-    FROM {report_fields} x LEFT JOIN r ON r.report_id = x.report_id LEFT JOIN a ON a.award_id = r.award_id LEFT JOIN f ON f.funder_id = a.funder_id LEFT JOIN t ON t.tenant_id = r.tenant_id)
-    SELECT report_id, field_no, failure, CASE WHEN failure IS NULL THEN concat(fname, ' ', label) END AS query, program_name, tname AS tenant_name, coalesce(amount_usd > 500000, false) AS high_stakes FROM j""")
+    FROM {report_fields} x LEFT JOIN r ON r.report_id = x.report_id LEFT JOIN a ON a.award_id = r.award_id LEFT JOIN f ON f.funder_id = a.funder_id LEFT JOIN k ON k.funder_id = f.funder_id LEFT JOIN t ON t.tenant_id = r.tenant_id)
+    SELECT report_id, field_no, failure, CASE WHEN failure IS NULL THEN concat(fname, ' ', label) END AS query, label, concat('key_', field_no) AS key, 50 * field_no AS word_count_max, program_name, amount_usd, coalesce(amount_usd > 500000, false) AS high_stakes, fname AS funder_name,
+    CASE WHEN hf % 3 = 0 THEN '["clear"]' WHEN hf IS NOT NULL THEN '[]' END AS rubric, programs AS known_programs, tname AS tenant_name FROM j""")
 def draft_context(t):
-    return H.draft_context(t("report_fields"), t("reports").where("report_id % 50 <> 0"), t("awards").where("award_id % 37 <> 0"), t("funders").where("funder_id <> 5"), t("tenants").where("tenant_id % 29 <> 0"))
+    fields = t("report_fields").withColumns({"key": F.concat(F.lit("key_"), "field_no"), "word_count_max": F.lit(50) * F.col("field_no")})
+    programs = t("known_programs").groupBy("funder_id").agg(F.sort_array(F.collect_list("program_name")).alias("known_programs"))
+    rubric = F.when(F.col("funder_id") % 3 == 0, '["clear"]').when(F.col("funder_id") % 3 == 1, '{"clear": 1}')
+    funders = t("funders").where("funder_id <> 5").join(programs, "funder_id", "left").withColumn("rubric", rubric)
+    got = H.draft_context(fields, t("reports").where("report_id % 50 <> 0"), t("awards").where("award_id % 37 <> 0"), funders, t("tenants").where("tenant_id % 29 <> 0"))
+    return got.drop("field_type", "word_count_min", "org_type", "ein").withColumn("known_programs", F.array_join("known_programs", "|"))
 
 
 def _newest(t):
@@ -131,10 +137,14 @@ _SECT = """fx AS (SELECT *, CASE WHEN field_no % 2 = 0 THEN current_value || ' s
     secs AS (SELECT *, CASE WHEN contains(body, '[1]') THEN CASE WHEN field_no BETWEEN 2 AND 3 THEN concat('1,', field_no) ELSE '1' END ELSE '' END AS cited_ids FROM sec)"""
 
 
+def _citations(t):
+    cites = t("report_fields").select("report_id", "field_no", F.posexplode(F.array(F.lit(3), F.lit(1), F.lit(2), F.lit(1))).alias("pos", "id"))
+    return cites.withColumns({"page": F.col("id") * 10 + F.col("field_no") + F.col("pos"), "excerpt": F.concat(F.lit("words of field "), "field_no"), "source": F.when(F.col("id") == 1, "Letter")})
+
+
 def _sections(t):
     fields = t("report_fields").withColumn("current_value", F.when(F.col("field_no") % 2 == 0, F.concat("current_value", F.lit(" see [1] and ["), F.col("field_no"), F.lit("] and [1]"))))
-    cites = fields.select("report_id", "field_no", F.posexplode(F.array(F.lit(3), F.lit(1), F.lit(2), F.lit(1))).alias("pos", "id"))
-    return H.export_sections(fields, cites)
+    return H.export_sections(fields, _citations(t))
 
 
 @query(f"WITH {_SECT} SELECT report_id, field_no, label, place, body, cited_ids FROM secs")
@@ -144,21 +154,24 @@ def export_sections(t):
 
 _PAY = f"""{_SECT}, ap AS (SELECT report_id, substr(max(concat('2024-0', field_no, '-1', report_id % 10, 'T00:00:00Z')), 1, 10) AS approval_date FROM {{report_fields}} WHERE human_approved GROUP BY 1),
     sl AS (SELECT report_id, string_agg(CASE WHEN body <> '' THEN concat(label, chr(10), chr(10), body) ELSE label END, chr(10) || chr(10) || '==========' || chr(10) || chr(10) ORDER BY place) AS body, count(*) AS n FROM sec GROUP BY 1),
-    pay AS (SELECT r.report_id, title, coalesce(f.name, 'Unknown funder') AS funder_name, t.name AS tenant_name, approval_date, sl.body, coalesce(n, 0) AS n FROM {{reports}} r LEFT JOIN {{awards}} a USING (award_id) LEFT JOIN {{funders}} f ON f.funder_id = a.funder_id LEFT JOIN {{tenants}} t ON t.tenant_id = r.tenant_id
-        LEFT JOIN ap ON ap.report_id = r.report_id LEFT JOIN sl ON sl.report_id = r.report_id WHERE r.status = 'ready_for_export')"""
+    ci AS (SELECT report_id, 1 AS id, min_by(field_no, place) + 11 AS page, concat('words of field ', min_by(field_no, place)) AS excerpt, 'Letter' AS source FROM sec WHERE contains(body, '[1]') GROUP BY 1 UNION ALL SELECT report_id, 2, 24, 'words of field 2', NULL FROM sec WHERE contains(body, '[1]') AND field_no = 2),
+    cl AS (SELECT report_id, string_agg(concat('[', id, '] p. ', page, coalesce(' — ' || source, ''), chr(10), '    "', excerpt, '"'), chr(10) ORDER BY id) AS cites, string_agg(concat_ws(':', id, page, excerpt, source), ';' ORDER BY id) AS ids FROM ci GROUP BY 1),
+    pay AS (SELECT r.report_id, title, coalesce(f.name, 'Unknown funder') AS funder_name, t.name AS tenant_name, approval_date, sl.body, coalesce(n, 0) AS n, 'Citations' || chr(10) || cites AS cites, coalesce(ids, '') AS citations FROM {{reports}} r LEFT JOIN {{awards}} a USING (award_id) LEFT JOIN {{funders}} f ON f.funder_id = a.funder_id LEFT JOIN {{tenants}} t ON t.tenant_id = r.tenant_id
+        LEFT JOIN ap ON ap.report_id = r.report_id LEFT JOIN sl ON sl.report_id = r.report_id LEFT JOIN cl ON cl.report_id = r.report_id WHERE r.status = 'ready_for_export')"""
 
 
 def _payload(t):
     approvals = t("report_fields").where("human_approved").select("report_id", F.concat(F.lit("2024-0"), "field_no", F.lit("-1"), F.col("report_id") % 10, F.lit("T00:00:00Z")).alias("approved_at"))
-    return H.export_payload(t("reports"), t("awards"), t("funders"), t("tenants"), _sections(t), approvals)
+    return H.export_payload(t("reports"), t("awards"), t("funders"), t("tenants"), _sections(t), approvals, _citations(t))
 
 
-@query(f"WITH {_PAY} SELECT report_id, title, funder_name, tenant_name, approval_date, n AS n_sections FROM pay")
+@query(f"WITH {_PAY} SELECT report_id, title, funder_name, tenant_name, approval_date, n AS n_sections, citations FROM pay")
 def export_payload(t):
-    return _payload(t).withColumn("n_sections", F.size("sections").cast("long")).drop("sections")
+    listed = F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["id"].cast("string"), c["page"].cast("string"), c["excerpt"], c["source"])), ";")
+    return _payload(t).withColumn("n_sections", F.size("sections").cast("long")).withColumn("citations", listed).drop("sections")
 
 
-@query(f"""WITH {_PAY} SELECT report_id, concat_ws(chr(10) || chr(10) || '==========' || chr(10) || chr(10), concat_ws(chr(10), title, funder_name, tenant_name, concat('Approved: ', nullif(coalesce(approval_date, ''), ''))), body, '{H.DISCLOSURE}') AS text FROM pay""".replace("concat('Approved: ', nullif(coalesce(approval_date, ''), ''))", "'Approved: ' || approval_date"))
+@query(f"""WITH {_PAY} SELECT report_id, concat_ws(chr(10) || chr(10) || '==========' || chr(10) || chr(10), concat_ws(chr(10), title, funder_name, tenant_name, concat('Approved: ', nullif(coalesce(approval_date, ''), ''))), body, cites, '{H.DISCLOSURE}') AS text FROM pay""".replace("concat('Approved: ', nullif(coalesce(approval_date, ''), ''))", "'Approved: ' || approval_date"))
 def render_text(t):
     return H.render_text(_payload(t))
 
