@@ -29,15 +29,20 @@ def isolation_report(links: dict[str, tuple[DataFrame, DataFrame, str, str]]) ->
     return reduce(DataFrame.unionByName, [one(n, *x) for n, x in links.items()])
 
 
-def audit_report(audit: DataFrame, tenant_id=None, action: str | None = None, since: Column | None = None, until: Column | None = None) -> DataFrame:
-    """Audit rows of a tenant, action and span of time, newest first."""
-    for column, value in (("tenant_id", tenant_id), ("action", action)):
+def audit_report(audit: DataFrame, tenant_id=None, action: str | None = None, since: Column | None = None, until: Column | None = None, user_id=None) -> DataFrame:
+    """Audit rows of a tenant, user, action and span of time, newest first."""
+    for column, value in (("tenant_id", tenant_id), ("user_id", user_id), ("action", action)):
         audit = audit if value is None else audit.where(F.col(column) == value)
     audit = audit if since is None else audit.where(F.col("created_at") >= since)
     audit = audit if until is None else audit.where(F.col("created_at") < until)
     return audit.orderBy(F.desc("created_at"), F.desc("id"))
 
 
+def write_audit_csv(report: DataFrame, path: str) -> None:
+    """The report as CSV files with a header, which follow each other in its order."""
+    report.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def token_usage_daily(calls: DataFrame, cents: Column) -> DataFrame:
     """(tenant_id, day, model) sums of tokens and cents."""
     return calls.groupBy("tenant_id", F.to_date("ts").alias("day"), "model").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum(cents).alias("cents"))

@@ -57,13 +57,27 @@ def flatten_tables(t):
     return A.flatten_tables(_parsed(t)).select("document_id", "page_number", F.array_join(F.flatten("rows"), ";").alias("cells"))
 
 
-@query("""WITH c AS (SELECT DISTINCT l_orderkey AS document_id, l_linenumber AS chunk_index FROM {lineitem}) SELECT document_id, chunk_index FROM c WHERE document_id NOT IN (SELECT l_orderkey FROM {lineitem} WHERE (l_orderkey + l_linenumber) % 11 = 0)""")
-def write_chunks(t):
+def _written(t, write, *columns):
+    """The chunks of lines, some without a vector, written twice as one batch and read back."""
     rows = t("lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("chunk_index"), (F.col("l_orderkey") % 10).alias("tenant_id"))
-    vectors = rows.where("(document_id + chunk_index) % 11 <> 0").select("document_id", "chunk_index", F.array(F.lit(1.0)).alias("embedding"))
+    vectors = rows.where("(document_id + chunk_index) % 11 <> 0").select("document_id", "chunk_index", F.array(F.lit(1.0), F.col("chunk_index").cast("double")).alias("embedding"))
     path = _new_dir(rows.sparkSession) + "/chunks"
-    A.write_chunks(rows, vectors, path)
-    return rows.sparkSession.read.parquet(path).select("document_id", "chunk_index")
+    for _ in range(2):
+        write(rows, vectors, path, "one")
+    return rows.sparkSession.read.parquet(path).select("document_id", "chunk_index", *columns)
+
+
+_WRITTEN = "FROM (SELECT DISTINCT l_orderkey AS document_id, l_linenumber AS chunk_index FROM {lineitem}) WHERE document_id NOT IN (SELECT l_orderkey FROM {lineitem} WHERE (l_orderkey + l_linenumber) % 11 = 0)"
+
+
+@query(f"SELECT document_id, chunk_index {_WRITTEN}")
+def write_chunks(t):
+    return _written(t, A.write_chunks)
+
+
+@query(f"SELECT document_id, chunk_index, CAST(chunk_index + 1 AS DOUBLE) AS total {_WRITTEN}")
+def write_embeddings(t):
+    return _written(t, A.write_embeddings, (F.col("embedding")[0] + F.col("embedding")[1]).alias("total"))
 
 
 @query("""SELECT coalesce(s.slug, f.slug) AS slug, CASE WHEN s.slug IS NULL THEN f.name ELSE s.name END AS name, coalesce(f.kind, s.kind) AS kind FROM (SELECT slug, name, 'old' AS kind FROM {funders} WHERE funder_id < 15) f FULL JOIN (SELECT slug, 'New ' || name AS name, 'new' AS kind FROM {funders} WHERE funder_id > 10) s USING (slug)""")
@@ -159,10 +173,21 @@ def reminder_stream(t):
     return K.drain(K.reminder_stream(K.read_stream(spark, path, rows.schema, files)), f"{base}/out", f"{base}/check").drop("at")
 
 
-@query("SELECT doc_id AS document_id, CASE WHEN trim(text) = '' THEN 'failed' ELSE 'indexed' END AS parse_status FROM {documents}")
+@query("SELECT doc_id AS document_id, CASE WHEN trim(text) = '' OR doc_id % 13 = 0 THEN 'failed' ELSE 'indexed' END AS parse_status, CASE WHEN trim(text) = '' OR doc_id % 13 = 0 THEN 'no_text' END AS parse_error FROM {documents}")
 def ingest_stream(t):
-    rows = t("documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 10).alias("tenant_id"), "text")
+    text = F.when(F.col("doc_id") % 13 == 0, " \n").otherwise(F.col("text"))
+    rows = t("documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 10).alias("tenant_id"), text.alias("text"))
     spark, path, files = _staged(rows, "queue")
     base = _new_dir(spark)
     K.ingest_stream(K.read_stream(spark, path, rows.schema, files), f"{base}/chunks", f"{base}/status", f"{base}/check", target=200, overlap=25, backup=50).awaitTermination()
-    return spark.read.parquet(f"{base}/status").select("document_id", "parse_status")
+    return K.current_status(spark.read.parquet(f"{base}/status"))
+
+
+@query("""SELECT doc_id AS document_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN 'queued' WHEN doc_id % 2 = 0 THEN 'failed' ELSE 'indexed' END AS parse_status,
+    CASE WHEN doc_id % 2 = 0 AND (doc_id % 3 <> 0 OR doc_id % 5 = 0) THEN 'no_text' END AS parse_error FROM {documents}""")
+def requeue_documents(t):
+    i = F.col("document_id")
+    docs = t("documents").select(F.col("doc_id").alias("document_id"))
+    failed = i % 2 == 0
+    status = docs.withColumns({"parse_status": F.when(failed, "failed").otherwise("indexed"), "parse_error": F.when(failed, "no_text"), "deleted_at": F.when(i % 5 == 0, F.lit("1998-06-15"))})
+    return K.requeue(status, docs.where(i % 3 == 0)).drop("deleted_at")

@@ -40,6 +40,16 @@ def audit_report(t):
     return _stamp(J.audit_report(t("audit_log"), action="click", since=F.expr("TIMESTAMP '2024-01-05'"), until=F.expr("TIMESTAMP '2024-01-20'")).drop("metadata"))
 
 
+@query("SELECT id, tenant_id, tenant_id % 7 AS user_id, action, metadata FROM {audit_log} WHERE tenant_id % 7 = 3")
+def audit_csv(t):
+    from .q_sources import _new_dir
+
+    audit = t("audit_log").withColumn("user_id", F.col("tenant_id") % 7)
+    path = _new_dir(audit.sparkSession) + "/audit"
+    J.write_audit_csv(J.audit_report(audit, user_id=3), path)
+    return audit.sparkSession.read.schema(audit.schema).option("header", True).option("escape", '"').csv(path).drop("created_at")
+
+
 _DAILY = f"daily AS (SELECT tenant_id, CAST(ts AS DATE) AS day, model, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum({_CENTS}) AS BIGINT) AS cents FROM {{llm_calls}} GROUP BY ALL)"
 
 

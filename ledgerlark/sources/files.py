@@ -51,8 +51,14 @@ def embedded_chunks(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return rows.withColumn("lacking", whole).where("lacking = 0").drop("lacking", "has_vector")
 
 
-def write_chunks(chunks: DataFrame, vectors: DataFrame, path: str) -> None:
-    embedded_chunks(chunks, vectors).write.mode("append").partitionBy("tenant_id").parquet(path)
+def write_chunks(chunks: DataFrame, vectors: DataFrame, path: str, batch: str) -> None:
+    """Add the embedded chunks to ``path``; a batch that is written again replaces itself."""
+    embedded_chunks(chunks, vectors).write.mode("overwrite").partitionBy("tenant_id").parquet(f"{path}/batch={batch}")
+
+
+def write_embeddings(chunks: DataFrame, vectors: DataFrame, path: str, batch: str) -> None:
+    """Add (document_id, chunk_index, embedding) of the documents all of whose chunks have a vector; a batch that is written again replaces itself."""
+    embedded_chunks(chunks.select("document_id", "chunk_index"), vectors).select("document_id", "chunk_index", "embedding").write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def upsert_by_key(target: DataFrame, source: DataFrame, keys: list[str], set_cols: list[str]) -> DataFrame:

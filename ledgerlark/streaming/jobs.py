@@ -14,21 +14,44 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | N
 
 
 def ingest_stream(queue: DataFrame, chunk_path: str, status_path: str, checkpoint: str, **sizes):
-    """Chunk, embed and append queued documents (document_id, tenant_id, text); each ends as indexed or failed."""
+    """Chunk, embed and append queued documents (document_id, tenant_id, text).
+
+    ``status_path`` gets a row per document and step: ``parsing``, then ``parsed`` where there is text, then ``indexed``, or ``failed`` with ``parse_error``."""
 
     def run(batch: DataFrame, number: int) -> None:
         docs = batch.dropDuplicates(["document_id"])
+
+        def advance(rows: DataFrame, step: int, status, error=None) -> None:
+            # a repeated batch replaces its own folders
+            error = F.lit(None).cast("string") if error is None else error
+            rows.select("document_id", F.lit(status).alias("parse_status") if isinstance(status, str) else status.alias("parse_status"), error.alias("parse_error")).write.mode("overwrite").parquet(f"{status_path}/batch={number}/step={step}")
+
+        has_text = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+        advance(docs, 1, "parsing")
+        advance(docs.where(has_text), 2, "parsed")
         chunks = chunk_documents(docs, **sizes).join(docs.select("document_id", "tenant_id"), "document_id")
-        whole = embedded_chunks(chunks, embed_chunks(chunks))
-        # a repeated batch replaces its own folder
-        whole.write.mode("overwrite").parquet(f"{chunk_path}/batch={number}")
+        embedded_chunks(chunks, embed_chunks(chunks)).write.mode("overwrite").parquet(f"{chunk_path}/batch={number}")
         good = batch.sparkSession.read.parquet(f"{chunk_path}/batch={number}").select("document_id").distinct().withColumn("ok", F.lit(True))
-        status = docs.select("document_id").join(good, "document_id", "left").select("document_id", F.when(F.col("ok"), "indexed").otherwise("failed").alias("parse_status"))
-        status.write.mode("overwrite").parquet(f"{status_path}/batch={number}")
+        ended = docs.join(good, "document_id", "left")
+        advance(ended, 3, F.when(F.col("ok"), "indexed").otherwise("failed"), F.when(F.col("ok").isNull(), F.when(has_text, "embedding_failed").otherwise("no_text")))
 
     return queue.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current_status(log: DataFrame) -> DataFrame:
+    """(document_id, parse_status, parse_error) of each document's last step."""
+    last = log.groupBy("document_id").agg(F.max_by(F.struct("parse_status", "parse_error"), F.struct("batch", "step")).alias("s"))
+    return last.select("document_id", "s.parse_status", "s.parse_error")
+
+
+def requeue(status: DataFrame, ids: DataFrame) -> DataFrame:
+    """``status`` with the documents of ``ids`` queued again and without their error; unknown and deleted ones stay as they are."""
+    alive = F.col("deleted_at").isNull() if "deleted_at" in status.columns else F.lit(True)
+    rows = status.join(ids.select("document_id").distinct().withColumn("again", F.lit(True)), "document_id", "left")
+    again = F.coalesce(F.col("again") & alive, F.lit(False))
+    return rows.withColumns({"parse_status": F.when(again, "queued").otherwise(F.col("parse_status")), "parse_error": F.when(~again, F.col("parse_error"))}).select(*status.columns)
+
+
 def token_usage_stream(calls: DataFrame, cents, late: str = "1 day") -> DataFrame:
     """Daily token and cent sums; rows later than the watermark drop."""
     rows = calls.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "tenant_id", "model").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum(cents).alias("cents"))
