@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions.chunker import chunk, spans
 from ledgerlark.operators import chunking, deadlines, evaluation as E, extraction, reports, retrieval as R, tenancy
 from ledgerlark.operators.retrieval import cover_density
+from ledgerlark.streaming import jobs
 
 
 def test_fusion_weights(spark):
@@ -189,6 +190,53 @@ def test_chunker_rejects_overlap(spark):
         chunking.chunk_documents(spark.createDataFrame([(1, "x")], "document_id long, text string"), target=10, overlap=10)
 
 
+def test_envelope_keeps_what_the_writer_gave(spark):
+    chunks = spark.createDataFrame([(1, 1, "d1", "c1", "Aims", "x" * 300, 4, 5)], "draft_id int, citation_id int, document_id string, chunk_id string, section_heading string, content string, page_start int, page_end int")
+    cites = spark.createDataFrame([(1, 1, "", 9, None), (1, 2, None, None, "Goals"), (2, 1, "kept", 3, None)], "draft_id int, id int, excerpt string, page int, section string")
+    got = {(r.draft_id, r.id): r for r in E.citation_envelope(cites, chunks).collect()}
+    hit, lost = got[1, "[1]"], got[1, "[2]"]
+    assert (hit.document_id, hit.chunk_id, hit.section_heading, len(hit.excerpt), hit.page_start, hit.page_end) == ("d1", "c1", "Aims", 240, 4, 5)
+    assert (lost.document_id, lost.chunk_id, lost.section_heading, lost.excerpt, lost.page_start, lost.page_end) == (None, None, "Goals", "", 0, 0)
+    assert (got[2, "[1]"].chunk_id, got[2, "[1]"].excerpt, got[2, "[1]"].page_end) == (None, "kept", 3)
+
+
+def test_report_citations_are_those_of_the_first_section(spark):
+    sections = spark.createDataFrame([(1, 7, 1, "2,10"), (1, 3, 2, "2"), (1, 4, 3, "")], "report_id int, field_no int, place int, cited_ids string")
+    cites = spark.createDataFrame([(1, 3, 0, 2, 1, "b", None), (1, 7, 0, 10, 2, "c", None), (1, 7, 2, 2, 4, "d", None), (1, 7, 1, 2, 3, "a", None), (1, 4, 0, 5, 5, "e", None)], "report_id int, field_no int, pos int, id int, page int, excerpt string, source string")
+    assert [(r.id, r.page, r.excerpt) for r in reports.report_citations(sections, cites).orderBy("id").collect()] == [(2, 3, "a"), (10, 2, "c")]
+
+
+def test_awards_of_other_tenants_are_not_found(spark):
+    fields, due = spark.createDataFrame([(1, 1, "Aims"), (2, 1, "Aims"), (3, 1, "Aims")], "report_id int, field_no int, label string"), spark.createDataFrame([(1, 5, 8), (2, 5, 9)], "report_id int, award_id int, tenant_id int")
+    awards = spark.createDataFrame([(5, 8, 2, 500_001, "P")], "award_id int, tenant_id int, funder_id int, amount_usd long, program_name string")
+    funders, tenants = spark.createDataFrame([(2, " F  G ", "not json")], "funder_id int, name string, rubric string"), spark.createDataFrame([(8, "T"), (9, "U")], "tenant_id int, name string")
+    got = {r.report_id: r for r in reports.draft_context(fields, due, awards, funders, tenants).collect()}
+    assert (got[1].failure, got[1].query, got[1].high_stakes, got[1].rubric, got[1].key) == (None, "F G Aims", True, "[]", None)
+    assert (got[2].failure, got[2].amount_usd, got[3].failure) == ("award_not_found", None, "report_not_found")
+
+
+def test_last_step_is_the_status(spark):
+    log = spark.createDataFrame([(1, 0, 1, "parsing", None), (1, 0, 3, "failed", "no_text"), (1, 2, 1, "parsing", None), (2, 0, 3, "indexed", None)], "document_id int, batch int, step int, parse_status string, parse_error string")
+    status = jobs.current_status(log)
+    assert {tuple(r) for r in status.collect()} == {(1, "parsing", None), (2, "indexed", None)}
+    failed = spark.createDataFrame([(3, "failed", "no_text", None), (4, "failed", "no_text", "1998-06-15")], "document_id int, parse_status string, parse_error string, deleted_at string")
+    again = jobs.requeue(failed, spark.createDataFrame([(3,), (3,), (4,), (5,)], "document_id int"))
+    assert {tuple(r)[:3] for r in again.collect()} == {(3, "queued", None), (4, "failed", "no_text")}
+
+
+def test_ingested_chunks_equal_the_batch_job(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 2, None if i == 3 else f"Sentence {i}. " * (5 * i)) for i in range(8)], "document_id int, tenant_id int, text string")
+    rows.repartition(4).write.parquet(f"{tmp_path}/queue")
+    stream, sizes = jobs.read_stream(spark, f"{tmp_path}/queue", rows.schema, 2), {"target": 20, "overlap": 4, "backup": 5}
+    jobs.ingest_stream(stream, f"{tmp_path}/chunks", f"{tmp_path}/status", f"{tmp_path}/check", **sizes).awaitTermination()
+    key = lambda df: sorted(tuple(r) for r in df.select("document_id", "chunk_index", "content").collect())
+    assert key(spark.read.parquet(f"{tmp_path}/chunks")) == key(chunking.chunk_documents(rows, **sizes))
+    log = spark.read.parquet(f"{tmp_path}/status")
+    steps = {r.document_id: r.s for r in log.groupBy("document_id").agg(F.sort_array(F.collect_list("step")).alias("s")).collect()}
+    assert steps == {i: [1, 3] if i in (0, 3) else [1, 2, 3] for i in range(8)}
+    assert {(r.document_id, r.parse_error) for r in jobs.current_status(log).where("parse_status = 'failed'").collect()} == {(0, "no_text"), (3, "no_text")}
+
+
 def test_brackets_are_opt_in(spark):
     rows = spark.createDataFrame([(1, '[{"id":"[2]"},{"id":3,"page":"4"}]')], "draft_id long, citations string")
     assert [r.id for r in reports.coerce_citations(rows).collect()] == [3]
