@@ -53,8 +53,10 @@ BACK_OFF = (5.0, 20.0)
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
-def find(text: Column, pattern: str, group: int = 0) -> Column:
-    """Leftmost non-overlapping matches, as structs of start, end (code points) and the value of ``group``."""
+def find(text: Column, pattern: str, group: int = 0, keep=lambda value: F.lit(True)) -> Column:
+    """Leftmost non-overlapping matches, as structs of start, end (code points) and the value of ``group``, for which ``keep`` holds.
+
+    The list of spans grows by a copy, so only the matches that are kept are put in it."""
     anchored = rf"\G(?s:(.*?))({pattern})"
     pick = lambda n: F.regexp_extract_all(text, F.lit(anchored), F.lit(n))
 
@@ -64,20 +66,21 @@ def find(text: Column, pattern: str, group: int = 0) -> Column:
         def step(held: Column, x: Column) -> Column:
             begin = held["at"] + x["gap"]
             end = begin + x["size"]
-            return F.struct(end.alias("at"), F.concat(held["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+            more = F.concat(held["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))))
+            return F.struct(end.alias("at"), F.when(x["keep"], more).otherwise(held["out"]).alias("out"))
 
         return F.aggregate(parts, start, step, lambda held: held["out"])
 
     parts = F.zip_with(
         F.arrays_zip(pick(1).alias("gap"), pick(2).alias("hit")),
         pick(group + 2),
-        lambda a, v: F.struct(F.length(a["gap"]).alias("gap"), F.length(a["hit"]).alias("size"), v.alias("value")),
+        lambda a, v: F.struct(F.length(a["gap"]).alias("gap"), F.length(a["hit"]).alias("size"), v.alias("value"), keep(v).alias("keep")),
     )
     return let(parts, spans)
 
 
 def _found(text: Column, pattern: str, hint, group: int, least: int) -> Column:
-    hits = F.filter(find(text, pattern, group), lambda x: F.length(x["value"]) >= least)
+    hits = find(text, pattern, group, lambda value: F.length(value) >= least)
     return F.when(hint(text), hits).otherwise(F.array().cast(_SPANS))
 
 
@@ -183,7 +186,7 @@ def scan(docs: DataFrame, text_col: str = "text", model: MarkovRatio | None = No
         added = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     else:
         # positions are sought only in texts that hold a secret token
-        placed = _apart(F.filter(find(F.col("s_text"), TOKEN), lambda t: model.secret(t["value"])))
+        placed = _apart(find(F.col("s_text"), TOKEN, keep=model.secret))
         found = found.withColumn("s_any", F.exists("s_words", model.secret))
         found = found.withColumn("s_random", F.when(F.col("s_any"), placed).otherwise(F.array().cast(_SPANS)))
         added = _kind("s_random", KINDS.index("random"))
