@@ -3,8 +3,9 @@
 Two first-order character models, of random strings and of ordinary identifiers, are trained
 from labelled tokens.  Random are the values of pattern matches in a sample of the documents and
 generated strings; ordinary are the sample's other tokens of letters, digits and underscores
-that two different texts or more hold, so that secrets no pattern knows aren't learnt as ordinary.
-A fifth of both is held out.  A token is a secret if the log-likelihood ratio of the models is over
+that two different texts or more hold, so that secrets no pattern knows aren't learnt as ordinary,
+and each of these once more in another form (capitals, identifiers of two parts, numbers), for a sample of prose
+has few of them.  A fifth of both is held out.  A token is a secret if the log-likelihood ratio of the models is over
 ``MIN_RATIO`` and, for each of its character pairs, over a threshold that at most ``FALSE_ALARMS`` of
 the held-out ordinary tokens reach (``MIN_PER_CHAR`` at least; no higher than half of what 95 % of the held-out
 random strings reach, should the sample hold secrets that no pattern knows).  Model spans are added
@@ -16,7 +17,7 @@ without a match is left at once.  All of it is built-in functions; a model is a
 ``128 ** 2`` numbers, whatever the corpus.
 
 Defined cases: null text is empty; very long tokens are scored whole; repeated rows are scanned
-alone; with fewer than ``MIN_LABELLED`` ordinary tokens, as in an empty table, ``train`` gives
+alone; with fewer than ``MIN_LABELLED`` ordinary strings, as in an empty table, ``train`` gives
 None and only patterns are used; columns of the input stay, those named like a result excepted.
 """
 
@@ -45,8 +46,8 @@ HINTS = {
 KINDS = [p[0] for p in PATTERNS] + ["random"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}"
-#: Rows of the sample, generated strings, and ordinary tokens that a model needs.
-TRAIN_ROWS, GENERATED, MIN_LABELLED = 10_000, 3000, 100
+#: Rows of the sample, generated strings, and ordinary strings (tokens and their other forms) that a model needs.
+TRAIN_ROWS, GENERATED, MIN_LABELLED = 10_000, 3000, 200
 MIN_RATIO, MIN_PER_CHAR, FALSE_ALARMS = 12.0, 0.6, 0.0005
 #: Weight of what was never seen, in the ordinary and the random model.
 BACK_OFF = (5.0, 20.0)
@@ -150,6 +151,16 @@ def generated(spark: SparkSession, n: int = GENERATED) -> DataFrame:
     return spark.range(n).select(F.substring(token, F.lit(1), F.expr("12 + id div 4 % 29").cast("int")).alias("token"))
 
 
+def written_forms(token: Column) -> Column:
+    """Other ways in which ordinary text has a token of two characters or more: capitals, identifiers of two parts, with a number, and plain numbers."""
+    digits = F.lpad(F.shiftrightunsigned(F.xxhash64(token), 1).cast("string"), 19, "0")
+    half = F.floor(F.length(token) / 2).cast("int")
+    a, b = F.substring(token, F.lit(1), half), F.substr(token, half + 1)
+    number = lambda start, n: F.substring(digits, start, n)
+    snake, camel = F.concat_ws("_", a, b), F.concat(a, F.initcap(b))
+    return F.array(F.upper(token), F.initcap(token), snake, camel, F.initcap(F.upper(snake)), F.upper(snake), F.concat_ws("_", token, number(9, 4)), F.concat(camel, number(9, 2)), F.substring(digits, F.lit(2), F.length(token)), F.concat_ws("-", number(2, 3), number(5, 4), number(9, 4)))
+
+
 def labelled(docs: DataFrame, text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
     """``token``, ``label`` (1 random, 0 ordinary) and ``held_out`` (a fifth) from a sample of ``rows`` rows on average."""
     share = min(1.0, rows / max(docs.count(), 1))
@@ -160,8 +171,11 @@ def labelled(docs: DataFrame, text_col: str = "text", rows: int = TRAIN_ROWS) ->
     # tokens of texts without a match need no positions; a secret is seldom in two texts, an identifier often is
     plain = some.where(F.size("s_base") == 0).select(F.xxhash64("s_text").alias("of"), F.explode("s_words").alias("token")).where(F.col("token").rlike(r"^[A-Za-z0-9_]+$"))
     plain = plain.distinct().groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token", F.lit(0).alias("label"))
-    both = matched.where(~F.col("token").rlike(rf"[^{ALPHABET}]")).unionByName(plain)
-    return both.withColumn("held_out", F.pmod(F.xxhash64("token"), F.lit(5)) == 0)
+    both = matched.where(~F.col("token").rlike(rf"[^{ALPHABET}]")).unionByName(plain).withColumn("held_out", F.pmod(F.xxhash64("token"), F.lit(5)) == 0)
+    # an ordinary token and one other form of it are held out together
+    forms = written_forms(F.col("token"))
+    form = F.get(forms, F.pmod(F.xxhash64("token", F.lit(1)), F.size(forms)).cast("int"))
+    return both.select("label", "held_out", F.explode(F.when(F.col("label") == 0, F.array("token", form)).otherwise(F.array("token"))).alias("token"))
 
 
 def train(docs: DataFrame, text_col: str = "text", rows: int = TRAIN_ROWS) -> MarkovRatio | None:

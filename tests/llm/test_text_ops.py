@@ -151,6 +151,23 @@ def test_secret_classes_are_large(spark):
     assert sum(got[i] for i in long) >= 0.95 * len(long)
 
 
+def test_secret_model_leaves_ordinary_text(spark):
+    """Capitals, telephone and card numbers, and identifiers with numbers are no secrets; nor is much of sf0.1, whose secrets all have a pattern."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    model = secret_scan.train(docs)
+    usual = ["THEREFORETHE", "call 555-5793-2210 now", "4668350087416800", "identifier_1234", "parse_config_v2", "handleRequest2024", "MAX_RETRY_COUNT", "2024-11-28", "internationalisation"]
+    assert all(len(r.spans) == 0 for r in secret_scan.scan(table(spark, usual), model=model).collect())
+    added = secret_scan.scan(docs, model=model).where(F.size("spans") > F.size("base_spans")).count()
+    assert added <= 0.002 * docs.count()
+
+
+def test_find_keeps_places_of_left_out_matches(spark):
+    """Matches that are left out still count for the places of later ones."""
+    df = table(spark, ["aaaaaaaa bbbbbbbbé cccccccc"])
+    got = df.select(secret_scan.find(F.col("text"), secret_scan.TOKEN, keep=lambda v: v.startswith("c")).alias("s")).first().s
+    assert [(x.start, x.end, x.value) for x in got] == [(19, 27, "cccccccc")]
+
+
 def test_secret_model_needs_both_classes(spark):
     assert secret_scan.train(table(spark, [])) is None and secret_scan.train(table(spark, ["AKIA"])) is None
 
