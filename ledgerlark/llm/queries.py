@@ -79,7 +79,35 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(F.col("key").alias("doc_id"), "start", "n_tokens", ids_crc32("payload").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_decontamination, op4_near_dedup, op5_quality_rules, op6_line_dedup, op7_url_filters, op8_mixing, op9_warc, op10_token_ids)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import fill_in_middle, restored
+
+    made = fill_in_middle(_read(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plane_clusters import clusters
+
+    found = clusters(_read(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .grid_join import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings")).select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_secret_scan, op3_decontamination, op4_near_dedup, op5_quality_rules, op6_line_dedup, op7_url_filters, op8_mixing, op9_warc, op10_token_ids,
+        op11_fill_in_middle, op12_centroid_clustering, op13_embedding_near_dedup,
+    )
+}
+
 
 def _url_sql() -> str:
     from .url_filters import LIMIT, RULES, VOCABULARY
@@ -121,7 +149,38 @@ _LINES_SQL = r"""WITH t AS (SELECT page_id, lower(nullif(regexp_extract(url, '(?
 _WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS kept FROM pages), d AS (SELECT *, sha1(h) AS x FROM p)
     SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, {digest} AS payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to FROM d"""
 _LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(x, {at}, 5) AS INTEGER) >> {by}) & 31) + 1, 1)"
+_MIDDLE_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+    u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l, CAST('0x' || substr(x, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(x, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(x, 25, 8) AS BIGINT) AS h4 FROM d),
+    c AS (SELECT *, len(l) AS n, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS a, greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS b FROM u),
+    p AS (SELECT *, coalesce(array_to_string(l[1:a], ''), '') AS pre, coalesce(array_to_string(l[a + 1:b], ''), '') AS mid, coalesce(array_to_string(l[b + 1:n], ''), '') AS suf FROM c),
+    f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM p)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM f"""
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    floor = "CAST((s - (s % n + n) % n) // n AS BIGINT)"
+    parts = [
+        "kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(1024 * x) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)",
+        "x AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM kept)",
+        f"c0 AS MATERIALIZED (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM (SELECT v, row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c FROM kept) WHERE c < {k})",
+    ]
+    for j in range(rounds + 1):
+        parts.append(f"a{j} AS MATERIALIZED (SELECT r, min(struct_pack(d, c)) AS m FROM (SELECT r, c, CAST(sum((x.x - o.x) * (x.x - o.x)) AS BIGINT) AS d FROM x JOIN c{j} o USING (i) GROUP BY 1, 2) GROUP BY 1)")
+        if j < rounds:
+            parts.append(f"c{j + 1} AS MATERIALIZED (SELECT o.c, o.i, coalesce({floor}, o.x) AS x FROM c{j} o LEFT JOIN (SELECT m.c AS c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM a{j} JOIN x USING (r) GROUP BY 1, 2) t ON t.c = o.c AND t.i = o.i)")
+    last = f"h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY 1)"
+    return f"""WITH {', '.join([*parts, last])} SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM a{rounds} JOIN kept USING (r) JOIN h ON h.c = m.c"""
+
+
+# vectors of other lengths never meet: the angle is only asked for where they are equal
+_VECTORS_SQL = """WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e, len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS good FROM embeddings),
+    links AS MATERIALIZED (SELECT x.r AS a, y.r AS b FROM v x JOIN v y ON x.r <> y.r AND x.good AND y.good AND CASE WHEN len(x.e) = len(y.e) THEN list_cosine_similarity(x.e, y.e) >= 0.9 ELSE false END),
+    reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b), n AS (SELECT a, count(*) AS n FROM links GROUP BY 1), least AS (SELECT a, min(vec_id) AS least FROM reach JOIN v ON v.r = b GROUP BY 1)
+    SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(vec_id, least), vec_id) AS component_id, vec_id = coalesce(least(vec_id, least), vec_id) AS kept FROM v LEFT JOIN n ON n.a = r LEFT JOIN least ON least.a = r"""
 SQL: dict[str, str] = {
     "op1_substring_dedup": _SUBSTRING_SQL, "op5_quality_rules": _QUALITY_SQL, "op6_line_dedup": _LINES_SQL, "op7_url_filters": _url_sql(),
+    "op11_fill_in_middle": _MIDDLE_SQL, "op12_centroid_clustering": _clusters_sql(), "op13_embedding_near_dedup": _VECTORS_SQL,
     "op9_warc": _WARC_SQL.format(digest=" || ".join(_LETTER.format(at=5 * (i // 4) + 1, by=15 - 5 * (i % 4)) for i in range(32))),
 }
