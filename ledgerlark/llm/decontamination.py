@@ -157,5 +157,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     """``docs`` without the rows whose text is contaminated."""
     bench = items.select(F.xxhash64(item_id, item_text).alias("item_key"), F.col(item_text).cast("string").alias("text")).distinct()
     bad = save(contaminated_texts(docs.select(F.col(text_col).cast("string").alias("text")), bench).select(F.col("digest").alias("bad_digest")).distinct())
-    # a null text has a null digest and stays
-    return docs.join(bad, _digest(F.col(text_col).cast("string")) == F.col("bad_digest"), "left_anti")
+    # a null text has a null digest and stays; the row is a struct meanwhile, so that its columns may have any names
+    rows = docs.select(F.struct("*").alias("own_row"), _digest(F.col(text_col).cast("string")).alias("own_digest"))
+    return rows.join(bad, F.col("own_digest") == F.col("bad_digest"), "left_anti").select("own_row.*")

@@ -362,6 +362,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     same = signed.groupBy("digest", "id", "row").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "n")).alias("first")
     chosen = save(same.join(known, F.col("digest") == F.col("k_digest")).groupBy("class").agg(first).select(F.col("first.id").alias("c_id"), F.col("first.row").alias("c_row"), F.col("first.n").alias("c_n")))
-    kept = docs.withColumn("c_hash", F.xxhash64(*docs.columns)).join(chosen, (F.col("c_hash") == F.col("c_row")) & F.col(id_col).eqNullSafe(F.col("c_id")))
+    # the row is a struct meanwhile, so that its columns may have any names
+    kept = docs.select(F.struct("*").alias("c_doc"), F.col(id_col).alias("c_key"), F.xxhash64(*docs.columns).alias("c_hash"))
+    kept = kept.join(chosen, (F.col("c_hash") == F.col("c_row")) & F.col("c_key").eqNullSafe(F.col("c_id")))
     # rows that are equal in all columns can only be told apart by dropping the others
-    return kept.where("c_n = 1").select(*docs.columns).unionByName(kept.where("c_n > 1").select(*docs.columns).distinct())
+    return kept.where("c_n = 1").select("c_doc.*").unionByName(kept.where("c_n > 1").select("c_doc.*").distinct())

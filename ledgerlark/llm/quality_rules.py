@@ -3,8 +3,9 @@
 A rule is an expression over the text.  Each rule's cost and selectivity are measured on a
 bounded sample of the rows, and the rules are put in order of rejections per cost.  ``keep``
 evaluates them as one nested condition over the text: a row that a rule rejects never meets the
-next ones.  The order changes only what is evaluated, never the verdict.  ``judge`` reports all
-measures of every row, so it has nothing to skip.
+next ones.  The order changes only what is evaluated, never the verdict.  ``judge`` reports
+measures of every row, so rules over these alone cost nothing more and come first; the others
+are costed, ordered, and evaluated only for rows that all before them let pass.
 
 Defined cases: null text has no words (and so fails the word count); repeated rows are judged
 alone; a null id is kept; an empty table gives an empty result; other columns are untouched,
@@ -40,11 +41,12 @@ def _repeat_words(w: Column, n: int) -> Column:
         places = F.transform(ordered, lambda x, j: F.when(F.coalesce(same(x, j - 1), F.lit(False)) | F.coalesce(same(x, j + 1), F.lit(False)), x["i"]))
         return let(F.sort_array(F.array_compact(places)), covered)
 
+    # words are hashed once, windows are hashes of those
     def of(hashes: Column) -> Column:
         ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(ordered, repeated)).otherwise(F.lit(0))
 
-    return let(word_windows(w, n), of).cast("long")
+    return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: let(word_windows(h, n), of)).cast("long")
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -72,7 +74,14 @@ class _Split(TextMeasures):
 
 
 class _Ready(TextMeasures):
-    """The same, as columns that are there."""
+    """The same, as columns that are there; ``unready`` tells whether more than these was asked for."""
+
+    unready = False
+
+    def __getattribute__(self, name: str):
+        if name in ("text", "words", "lines"):
+            self.unready = True
+        return super().__getattribute__(name)
 
     n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words = (property(lambda self, c=c: F.col(f"q_{c}")) for c in MEASURES)
 
@@ -122,6 +131,8 @@ def ordered_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text", sa
 
     A cost is the time of a pass over the sample less that of an empty pass, the least of two,
     to the nearest power of two, so that the order doesn't hang on chance; ties keep the given order."""
+    if len(rules) < 2:
+        return list(rules)
     share = min(1.0, sample_rows / max(docs.count(), 1))
     some = docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 30)) < int(share * (1 << 30)))
     sample = save(some.select(F.col(text_col).cast("string").alias("text")).coalesce(1)).select("text", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
@@ -142,16 +153,32 @@ def ordered_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text", sa
     return [rule for _, _, rule in sorted(zip((-w for w in worth), range(len(rules)), rules))]
 
 
+def measured_first(rules: list[Rule]) -> tuple[list[Rule], list[Rule]]:
+    """The rules over reported measures alone, and the others."""
+    held: tuple[list[Rule], list[Rule]] = [], []
+    for rule in rules:
+        m = _Ready(F.col("q_text"), F.col("q_words"))
+        rule.rejects(m)
+        held[m.unready].append(rule)
+    return held
+
+
 def judge(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with the measures, ``base_failed``, ``failed_rule`` (the first that rejects, in the cascade's order, or null) and ``kept``."""
-    rules = ordered_rules(docs, rules or default_rules(), text_col)
+    """``docs`` with the measures, ``base_failed``, ``kept``, ``failed_rule`` (the first that rejects, in the cascade's order; null for
+    rows that the base or no rule rejects) and ``n_rules_met``, the rules that were evaluated for the row."""
+    free, dear = measured_first(rules or default_rules())
+    dear = ordered_rules(docs, dear, text_col)
     rows = docs.select(F.struct("*").alias("q_row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("q_text"))
     m = _Split(F.col("q_text"), F.col("q_words"))
     rows = rows.withColumns({"q_words": words(F.col("q_text")), "q_lines": TextMeasures(F.col("q_text"), F.col("q_words")).lines}).withColumns({f"q_{c}": getattr(m, c) for c in MEASURES})
     ready = _Ready(F.col("q_text"), F.col("q_words"))
-    failed = reduce(lambda held, rule: held.when(rule.rejects(ready), rule.name), rules, F)
-    rows = rows.withColumn("q_failed", failed).withColumn("q_base", base_failed(ready))
-    results = {c: F.col(f"q_{c}") for c in MEASURES} | {"base_failed": F.col("q_base"), "failed_rule": F.col("q_failed"), "kept": ~F.col("q_base") & F.col("q_failed").isNull()}
+    rows = rows.withColumn("q_base", base_failed(ready))
+    # a chain of conditions ends at the first that holds: what the base rejects meets no rule
+    met = F.when(F.col("q_base"), F.struct(F.lit(None).cast("string").alias("rule"), F.lit(0).alias("met")))
+    for k, rule in enumerate([*free, *dear], 1):
+        met = met.when(rule.rejects(ready), F.struct(F.lit(rule.name).alias("rule"), F.lit(k).alias("met")))
+    rows = rows.withColumn("q_met", met.otherwise(F.struct(F.lit(None).cast("string").alias("rule"), F.lit(len(free) + len(dear)).alias("met"))))
+    results = {c: F.col(f"q_{c}") for c in MEASURES} | {"base_failed": F.col("q_base"), "failed_rule": F.col("q_met.rule"), "n_rules_met": F.col("q_met.met"), "kept": ~F.col("q_base") & F.col("q_met.rule").isNull()}
     kept = [F.col(f"q_row.{c}") for c in docs.columns if c not in results]
     return rows.select(*kept, *[c.alias(name) for name, c in results.items()])
 

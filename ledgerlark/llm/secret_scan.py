@@ -4,8 +4,8 @@ Two first-order character models, of random strings and of ordinary identifiers,
 from labelled tokens.  Random are the values of pattern matches in a sample of the documents and
 generated strings; ordinary are the sample's other tokens of letters, digits and underscores
 that two different texts or more hold, so that secrets no pattern knows aren't learnt as ordinary,
-and each of these once more in another form (capitals, identifiers of two parts, numbers), for a sample of prose
-has few of them.  A fifth of both is held out.  A token is a secret if the log-likelihood ratio of the models is over
+and a stock of names made of common parts, each of these once more in another form (capitals, identifiers of two
+parts, numbers), for a sample of prose has few of them.  So there is a model for any table.  A fifth of both is held out.  A token is a secret if the log-likelihood ratio of the models is over
 ``MIN_RATIO`` and, for each of its character pairs, over a threshold that at most ``FALSE_ALARMS`` of
 the held-out ordinary tokens reach (``MIN_PER_CHAR`` at least; no higher than half of what 95 % of the held-out
 random strings reach, should the sample hold secrets that no pattern knows).  Model spans are added
@@ -17,8 +17,8 @@ without a match is left at once.  All of it is built-in functions; a model is a
 ``128 ** 2`` numbers, whatever the corpus.
 
 Defined cases: null text is empty; very long tokens are scored whole; repeated rows are scanned
-alone; with fewer than ``MIN_LABELLED`` ordinary strings, as in an empty table, ``train`` gives
-None and only patterns are used; columns of the input stay, those named like a result excepted.
+alone; an empty table's model is that of the stock and of generated strings; columns of the input
+stay, those named like a result excepted.
 """
 
 from __future__ import annotations
@@ -46,8 +46,10 @@ HINTS = {
 KINDS = [p[0] for p in PATTERNS] + ["random"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}"
-#: Rows of the sample, generated strings, and ordinary strings (tokens and their other forms) that a model needs.
-TRAIN_ROWS, GENERATED, MIN_LABELLED = 10_000, 3000, 200
+#: Rows of the sample, and generated strings.
+TRAIN_ROWS, GENERATED = 10_000, 3000
+#: Common parts of names, of which each pair makes an ordinary string.
+PARTS = "user name value count index total report status handler request response config number account document message session content create update delete return search filter".split()
 MIN_RATIO, MIN_PER_CHAR, FALSE_ALARMS = 12.0, 0.6, 0.0005
 #: Weight of what was never seen, in the ordinary and the random model.
 BACK_OFF = (5.0, 20.0)
@@ -151,6 +153,13 @@ def generated(spark: SparkSession, n: int = GENERATED) -> DataFrame:
     return spark.range(n).select(F.substring(token, F.lit(1), F.expr("12 + id div 4 % 29").cast("int")).alias("token"))
 
 
+def stock(spark: SparkSession) -> DataFrame:
+    """Ordinary strings (``token``) of eight characters or more: each pair of ``PARTS``."""
+    part = lambda i: F.element_at(F.array(*map(F.lit, PARTS)), i.cast("int") + 1)
+    rows = spark.range(len(PARTS) ** 2)
+    return rows.select(F.concat(part(F.expr(f"id div {len(PARTS)}")), part(F.col("id") % len(PARTS))).alias("token")).where(F.length("token") >= 8)
+
+
 def written_forms(token: Column) -> Column:
     """Other ways in which ordinary text has a token of two characters or more: capitals, identifiers of two parts, with a number, and plain numbers."""
     digits = F.lpad(F.shiftrightunsigned(F.xxhash64(token), 1).cast("string"), 19, "0")
@@ -170,7 +179,8 @@ def labelled(docs: DataFrame, text_col: str = "text", rows: int = TRAIN_ROWS) ->
     matched = matched.where(F.length("token") >= 12).unionByName(generated(docs.sparkSession)).withColumn("label", F.lit(1))
     # tokens of texts without a match need no positions; a secret is seldom in two texts, an identifier often is
     plain = some.where(F.size("s_base") == 0).select(F.xxhash64("s_text").alias("of"), F.explode("s_words").alias("token")).where(F.col("token").rlike(r"^[A-Za-z0-9_]+$"))
-    plain = plain.distinct().groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token", F.lit(0).alias("label"))
+    plain = plain.distinct().groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    plain = plain.unionByName(stock(docs.sparkSession)).distinct().withColumn("label", F.lit(0))
     both = matched.where(~F.col("token").rlike(rf"[^{ALPHABET}]")).unionByName(plain).withColumn("held_out", F.pmod(F.xxhash64("token"), F.lit(5)) == 0)
     # an ordinary token and one other form of it are held out together
     forms = written_forms(F.col("token"))
@@ -178,17 +188,13 @@ def labelled(docs: DataFrame, text_col: str = "text", rows: int = TRAIN_ROWS) ->
     return both.select("label", "held_out", F.explode(F.when(F.col("label") == 0, F.array("token", form)).otherwise(F.array("token"))).alias("token"))
 
 
-def train(docs: DataFrame, text_col: str = "text", rows: int = TRAIN_ROWS) -> MarkovRatio | None:
+def train(docs: DataFrame, text_col: str = "text", rows: int = TRAIN_ROWS) -> MarkovRatio:
     """Models from the ``labelled`` tokens that aren't held out, with the threshold that those held out call for."""
     tokens = save(labelled(docs, text_col, rows))
-    if tokens.where("label = 0 AND NOT held_out").limit(MIN_LABELLED).count() < MIN_LABELLED:
-        return None
     model = MarkovRatio.fit(tokens.where("NOT held_out"))
     mean = F.round(model.ratio(F.col("token")) / (F.length("token") - 1), 3)
     held = tokens.where("held_out").select("label", mean.alias("mean"))
     at = held.agg(F.percentile(F.when(F.col("label") == 0, F.col("mean")), 1 - FALSE_ALARMS).alias("plain"), F.percentile(F.when(F.col("label") == 1, F.col("mean")), 0.05).alias("random")).first()
-    if at["plain"] is None or at["random"] is None:
-        return model
     return replace(model, per_pair=max(MIN_PER_CHAR, min(at["plain"], at["random"] / 2)))
 
 
@@ -196,14 +202,11 @@ def scan(docs: DataFrame, text_col: str = "text", model: MarkovRatio | None = No
     """``docs`` with ``n_assign``, ``n_access``, ``n_hex``, ``base_spans`` and ``spans`` (arrays of start, kind number, end, by start and kind)."""
     model = model or train(docs, text_col)
     found = pattern_spans(docs, text_col)
-    if model is None:
-        added = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    else:
-        # positions are sought only in texts that hold a secret token
-        placed = _apart(find(F.col("s_text"), TOKEN, keep=model.secret))
-        found = found.withColumn("s_any", F.exists("s_words", model.secret))
-        found = found.withColumn("s_random", F.when(F.col("s_any"), placed).otherwise(F.array().cast(_SPANS)))
-        added = _kind("s_random", KINDS.index("random"))
+    # positions are sought only in texts that hold a secret token
+    placed = _apart(find(F.col("s_text"), TOKEN, keep=model.secret))
+    found = found.withColumn("s_any", F.exists("s_words", model.secret))
+    found = found.withColumn("s_random", F.when(F.col("s_any"), placed).otherwise(F.array().cast(_SPANS)))
+    added = _kind("s_random", KINDS.index("random"))
     counts = {f"n_{k}": F.size(f"s_{k}").cast("long") for k in KINDS[:3]}
     results = {**counts, "base_spans": F.col("s_base"), "spans": F.array_sort(F.concat("s_base", added))}
     kept = [F.col(f"s_row.{c}") for c in docs.columns if c not in results]

@@ -38,5 +38,8 @@ def test_query_matches_sql_on_odd_rows(spark, tmp_path, name):
     urls = [None, "", "no scheme", "http://A.org/x", "http://a.org/y?z", "http://a.org", "http://a.org/casino", "https://example.org/es/1"]
     pages = [(i, url, body) for i, (url, body) in enumerate(zip(urls, html))]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    v = [float(i % 7 - 3) for i in range(64)]
+    vectors = [v, v, [2 * x for x in v], [-x for x in v], None, [], [0.0] * 64, [None, *v[1:]], [float("nan"), *v[1:]], [float("inf"), *v[1:]], v[1:], [9.5, *v[1:]], [0.25] * 64, [0.25] * 63 + [0.0]]
+    spark.createDataFrame(list(enumerate(vectors, 3)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got, want = both(spark, name, tmp_path)
     assert got == want
