@@ -15,6 +15,8 @@ _DUE = "CAST(30 + 15 * (award_id % 5) AS INT)"
 _REPORTS = """SELECT award_id AS report_id, tenant_id, award_id, funder_id, concat('Report ', award_id) AS title, CAST(<due> AS TIMESTAMP) AS due_at,
     CASE award_id % 7 WHEN 0 THEN 'upcoming' WHEN 1 THEN 'drafting' WHEN 2 THEN 'ready_for_review' WHEN 3 THEN 'ready_for_export'
     WHEN 4 THEN 'submitted' WHEN 5 THEN 'accepted' ELSE 'revision_requested' END AS status FROM {awards}"""
+_ASKED = """SELECT (conv_id * 1000 + turn) * 1000 + i AS query_id, CAST(conv_id % 20 AS BIGINT) AS tenant_id, CASE WHEN conv_id % 3 <> 0 THEN CAST(conv_id % 5 AS INT) END AS funder_id, trim(s) AS query
+    FROM <parts> WHERE trim(s) <> ''"""
 _JUDGE = "SELECT doc_id AS draft_id, CAST(i AS INT) AS sentence_index, ((doc_id * 31 + i * 17) % 101) / 100.0 AS support_score FROM {documents} "
 
 TABLES: dict[str, str | tuple[str, str]] = {
@@ -46,6 +48,11 @@ TABLES: dict[str, str | tuple[str, str]] = {
     "draft_texts": """SELECT doc_id AS draft_id, CAST(doc_id % 25 AS INT) AS funder_id, text AS content, CASE WHEN doc_id % 3 <> 0 THEN CAST(50 + doc_id % 7 * 100 AS INT) END AS word_count_max,
         CASE WHEN doc_id % 4 = 1 THEN CAST(40 + doc_id % 5 * 60 AS INT) END AS word_count_min FROM {documents}""",
     "requests": "SELECT item_id AS query_id, CAST(item_id % 20 AS BIGINT) AS tenant_id, CASE WHEN item_id % 3 <> 0 THEN CAST(item_id % 5 AS INT) END AS funder_id, text AS query FROM {benchmark}",
+    # each sentence of a conversation is a request
+    "asked": (
+        _ASKED.replace("<parts>", "(SELECT conv_id, turn, i, s FROM {conversations} LATERAL VIEW posexplode(split(text, '[.!?\\n]+')) p AS i, s)"),
+        _ASKED.replace("<parts>", "(SELECT conv_id, turn, unnest(w) AS s, generate_subscripts(w, 1) - 1 AS i FROM (SELECT conv_id, turn, regexp_split_to_array(text, '[.!?\\n]+') AS w FROM {conversations}))"),
+    ),
 }
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.chunker import chunk, spans
+from ledgerlark.functions.stem import stems
 from ledgerlark.operators import chunking, deadlines, evaluation as E, extraction, reports, retrieval as R, tenancy
 from ledgerlark.operators.retrieval import cover_density
 from ledgerlark.streaming import jobs
@@ -25,15 +26,60 @@ def test_rerank_numbers_citations(spark):
     assert [(r.chunk_id, r.citation_id) for r in got] == [(2, 1), (0, 2), (1, 3)]
 
 
-def test_vector_topk_equals_numpy(spark):
+def top_by_hand(asked, chunks, k, scoped=True):
+    """(query, chunk) of the ``k`` most similar chunks of each request's scope, by plain loops."""
+    unit = lambda v: np.array(v) / max(np.linalg.norm(v), 1e-300)
+    out = set()
+    for q, tenant, funder, v in asked:
+        mine = [(c, w) for c, owner, by, w in chunks if w is not None and len(w) == len(v or []) and (not scoped or owner is not None and owner == tenant or owner is None and by is not None and by == funder)]
+        out |= {(q, c) for _, c in sorted((-round(float(unit(v) @ unit(w)), 12), c) for c, w in mine)[:k]} if v else set()
+    return out
+
+
+@pytest.mark.parametrize("scoped, tile_rows", [(False, 7), (True, 5), (True, 10_000)])
+def test_vector_topk_equals_loops(spark, scoped, tile_rows):
+    """One tenant holds most chunks, so that it is many tiles; some vectors are null, zero or of another length."""
     rng = np.random.default_rng(1)
-    v = rng.normal(size=(40, 5))
-    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "chunk_id long, embedding array<float>")
-    got = R.vector_topk(rows.where("chunk_id < 3").withColumnRenamed("chunk_id", "query_id"), rows, k=4, block_rows=2, scoped=False)
-    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    for q in range(3):
-        want = np.argsort(-(unit @ unit[q]))[:4].tolist()
-        assert [r.chunk_id for r in got.where(F.col("query_id") == q).orderBy("rank").collect()] == want
+    vector = lambda i: None if i % 17 == 0 else [0.0] * 5 if i % 19 == 0 else [float(x) for x in rng.normal(size=4 if i % 11 == 0 else 5)]
+    chunks = [(i, 1 if i % 3 else [2, None, 3][i % 9 // 3], 7 + i % 2, vector(i)) for i in range(200)]
+    asked = [(i, [1, 2, 9, None][i % 4], [7, 8, None][i % 3], vector(i + 1)) for i in range(40)]
+    columns = "tenant_id long, funder_id int, embedding array<float>"
+    got = R.vector_topk(spark.createDataFrame(asked, f"query_id long, {columns}"), spark.createDataFrame(chunks, f"chunk_id long, {columns}"), 4, tile_rows, scoped).collect()
+    as_float = lambda rows: [(*r[:3], r[3] and [float(np.float32(x)) for x in r[3]]) for r in rows]
+    assert {(r.query_id, r.chunk_id) for r in got} == top_by_hand(as_float(asked), as_float(chunks), 4, scoped)
+    assert all(sorted(r.rank for r in got if r.query_id == q) == list(range(1, 1 + sum(r.query_id == q for r in got))) for q in range(40))
+
+
+def test_vector_topk_keeps_tenants_apart_whatever_their_ids(spark):
+    """Neighbouring ids beyond the exact doubles, and uuids as tenants, chunks and requests."""
+    big = 2**53
+    schema = "tenant_id {0}, funder_id int, embedding array<float>"
+    chunks = spark.createDataFrame([(1, big, None, [1.0, 0.0]), (2, big + 1, None, [1.0, 0.0])], "chunk_id long, " + schema.format("long"))
+    asked = spark.createDataFrame([(5, big, None, [1.0, 0.1])], "query_id long, " + schema.format("long"))
+    assert [(r.query_id, r.chunk_id) for r in R.vector_topk(asked, chunks).collect()] == [(5, 1)]
+    import uuid
+
+    a, b, *ids = (str(uuid.UUID(int=i)) for i in range(8))
+    chunks = spark.createDataFrame([(ids[0], a, None, [1.0, 0.0]), (ids[1], b, None, [1.0, 0.0]), (ids[2], a, None, [0.0, 1.0])], "chunk_id string, " + schema.format("string"))
+    asked = spark.createDataFrame([(ids[3], a, None, [1.0, 0.1])], "query_id string, " + schema.format("string"))
+    assert [(r.query_id, r.chunk_id, r.rank) for r in R.vector_topk(asked, chunks).orderBy("rank").collect()] == [(ids[3], ids[0], 1), (ids[3], ids[2], 2)]
+
+
+def test_vector_topk_is_one_plan_for_any_number_of_requests(spark, tmp_path):
+    def plan(n):
+        rows = spark.range(n).select(F.col("id").alias("query_id"), (F.col("id") % 9).alias("tenant_id"), F.lit(None).cast("int").alias("funder_id"), F.array(F.lit(1.0), F.rand(1)).alias("embedding"))
+        rows.write.mode("overwrite").parquet(f"{tmp_path}/v")
+        held = spark.read.parquet(f"{tmp_path}/v")
+        text = R.vector_topk(held, held.withColumnRenamed("query_id", "chunk_id"))._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in text and "Cartesian" not in text
+        return text.count("FileScan")
+
+    assert plan(10) == plan(100_000)
+
+
+def lexical(spark, asked, chunks, **options):
+    index = R.lexical_index(chunks, **options)
+    return R.lexical_hits(R.request_terms(asked, **options), index), index
 
 
 def test_arms_never_leave_their_scope(spark):
@@ -42,10 +88,47 @@ def test_arms_never_leave_their_scope(spark):
     chunks = spark.createDataFrame(rows, "chunk_id long, tenant_id long, funder_id int, content string, embedding array<float>")
     asked = spark.createDataFrame([(1, 1, 5, "the river budget", [1.0, 1.0]), (2, 2, None, "river", [1.0, 1.0]), (3, None, None, "river", [1.0, 1.0]), (4, 1, 5, "of the", None)], "query_id long, tenant_id long, funder_id int, query string, embedding array<float>")
     want = {(q, c) for q, tenant, funder in ((1, 1, 5), (2, 2, None)) for c, owner, by, _, _ in rows if owner == tenant or owner is None and by == funder}
-    matches = R.lexical_match(asked, chunks)
-    assert {(r.query_id, r.chunk_id) for r in matches.collect()} == want == {(r.query_id, r.chunk_id) for r in R.vector_topk(asked, chunks).collect()}
-    assert {(r.query_id, r.chunk_id) for r in R.bm25_rank(asked, chunks, matches).collect()} == want
-    assert {(r.query_id, r.chunk_id): r.score for r in R.lexical_rank(asked, chunks, matches).collect()} == {p: pytest.approx(2 / 3 if p[0] == 1 else 1.0) for p in want}
+    hits, index = lexical(spark, asked, chunks)
+    assert {(r.query_id, r.chunk_id) for r in R.lexical_match(hits).collect()} == want == {(r.query_id, r.chunk_id) for r in R.vector_topk(asked, chunks).collect()}
+    assert {(r.query_id, r.chunk_id) for r in R.bm25_rank(hits, index).collect()} == want
+    assert {(r.query_id, r.chunk_id): r.score for r in R.lexical_rank(hits).collect()} == {p: pytest.approx(2 / 3 if p[0] == 1 else 1.0) for p in want}
+
+
+#: Words and their stems as published with the rules.
+VOCABULARY = {
+    "consign": "consign consigned consigning consignment", "consist": "consist consisted consistency consistent consistently consisting consists", "consol": "consolation consolations console consoled consoles consoling consolingly consols",
+    "consolatori": "consolatory", "consolid": "consolidate consolidated consolidating", "conson": "consonant", "consort": "consort consorted consorting", "conspicu": "conspicuous conspicuously", "conspiraci": "conspiracy",
+    "conspir": "conspirator conspirators conspire conspired conspiring", "constabl": "constable constables", "constanc": "constance constancy", "constant": "constant", "knack": "knack knacks", "knackeri": "knackeries", "knave": "knave knaves",
+    "knavish": "knavish", "knead": "kneaded kneading", "knee": "knee knees", "kneel": "kneel kneeled kneeling kneels", "knell": "knell", "knelt": "knelt", "knif": "knif", "knife": "knife", "knive": "knives", "knight": "knight knightly knights",
+    "knit": "knit knits knitted knitting", "knob": "knob knobs", "knock": "knock knocked knocking knocks", "knocker": "knocker knockers", "knot": "knot knots", "generous": "generously", "generat": "generate", "communiti": "communities", "sky": "skies",
+    "die": "dying", "news": "news", "inning": "innings", "proceed": "proceeds", "hope": "hoping hoped hopefulness", "hop": "hopping", "luxuri": "luxuriated", "tie": "ties", "cri": "cries cry", "gas": "gas", "gap": "gaps", "by": "by", "say": "say saying",
+    "relat": "relational", "condit": "conditional", "sensibl": "sensibility", "vietnam": "vietnamization", "oper": "operator", "decis": "decisiveness", "callous": "callousness", "sensit": "sensitivity", "electr": "electricity electrical", "allow": "allowance",
+    "gyroscop": "gyroscopic", "replac": "replacement", "adopt": "adoption", "homolog": "homologous", "bowdler": "bowdlerize", "rate": "rate", "ceas": "cease", "control": "controlling", "roll": "rolling", "agre": "agreed", "feed": "feed", "sing": "sing",
+    "conflat": "conflated", "troubl": "troubling", "size": "sized", "fall": "falling", "fizz": "fizzed", "file": "filing", "happi": "happy", "analog": "analogy", "quick": "quickly", "yellow": "yellow", "enjoy": "enjoyed", "été": "été", "日本": "日本", "x2": "x2",
+}
+
+
+def test_stems_of_a_published_vocabulary(spark):
+    want = {word: term for term, words in VOCABULARY.items() for word in words.split()}
+    got = {r.word: r.term for r in stems(spark.createDataFrame([(w,) for w in [*want, *want]], "word string")).collect()}
+    assert got == want
+
+
+def test_lexical_arm_by_hand(spark):
+    """Stems, stop words that count as places, absent terms, repeated terms, and chunks without words."""
+    chunks = [(1, "Running the runs, a river of budgets"), (2, "the river"), (3, None), (4, "budget budget river ran"), (5, "")]
+    df = spark.createDataFrame([(i, 1, None, t) for i, t in chunks], "chunk_id long, tenant_id long, funder_id int, content string")
+    asked = spark.createDataFrame([(1, 1, None, "The budgeted rivers"), (2, 1, None, "run"), (3, 1, None, "river zebra"), (4, 1, None, "of the"), (5, 1, None, None), (6, 1, None, "river RIVER rivers")], "query_id long, tenant_id long, funder_id int, query string")
+    hits, index = lexical(spark, asked, df)
+    assert {(r.chunk_id, r.term): (list(r.places), r.length) for r in index.where("term <> ''").collect()} == {(1, "run"): ([1, 3], 7), (1, "river"): ([5], 7), (1, "budget"): ([7], 7), (2, "river"): ([2], 2), (4, "budget"): ([1, 2], 4), (4, "river"): ([3], 4), (4, "ran"): ([4], 4)}
+    assert {tuple(r) for r in R.lexical_match(hits).select("query_id", "chunk_id", "n_terms", "tf").collect()} == {(1, 1, 2, 2), (1, 4, 2, 3), (2, 1, 1, 2), (6, 1, 1, 1), (6, 2, 1, 1), (6, 4, 1, 1)}
+    n, avg = 5, (7 + 2 + 0 + 4 + 0) / 5
+    part = lambda tf, df, size: np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / avg))
+    scores = {(r.query_id, r.chunk_id): r.score for r in R.bm25_rank(hits, index).collect()}
+    assert scores[1, 4] == pytest.approx(part(2, 2, 4) + part(1, 3, 4)) and scores[6, 2] == pytest.approx(part(1, 3, 2))
+    assert {(r.query_id, r.chunk_id): round(r.score, 6) for r in R.lexical_rank(hits).collect() if r.query_id == 1} == {(1, 1): round(2 / 3, 6), (1, 4): 1.0}
+    plain, _ = lexical(spark, asked, df, stop_words=[], stem=False)
+    assert {(r.query_id, r.chunk_id) for r in plain.collect()} == {(4, 1)}
 
 
 def test_named_entities(spark):
@@ -151,38 +234,32 @@ def test_due_dates(spark, end, offset, want):
     assert row.d == want
 
 
-def chunk_by_hand(text, target, overlap, backup):
-    """The rules again, one token at a time."""
-    marks, out, at = spans(text), [], 0
-    while at < len(marks):
-        stop = min(at + target, len(marks))
-        while stop < len(marks):
-            window = text[marks[at][0] : marks[stop - 1][1]]
-            found = list(__import__("re").finditer(r"[.!?]\s+|\n\n+", window))
-            paragraph = window.rfind("\n\n")
-            cut = paragraph + 2 if paragraph >= 0 and (not found or paragraph >= found[-1].start()) else found[-1].end() if found else None
-            if cut is not None:
-                n = sum(a - marks[at][0] < cut for a, _ in marks[at:stop])
-                if n > 0 and n >= target - backup:
-                    stop = at + n
-            break
-        content = text[marks[at][0] : marks[stop - 1][1]].strip()
-        if not content:
-            at = max(stop, at + 1)
-            continue
-        out.append((content, stop - at))
-        if stop == len(marks):
-            break
-        at += max(1, stop - at - overlap)
-    return out
-
-
-@pytest.mark.parametrize("text", ["", "   ", "Hello world. " * 70, " ".join(f"Sentence number {i}." for i in range(400)), "alpha " * 4000, "One.\n\nTwo? " * 300, 'He said "go." Next (so.) it! went\n\n\non. ' * 200, "a.\n \n\nb? c" * 300])
-def test_chunker_against_rules(text):
-    got = chunk(text, 100, 20, 30)
-    assert [(c, n) for _, c, n, _, _ in got] == chunk_by_hand(text, 100, 20, 30)
-    assert all(text[a:b] == c for _, c, _, a, b in got)
-    assert [i for i, *_ in got] == list(range(len(got)))
+@pytest.mark.parametrize(
+    "text, sizes, want",
+    [
+        ("", (6, 1, 2), []),
+        (" \n ", (6, 1, 2), []),
+        ("One two. Three four. Five six.", (6, 1, 2), [("One two.", 5), ("Three four.", 6), ("Five six.", 5)]),
+        ("alpha beta gamma delta", (3, 1, 1), [("alpha beta", 3), ("beta gamma", 3), ("gamma delta", 3)]),
+        ("aa bb\n\ncc dd ee", (6, 0, 3), [("aa bb", 4), ("cc dd ee", 5)]),
+        ("aa bb\n\ncc dd ee", (6, 0, 1), [("aa bb\n\ncc", 6), ("dd ee", 3)]),
+        ("No end here at all", (100, 10, 5), [("No end here at all", 9)]),
+    ],
+)
+def test_chunks_of_short_texts(text, sizes, want):
+    assert [(c, n) for _, c, n, _, _ in chunk(text, *sizes)] == want
+
+
+@pytest.mark.parametrize("text", ["Hello world. " * 70, " ".join(f"Sentence number {i}." for i in range(400)), "alpha " * 4000, "One.\n\nTwo? " * 300, 'He said "go." Next (so.) it! went\n\n\non. ' * 200, "a.\n \n\nb? c" * 300])
+def test_chunks_cover_a_text_with_bounded_overlap(text):
+    target, overlap, backup = 100, 20, 30
+    got, starts = chunk(text, target, overlap, backup), [a for a, _ in spans(text)]
+    assert [i for i, *_ in got] == list(range(len(got))) and all(text[a:b] == c for _, c, _, a, b in got)
+    assert all(n <= target for _, _, n, _, _ in got) and all(n >= target - backup for _, _, n, _, _ in got[:-1])
+    assert not text[: got[0][3]].strip() and not text[got[-1][4] :].strip()
+    for (_, _, _, _, end), (_, _, _, begin, _) in zip(got, got[1:]):
+        assert not text[end:begin].strip()  # nothing but white space is left between them
+        assert sum(begin <= a < end for a in starts) <= overlap
 
 
 def test_chunker_rejects_overlap(spark):
