@@ -74,32 +74,48 @@ def replace_subscriptions(current: DataFrame, submitted: DataFrame) -> DataFrame
     return kept.unionByName(submitted.select("tenant_id", F.explode("funder_ids").alias("funder_id")).distinct())
 
 
-def _latest(events: DataFrame, *key: str) -> DataFrame:
-    order = Window.partitionBy(*key).orderBy(F.desc("at"), F.desc("event_id"))
-    return events.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+def _known(old: DataFrame, events: DataFrame, key: str) -> DataFrame:
+    """(key, old, made): what is there from the start, and what the first of ``events`` makes."""
+    made = events.groupBy(key).agg(F.min("seq").alias("made"))
+    return old.select(key, F.lit(True).alias("old")).join(made, key, "full_outer").withColumn("old", F.coalesce("old", F.lit(False)))
 
 
 def apply_membership_events(orgs: DataFrame, users: DataFrame, members: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
-    """State after events (event_id, at, kind, org_id, user_id, name, emails, first_name, last_name, role).
-
-    Organisations: created makes or changes one, updated changes one that is there (or is made in the
-    same batch), deleted leaves it as ``churned``.  Users: made or changed.  Memberships: made, changed
-    or removed where organisation and user are known."""
-    on = lambda prefix: events.where(F.col("kind").startswith(prefix + "."))
-    e = on("organization")
-    known = orgs.select("org_id").union(e.where("kind = 'organization.created'").select("org_id")).distinct()
-    named = _latest(e.where("kind <> 'organization.deleted'"), "org_id").join(known, "org_id", "left_semi").select("org_id", F.col("name").alias("new_name"))
-    last = _latest(e, "org_id").select("org_id", F.when(F.col("kind") == "organization.deleted", "churned").otherwise("active").alias("new_status"))
-    out = orgs.join(named, "org_id", "full_outer").join(last, "org_id", "left").select("org_id", F.coalesce("new_name", "name").alias("name"), F.coalesce("new_status", "status").alias("status"))
-    u = _latest(on("user"), "user_id")
-    full = F.concat_ws(" ", F.nullif(F.trim("first_name"), F.lit("")), F.nullif(F.trim("last_name"), F.lit("")))
-    u = u.select("user_id", F.coalesce(F.get("emails", F.lit(0)), F.lit("")).alias("new_email"), F.nullif(full, F.lit("")).alias("new_name"), F.lit(True).alias("seen"))
-    all_users = users.join(u, "user_id", "full_outer").select("user_id", F.when(F.col("seen"), F.col("new_email")).otherwise(F.col("email")).alias("email"), F.when(F.col("seen"), F.col("new_name")).otherwise(F.col("name")).alias("name"))
-    m = _latest(on("membership"), "org_id", "user_id").join(out.select("org_id"), "org_id", "left_semi").join(all_users.select("user_id"), "user_id", "left_semi")
+    """State after events (event_id, at, kind, org_id, user_id, name, slug, emails, first_name, last_name, role), as if they were handled
+    one by one in the order of time and id; kinds that aren't named here change nothing.
+
+    Organisations (org_id, name, slug, status): created makes one, active, or changes name and slug; updated changes one
+    that is there by then; deleted leaves one that is there by then as ``churned``; nothing else touches the status.
+    A name that isn't given is ``Unnamed Organization`` when made and empty when updated, a slug the id.
+    Users: made or changed.  Memberships: made, changed or removed where organisation and user are there by then.
+
+    As only the first making decides whether an event counts, and only the last that counts what it leaves, each state is a
+    first and a last by key: no list of events is kept."""
+    is_ = lambda *kinds: F.col("kind").isin(*kinds)
+    e = events.withColumn("seq", F.struct("at", "event_id"))
+    o = e.where(is_("organization.created", "organization.updated", "organization.deleted"))
+    org = _known(orgs, o.where(is_("organization.created")), "org_id")
+    counts = o.join(org, "org_id").where(F.col("old") | (F.col("seq") >= F.col("made")))
+    name = F.coalesce("name", F.when(is_("organization.created"), "Unnamed Organization").otherwise(""))
+    named = F.max(F.when(~is_("organization.deleted"), F.struct("seq", name.alias("name"), F.coalesce("slug", F.col("org_id").cast("string")).alias("slug")))).alias("last")
+    changed = counts.groupBy("org_id").agg(named, F.bool_or(is_("organization.deleted")).alias("gone"))
+    rows = org.select("org_id").join(orgs, "org_id", "left").join(changed, "org_id", "left")
+    status = F.when(F.col("gone"), "churned").otherwise(F.coalesce("status", F.lit("active")))
+    new_orgs = rows.select("org_id", F.coalesce("last.name", "name").alias("name"), F.coalesce("last.slug", "slug").alias("slug"), status.alias("status"))
+    u = e.where(is_("user.created", "user.updated"))
+    user = _known(users, u, "user_id")
+    full = F.trim(F.concat_ws(" ", F.nullif("first_name", F.lit("")), F.nullif("last_name", F.lit(""))))
+    last = F.max(F.struct("seq", F.coalesce(F.get("emails", F.lit(0)), F.lit("")).alias("email"), F.nullif(full, F.lit("")).alias("name"))).alias("last")
+    rows = users.join(u.groupBy("user_id").agg(last), "user_id", "full_outer")
+    pick = lambda c: F.when(F.col("last").isNotNull(), F.col(f"last.{c}")).otherwise(F.col(c)).alias(c)
+    new_users = rows.select("user_id", pick("email"), pick("name"))
+    m = e.where(is_("membership.created", "membership.deleted")).select("org_id", "user_id", "seq", "kind", "role")
+    for known, key in ((org, "org_id"), (user, "user_id")):
+        m = m.join(known, key).where(F.col("old") | (F.col("seq") > F.col("made"))).drop("old", "made")
     role = F.coalesce(F.nullif(F.regexp_replace("role", "^org:", ""), F.lit("")), F.lit("editor"))
-    m = m.select("org_id", "user_id", role.alias("role"), (F.col("kind") == "membership.deleted").alias("gone"))
-    kept = members.join(m, ["org_id", "user_id"], "left_anti").select("org_id", "user_id", "role").unionByName(m.where("NOT gone").drop("gone"))
-    return {"orgs": out, "users": all_users, "members": kept}
+    m = m.groupBy("org_id", "user_id").agg(F.max(F.struct("seq", (F.col("kind") == "membership.deleted").alias("gone"), role.alias("role"))).alias("last"))
+    kept = members.join(m, ["org_id", "user_id"], "left_anti").select("org_id", "user_id", "role").unionByName(m.where("NOT last.gone").select("org_id", "user_id", "last.role"))
+    return {"orgs": new_orgs, "users": new_users, "members": kept}
 
 
 def constraint_report(checks: dict[str, Column], unique: dict[str, tuple[DataFrame, list[str]]], foreign: dict[str, tuple[DataFrame, str, DataFrame, str]], rows: DataFrame) -> DataFrame:

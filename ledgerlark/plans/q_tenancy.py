@@ -92,22 +92,24 @@ def _events(t):
     k = F.col("event_id") % 7
     kinds = F.when(k == 0, "organization.created").when(k == 1, "organization.updated").when(k == 2, "organization.deleted").when(k <= 4, "user.updated").when(k == 5, "membership.created").otherwise("membership.deleted")
     return t("events").select(
-        "event_id", F.col("ts").alias("at"), kinds.alias("kind"), (F.col("user_id") % 200).alias("org_id"), (F.col("user_id") % 150).alias("user_id"), F.concat(F.lit("org "), F.col("event_id")).alias("name"),
+        "event_id", F.col("ts").alias("at"), kinds.alias("kind"), (F.col("user_id") % 200).alias("org_id"), (F.col("user_id") % 150).alias("user_id"), F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("org "), F.col("event_id"))).alias("name"), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("o-"), F.col("event_id"))).alias("slug"),
         F.when(k == 3, F.array(F.concat(F.lit("u"), F.col("event_id"), F.lit("@example.org")))).otherwise(F.array().cast("array<string>")).alias("emails"), F.lit("A").alias("first_name"), F.when(k == 3, F.lit(" ")).otherwise(F.lit("B")).alias("last_name"), F.when(F.col("event_id") % 2 == 0, "org:admin").otherwise("").alias("role"),
     )
 
 
 def _membership(t):
-    orgs = t("tenants").where("tenant_id < 30").select(F.col("tenant_id").alias("org_id"), "name", F.lit("active").alias("status"))
+    orgs = t("tenants").where("tenant_id < 30").select(F.col("tenant_id").alias("org_id"), "name", F.lit("old").alias("slug"), F.expr("CASE tenant_id % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'paused' ELSE 'churned' END").alias("status"))
     users = t("tenants").where("tenant_id < 40").select(F.col("tenant_id").alias("user_id"), F.lit("old@example.org").alias("email"), "name")
     members = t("tenants").where("tenant_id < 20").select(F.col("tenant_id").alias("org_id"), F.col("tenant_id").alias("user_id"), F.lit("viewer").alias("role"))
     return J.apply_membership_events(orgs, users, members, _events(t))
 
 
-_E = "e AS (SELECT event_id, ts AS tm, user_id % 200 AS org_id, user_id % 150 AS user_id, event_id % 7 AS k FROM {events})"
-_ORGS = f"""{_E}, old AS (SELECT tenant_id AS org_id, name FROM {{tenants}} WHERE tenant_id < 30), known AS (SELECT org_id FROM old UNION SELECT org_id FROM e WHERE k = 0),
-    nm AS (SELECT org_id, arg_max('org ' || event_id, (tm, event_id)) AS nn FROM e WHERE k < 2 GROUP BY 1), st AS (SELECT org_id, arg_max(CASE WHEN k = 2 THEN 'churned' ELSE 'active' END, (tm, event_id)) AS ns FROM e WHERE k < 3 GROUP BY 1),
-    orgs AS (SELECT org_id, coalesce(nn, name) AS name, coalesce(ns, 'active') AS status FROM known LEFT JOIN old USING (org_id) LEFT JOIN nm USING (org_id) LEFT JOIN st USING (org_id))"""
+_E = "e AS (SELECT event_id, ts AS tm, (ts, event_id) AS seq, user_id % 200 AS org_id, user_id % 150 AS user_id, event_id % 7 AS k FROM {events})"
+_ORGS = f"""{_E}, old AS (SELECT tenant_id AS org_id, name, 'old' AS slug, CASE tenant_id % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'paused' ELSE 'churned' END AS status FROM {{tenants}} WHERE tenant_id < 30),
+    made AS (SELECT org_id, min(seq) AS made FROM e WHERE k = 0 GROUP BY 1), known AS (SELECT coalesce(o.org_id, m.org_id) AS org_id, CASE WHEN o.org_id IS NULL THEN made END AS since FROM old o FULL JOIN made m USING (org_id)),
+    c AS (SELECT e.* FROM e JOIN known USING (org_id) WHERE k < 3 AND (since IS NULL OR seq >= since)), gone AS (SELECT DISTINCT org_id FROM c WHERE k = 2),
+    nm AS (SELECT org_id, arg_max(CASE WHEN event_id % 5 <> 0 THEN 'org ' || event_id WHEN k = 0 THEN 'Unnamed Organization' ELSE '' END, seq) AS nn, arg_max(CASE WHEN event_id % 3 <> 0 THEN 'o-' || event_id ELSE CAST(org_id AS VARCHAR) END, seq) AS ns FROM c WHERE k < 2 GROUP BY 1),
+    orgs AS (SELECT org_id, coalesce(nn, name) AS name, coalesce(ns, slug) AS slug, CASE WHEN gone.org_id IS NOT NULL THEN 'churned' ELSE coalesce(status, 'active') END AS status FROM known LEFT JOIN old USING (org_id) LEFT JOIN nm USING (org_id) LEFT JOIN gone USING (org_id))"""
 _USERS = """us AS (SELECT user_id, arg_max(CASE WHEN k = 3 THEN 'u' || event_id || '@example.org' ELSE '' END, (tm, event_id)) AS email, arg_max(CASE WHEN k = 3 THEN 'A' ELSE 'A B' END, (tm, event_id)) AS name FROM e WHERE k IN (3, 4) GROUP BY 1),
     users AS (SELECT user_id, CASE WHEN us.user_id IS NULL THEN 'old@example.org' ELSE us.email END AS email, coalesce(us.name, o.name) AS name FROM us FULL JOIN (SELECT tenant_id AS user_id, name FROM {tenants} WHERE tenant_id < 40) o USING (user_id))"""
 
@@ -122,8 +124,8 @@ def apply_user_events(t):
     return _membership(t)["users"]
 
 
-@query(f"""WITH {_ORGS}, {_USERS}, ms AS (SELECT org_id, user_id, arg_max(k, (tm, event_id)) AS k, arg_max(event_id, (tm, event_id)) AS id FROM e WHERE k >= 5 GROUP BY 1, 2),
-    ok AS (SELECT * FROM ms WHERE org_id IN (SELECT org_id FROM orgs) AND user_id IN (SELECT user_id FROM users)), old_m AS (SELECT tenant_id AS org_id, tenant_id AS user_id FROM {{tenants}} WHERE tenant_id < 20)
+@query(f"""WITH {_ORGS}, {_USERS}, seen AS (SELECT coalesce(o.tenant_id, m.user_id) AS user_id, CASE WHEN o.tenant_id IS NULL THEN made END AS u_since FROM (SELECT tenant_id FROM {{tenants}} WHERE tenant_id < 40) o FULL JOIN (SELECT user_id, min(seq) AS made FROM e WHERE k IN (3, 4) GROUP BY 1) m ON o.tenant_id = m.user_id),
+    ok AS (SELECT org_id, user_id, arg_max(k, seq) AS k, arg_max(event_id, seq) AS id FROM e JOIN known USING (org_id) JOIN seen USING (user_id) WHERE k >= 5 AND (since IS NULL OR seq > since) AND (u_since IS NULL OR seq > u_since) GROUP BY 1, 2), old_m AS (SELECT tenant_id AS org_id, tenant_id AS user_id FROM {{tenants}} WHERE tenant_id < 20)
     SELECT org_id, user_id, CASE WHEN id % 2 = 0 THEN 'admin' ELSE 'editor' END AS role FROM ok WHERE k = 5 UNION ALL SELECT org_id, user_id, 'viewer' FROM old_m ANTI JOIN ok USING (org_id, user_id)""")
 def apply_member_events(t):
     return _membership(t)["members"]

@@ -326,3 +326,43 @@ def test_heading_pairs(spark):
     rows = {r.doc_id: r for r in got.collect()}
     assert rows[1].exact == pytest.approx(2 / 3) and rows[1].within_one == pytest.approx(1 / 3)
     assert rows[2].exact == rows[2].within_one == 1.0
+
+
+def handled_one_by_one(orgs, users, members, events):
+    """The events as a web hook would get them."""
+    orgs, users, members = dict(orgs), dict(users), dict(members)
+    for _, _, kind, org, user, name, slug, emails, first, last, role in sorted(events, key=lambda x: (x[1], x[0])):
+        if kind == "organization.created":
+            orgs[org] = ("Unnamed Organization" if name is None else name, org if slug is None else slug, orgs[org][2] if org in orgs else "active")
+        elif kind == "organization.updated" and org in orgs:
+            orgs[org] = ("" if name is None else name, org if slug is None else slug, orgs[org][2])
+        elif kind == "organization.deleted" and org in orgs:
+            orgs[org] = (*orgs[org][:2], "churned")
+        elif kind in ("user.created", "user.updated"):
+            users[user] = (emails[0] if emails else "", " ".join(x for x in (first, last) if x).strip() or None)
+        elif kind.startswith("membership.") and org in orgs and user in users:
+            if kind == "membership.created":
+                members[org, user] = (role or "editor").removeprefix("org:")
+            elif kind == "membership.deleted":
+                members.pop((org, user), None)
+    return orgs, users, members
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_membership_events_equal_a_replay(spark, seed):
+    """Random sequences, with organisations that are paused or churned before, and events of what isn't there yet."""
+    rng = np.random.default_rng(seed)
+    pick = lambda *values: values[rng.integers(len(values))]
+    kinds = ["organization.created", "organization.updated", "organization.updated", "organization.deleted", "user.created", "user.updated", "membership.created", "membership.created", "membership.deleted", "session.created"]
+    orgs = {f"o{i}": (f"Old {i}", f"s{i}", ("active", "paused", "churned")[i]) for i in range(3)}
+    users, members = {"u0": ("a@example.org", "A"), "u1": ("", None)}, {("o0", "u0"): "viewer", ("o1", "u1"): "admin"}
+    events = [(f"e{i:03d}", int(rng.integers(40)), kinds[rng.integers(10)], f"o{rng.integers(9)}", f"u{rng.integers(6)}", pick(None, f"N{i}"), pick(None, f"s{i}"), pick(None, [], [f"m{i}", "x"]), pick(None, "", f"F{i}"), pick("", " L "), pick(None, "org:admin", "viewer")) for i in range(60)]
+    schema = "event_id string, at int, kind string, org_id string, user_id string, name string, slug string, emails array<string>, first_name string, last_name string, role string"
+    got = tenancy.apply_membership_events(
+        spark.createDataFrame([(k, *v) for k, v in orgs.items()], "org_id string, name string, slug string, status string"), spark.createDataFrame([(k, *v) for k, v in users.items()], "user_id string, email string, name string"),
+        spark.createDataFrame([(*k, v) for k, v in members.items()], "org_id string, user_id string, role string"), spark.createDataFrame(events, schema),
+    )
+    want = handled_one_by_one(orgs, users, members, events)
+    assert {r.org_id: (r.name, r.slug, r.status) for r in got["orgs"].collect()} == want[0]
+    assert {r.user_id: (r.email, r.name) for r in got["users"].collect()} == want[1]
+    assert {(r.org_id, r.user_id): r.role for r in got["members"].collect()} == want[2]
