@@ -25,7 +25,8 @@ def chunk_documents(docs: DataFrame, target: int = 800, overlap: int = 100, back
                 rows = [(i, *c) for i, text in zip(some["document_id"], some["text"]) for c in chunk(text, target, overlap, backup, tokenizer)]
                 yield pd.DataFrame(rows, columns=columns)
 
-    return docs.select("document_id", "text").mapInPandas(run, "document_id long, chunk_index int, content string, token_count int, char_start int, char_end int")
+    kind = dict(docs.dtypes)["document_id"]
+    return docs.select("document_id", "text").mapInPandas(run, f"document_id {kind}, chunk_index int, content string, token_count int, char_start int, char_end int")
 
 
 def heading_path(chunks: DataFrame, headings: DataFrame, max_depth: int = 6) -> DataFrame:
@@ -105,4 +106,5 @@ def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], np.ndarray] = h
                 some = frame.iloc[k : k + batch]
                 yield some[["document_id", "chunk_index"]].assign(embedding=list(embed(some["content"].tolist())))
 
-    return chunks.select("document_id", "chunk_index", "content").mapInPandas(run, "document_id long, chunk_index int, embedding array<float>")
+    kind = dict(chunks.dtypes)["document_id"]
+    return chunks.select("document_id", "chunk_index", "content").mapInPandas(run, f"document_id {kind}, chunk_index int, embedding array<float>")

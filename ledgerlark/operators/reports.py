@@ -67,8 +67,8 @@ def report_progress(fields: DataFrame) -> DataFrame:
 def filter_options(awards: DataFrame, funders: DataFrame) -> DataFrame:
     """(kind, value, label) of the dashboard's filters, by kind and label."""
     rows = awards.join(funders.select("funder_id", F.col("name").alias("funder_name")), "funder_id", "left").withColumn("funder_name", F.coalesce("funder_name", F.lit(UNKNOWN_FUNDER)))
-    by_funder = rows.select(F.lit("funder").alias("kind"), F.col("funder_id").cast("long").alias("value"), F.col("funder_name").alias("label")).distinct()
-    by_award = rows.select(F.lit("award").alias("kind"), F.col("award_id").cast("long").alias("value"), F.concat("program_name", F.lit(" ("), "funder_name", F.lit(")")).alias("label"))
+    by_funder = rows.select(F.lit("funder").alias("kind"), F.col("funder_id").cast("string").alias("value"), F.col("funder_name").alias("label")).distinct()
+    by_award = rows.select(F.lit("award").alias("kind"), F.col("award_id").cast("string").alias("value"), F.concat("program_name", F.lit(" ("), "funder_name", F.lit(")")).alias("label"))
     return by_funder.unionByName(by_award).orderBy("kind", "label", "value")
 
 

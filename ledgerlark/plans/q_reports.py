@@ -56,8 +56,8 @@ def report_progress(t):
     return H.report_progress(t("report_fields")).withColumn("percent", F.round("percent", 9))
 
 
-@query("""SELECT DISTINCT 'funder' AS kind, CAST(a.funder_id AS BIGINT) AS value, coalesce(f.name, 'Unknown funder') AS label FROM {awards} a LEFT JOIN {funders} f USING (funder_id)
-    UNION ALL SELECT 'award', award_id, concat(program_name, ' (', coalesce(f.name, 'Unknown funder'), ')') FROM {awards} a LEFT JOIN {funders} f USING (funder_id)""")
+@query("""SELECT DISTINCT 'funder' AS kind, CAST(a.funder_id AS VARCHAR) AS value, coalesce(f.name, 'Unknown funder') AS label FROM {awards} a LEFT JOIN {funders} f USING (funder_id)
+    UNION ALL SELECT 'award', CAST(award_id AS VARCHAR), concat(program_name, ' (', coalesce(f.name, 'Unknown funder'), ')') FROM {awards} a LEFT JOIN {funders} f USING (funder_id)""")
 def filter_options(t):
     return H.filter_options(t("awards"), t("funders"))
 

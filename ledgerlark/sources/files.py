@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
@@ -43,7 +46,7 @@ def flatten_tables(parsed: DataFrame) -> DataFrame:
 
 
 def embedded_chunks(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Chunks with their vectors, of documents all of whose chunks have one; the first of a repeated chunk counts."""
+    """Chunks with their vectors, of documents all of whose chunks have one; of a repeated chunk any one counts."""
     key = ["document_id", "chunk_index"]
     v = vectors.dropDuplicates(key).withColumn("has_vector", F.lit(True))
     rows = chunks.dropDuplicates(key).join(v, key, "left")
@@ -51,14 +54,67 @@ def embedded_chunks(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return rows.withColumn("lacking", whole).where("lacking = 0").drop("lacking", "has_vector")
 
 
+_LOG = "version long, nth long, batch string, attempt string"
+
+
+def _log(spark: SparkSession, path: str) -> DataFrame:
+    """The commits of ``path``, one row each."""
+    try:
+        return spark.read.schema(_LOG).json(f"{path}/log")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _LOG)
+
+
+def version_of(spark: SparkSession, path: str, batch: str) -> int:
+    """The version that ``batch`` has, or the next one."""
+    row = _log(spark, path).agg(F.max("version").alias("last"), F.max(F.when(F.col("batch") == batch, F.col("version"))).alias("own")).first()
+    return row.own if row.own is not None else (row.last or 0) + 1
+
+
+def commit_documents(rows: DataFrame, path: str, batch: str) -> None:
+    """Make ``rows`` (with document_id) the newest version of their documents.
+
+    Rows go to a folder of the attempt's own, then a pointer for each document, then one line of the
+    log, written as one file, which makes all of them visible at once.  What was killed before has no
+    line and is never read.  A batch that is written again keeps its version and replaces its earlier
+    attempt; a later batch replaces the documents that it holds.  One writer at a time; ids of any type."""
+    spark, attempt = rows.sparkSession, f"a{uuid.uuid4().hex}"
+    # with a letter ahead, a folder's name is read as text whatever the id
+    tenant = {"tenant": F.concat(F.lit("t"), F.col("tenant_id").cast("string"))} if "tenant_id" in rows.columns else {}
+    rows.withColumns(tenant).write.partitionBy(*tenant).parquet(f"{path}/data/attempt={attempt}")
+    held = spark.read.schema(rows.schema).parquet(f"{path}/data/attempt={attempt}")
+    held.groupBy("document_id").agg(F.count("*").alias("n_rows")).write.parquet(f"{path}/documents/attempt={attempt}")
+    line = [(version_of(spark, path, batch), _log(spark, path).count() + 1, batch, attempt)]
+    spark.createDataFrame(line, _LOG).coalesce(1).write.mode("append").json(f"{path}/log")
+
+
+def read_batch(spark: SparkSession, path: str, batch: str) -> DataFrame:
+    """(document_id, n_rows) of the documents that ``batch`` committed."""
+    last = _log(spark, path).where(F.col("batch") == batch).agg(F.max_by("attempt", "nth").alias("attempt"))
+    return spark.read.parquet(f"{path}/documents").join(last, "attempt", "left_semi").drop("attempt")
+
+
+def read_current(spark: SparkSession, path: str, tenant_id=None) -> DataFrame:
+    """The rows of the newest committed version of each document; of one tenant, only its folders are read."""
+    good = _log(spark, path).groupBy("batch").agg(F.max_by(F.struct("version", "attempt"), "nth").alias("c")).select("c.*")
+    pointers = spark.read.parquet(f"{path}/documents").join(good, "attempt")
+    newest = pointers.groupBy("document_id").agg(F.max_by("attempt", "version").alias("attempt"))
+    rows = spark.read.parquet(f"{path}/data")
+    if tenant_id is not None:
+        rows = rows.where(F.col("tenant") == f"t{tenant_id}")
+    return rows.join(newest, ["document_id", "attempt"], "left_semi").drop("attempt", "tenant")
+
+
 def write_chunks(chunks: DataFrame, vectors: DataFrame, path: str, batch: str) -> None:
-    """Add the embedded chunks to ``path``; a batch that is written again replaces itself."""
-    embedded_chunks(chunks, vectors).write.mode("overwrite").partitionBy("tenant_id").parquet(f"{path}/batch={batch}")
+    """Commit the embedded chunks; ``read_current`` gives each document's last ones, so (document_id, chunk_index) is unique whatever the batches."""
+    commit_documents(embedded_chunks(chunks, vectors), path, batch)
 
 
 def write_embeddings(chunks: DataFrame, vectors: DataFrame, path: str, batch: str) -> None:
-    """Add (document_id, chunk_index, embedding) of the documents all of whose chunks have a vector; a batch that is written again replaces itself."""
-    embedded_chunks(chunks.select("document_id", "chunk_index"), vectors).select("document_id", "chunk_index", "embedding").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    """The same for (document_id, chunk_index, embedding) of the documents all of whose chunks have a vector."""
+    commit_documents(embedded_chunks(chunks.select("document_id", "chunk_index"), vectors).select("document_id", "chunk_index", "embedding"), path, batch)
 
 
 def upsert_by_key(target: DataFrame, source: DataFrame, keys: list[str], set_cols: list[str]) -> DataFrame:

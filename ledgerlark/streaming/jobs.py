@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.chunking import chunk_documents, embed_chunks
-from ..sources.files import embedded_chunks
+from ..sources.files import commit_documents, embedded_chunks, read_batch, version_of
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -13,34 +14,68 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | N
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(path)
 
 
-def ingest_stream(queue: DataFrame, chunk_path: str, status_path: str, checkpoint: str, **sizes):
-    """Chunk, embed and append queued documents (document_id, tenant_id, text).
+def ingest_stream(queue: DataFrame, chunk_path: str, status_path: str, checkpoint: str, documents: DataFrame | None = None, **sizes):
+    """Chunk, embed and commit queued documents (document_id, tenant_id, text, and maybe ``event``).
 
-    ``status_path`` gets a row per document and step: ``parsing``, then ``parsed`` where there is text, then ``indexed``, or ``failed`` with ``parse_error``."""
+    An event is ``upload`` (as is null) or ``requeue``.  A re-queued document is done again, with its text in ``documents``
+    (document_id, tenant_id, text) where the event has none; one that was never uploaded is left out.  Of several
+    events of a document in a micro-batch, an upload counts, else a re-queue.
+
+    ``status_path`` gets a row per document and step: 0 ``queued`` and 1 ``parsing``, 2 ``parsed`` where there is text, then 3 ``indexed``, or
+    ``failed`` with ``parse_error``; a step is only taken from the one before it.  Chunks are read by ``read_current``: a document that is
+    indexed again replaces its old chunks, one that fails keeps them.  Micro-batches are named by the query's id, which
+    belongs to its checkpoint, so a new checkpoint adds to what is there and a repeated micro-batch replaces itself."""
 
     def run(batch: DataFrame, number: int) -> None:
-        docs = batch.dropDuplicates(["document_id"])
+        spark = batch.sparkSession
+        name = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}-{number}"
+        version = version_of(spark, chunk_path, name)
+        event = F.coalesce("event", F.lit("upload")) if "event" in batch.columns else F.lit("upload")
+        one = F.min_by(F.struct("tenant_id", "text", "event"), F.struct(F.col("event") != "upload", F.col("text").isNull(), F.xxhash64("text"))).alias("d")
+        docs = batch.withColumn("event", event).where("event IN ('upload', 'requeue')").groupBy("document_id").agg(one).select("document_id", "d.*")
+        new = docs.where("event = 'upload'")
+        again = docs.where("event = 'requeue'").join(_before(spark, status_path, version, docs.schema["document_id"].dataType), "document_id", "left_semi")
+        if documents is not None:
+            stored = documents.select("document_id", F.col("tenant_id").alias("s_tenant"), F.col("text").alias("s_text"))
+            again = again.join(stored, "document_id", "left").select("document_id", F.coalesce("tenant_id", "s_tenant").alias("tenant_id"), F.coalesce("text", "s_text").alias("text"), "event")
+        docs = new.unionByName(again).drop("event")
 
         def advance(rows: DataFrame, step: int, status, error=None) -> None:
-            # a repeated batch replaces its own folders
+            # a repeated micro-batch replaces its own folders
             error = F.lit(None).cast("string") if error is None else error
-            rows.select("document_id", F.lit(status).alias("parse_status") if isinstance(status, str) else status.alias("parse_status"), error.alias("parse_error")).write.mode("overwrite").parquet(f"{status_path}/batch={number}/step={step}")
+            rows.select("document_id", F.lit(status).alias("parse_status") if isinstance(status, str) else status.alias("parse_status"), error.alias("parse_error")).write.mode("overwrite").parquet(f"{status_path}/version={version}/step={step}")
+
+        def reached(step: int) -> DataFrame:
+            return spark.read.schema(docs.select("document_id").schema).parquet(f"{status_path}/version={version}/step={step}")
 
         has_text = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
-        advance(docs, 1, "parsing")
-        advance(docs.where(has_text), 2, "parsed")
-        chunks = chunk_documents(docs, **sizes).join(docs.select("document_id", "tenant_id"), "document_id")
-        embedded_chunks(chunks, embed_chunks(chunks)).write.mode("overwrite").parquet(f"{chunk_path}/batch={number}")
-        good = batch.sparkSession.read.parquet(f"{chunk_path}/batch={number}").select("document_id").distinct().withColumn("ok", F.lit(True))
-        ended = docs.join(good, "document_id", "left")
+        advance(docs, 0, "queued")
+        advance(docs.join(reached(0), "document_id", "left_semi"), 1, "parsing")
+        parsing = docs.join(reached(1), "document_id", "left_semi")
+        advance(parsing.where(has_text), 2, "parsed")
+        chunks = chunk_documents(parsing.where(has_text), **sizes).join(parsing.select("document_id", "tenant_id"), "document_id")
+        commit_documents(embedded_chunks(chunks, embed_chunks(chunks)), chunk_path, name)
+        good = read_batch(spark, chunk_path, name).select("document_id").withColumn("ok", F.lit(True))
+        ended = parsing.join(good, "document_id", "left")
         advance(ended, 3, F.when(F.col("ok"), "indexed").otherwise("failed"), F.when(F.col("ok").isNull(), F.when(has_text, "embedding_failed").otherwise("no_text")))
 
     return queue.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _before(spark: SparkSession, status_path: str, version: int, id_type) -> DataFrame:
+    """(document_id) of the documents that earlier versions have."""
+    schema = T.StructType([T.StructField("document_id", id_type), T.StructField("version", T.LongType()), T.StructField("step", T.IntegerType())])
+    try:
+        return spark.read.schema(schema).parquet(status_path).where(F.col("version") < version).select("document_id").distinct()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema).select("document_id")
+
+
 def current_status(log: DataFrame) -> DataFrame:
     """(document_id, parse_status, parse_error) of each document's last step."""
-    last = log.groupBy("document_id").agg(F.max_by(F.struct("parse_status", "parse_error"), F.struct("batch", "step")).alias("s"))
+    last = log.groupBy("document_id").agg(F.max_by(F.struct("parse_status", "parse_error"), F.struct("version", "step")).alias("s"))
     return last.select("document_id", "s.parse_status", "s.parse_error")
 
 

@@ -1,5 +1,7 @@
 """Golden values, edge cases and plan checks of the reporting jobs."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from ledgerlark.functions.chunker import chunk, spans
 from ledgerlark.functions.stem import stems
 from ledgerlark.operators import chunking, deadlines, evaluation as E, extraction, reports, retrieval as R, tenancy
 from ledgerlark.operators.retrieval import cover_density
+from ledgerlark.sources import files
 from ledgerlark.streaming import jobs
 
 
@@ -293,7 +296,7 @@ def test_awards_of_other_tenants_are_not_found(spark):
 
 
 def test_last_step_is_the_status(spark):
-    log = spark.createDataFrame([(1, 0, 1, "parsing", None), (1, 0, 3, "failed", "no_text"), (1, 2, 1, "parsing", None), (2, 0, 3, "indexed", None)], "document_id int, batch int, step int, parse_status string, parse_error string")
+    log = spark.createDataFrame([(1, 0, 1, "parsing", None), (1, 0, 3, "failed", "no_text"), (1, 2, 1, "parsing", None), (2, 0, 3, "indexed", None)], "document_id int, version int, step int, parse_status string, parse_error string")
     status = jobs.current_status(log)
     assert {tuple(r) for r in status.collect()} == {(1, "parsing", None), (2, "indexed", None)}
     failed = spark.createDataFrame([(3, "failed", "no_text", None), (4, "failed", "no_text", "1998-06-15")], "document_id int, parse_status string, parse_error string, deleted_at string")
@@ -301,17 +304,101 @@ def test_last_step_is_the_status(spark):
     assert {tuple(r)[:3] for r in again.collect()} == {(3, "queued", None), (4, "failed", "no_text")}
 
 
-def test_ingested_chunks_equal_the_batch_job(spark, tmp_path):
-    rows = spark.createDataFrame([(i, i % 2, None if i == 3 else f"Sentence {i}. " * (5 * i)) for i in range(8)], "document_id int, tenant_id int, text string")
-    rows.repartition(4).write.parquet(f"{tmp_path}/queue")
-    stream, sizes = jobs.read_stream(spark, f"{tmp_path}/queue", rows.schema, 2), {"target": 20, "overlap": 4, "backup": 5}
-    jobs.ingest_stream(stream, f"{tmp_path}/chunks", f"{tmp_path}/status", f"{tmp_path}/check", **sizes).awaitTermination()
-    key = lambda df: sorted(tuple(r) for r in df.select("document_id", "chunk_index", "content").collect())
-    assert key(spark.read.parquet(f"{tmp_path}/chunks")) == key(chunking.chunk_documents(rows, **sizes))
-    log = spark.read.parquet(f"{tmp_path}/status")
-    steps = {r.document_id: r.s for r in log.groupBy("document_id").agg(F.sort_array(F.collect_list("step")).alias("s")).collect()}
-    assert steps == {i: [1, 3] if i in (0, 3) else [1, 2, 3] for i in range(8)}
-    assert {(r.document_id, r.parse_error) for r in jobs.current_status(log).where("parse_status = 'failed'").collect()} == {(0, "no_text"), (3, "no_text")}
+def committed(spark, path):
+    return sorted(tuple(r) for r in files.read_current(spark, path).select("document_id", "chunk_index", "content").collect())
+
+
+def write_documents(spark, path, batch, rows):
+    chunks = spark.createDataFrame([(d, i, c, "007") for d, i, c in rows], "document_id string, chunk_index int, content string, tenant_id string")
+    files.write_chunks(chunks, chunks.select("document_id", "chunk_index", F.array(F.lit(1.0)).alias("embedding")), path, batch)
+
+
+def test_a_document_has_one_set_of_chunks(spark, tmp_path):
+    """Over two batches, a batch written again, and one that replays an earlier one."""
+    path = f"{tmp_path}/c"
+    first, second = [("a", 0, "a0"), ("a", 1, "a1"), ("b", 0, "b0")], [("a", 0, "new")]
+    write_documents(spark, path, "one", first)
+    write_documents(spark, path, "two", first)
+    assert committed(spark, path) == first
+    write_documents(spark, path, "two", second)
+    assert committed(spark, path) == [("a", 0, "new"), ("b", 0, "b0")]
+    write_documents(spark, path, "one", first)  # an old batch that is run again doesn't overtake a later one
+    assert committed(spark, path) == [("a", 0, "new"), ("b", 0, "b0")]
+    assert files.read_current(spark, path, "007").count() == 2 and files.read_current(spark, path, "7").count() == 0
+    assert [r.tenant_id for r in files.read_current(spark, path).collect()] == ["007", "007"]
+
+
+def test_a_killed_write_shows_nothing(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/c"
+    write_documents(spark, path, "one", [("a", 0, "a0"), ("b", 0, "b0")])
+    with monkeypatch.context() as m:
+        m.setattr(files, "version_of", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            write_documents(spark, path, "two", [("a", 0, "half")])
+    assert committed(spark, path) == [("a", 0, "a0"), ("b", 0, "b0")]
+    write_documents(spark, path, "two", [("a", 0, "whole")])
+    assert committed(spark, path) == [("a", 0, "whole"), ("b", 0, "b0")]
+
+
+QUEUE = "document_id string, tenant_id int, text string, event string"
+
+
+def ingest(spark, base, check, sizes, documents=None):
+    stream = jobs.read_stream(spark, f"{base}/queue", spark.createDataFrame([], QUEUE).schema, 2)
+    jobs.ingest_stream(stream, f"{base}/chunks", f"{base}/status", f"{base}/{check}", documents, **sizes).awaitTermination()
+    log = spark.read.parquet(f"{base}/status")
+    steps = {r.document_id: [s.parse_status for s in r.s] for r in log.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("version", "step", "parse_status"))).alias("s")).collect()}
+    return steps, {r.document_id: (r.parse_status, r.parse_error) for r in jobs.current_status(log).collect()}
+
+
+def test_ingest_steps_and_requeue(spark, tmp_path):
+    """Queued, parsing, parsed, indexed or failed, and queued again, all through the stream; chunks equal the batch job's."""
+    sizes, base = {"target": 20, "overlap": 4, "backup": 5}, str(tmp_path)
+    text = lambda i: None if i == 3 else f"Sentence {i}. " * (5 * i)
+    rows = spark.createDataFrame([(f"d{i}", i % 2, text(i), "upload") for i in range(8)], QUEUE)
+    rows.repartition(4).write.parquet(f"{base}/queue")
+    steps, status = ingest(spark, base, "check", sizes)
+    whole, blank = ["queued", "parsing", "parsed", "indexed"], ["queued", "parsing", "failed"]
+    assert steps == {f"d{i}": blank if i in (0, 3) else whole for i in range(8)}
+    assert {d: e for d, (_, e) in status.items() if e} == {"d0": "no_text", "d3": "no_text"}
+    assert committed(spark, f"{base}/chunks") == sorted(tuple(r) for r in chunking.chunk_documents(rows, **sizes).select("document_id", "chunk_index", "content").collect())
+    # d3 has text by now, d1 is uploaded anew and shorter, d2 loses its text, and nobody knows d99
+    stored = spark.createDataFrame([("d3", 1, "Now there is text.")], "document_id string, tenant_id int, text string")
+    more = [("d3", None, None, "requeue"), ("d3", None, None, "requeue"), ("d99", 1, "x", "requeue"), ("d1", 1, "Short.", "upload"), ("d2", 0, " ", None), ("d5", 1, "x", "unknown")]
+    spark.createDataFrame(more, QUEUE).coalesce(1).write.mode("append").parquet(f"{base}/queue")
+    before = committed(spark, f"{base}/chunks")
+    steps, status = ingest(spark, base, "check", sizes, stored)
+    assert steps["d3"] == blank + whole and steps["d1"] == whole + whole and steps["d2"] == whole + blank and steps["d5"] == whole and "d99" not in steps
+    want = [r for r in before if r[0] != "d1"] + [("d1", 0, "Short."), ("d3", 0, "Now there is text.")]
+    assert committed(spark, f"{base}/chunks") == sorted(want) and status["d2"] == ("failed", "no_text")
+
+
+def test_a_new_checkpoint_destroys_nothing(spark, tmp_path):
+    sizes, base = {"target": 20, "overlap": 4, "backup": 5}, str(tmp_path)
+    spark.createDataFrame([("a", 1, "First text.", None)], QUEUE).write.parquet(f"{base}/queue")
+    ingest(spark, base, "one", sizes)
+    os.rename(f"{base}/queue", f"{base}/old")
+    spark.createDataFrame([("b", 1, "Second text.", None)], QUEUE).write.parquet(f"{base}/queue")
+    steps, _ = ingest(spark, base, "two", sizes)
+    assert committed(spark, f"{base}/chunks") == [("a", 0, "First text."), ("b", 0, "Second text.")] and set(steps) == {"a", "b"}
+
+
+def test_uuids_as_document_ids(spark):
+    docs = spark.createDataFrame([("0b8f", "One two. Three.")], "document_id string, text string")
+    chunks = chunking.chunk_documents(docs)
+    assert [(r.document_id, r.chunk_index, len(r.embedding)) for r in chunking.embed_chunks(chunks).collect()] == [("0b8f", 0, 16)] and chunks.first().document_id == "0b8f"
+
+
+def test_embedding_goes_in_batches_and_in_order(spark):
+    """No call gets more than ``batch`` texts, and each vector stands at its chunk."""
+
+    def embed(texts):
+        assert len(texts) <= 3
+        return np.array([[float(t), len(texts)] for t in texts], np.float32)
+
+    rows = spark.createDataFrame([(1, i, str(i)) for i in range(20)], "document_id long, chunk_index int, content string").coalesce(1)
+    got = chunking.embed_chunks(rows, embed, 3).collect()
+    assert [(r.chunk_index, r.embedding[0]) for r in got] == [(i, float(i)) for i in range(20)] and {r.embedding[1] for r in got} == {3.0, 2.0}
 
 
 def test_brackets_are_opt_in(spark):
