@@ -270,7 +270,7 @@ def drift_report(evals: DataFrame, sample: int = 5, days: int = 7, floor: float
     """Per tenant and day: pass rate of a repeatable sample over a rolling window, and ``alert`` under the floor."""
     order = F.col("draft_id") if seed is None else F.xxhash64("draft_id", F.lit(seed))
     some = evals.withColumn("nth", F.row_number().over(Window.partitionBy("tenant_id", "day").orderBy(order, "draft_id"))).where(F.col("nth") <= sample)
-    daily = some.groupBy("tenant_id", "day").agg(F.count("*").alias("n"), F.sum(F.col("passed").cast("long")).alias("good"))
+    daily = some.groupBy("tenant_id", "day").agg(F.count("*").alias("n"), F.count_if("passed").alias("good"))
     window = Window.partitionBy("tenant_id").orderBy(F.unix_date("day")).rangeBetween(1 - days, 0)
     rate = F.sum("good").over(window) / F.sum("n").over(window)
     return daily.select("tenant_id", "day", "n", rate.alias("pass_rate")).withColumn("alert", F.col("pass_rate") < floor)

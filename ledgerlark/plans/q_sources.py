@@ -158,12 +158,13 @@ def token_usage_stream(t):
     return rows.withColumn("day", F.col("day").cast("string"))
 
 
-@query("""WITH e AS (SELECT id, tenant_id % 20 AS tenant_id, CAST(created_at AS DATE) AS day, id % 11 <> 0 AS passed FROM {audit_log}), w AS (SELECT tenant_id, day - CAST(k AS INT) AS first_day, passed FROM e CROSS JOIN range(0, 7) r(k))
-    SELECT tenant_id, CAST(first_day AS VARCHAR) AS first_day, count(*) AS n, round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END), 9) AS pass_rate, avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END) < 0.9 AS alert FROM w GROUP BY tenant_id, first_day""")
+@query("""WITH e AS (SELECT id, tenant_id % 20 AS tenant_id, CAST(created_at AS DATE) AS day, id % 11 <> 0 AND id % 4 <> 0 AS passed FROM {audit_log}), s AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, day ORDER BY id) AS nth FROM e),
+    d AS (SELECT tenant_id, day, count(*) AS n, count_if(passed) AS good FROM s WHERE nth <= 5 GROUP BY 1, 2), r AS (SELECT tenant_id, day, n, sum(good) OVER w / sum(n) OVER w AS rate FROM d WINDOW w AS (PARTITION BY tenant_id ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW))
+    SELECT tenant_id, CAST(day AS VARCHAR) AS day, n, round(rate, 9) AS pass_rate, rate < 0.9 AS alert FROM r""")
 def drift_stream(t):
-    evals = t("audit_log").select((F.col("tenant_id") % 20).alias("tenant_id"), F.col("created_at").alias("ts"), (F.col("id") % 11 != 0).alias("passed"))
+    evals = t("audit_log").select((F.col("tenant_id") % 20).alias("tenant_id"), F.col("created_at").alias("ts"), F.col("id").alias("draft_id"), ((F.col("id") % 11 != 0) & (F.col("id") % 4 != 0)).alias("passed"))
     rows = _drain(evals, "ts", K.drift_stream).where("tenant_id IS NOT NULL")
-    return rows.withColumns({"first_day": F.col("first_day").cast("string"), "pass_rate": F.round("pass_rate", 9)})
+    return rows.withColumns({"day": F.col("day").cast("string"), "pass_rate": F.round("pass_rate", 9)})
 
 
 @query("SELECT DISTINCT deadline_id, threshold, 'email' AS channel FROM (SELECT deadline_id, unnest(['30d', '14d']) AS threshold FROM {deadlines} WHERE due_at > TIMESTAMP '1998-06-15')")

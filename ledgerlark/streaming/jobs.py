@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming.state import GroupState
 
 from ..operators.chunking import chunk_documents, embed_chunks
 from ..sources.files import commit_documents, embedded_chunks, read_batch, version_of
@@ -93,10 +98,54 @@ def token_usage_stream(calls: DataFrame, cents, late: str = "1 day") -> DataFram
     return rows.select("tenant_id", F.to_date("window.start").alias("day"), "model", "tokens_in", "tokens_out", "cents")
 
 
-def drift_stream(evals: DataFrame, late: str = "1 day", floor: float = 0.9) -> DataFrame:
-    """Pass rates of seven days, sliding by one, with ``alert`` under the floor."""
-    rows = evals.withWatermark("ts", late).groupBy(F.window("ts", "7 days", "1 day"), "tenant_id").agg(F.count("*").alias("n"), F.count_if("passed").alias("good"))
-    return rows.select("tenant_id", F.to_date("window.start").alias("first_day"), "n", (F.col("good") / F.col("n")).alias("pass_rate")).withColumn("alert", F.col("pass_rate") < floor)
+_DAY_MS = 86_400_000
+
+
+def _drift_step(sample: int, days: int):
+    """State of a tenant, as JSON: the ``sample`` least rows of each open day, and the counts of closed days that a window may still need."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {"open": {}, "closed": {}}
+        if not state.hasTimedOut:
+            for frame in frames:
+                for day, order, draft, passed in zip(frame["day"].tolist(), frame["nth_by"].tolist(), frame["draft_id"].tolist(), frame["passed"].tolist()):
+                    rows = held["open"].setdefault(str(day), [])
+                    rows.append([order, draft, bool(passed)])
+                    if len(rows) > 4 * sample:
+                        held["open"][str(day)] = sorted(rows)[:sample]
+            held["open"] = {day: sorted(rows)[:sample] for day, rows in held["open"].items()}
+        now, out = state.getCurrentWatermarkMs(), []
+        for day in sorted(map(int, held["open"])):
+            if (day + 1) * _DAY_MS > now:
+                break
+            rows = held["open"].pop(str(day))
+            held["closed"][str(day)] = [len(rows), sum(passed for _, _, passed in rows)]
+            held["closed"] = {d: c for d, c in held["closed"].items() if int(d) > day - days}
+            n, good = map(sum, zip(*held["closed"].values()))
+            out.append((key[0], day, len(rows), good / n))
+        state.update((json.dumps(held),))
+        if held["open"]:
+            state.setTimeoutTimestamp((min(map(int, held["open"])) + 1) * _DAY_MS)
+        elif now > (max(map(int, held["closed"])) + days) * _DAY_MS:
+            state.remove()  # no later day's window reaches back to it
+        else:
+            state.setTimeoutTimestamp((max(map(int, held["closed"])) + days + 1) * _DAY_MS)
+        yield pd.DataFrame(out, columns=["tenant_id", "day", "n", "pass_rate"])
+
+    return run
+
+
+def drift_stream(evals: DataFrame, late: str = "1 day", sample: int = 5, days: int = 7, floor: float = 0.9, seed: int | None = None) -> DataFrame:
+    """``drift_report`` of a stream (tenant_id, ts, draft_id, passed): (tenant_id, day, n, pass_rate, alert), each day once the watermark has passed it.
+
+    State per tenant is ``sample`` rows of each open day and two counts of each of the last ``days`` days.  Days are UTC's;
+    rows of a day that has ended before the watermark drop."""
+    order = F.col("draft_id") if seed is None else F.xxhash64("draft_id", F.lit(seed))
+    day = F.floor(F.unix_micros("ts") / (_DAY_MS * 1000)).cast("int")
+    rows = evals.withWatermark("ts", late).select("tenant_id", "ts", day.alias("day"), order.alias("nth_by"), "draft_id", F.coalesce("passed", F.lit(False)).alias("passed"))
+    kind = dict(evals.dtypes)["tenant_id"]
+    out = rows.groupBy("tenant_id").applyInPandasWithState(_drift_step(sample, days), f"tenant_id {kind}, day int, n long, pass_rate double", "held string", "append", "EventTimeTimeout")
+    return out.select("tenant_id", F.date_from_unix_date("day").alias("day"), "n", "pass_rate", (F.col("pass_rate") < floor).alias("alert"))
 
 
 def reminder_stream(candidates: DataFrame, keep: str = "40 days") -> DataFrame:

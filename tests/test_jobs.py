@@ -453,3 +453,32 @@ def test_membership_events_equal_a_replay(spark, seed):
     assert {r.org_id: (r.name, r.slug, r.status) for r in got["orgs"].collect()} == want[0]
     assert {r.user_id: (r.email, r.name) for r in got["users"].collect()} == want[1]
     assert {(r.org_id, r.user_id): r.role for r in got["members"].collect()} == want[2]
+
+
+def drained(spark, base, batches, make, last):
+    """A stream over the batches, one a run, and then the row ``last``, which moves the watermark past all; null tenants are its own."""
+    for i, rows in enumerate([*batches, last]):
+        rows.coalesce(1).write.mode("append").parquet(f"{base}/rows")
+        out = jobs.drain(make(jobs.read_stream(spark, f"{base}/rows", rows.schema)), f"{base}/out", f"{base}/check")
+    return jobs.drain(make(jobs.read_stream(spark, f"{base}/rows", last.schema)), f"{base}/out", f"{base}/check").where("tenant_id IS NOT NULL")
+
+
+EVALS = "tenant_id string, ts timestamp, draft_id long, passed boolean"
+
+
+@pytest.mark.parametrize("seed", [None, 3])
+def test_drift_stream_is_the_report(spark, tmp_path, seed):
+    """Fifty evaluations of a day whose first five fail, days apart by more than the window, and rows that come out of order within the watermark."""
+    import datetime as dt
+
+    rng, zero = np.random.default_rng(5), dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    first = [("t1", zero + dt.timedelta(minutes=i), i, i >= 5) for i in range(50)]
+    later = [("t2", zero + dt.timedelta(days=int(d), hours=int(rng.integers(24))), 1000 + i, bool(rng.integers(4)) if i % 9 else None) for i, d in enumerate(np.sort(rng.choice([0, 1, 2, 3, 5, 6, 7, 8, 20, 21, 40], 160)))]
+    frame = lambda rows: spark.createDataFrame(rows, EVALS)
+    end = frame([(None, dt.datetime(2100, 1, 1, tzinfo=dt.timezone.utc), None, None)])
+    got = drained(spark, str(tmp_path), [frame(first), frame(later[:40]), frame(later[40:])], lambda s: jobs.drift_stream(s, seed=seed), end)
+    want = E.drift_report(frame(first + later).withColumn("day", F.to_date("ts")), seed=seed)
+    plain = lambda df: sorted((r.tenant_id, str(r.day), r.n, round(r.pass_rate, 9), r.alert) for r in df.collect())
+    assert plain(got) == plain(want)
+    if seed is None:
+        assert plain(got)[0] == ("t1", "2024-01-01", 5, 0.0, True)
