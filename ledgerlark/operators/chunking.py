@@ -58,17 +58,42 @@ def normalize_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select("document_id", F.coalesce("page_number", F.lit(1)).alias("page_number"), start.cast("int").alias("start"), end.cast("int").alias("end"))
 
 
-def map_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
-    """``chunks`` with ``page_start`` and ``page_end``: an interval join within a document."""
+def _pages_by_range(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """(document_id, chunk_index, a, b): each chunk (document_id, struct c) with its first and last page, by a join of all its document's pages."""
     p = pages.select(F.col("document_id").alias("p_doc"), "page_number", "start", "end")
-    ends = pages.groupBy(F.col("document_id").alias("e_doc")).agg(F.min("page_number").alias("first"), F.max("page_number").alias("last"))
-    s, e = F.col("char_start"), F.col("char_end")
-    first = (F.col("start") <= s) & (s < F.col("end"))
-    final = ((F.col("start") < e) & (e <= F.col("end"))) | ((F.col("start") <= e - 1) & (e - 1 < F.col("end")))
-    near = chunks.join(p, (F.col("document_id") == F.col("p_doc")) & (first | final))
-    got = near.groupBy("document_id", "chunk_index").agg(F.min(F.when(first, F.col("page_number"))).alias("a"), F.max(F.when(final, F.col("page_number"))).alias("b"))
-    rows = chunks.join(got, ["document_id", "chunk_index"], "left").join(ends, F.col("document_id") == F.col("e_doc"), "left")
-    return rows.withColumns({"page_start": F.coalesce("a", "first"), "page_end": F.coalesce("b", "last")}).drop("a", "b", "first", "last", "e_doc")
+    s, e = F.col("c.char_start"), F.col("c.char_end")
+    first, final = (F.col("start") <= s) & (s < F.col("end")), (F.col("start") < e) & (e <= F.col("end"))
+    near = chunks.join(p, (F.col("document_id") == F.col("p_doc")) & (first | final), "left")
+    return near.groupBy("document_id", F.col("c.chunk_index").alias("chunk_index")).agg(F.min(F.when(first, F.col("page_number"))).alias("a"), F.max(F.when(final, F.col("page_number"))).alias("b"))
+
+
+def map_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """``chunks`` with ``page_start``, the first page that holds their start (else the document's first), and ``page_end``, the last that holds their end (else its last).
+
+    Where a document's pages begin and end in their order, as ``normalize_pages`` has them, two sweeps over the edges of pages and
+    chunks find both: linear, and no join.  Documents whose pages don't are joined by range.  A document without pages has nulls."""
+    mine = Window.partitionBy("document_id")
+    by_number = mine.orderBy("page_number")
+    before = lambda c: F.lag(c).over(by_number)
+    back = F.coalesce((F.col("start") < before("start")) | (F.col("end") < before("end")) | (F.col("page_number") == before("page_number")), F.lit(False))
+    p = pages.select("document_id", "page_number", "start", "end").withColumn("back", back)
+    c = chunks.select("document_id", F.struct("*").alias("c"))
+    page = F.struct("page_number", "start", "end").alias("page")
+    both = p.select("document_id", page, F.col("back"), F.lit(None).cast(c.schema["c"].dataType).alias("c")).unionByName(c.select("document_id", F.lit(None).cast("struct<page_number:int,start:int,end:int>").alias("page"), F.lit(None).cast("boolean").alias("back"), "c"))
+    is_page = F.col("page").isNotNull()
+    rows = both.withColumns({"odd": F.coalesce(F.bool_or("back").over(mine), F.lit(False)), "least": F.min("page.page_number").over(mine), "most": F.max("page.page_number").over(mine)})
+    # at equal places a chunk comes ahead of a page: a page that ends where a chunk starts, or starts where it ends, doesn't hold it
+    ends = mine.orderBy(F.desc(F.coalesce("page.end", "c.char_start")), is_page, F.desc("page.page_number"))
+    starts = mine.orderBy(F.coalesce("page.start", "c.char_end"), is_page, "page.page_number")
+    last = lambda w: F.last("page", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    swept = rows.withColumns({"first_page": last(ends), "last_page": last(starts)}).where("c IS NOT NULL")
+    holds = F.when(~F.col("odd") & (F.col("first_page.start") <= F.col("c.char_start")), F.col("first_page.page_number"))
+    ended = F.when(~F.col("odd") & (F.col("last_page.end") >= F.col("c.char_end")), F.col("last_page.page_number"))
+    swept = swept.select("document_id", "c", "odd", "least", "most", holds.alias("a"), ended.alias("b"))
+    ranged = _pages_by_range(swept.where("odd").select("document_id", "c"), pages).select("document_id", "chunk_index", F.col("a").alias("r_a"), F.col("b").alias("r_b"))
+    rows = swept.where("NOT odd").select("c.*", F.coalesce("a", "least").alias("page_start"), F.coalesce("b", "most").alias("page_end"))
+    odd = swept.where("odd").withColumn("chunk_index", F.col("c.chunk_index")).join(ranged, ["document_id", "chunk_index"], "left")
+    return rows.unionByName(odd.select("c.*", F.coalesce("r_a", "least").alias("page_start"), F.coalesce("r_b", "most").alias("page_end")))
 
 
 def document_text(chunks: DataFrame) -> DataFrame:

@@ -482,3 +482,41 @@ def test_drift_stream_is_the_report(spark, tmp_path, seed):
     assert plain(got) == plain(want)
     if seed is None:
         assert plain(got)[0] == ("t1", "2024-01-01", 5, 0.0, True)
+
+
+def pages_of(s, e, pages):
+    first = [n for n, a, b in pages if a <= s < b] or [n for n, *_ in pages]
+    last = [n for n, a, b in pages if a < e <= b or a <= e - 1 < b] or [n for n, *_ in pages]
+    return (min(first), max(last)) if pages else (None, None)
+
+
+def test_pages_of_chunks_by_hand(spark):
+    """Pages side by side, with gaps, overlapping, and out of order; chunks at their edges; a document without pages and one without chunks."""
+    rng = np.random.default_rng(6)
+    pages, chunks = {}, {}
+    for d in range(24):
+        edges = np.sort(rng.integers(0, 100, 8)).tolist()
+        rows = [(i + 1, a, b) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+        if d % 4 == 1:
+            rows = [(n, a, b + 15) for n, a, b in rows]
+        if d % 4 == 2:
+            rows = [(n, int(rng.integers(80)), int(rng.integers(20, 100))) for n, *_ in rows] + [(3, 0, 50)]
+        if d % 4 == 3:
+            rows = rows[::2]
+        pages[d] = rows if d != 20 else []
+        cuts = rng.integers(0, 110, (30, 2))
+        chunks[d] = [(int(min(x)), int(max(x))) for x in cuts] + [(a, b) for _, a, b in rows[:3]] if d != 21 else []
+    p = spark.createDataFrame([(d, *r) for d, rows in pages.items() for r in rows], "document_id long, page_number int, start int, end int")
+    c = spark.createDataFrame([(d, i, s, e, "x") for d, rows in chunks.items() for i, (s, e) in enumerate(rows)], "document_id long, chunk_index int, char_start int, char_end int, page string")
+    got = {(r.document_id, r.chunk_index): (r.page_start, r.page_end) for r in chunking.map_pages(c, p).collect()}
+    assert got == {(d, i): pages_of(s, e, pages[d]) for d, rows in chunks.items() for i, (s, e) in enumerate(rows)}
+    assert chunking.map_pages(c, p).columns == [*c.columns, "page_start", "page_end"]
+
+
+def test_pages_of_a_very_long_document(spark):
+    """A hundred thousand pages and chunks are swept, not compared with each other."""
+    n = 100_000
+    pages = spark.range(n).select(F.lit(1).alias("document_id"), (F.col("id") + 1).cast("int").alias("page_number"), (F.col("id") * 10).cast("int").alias("start"), (F.col("id") * 10 + 10).cast("int").alias("end"))
+    chunks = spark.range(n).select(F.lit(1).alias("document_id"), F.col("id").cast("int").alias("chunk_index"), (F.col("id") * 10 + 5).cast("int").alias("char_start"), (F.col("id") * 10 + 25).cast("int").alias("char_end"))
+    bad = chunking.map_pages(chunks, pages).where(~((F.col("page_start") == F.col("chunk_index") + 1) & (F.col("page_end") == F.least(F.lit(n), F.col("chunk_index") + 3))))
+    assert bad.count() == 0
