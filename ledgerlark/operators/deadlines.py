@@ -75,9 +75,10 @@ def weekly_radar(tenants: DataFrame, deadlines: DataFrame, reports: DataFrame, a
 
 
 def radar_subscribed(deadlines: DataFrame, reports: DataFrame, subscriptions: DataFrame, tenants: DataFrame, as_of: Column) -> DataFrame:
-    """Deadlines of funders that the tenant follows, for tenants whose local hour (time_zone, send_hour) is now."""
+    """Deadlines of reports of funders that the tenant follows, for tenants whose local hour (time_zone, send_hour) is now; other kinds of
+    deadlines have no report and are no part of it, even if their ``source_id`` is that of one."""
     hour = tenants.where(F.hour(F.from_utc_timestamp(as_of, F.col("time_zone"))) == F.col("send_hour")).select("tenant_id")
-    rows = deadlines.join(reports.select(F.col("report_id").alias("source_id"), "funder_id"), "source_id")
+    rows = deadlines.where("source_type = 'report'").join(reports.select(F.col("report_id").alias("source_id"), "funder_id"), "source_id")
     return rows.join(subscriptions.select("tenant_id", "funder_id"), ["tenant_id", "funder_id"], "left_semi").join(hour, "tenant_id", "left_semi")
 
 

@@ -93,8 +93,8 @@ def next_version(fields: DataFrame, drafts: DataFrame) -> DataFrame:
 
 
 def draft_history(drafts: DataFrame) -> DataFrame:
-    """All drafts with ``place``, 1 being the newest of its field."""
-    order = Window.partitionBy("report_id", "field_no").orderBy(F.desc("version"))
+    """All drafts with ``place``, 1 being the newest of its field; equal versions go by a hash of the row."""
+    order = Window.partitionBy("report_id", "field_no").orderBy(F.desc("version"), F.xxhash64(*drafts.columns))
     return drafts.withColumn("place", F.row_number().over(order))
 
 
@@ -162,23 +162,36 @@ def export_sections(fields: DataFrame, citations: DataFrame) -> DataFrame:
     return rows.join(lists, ["report_id", "field_no"], "left").withColumn("cited_ids", F.coalesce("cited_ids", F.lit("")))
 
 
-def report_citations(sections: DataFrame, citations: DataFrame) -> DataFrame:
-    """(report_id, id, page, excerpt, source): what a report's bodies cite, each id once, as the first section to cite it has it."""
-    cited = sections.select("report_id", "field_no", "place", F.explode(F.split("cited_ids", ",")).alias("ref")).where("ref <> ''").select("report_id", "field_no", "place", F.col("ref").cast("int").alias("id"))
-    first = citations.join(cited, ["report_id", "field_no", "id"]).groupBy("report_id", "id").agg(F.min(F.struct("place", "pos", "page", "excerpt", "source")).alias("c"))
-    return first.select("report_id", "id", "c.page", "c.excerpt", "c.source")
+def _cited_once(sections: str, citations: str) -> Column:
+    """Of a report's citations (field_no, id, pos, page, excerpt, source), those that the body of their own section cites, by id; of an id the first section's."""
+    ids = lambda body: F.transform(F.array_distinct(F.regexp_extract_all(body, F.lit(r"\[(\d+)\]"), F.lit(1))), lambda r: r.try_cast("int"))
+    refs = F.transform(sections, lambda s: F.struct(s["field_no"].alias("field_no"), s["place"].alias("place"), ids(s["body"]).alias("ids")))
+    place = lambda c: F.get(F.filter(refs, lambda r: (r["field_no"] == c["field_no"]) & F.coalesce(F.array_contains(r["ids"], c["id"]), F.lit(False))), F.lit(0))["place"]
+    known = F.filter(citations, lambda c: c["id"].isNotNull())
+    found = F.transform(known, lambda c: F.struct(c["id"].alias("id"), place(c).alias("place"), c["pos"].alias("pos"), c["page"].alias("page"), c["excerpt"].alias("excerpt"), c["source"].alias("source")))
+    # sorted by id, place and pos: each id's first row is what the report shows
+    ordered = F.array_sort(F.filter(found, lambda c: c["place"].isNotNull()))
+    once = F.transform(F.array(ordered), lambda x: F.filter(x, lambda c, i: (i == 0) | (F.get(x, i - 1)["id"] != c["id"])))
+    return F.transform(F.get(once, F.lit(0)), lambda c: F.struct(c["id"].alias("id"), c["page"].alias("page"), c["excerpt"].alias("excerpt"), c["source"].alias("source")))
 
 
-def export_payload(reports: DataFrame, awards: DataFrame, funders: DataFrame, tenants: DataFrame, sections: DataFrame, approvals: DataFrame, citations: DataFrame) -> DataFrame:
-    """One row per report ready for export: names, latest approval date, ordered sections, and its citations by id."""
-    rows = reports.where(F.col("status") == APPROVABLE).select("report_id", "award_id", "tenant_id", "title").join(awards.select("award_id", "funder_id"), "award_id", "left")
-    rows = rows.join(funders.select("funder_id", F.col("name").alias("funder_name")), "funder_id", "left").join(tenants.select("tenant_id", F.col("name").alias("tenant_name")), "tenant_id", "left")
-    dated = approvals.groupBy("report_id").agg(F.substring(F.max("approved_at"), 1, 10).alias("approval_date"))
-    listed = sections.groupBy("report_id").agg(F.sort_array(F.collect_list(F.struct("place", "label", "body"))).alias("sections"))
-    cited = report_citations(sections, citations).groupBy("report_id").agg(F.sort_array(F.collect_list(F.struct("id", "page", "excerpt", "source"))).alias("citations"))
-    rows = rows.join(dated, "report_id", "left").join(listed, "report_id", "left").join(cited, "report_id", "left")
-    list_of = lambda c: F.coalesce(c, F.array().cast(dict(rows.dtypes)[c])).alias(c)
-    return rows.select("report_id", "title", F.coalesce(_filled("funder_name"), F.lit(UNKNOWN_FUNDER)).alias("funder_name"), "tenant_name", "approval_date", list_of("sections"), list_of("citations"))
+def export_payload(reports: DataFrame, awards: DataFrame, funders: DataFrame, tenants: DataFrame, fields: DataFrame, approvals: DataFrame, citations: DataFrame) -> DataFrame:
+    """One row per report ready for export: names, latest approval date, ordered sections as in ``export_sections``, and its citations by id.
+
+    Only the fields and citations of these reports are gathered, each once; the rest is done within a report's lists."""
+    ready = reports.where(F.col("status") == APPROVABLE).select("report_id", "award_id", "tenant_id", "title")
+    ids = ready.select("report_id")
+    body = F.coalesce(_filled("current_value"), _filled("draft_value"), F.lit(""))
+    by_place = F.struct(F.coalesce(~F.col("required"), F.lit(True)).alias("optional"), F.lower("label").alias("low"), "field_no", "label", body.alias("body"))
+    listed = fields.where("human_approved").join(ids, "report_id", "left_semi").groupBy("report_id").agg(F.sort_array(F.collect_list(by_place)).alias("rows"))
+    cited = citations.join(ids, "report_id", "left_semi").groupBy("report_id").agg(F.collect_list(F.struct("field_no", "id", "pos", "page", "excerpt", "source")).alias("cites"))
+    dated = approvals.join(ids, "report_id", "left_semi").groupBy("report_id").agg(F.substring(F.max("approved_at"), 1, 10).alias("approval_date"))
+    rows = ready.join(dated, "report_id", "left").join(listed, "report_id", "left").join(cited, "report_id", "left")
+    rows = rows.join(awards.select("award_id", "funder_id"), "award_id", "left").join(funders.select("funder_id", F.col("name").alias("funder_name")), "funder_id", "left").join(tenants.select("tenant_id", F.col("name").alias("tenant_name")), "tenant_id", "left")
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(dict(rows.dtypes)[c]))
+    rows = rows.withColumns({"placed": F.transform(none("rows"), lambda s, i: F.struct((i + 1).alias("place"), s["field_no"].alias("field_no"), s["label"].alias("label"), s["body"].alias("body"))), "cites": none("cites")})
+    sections = F.transform("placed", lambda s: F.struct(s["place"].alias("place"), s["label"].alias("label"), s["body"].alias("body")))
+    return rows.select("report_id", "title", F.coalesce(_filled("funder_name"), F.lit(UNKNOWN_FUNDER)).alias("funder_name"), "tenant_name", "approval_date", sections.alias("sections"), _cited_once("placed", "cites").alias("citations"))
 
 
 def render_text(payload: DataFrame) -> DataFrame:

@@ -56,15 +56,26 @@ def budget_status(usage: DataFrame, tenants: DataFrame, month: str, alert: float
     return rows.withColumn("share", share).withColumn("status", F.when(F.col("share") >= 1, "capped").when(F.col("share") >= alert, "alert").otherwise("ok"))
 
 
+def hash_tree(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n_rows, sha256) of the rows of each key, whatever their order or number.
+
+    A leaf is the SHA-256 of a row's columns, by name, as text, parted by the unit separator (null is the character 0).  Leaves are grouped
+    by their first six hexadecimal digits, those groups by three, and these by none; a node is the SHA-256 of
+    what is in it, joined in order.  So no list is longer than a 4096th of a level, and a key with many rows is many groups."""
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(rows.columns)])
+    nodes = rows.select(key, F.sha2(text, 256).alias("h")).select(key, F.col("h").alias("place"), "h", F.lit(1).cast("long").alias("n"))
+    for digits in (6, 3, 0):
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "h"))), lambda x: x["h"]), "")
+        nodes = nodes.groupBy(key, F.substring("place", 1, digits).alias("place")).agg(F.sha2(joined, 256).alias("h"), F.sum("n").alias("n"))
+    return nodes.select(key, F.col("n").alias("n_rows"), F.col("h").alias("sha256"))
+
+
 def delete_tenant(tables: dict[str, DataFrame], gone: DataFrame, audit: str, at: Column) -> dict[str, DataFrame]:
-    """Every table without the tenants of ``gone``, and ``receipt``: rows removed and a hash of each tenant's audit rows, in order."""
+    """Every table without the tenants of ``gone``, and ``receipt``: the number of each tenant's audit rows and their ``hash_tree``."""
     ids = gone.select("tenant_id").distinct()
     left = {name: df.join(ids, "tenant_id", "left_anti") for name, df in tables.items()}
-    log = tables[audit]
-    rows = log.join(ids, "tenant_id", "left_semi").select("tenant_id", "id", F.sha2(F.to_json(F.struct(*sorted(log.columns))), 256).alias("h"))
-    digest = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "h"))), lambda x: x["h"]), ""), 256)
-    hashed = rows.groupBy("tenant_id").agg(digest.alias("audit_sha256"), F.count("*").alias("n_audit"))
-    left["receipt"] = ids.join(hashed, "tenant_id", "left").select("tenant_id", F.coalesce("n_audit", F.lit(0)).alias("n_audit"), "audit_sha256", at.alias("deleted_at"))
+    hashed = hash_tree(tables[audit].join(ids, "tenant_id", "left_semi"), "tenant_id")
+    left["receipt"] = ids.join(hashed, "tenant_id", "left").select("tenant_id", F.coalesce("n_rows", F.lit(0)).alias("n_audit"), F.col("sha256").alias("audit_sha256"), at.alias("deleted_at"))
     return left
 
 

@@ -34,12 +34,17 @@ def word_count_check(t):
     return E.word_count_check(t("draft_texts")).withColumns({c: F.round(c, 9) for c in ("ratio_vs_max", "ratio_vs_min")})
 
 
-@query()
+_COUNTS = f"""clean AS (SELECT draft_id, regexp_replace(coalesce(content, ''), '\\[[0-9]+\\]', '', 'g') AS c FROM {{draft_texts}}),
+    counts AS (SELECT draft_id, len(regexp_extract_all(c, '[\\p{{L}}\\p{{N}}_]+')) AS w, len(list_filter(string_split(regexp_replace(c, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS s,
+        list_sum(list_transform(regexp_extract_all(lower(c), '\\p{{L}}+'), lambda x: greatest(1, len(regexp_extract_all(x, '[{E.VOWELS}]+')) - CASE WHEN x LIKE '%e' AND x NOT LIKE '%le' AND x NOT LIKE '%ee' AND len(regexp_extract_all(x, '[{E.VOWELS}]+')) > 1 THEN 1 ELSE 0 END))) AS y FROM clean)"""
+
+
+@query(f"WITH {_COUNTS} SELECT draft_id, round(CASE WHEN w > 0 AND s > 0 THEN 206.835 - 1.015 * w / s - 84.6 * y / w ELSE 0.0 END, 9) AS score, CASE WHEN w > 0 AND s > 0 THEN 206.835 - 1.015 * w / s - 84.6 * y / w ELSE 0.0 END >= {E.READING_EASE} AS passed FROM counts")
 def readability(t):
     return E.readability(E.text_counts(t("draft_texts"))).withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(f"WITH {_COUNTS}, g AS (SELECT draft_id, CASE WHEN w > 0 AND s > 0 THEN 0.39 * w / s + 11.8 * y / w - 15.59 ELSE 0.0 END AS grade FROM counts) SELECT draft_id, round(grade, 9) AS grade, grade < 10 OR grade > 14 AS flagged FROM g")
 def readability_grade(t):
     return E.readability_grade(E.text_counts(t("draft_texts"))).withColumn("grade", F.round("grade", 9))
 

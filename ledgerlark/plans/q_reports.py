@@ -142,9 +142,12 @@ def _citations(t):
     return cites.withColumns({"page": F.col("id") * 10 + F.col("field_no") + F.col("pos"), "excerpt": F.concat(F.lit("words of field "), "field_no"), "source": F.when(F.col("id") == 1, "Letter")})
 
 
+def _fields(t):
+    return t("report_fields").withColumn("current_value", F.when(F.col("field_no") % 2 == 0, F.concat("current_value", F.lit(" see [1] and ["), F.col("field_no"), F.lit("] and [1]"))))
+
+
 def _sections(t):
-    fields = t("report_fields").withColumn("current_value", F.when(F.col("field_no") % 2 == 0, F.concat("current_value", F.lit(" see [1] and ["), F.col("field_no"), F.lit("] and [1]"))))
-    return H.export_sections(fields, _citations(t))
+    return H.export_sections(_fields(t), _citations(t))
 
 
 @query(f"WITH {_SECT} SELECT report_id, field_no, label, place, body, cited_ids FROM secs")
@@ -162,7 +165,7 @@ _PAY = f"""{_SECT}, ap AS (SELECT report_id, substr(max(concat('2024-0', field_n
 
 def _payload(t):
     approvals = t("report_fields").where("human_approved").select("report_id", F.concat(F.lit("2024-0"), "field_no", F.lit("-1"), F.col("report_id") % 10, F.lit("T00:00:00Z")).alias("approved_at"))
-    return H.export_payload(t("reports"), t("awards"), t("funders"), t("tenants"), _sections(t), approvals, _citations(t))
+    return H.export_payload(t("reports"), t("awards"), t("funders"), t("tenants"), _fields(t), approvals, _citations(t))
 
 
 @query(f"WITH {_PAY} SELECT report_id, title, funder_name, tenant_name, approval_date, n AS n_sections, citations FROM pay")

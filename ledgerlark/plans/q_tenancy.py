@@ -77,6 +77,18 @@ def delete_tenant(t):
     return out
 
 
+_TREE = "sha256(string_agg(h, '' ORDER BY place, h))"
+
+
+@query(f"""WITH leaf AS (SELECT tenant_id, sha256(concat_ws(chr(31), coalesce(action, chr(0)), CAST(created_at AS VARCHAR), CAST(id AS VARCHAR), coalesce(metadata, chr(0)), CAST(tenant_id AS VARCHAR))) AS h FROM {{audit_log}} WHERE tenant_id % 50 = 0),
+    a AS (SELECT tenant_id, substr(place, 1, 6) AS place, {_TREE} AS h, count(*) AS n FROM (SELECT *, h AS place FROM leaf) GROUP BY ALL), b AS (SELECT tenant_id, substr(place, 1, 3) AS p, {_TREE} AS h, sum(n) AS n FROM a GROUP BY ALL),
+    c AS (SELECT tenant_id, {_TREE} AS h, sum(n) AS n FROM (SELECT tenant_id, p AS place, h, n FROM b) GROUP BY ALL)
+    SELECT tenant_id, CAST(coalesce(n, 0) AS BIGINT) AS n_audit, h AS audit_sha256 FROM (SELECT tenant_id FROM {{tenants}} WHERE tenant_id % 50 = 0) LEFT JOIN c USING (tenant_id)""")
+def delete_tenant_receipt(t):
+    gone = t("tenants").where("tenant_id % 50 = 0").select("tenant_id")
+    return J.delete_tenant({"audit_log": t("audit_log")}, gone, "audit_log", F.expr("TIMESTAMP '2024-02-01'"))["receipt"].drop("deleted_at")
+
+
 @query("""SELECT tenant_id, CAST(f AS INT) AS funder_id FROM {tenants} CROSS JOIN range(0, 3) r(f) WHERE tenant_id % 5 <> 0
     UNION ALL SELECT tenant_id, CAST(7 AS INT) FROM {tenants} WHERE tenant_id % 10 = 0 UNION ALL SELECT tenant_id, CAST(8 AS INT) FROM {tenants} WHERE tenant_id % 10 = 0""")
 def replace_subscriptions(t):

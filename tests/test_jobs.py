@@ -280,10 +280,20 @@ def test_envelope_keeps_what_the_writer_gave(spark):
     assert (got[2, "[1]"].chunk_id, got[2, "[1]"].excerpt, got[2, "[1]"].page_end) == (None, "kept", 3)
 
 
-def test_report_citations_are_those_of_the_first_section(spark):
-    sections = spark.createDataFrame([(1, 7, 1, "2,10"), (1, 3, 2, "2"), (1, 4, 3, "")], "report_id int, field_no int, place int, cited_ids string")
-    cites = spark.createDataFrame([(1, 3, 0, 2, 1, "b", None), (1, 7, 0, 10, 2, "c", None), (1, 7, 2, 2, 4, "d", None), (1, 7, 1, 2, 3, "a", None), (1, 4, 0, 5, 5, "e", None)], "report_id int, field_no int, pos int, id int, page int, excerpt string, source string")
-    assert [(r.id, r.page, r.excerpt) for r in reports.report_citations(sections, cites).orderBy("id").collect()] == [(2, 3, "a"), (10, 2, "c")]
+def test_payload_has_the_sections_in_order_and_the_first_sections_citations(spark):
+    """Of an id, the first section that cites it counts; ids that the own body doesn't cite are left out, as are reports that aren't ready."""
+    reports_ = spark.createDataFrame([(1, 5, 8, "R", "ready_for_export"), (2, 5, 8, "S", "drafting"), (3, 5, 8, "T", "ready_for_export")], "report_id int, award_id int, tenant_id int, title string, status string")
+    awards, funders, tenants = spark.createDataFrame([(5, 2)], "award_id int, funder_id int"), spark.createDataFrame([(2, "F")], "funder_id int, name string"), spark.createDataFrame([(8, "T")], "tenant_id int, name string")
+    fields = [(1, 7, "b", True, True, "x [2] and [10] [2]", None), (1, 3, "a", False, True, " ", "[2] [99999999999]"), (1, 4, "A", None, True, None, None), (1, 9, "z", True, False, "[5]", None), (2, 1, "a", True, True, "[1]", None)]
+    fields = spark.createDataFrame(fields, "report_id int, field_no int, label string, required boolean, human_approved boolean, current_value string, draft_value string")
+    cites = spark.createDataFrame([(1, 3, 0, 2, 1, "b", None), (1, 7, 0, 10, 2, "c", None), (1, 7, 2, 2, 4, "d", None), (1, 7, 1, 2, 3, "a", None), (1, 4, 0, 5, 5, "e", None), (2, 1, 0, 1, 1, "f", None)], "report_id int, field_no int, pos int, id int, page int, excerpt string, source string")
+    dates = spark.createDataFrame([(1, "2024-01-02T00"), (1, "2024-01-03T00")], "report_id int, approved_at string")
+    got = {r.report_id: r for r in reports.export_payload(reports_, awards, funders, tenants, fields, dates, cites).collect()}
+    assert [tuple(x) for x in got[1].sections] == [(1, "b", "x [2] and [10] [2]"), (2, "a", "[2] [99999999999]"), (3, "A", "")]
+    assert [tuple(x) for x in got[1].citations] == [(2, 3, "a", None), (10, 2, "c", None)] and got[1].approval_date == "2024-01-03"
+    assert set(got) == {1, 3} and got[3].sections == got[3].citations == []
+    sections = reports.export_sections(fields.where("report_id = 1"), cites)
+    assert [(r.place, r.label, r.body) for r in sections.orderBy("place").collect()] == [tuple(x) for x in got[1].sections]
 
 
 def test_awards_of_other_tenants_are_not_found(spark):
@@ -520,3 +530,32 @@ def test_pages_of_a_very_long_document(spark):
     chunks = spark.range(n).select(F.lit(1).alias("document_id"), F.col("id").cast("int").alias("chunk_index"), (F.col("id") * 10 + 5).cast("int").alias("char_start"), (F.col("id") * 10 + 25).cast("int").alias("char_end"))
     bad = chunking.map_pages(chunks, pages).where(~((F.col("page_start") == F.col("chunk_index") + 1) & (F.col("page_end") == F.least(F.lit(n), F.col("chunk_index") + 3))))
     assert bad.count() == 0
+
+
+@pytest.mark.parametrize("text, n", [("The cat sat. The dog ran.", 6), ("", 0), ("table apple free agree", 7), ("make made nice rhythm", 4), ("idée école, été!", 6), ("e ee be bee", 4), ("radie toie zzz x1e", 5), ("Ïle ALE THE", 5), ("日本 straße", 2)])
+def test_syllables(spark, text, n):
+    import re
+
+    def by_word(word):
+        groups = len(re.findall(f"[{E.VOWELS}]+", word))
+        return max(1, groups - (word.endswith("e") and not word.endswith(("le", "ee")) and groups > 1))
+
+    assert spark.range(1).select(E.syllables_in(F.lit(text)).alias("n")).first().n == sum(map(by_word, re.findall(r"[^\W\d_]+", text.lower()))) == n
+
+
+def test_receipt_is_a_tree_of_hashes(spark):
+    """Equal for any order of the rows, changed by any value, and no list of it grows with a tenant's log."""
+    rows = spark.range(3000).select(F.col("id"), (F.col("id") % 2).alias("tenant_id"), F.concat(F.lit("a"), F.col("id") % 7).alias("action"), F.lit(None).cast("string").alias("note"))
+    tree = lambda df: {r.tenant_id: (r.n_rows, r.sha256) for r in tenancy.hash_tree(df, "tenant_id").collect()}
+    first = tree(rows)
+    assert first == tree(rows.orderBy(F.desc("id")).repartition(7)) and first[0][0] == 1500
+    changed = tree(rows.withColumn("note", F.when(F.col("id") == 2, "")))
+    assert changed[1] == first[1] and changed[0] != first[0]
+    plan = tenancy.hash_tree(rows, "tenant_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("collect_list") >= 3
+
+
+def test_radar_takes_reports_only(spark):
+    deadlines_ = spark.createDataFrame([(1, 1, "report", 7), (2, 1, "opportunity", 7)], "deadline_id int, tenant_id int, source_type string, source_id int")
+    got = deadlines.radar_subscribed(deadlines_, spark.createDataFrame([(7, 3)], "report_id int, funder_id int"), spark.createDataFrame([(1, 3)], "tenant_id int, funder_id int"), spark.createDataFrame([(1, "UTC", 9)], "tenant_id int, time_zone string, send_hour int"), F.expr("TIMESTAMP '2024-01-01 09:30:00'"))
+    assert [r.deadline_id for r in got.collect()] == [1]
