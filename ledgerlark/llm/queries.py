@@ -116,7 +116,7 @@ def _url_sql() -> str:
         arms = [f"WHEN (host = '{on}' OR ends_with(host, '.{on}')) AND starts_with(path, '{start}') THEN '{value((says, on, start))}'" for says, on, start in sorted(RULES, key=lambda r: -len(r[1] + r[2]))]
         return "CASE " + " ".join(arms) + " END"
 
-    weight = " + ".join(f"CASE WHEN regexp_matches(lower(coalesce(url, '')), '(^|[^\\p{{L}}\\p{{N}}]){term}([^\\p{{L}}\\p{{N}}]|$)') THEN {w} ELSE 0 END" for term, w in VOCABULARY.items())
+    weight = " + ".join(f"CASE WHEN regexp_matches(lower(url_decode(coalesce(url, ''))), '(^|[^\\p{{L}}\\p{{N}}]){term}([^\\p{{L}}\\p{{N}}]|$)') THEN {w} ELSE 0 END" for term, w in VOCABULARY.items())
     return f"""WITH parts AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages)
         SELECT page_id, host, path, {case(lambda r: r[1] + r[2])} AS rule, coalesce({case(lambda r: r[0])}, CASE WHEN {weight} >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict FROM parts"""

@@ -1,8 +1,9 @@
 """URL filters: a weighted vocabulary found by Aho-Corasick, and allow and block rules.
 
-Terms count only at boundaries (no letter or digit of any script beside them).  A strict term weighs as much
-as the limit, a soft term half of it, and each distinct term counts once: one strict or two
-distinct soft terms reject.
+Terms count only at boundaries (no letter or digit of any script beside them), in the url as it is read: percent
+escapes and the host's punycode are decoded first.  A strict term weighs as much as the limit, a soft term half of
+it, and each distinct term counts once: one strict or two distinct soft terms reject.  The vocabulary may be a
+table (``vocabulary_of``); the built-in one is a small sample.
 
 Defined cases: a null or empty url has an empty host and path, fits no rule and is allowed;
 repeated rows are judged alone; an empty table gives an empty result; other columns stay.
@@ -10,7 +11,9 @@ repeated rows are judged alone; an empty table gives an empty result; other colu
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -47,6 +50,41 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (rule, verdict) if rules else (none, none)
 
 
+#: Bytes of a vocabulary's terms at most, as each task holds an automaton of about twenty times as many.
+VOCABULARY_BYTES = 8 << 20
+
+
+def vocabulary_of(rows: DataFrame, term_col: str = "term", weight_col: str = "weight", class_col: str | None = None) -> dict[str, int]:
+    """The vocabulary of a table of terms, with a weight or a class (``strict`` or ``soft``); refuses one of over ``VOCABULARY_BYTES``.
+
+    Terms are in lower case, empty and null ones are left out, and of a repeated term the greatest weight counts."""
+    weight = F.col(weight_col).cast("int") if class_col is None else F.when(F.col(class_col) == "strict", LIMIT).when(F.col(class_col) == "soft", LIMIT // 2)
+    terms = rows.select(F.lower(F.trim(term_col)).alias("term"), weight.alias("weight")).where("term <> '' AND weight > 0").groupBy("term").agg(F.max("weight").alias("weight"))
+    size = terms.agg(F.sum(F.octet_length("term"))).first()[0] or 0
+    if size > VOCABULARY_BYTES:
+        raise ValueError(f"the vocabulary has {size} bytes, more than {VOCABULARY_BYTES}")
+    return {r.term: r.weight for r in terms.collect()}
+
+
+def readable(url: str) -> str:
+    """The url with percent escapes and punycode labels of its host decoded, in lower case; what can't be decoded stays."""
+    if "%" in url:
+        url = unquote(url)
+    url = url.lower()
+    if "xn--" not in url:
+        return url
+
+    def label(found: re.Match) -> str:
+        try:
+            return found[1].encode("ascii").decode("punycode")
+        except UnicodeError:
+            return found[0]
+
+    start = url.find("://") + 3 if "://" in url else 0
+    end = re.compile(r"[/?#]|$").search(url, start).start()
+    return url[:start] + re.sub(r"(?<![^.@])xn--([a-z0-9-]+)", label, url[start:end]) + url[end:]
+
+
 def term_weight(vocabulary: dict[str, int] = VOCABULARY):
     """A vectorised function from url to the weight of its distinct terms."""
 
@@ -63,7 +101,7 @@ def term_weight(vocabulary: dict[str, int] = VOCABULARY):
         def of(url: str | None) -> int:
             if not url or not len(automaton):
                 return 0
-            url = url.lower()
+            url = readable(url)
             found = {}
             for end, (term, weight) in automaton.iter(url):
                 start = end + 1 - len(term)

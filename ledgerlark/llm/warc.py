@@ -29,8 +29,8 @@ from .storage import filesystem, save, shared_dir
 
 #: Bytes after which a task begins another archive; gap up to which ranges are read as one; most bytes of such a read.
 ARCHIVE_BYTES, GAP_BYTES, READ_BYTES = 256 << 20, 64 << 10, 8 << 20
-#: Packed bytes that a reading task reads.
-TASK_BYTES = 4 << 20
+#: Packed bytes that a reading task reads on average, as long as ``MOST_TASKS`` are enough, and those of the spans that are dealt out to tasks.
+TASK_BYTES, SPAN_BYTES, MOST_TASKS = 4 << 20, 1 << 20, 20_000
 _DATE = "2024-01-01T00:00:00Z"
 _INDEX = "page_id long, url string, record_type string, payload_digest string, file string, offset long, length long"
 
@@ -157,9 +157,9 @@ def _reader(folder: str):
 
 def read_records(selected: DataFrame, folder: str) -> DataFrame:
     """The records of the index rows ``selected``: page_id, url, payload (null in a revisit), payload_bytes, payload_digest, record_type, refers_to."""
-    # tasks share out the bytes to be read, not the few bytes of the index rows
-    tasks = max(1, -(-(selected.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
-    ordered = selected.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
+    # tasks share out spans of files, so what they get follows the bytes to be read and not the few bytes of the index rows;
+    # spans are dealt by their hash, for which nothing is sampled and no bounds go through the driver
+    tasks = max(1, min(MOST_TASKS, -(-(selected.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES)))
+    spans = selected.select("file", "offset", "length").withColumn("span", F.floor(F.col("offset") / SPAN_BYTES))
+    ordered = spans.repartition(tasks, "file", "span").drop("span").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(_reader(folder), "page_id long, url string, payload string, payload_bytes long, payload_digest string, record_type string, refers_to long")
-
-

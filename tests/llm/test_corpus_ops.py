@@ -45,6 +45,23 @@ def test_url_filters(spark, url, host, path, rule, verdict):
     assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
 
 
+def test_url_vocabulary_from_a_table(spark):
+    """Weights or classes, repeated, empty and null terms; escapes and punycode are read as what they stand for."""
+    rows = spark.createDataFrame([("Café", "soft"), ("bonus", "soft"), ("bonus", "strict"), (" ", "strict"), (None, "soft"), ("x", "other"), ("казино", "strict")], "term string, kind string")
+    vocabulary = url_filters.vocabulary_of(rows, class_col="kind")
+    assert vocabulary == {"café": 1, "bonus": 2, "казино": 2}
+    assert url_filters.vocabulary_of(spark.createDataFrame([("a", 3), ("A", 5), ("b", 0)], "term string, weight int")) == {"a": 5}
+    urls = ["http://a.net/caf%C3%A9", "http://a.net/caf%C3%A9-b%6Fnus", "http://xn--80aswg.net/", "http://www.xn--80aedqt3a.net/x", "http://a.net/xn--80aedqt3a", "http://xn--.net/%zz", "http://a.net/%D0%BA%D0%B0%D0%B7%D0%B8%D0%BD%D0%BE", None]
+    judged = url_filters.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), rules=(), vocabulary=vocabulary)
+    got = {r.page_id: (r.term_weight, r.verdict) for r in judged.collect()}
+    casino = "xn--" + "казино".encode("punycode").decode()
+    assert url_filters.readable(f"http://www.{casino}.net/X") == "http://www.казино.net/x"
+    one = url_filters.judge_urls(spark.createDataFrame([(0, f"http://www.{casino}.net/x")], "page_id int, url string"), rules=(), vocabulary=vocabulary).first()
+    assert one.term_weight == 2 and got[0] == (1, "allow") and got[1] == (3, "block") and got[6] == (2, "block") and got[4] == got[5] == got[7] == (0, "allow")
+    with pytest.raises(ValueError):
+        url_filters.vocabulary_of(spark.range(2000).select(F.concat(F.col("id"), F.repeat(F.lit("x"), 5000)).alias("term"), F.lit(1).alias("weight")))
+
+
 def test_line_dedup(spark):
     rng = np.random.default_rng(1)
     pages = [(i, ["a.org", "b.org", None][i % 3 if i < 30 else 0], [f"line {rng.integers(10**6)}", *(["Menu"] if i % 2 else []), *(["Cookies", "Cookies"] if i < 4 else []), " "]) for i in range(60)] + [(99, "a.org", None)]
@@ -117,6 +134,31 @@ def test_mix_takes_seeded_prefixes(spark):
     assert mixing.mix(df.where("false"), [F.col("lang")], mixing.n_words(F.col("text"))).count() == 0
 
 
+def test_mix_takes_the_rows_that_come_first(spark):
+    """The very rows: by hand, a leaf's whole epochs and then its rows in the order of their hashes as long as the budget lasts."""
+    _, df = mix_table(spark)
+    names, seed = ["lang", "source"], 5
+    weights, words = ({"en": 3.0, "de": 1.0},), mixing.n_words(F.col("text"))
+    got = collections.Counter((r.doc_id, r.epoch) for r in mixing.mix(df, [F.col(n) for n in names], words, weights, 7000, 3, seed).collect())
+    place = F.xxhash64(F.lit(seed), *names, F.xxhash64(F.struct(*df.columns)))
+    rows = df.select("doc_id", *names, words.alias("t"), place.alias("place")).collect()
+    want = collections.Counter()
+    for b in mixing.budgets(df, [F.col(n) for n in names], words, weights, 7000, 3).collect():
+        mine = [r for r in rows if (r.lang, r.source) == (b.l0, b.l1)]
+        full = int(b.budget // b.tokens) if b.tokens else 1
+        rest, buckets = b.budget - full * b.tokens if b.tokens else -1, -(-b.rows // mixing.BUCKET_ROWS)
+        order = sorted({((r.place >> 20) % buckets, r.place) for r in mine})
+        spent = 0
+        for at in order:
+            here = [r for r in mine if r.place == at[1]]  # equal rows tie
+            for r in here:
+                spent += r.t
+                want.update((r.doc_id, e) for e in range(full))
+                if spent <= rest:
+                    want[r.doc_id, full] += 1
+    assert got == want
+
+
 def page_table(spark):
     rows = [(i, f"http://h{i}.net/é {i}", ["same", "", None, "a\r\n\r\nb", "é𝒳" * 50][i % 5] if i < 40 else f"page {i} " * 200) for i in range(60)] + [(None, None, "same"), (38, "http://again", "same")]
     return rows, spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("length", F.lit(1))
