@@ -89,6 +89,17 @@ def upsert_by_key(t):
     return A.upsert_by_key(target, source, ["slug"], ["name"])
 
 
+@query("""SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 7 = 0 THEN 'new' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 2 = 0 OR o_orderkey % 14 = 7 THEN CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'none' END END AS priority FROM {orders} WHERE o_orderkey % 2 = 0 OR o_orderkey % 7 = 0""")
+def upsert_buckets(t):
+    """Even orders in buckets; each seventh order comes in, or changes its status."""
+    rows = t("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    path = f"{_new_dir(rows.sparkSession)}/orders"
+    A.write_buckets(rows.where("order_id % 2 = 0"), ["order_id"], path, 16)
+    source = rows.where("order_id % 7 = 0").select("order_id", F.lit("new").alias("status"), F.lit("none").alias("priority"))
+    A.upsert_buckets(rows.sparkSession, path, source, ["order_id"], ["status"], 16)
+    return A.read_buckets(rows.sparkSession, path)
+
+
 @query("""SELECT 'awards' AS name, count(*) AS n FROM {awards} WHERE tenant_id = 7 UNION ALL SELECT 'reports', count(*) FROM {reports} WHERE tenant_id = 7 UNION ALL SELECT 'audit_log', count(*) FROM {audit_log} WHERE tenant_id = 7
     UNION ALL SELECT 'funders_referenced', count(*) FROM {funders} WHERE funder_id IN (SELECT funder_id FROM {awards} WHERE tenant_id = 7)""")
 def tenant_export(t):
@@ -151,7 +162,7 @@ def _drain(df, time, make):
 _CENTS = "CAST(floor((tokens_in * 3 + tokens_out * 15) / 10000) AS BIGINT)"
 
 
-@query(f"""SELECT tenant_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, model, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum({_CENTS}) AS BIGINT) AS cents FROM {{llm_calls}} GROUP BY ALL""")
+@query(f"""SELECT tenant_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, model, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum({_CENTS}) AS BIGINT) AS cents, count(*) AS n_calls FROM {{llm_calls}} GROUP BY ALL""")
 def token_usage_stream(t):
     cents = F.floor((F.col("tokens_in") * 3 + F.col("tokens_out") * 15) / 10000).cast("long")
     rows = _drain(t("llm_calls").drop("call_id"), "ts", lambda s: K.token_usage_stream(s, cents)).where("tenant_id IS NOT NULL")

@@ -133,6 +133,33 @@ def upsert_by_key(target: DataFrame, source: DataFrame, keys: list[str], set_col
     return both.select(*[F.col(c) if c in keys else value(c) for c in target.columns])
 
 
+def bucket_of(keys: list[str], buckets: int):
+    """The bucket of a row by its keys, as text, so that ids of any type have one."""
+    return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int")
+
+
+def write_buckets(df: DataFrame, keys: list[str], path: str, buckets: int) -> None:
+    """A snapshot of ``df`` in ``buckets`` folders by the hash of its keys."""
+    df.withColumn("bucket", bucket_of(keys, buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
+def upsert_buckets(spark: SparkSession, path: str, source: DataFrame, keys: list[str], set_cols: list[str], buckets: int) -> int:
+    """``upsert_by_key`` into a snapshot of ``write_buckets``: only the buckets that hold keys of ``source`` are read and written; returns their number.
+
+    Their numbers go through the driver, ``buckets`` at most.  New rows are all written before they take the place of
+    the old folders, so a failed job leaves the snapshot as it was."""
+    placed = source.withColumn("bucket", bucket_of(keys, buckets))
+    touched = [r.bucket for r in placed.select("bucket").distinct().collect()]
+    target = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
+    merged = upsert_by_key(target, source, keys, set_cols).withColumn("bucket", bucket_of(keys, buckets))
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return len(touched)
+
+
 def tenant_rows(tables: dict[str, DataFrame], tenant_id) -> dict[str, DataFrame]:
     """A tenant's rows of each table, and ``funders_referenced``: the funders of its awards."""
     out = {name: df.where(F.col("tenant_id") == F.lit(tenant_id)) for name, df in tables.items() if name in EXPORT_TABLES}

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState
 
 from ..operators.chunking import chunk_documents, embed_chunks
@@ -93,9 +93,21 @@ def requeue(status: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def token_usage_stream(calls: DataFrame, cents, late: str = "1 day") -> DataFrame:
-    """Daily token and cent sums; rows later than the watermark drop."""
-    rows = calls.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "tenant_id", "model").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum(cents).alias("cents"))
-    return rows.select("tenant_id", F.to_date("window.start").alias("day"), "model", "tokens_in", "tokens_out", "cents")
+    """Daily token and cent sums, and the number of calls in them; rows of a day that ended before the watermark drop (see ``late_calls``)."""
+    sums = [F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum(cents).alias("cents"), F.count("*").alias("n_calls")]
+    rows = calls.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "tenant_id", "model").agg(*sums)
+    return rows.select("tenant_id", F.to_date("window.start").alias("day"), "model", "tokens_in", "tokens_out", "cents", "n_calls")
+
+
+def late_calls(calls: DataFrame, usage: DataFrame, until: Column) -> DataFrame:
+    """(tenant_id, day, model, n_calls, n_late) of days before ``until``: the calls that came too late for ``token_usage_stream``.
+
+    ``calls`` are all that were put in, ``usage`` is what the stream gave; days that it hasn't closed yet are not before ``until``."""
+    key = ["tenant_id", "day", "model"]
+    given = calls.select("tenant_id", F.to_date("ts").alias("day"), "model").where(F.col("day") < until).groupBy(*key).agg(F.count("*").alias("n_calls"))
+    counted = usage.select(*[F.col(k).alias(f"u_{k}") for k in key], F.col("n_calls").alias("n_counted"))
+    rows = given.join(counted, [F.col(k).eqNullSafe(F.col(f"u_{k}")) for k in key], "left")
+    return rows.withColumn("n_late", F.col("n_calls") - F.coalesce("n_counted", F.lit(0))).where("n_late > 0").select(*key, "n_calls", "n_late")
 
 
 _DAY_MS = 86_400_000

@@ -559,3 +559,37 @@ def test_radar_takes_reports_only(spark):
     deadlines_ = spark.createDataFrame([(1, 1, "report", 7), (2, 1, "opportunity", 7)], "deadline_id int, tenant_id int, source_type string, source_id int")
     got = deadlines.radar_subscribed(deadlines_, spark.createDataFrame([(7, 3)], "report_id int, funder_id int"), spark.createDataFrame([(1, 3)], "tenant_id int, funder_id int"), spark.createDataFrame([(1, "UTC", 9)], "tenant_id int, time_zone string, send_hour int"), F.expr("TIMESTAMP '2024-01-01 09:30:00'"))
     assert [r.deadline_id for r in got.collect()] == [1]
+
+
+def test_ten_keys_rewrite_ten_buckets_at_most(spark, tmp_path):
+    import glob
+
+    path, keys = f"{tmp_path}/b", ["slug"]
+    row = lambda i, name, kind: (f"s{i}", name, kind)
+    schema = "slug string, name string, kind string"
+    files.write_buckets(spark.createDataFrame([row(i, "old", "o") for i in range(2000)], schema), keys, path, 64)
+    held = lambda: {f: os.stat(f).st_ino for f in glob.glob(f"{path}/*/*.parquet")}
+    before = held()
+    source = spark.createDataFrame([row(i, "new", "n") for i in (*range(5), *range(5000, 5005))], schema)
+    touched = files.upsert_buckets(spark, path, source, keys, ["name"], 64)
+    after = held()
+    folders = lambda fs: {os.path.dirname(f) for f in fs}
+    assert touched <= 10 and len(before) == 64
+    assert len(folders(set(before) - set(after))) == touched and len(set(before) & set(after)) == 64 - touched
+    got = {r.slug: (r.name, r.kind) for r in files.read_buckets(spark, path).collect()}
+    assert len(got) == 2005 and got["s0"] == ("new", "o") and got["s5004"] == ("new", "n") and got["s77"] == ("old", "o")
+
+
+def test_late_calls_are_accounted_for(spark, tmp_path):
+    """A call of a closed day is dropped by the stream, and counted."""
+    import datetime as dt
+
+    at = lambda day, hour=12: dt.datetime(2024, 1, day, hour, tzinfo=dt.timezone.utc)
+    schema = "tenant_id string, model string, tokens_in long, tokens_out long, ts timestamp"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    batches = [[("a", "m", 1, 1, at(1)), ("a", "m", 1, 1, at(2))], [("a", "m", 1, 1, at(9))], [("a", "m", 1, 1, at(1, 13)), ("b", "m", 1, 1, at(2)), ("a", "m", 1, 1, at(9, 1))]]
+    end = frame([(None, None, None, None, dt.datetime(2100, 1, 1, tzinfo=dt.timezone.utc))])
+    usage = drained(spark, str(tmp_path), [frame(b) for b in batches], lambda s: jobs.token_usage_stream(s, F.col("tokens_in")), end)
+    assert {(r.tenant_id, str(r.day), r.n_calls) for r in usage.collect()} == {("a", "2024-01-01", 1), ("a", "2024-01-02", 1), ("a", "2024-01-09", 2)}
+    late = jobs.late_calls(frame([r for b in batches for r in b]), usage, F.lit("2024-02-01").cast("date"))
+    assert {(r.tenant_id, str(r.day), r.n_calls, r.n_late) for r in late.collect()} == {("a", "2024-01-01", 2, 1), ("b", "2024-01-02", 1, 1)}
