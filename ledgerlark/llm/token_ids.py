@@ -41,8 +41,8 @@ BLOCK_WORDS, PIECE_CHARS, PART_KEYS = 512, 2_000_000, 100_000
 #: Bits to a key of a level of the hash, and levels before the rest is listed.
 GAMMA, LEVELS = 2, 40
 READ_BYTES, GAP_BYTES = 8 << 20, 64 << 10
-#: Bytes that a reading task reads.
-TASK_BYTES = 16 << 20
+#: Bytes that a reading task reads on average, as long as ``MOST_TASKS`` are enough, and those of the spans that are dealt out to tasks.
+TASK_BYTES, SPAN_BYTES, MOST_TASKS = 16 << 20, 2 << 20, 20_000
 #: Letters, then marks that can't join them or form a contraction: one or two pieces.
 _STEM = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -410,9 +410,11 @@ def _read_payload(folder: str, width: int):
 def read_ids(found: DataFrame, folder: str, width: int = 2) -> DataFrame:
     """``found`` (rows of ``lookup``) with ``payload``, the raw ids, by sorted range reads of the shards."""
     found = save(found)
-    # tasks share out the bytes to be read, not the few bytes of the rows that ask for them
-    tasks = max(1, -(-(found.agg(F.sum("n_tokens")).first()[0] or 0) * width // TASK_BYTES))
-    ordered = found.repartitionByRange(tasks, "shard", "start").sortWithinPartitions("shard", "start")
+    # tasks share out spans of shards, so what they get follows the bytes to be read and not the few bytes of the rows that ask
+    # for them; spans are dealt by their hash, for which nothing is sampled and no bounds go through the driver
+    tasks = max(1, min(MOST_TASKS, -(-(found.agg(F.sum("n_tokens")).first()[0] or 0) * width // TASK_BYTES)))
+    spans = found.withColumn("span", F.floor(F.col("start") * width / SPAN_BYTES))
+    ordered = spans.repartition(tasks, "shard", "span").drop("span").sortWithinPartitions("shard", "start")
     return ordered.mapInArrow(_read_payload(folder, width), _ENTRY + ", payload binary")
 
 
