@@ -543,7 +543,8 @@ def test_rules_are_ordered_by_rejections_per_cost(spark):
     docs = table(spark, ["x" * 2000 + f" {i}" for i in range(200)])
     cheap_never = quality_rules.Rule("never", lambda m: F.length(m.text) < 0)
     cheap_half = quality_rules.Rule("half", lambda m: m.text.endswith("0"))
-    dear_half = quality_rules.Rule("dear", lambda m: m.text.endswith("0") & (F.aggregate(F.sequence(F.lit(1), F.length(m.text)), F.lit(0), lambda a, x: (a + x) % 1000) >= 0))
+    # dear enough to stand out on any machine: a pass over the sample costs well over the least cost that is told apart
+    dear_half = quality_rules.Rule("dear", lambda m: m.text.endswith("0") & (F.aggregate(F.sequence(F.lit(1), F.length(m.text) * 40), F.lit(0), lambda a, x: (a + x) % 1000) >= 0))
     for _ in range(2):
         assert [r.name for r in quality_rules.ordered_rules(docs, [cheap_never, dear_half, cheap_half])][0] == "half"
 
