@@ -79,7 +79,7 @@ def map_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     p = pages.select("document_id", "page_number", "start", "end").withColumn("back", back)
     c = chunks.select("document_id", F.struct("*").alias("c"))
     page = F.struct("page_number", "start", "end").alias("page")
-    both = p.select("document_id", page, F.col("back"), F.lit(None).cast(c.schema["c"].dataType).alias("c")).unionByName(c.select("document_id", F.lit(None).cast("struct<page_number:int,start:int,end:int>").alias("page"), F.lit(None).cast("boolean").alias("back"), "c"))
+    both = p.select("document_id", page, F.col("back"), F.lit(None).cast(c.schema["c"].dataType).alias("c")).unionByName(c.select("document_id", F.lit(None).cast(p.select(page).schema["page"].dataType).alias("page"), F.lit(None).cast("boolean").alias("back"), "c"))
     is_page = F.col("page").isNotNull()
     rows = both.withColumns({"odd": F.coalesce(F.bool_or("back").over(mine), F.lit(False)), "least": F.min("page.page_number").over(mine), "most": F.max("page.page_number").over(mine)})
     # at equal places a chunk comes ahead of a page: a page that ends where a chunk starts, or starts where it ends, doesn't hold it

@@ -524,6 +524,8 @@ def test_pages_of_chunks_by_hand(spark):
     got = {(r.document_id, r.chunk_index): (r.page_start, r.page_end) for r in chunking.map_pages(c, p).collect()}
     assert got == {(d, i): pages_of(s, e, pages[d]) for d, rows in chunks.items() for i, (s, e) in enumerate(rows)}
     assert chunking.map_pages(c, p).columns == [*c.columns, "page_start", "page_end"]
+    wide = p.withColumns({n: F.col(n).cast("long") for n in ("page_number", "start", "end")})
+    assert {(r.document_id, r.chunk_index): (r.page_start, r.page_end) for r in chunking.map_pages(c, wide).collect()} == got
 
 
 def test_pages_of_a_very_long_document(spark):
