@@ -73,6 +73,46 @@ def test_substring_dedup(spark, n):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_text) == (n_words, removed, kept)
         assert sum(s.end - s.start for s in got[i].spans) == removed
     assert substring_dedup.remove_repeats(table(spark, []), n).count() == 0
+    clash = table(spark, texts).select("*", *(F.lit("x").alias(c) for c in ("id", "part", "shard", "anchor", "phrase")))
+    assert {r.id: r.n_removed for r in substring_dedup.remove_repeats(clash, n).collect()} == {i: r.n_removed for i, r in got.items()}
+
+
+@pytest.mark.parametrize("chars", [1, 300, 4_000_000])
+def test_substring_dedup_over_shards(spark, monkeypatch, chars):
+    # passages that owners hold and others only in part, over shards of a text and shards of many
+    monkeypatch.setattr(substring_dedup, "_number", numbered_by(chars))
+    rng = random.Random(5)
+    stock = [f"w{rng.randrange(400)}" for _ in range(300)]
+    texts = []
+    for _ in range(120):
+        a, size = rng.randrange(260), rng.randrange(4, 60)
+        texts.append(" ".join([*(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(12))), *stock[a : a + size], *(f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(12)))]))
+    for n in (3, 12):
+        got = {r.id: r for r in substring_dedup.remove_repeats(table(spark, texts).repartition(5), n).collect()}
+        assert [(got[i].n_words, got[i].n_removed, got[i].kept_text) for i in range(len(texts))] == kept_by_brute_force(texts, n)
+
+
+def numbered_by(chars):
+    def number(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        from ledgerlark.llm.words import pieces_of
+
+        part, shard = TaskContext.get().partitionId(), -1
+        for batch in batches:
+            for rows in pieces_of(batch, "text", chars):
+                shard += 1
+                yield pa.RecordBatch.from_pydict({"id": rows["id"], "text": rows["text"], "part": pa.array([part] * len(rows), pa.int32()), "shard": pa.array([shard] * len(rows), pa.int32())})
+
+    return number
+
+
+def test_substring_dedup_hangs_on_its_automata(spark, monkeypatch):
+    texts = edge_texts()
+    assert sum(r.n_removed for r in substring_dedup.remove_repeats(table(spark, texts), 5).collect()) > 0
+    monkeypatch.setattr(substring_dedup, "_phrases", lambda n, anchors: lambda batches: iter(()))
+    assert sum(r.n_removed for r in substring_dedup.remove_repeats(table(spark, texts), 5).collect()) == 0
 
 
 BASE = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
