@@ -128,9 +128,13 @@ def contaminated_texts(texts: DataFrame, items: DataFrame, share: float = SHARE)
     lengths = [r["n"] for r in bench.select("n").distinct().orderBy("n").collect()] or [WINDOW]  # at most WINDOW rows
     # a text and its items are brought together once, however many anchors and copies were found
     pairs = save(_candidates(texts, bench, lengths))
-    own = _windows(pairs, lengths).select("digest", "at", "key", "raw", F.explode("items").alias("of_item"))
+    # rows carry the words of their window, never those of the whole text, and get the text's items when windows of no item have gone
+    own = _windows(pairs.select("digest", "text"), lengths).select("digest", "at", "key", F.slice("raw", F.col("at") + 1, WINDOW).alias("window"))
+    own = own.join(bench.select(F.col("key").alias("b_key")).distinct(), F.col("key") == F.col("b_key"), "left_semi")
+    items_of = pairs.select(F.col("digest").alias("i_digest"), F.explode("items").alias("of_item"))
+    own = own.join(items_of, F.col("digest") == F.col("i_digest")).drop("i_digest")
     found = own.join(bench.withColumnRenamed("key", "b_key"), (F.col("key") == F.col("b_key")) & (F.col("of_item") == F.col("item_key")))
-    values = F.transform("slots", lambda x, k: F.when(x.isNotNull(), F.struct(x.alias("of"), F.get("raw", F.col("at") + k).alias("to"))))
+    values = F.transform("slots", lambda x, k: F.when(x.isNotNull(), F.struct(x.alias("of"), F.get("window", k).alias("to"))))
     found = found.select("digest", "item_key", "item_words", "n", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", F.array_compact(values).alias("pairs"))
     # a placement has at most as many windows as its item
     placed = found.groupBy("digest", "item_key", "item_words", "n", "shift").agg(F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))

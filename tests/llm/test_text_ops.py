@@ -347,6 +347,22 @@ def test_decontamination_passes_over_common_windows(spark):
     assert got == {(i + 1, i) for i in range(60)}
 
 
+def test_decontamination_shuffles_no_whole_texts(spark):
+    """With no broadcast, what the second pass shuffles are windows, never the words of a whole text."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        items = spark.createDataFrame([(0, ITEMS[0]), (1, ITEMS[1])], "item_key long, text string")
+        long_text = prose(random.Random(2), 20_000) + " " + ITEMS[1]
+        found = decontamination.contaminated_texts(table(spark, [long_text, ITEMS[0], None]).select("text"), items)
+        assert sorted(r.item_key for r in found.collect()) == [0, 1]
+        plan = found._jdf.queryExecution().explainString(found._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\n]*)\]", plan)
+        assert len(shuffled) >= 2 and not any(re.search(r"\b(text|raw|w|held|items)#", x) for x in shuffled)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_decontamination_places_match(spark):
     """Raw and template words stand in the same places."""
     text = "Dr. Ann-Marie paid $5.50 (or 12 kg!) -- in 2024, at 3pm; ÉCOLE № 7 x² 5 Km O'Neil's"
@@ -465,6 +481,38 @@ def test_near_dedup_recall(spark):
     print("links", sum(s >= 0.8 for s, _ in scores.values()), "changed by shingle frequencies", sum((s >= 0.8) != (o >= 0.8) for s, o in scores.values()))
 
 
+def edited_pairs(n_pairs=900):
+    """Texts and copies of them with a few words changed, so that the pairs lie at and above the similarity asked for."""
+    rng = random.Random(31)
+    out = []
+    for _ in range(n_pairs):
+        words = prose(rng, rng.randrange(60, 300), 20_000).split()
+        copy = list(words)
+        for at in rng.sample(range(len(words)), rng.randrange(1, max(2, len(words) // 40))):
+            copy[at] = f"x{rng.randrange(20_000)}"
+        out += [" ".join(words), " ".join(copy)]
+    return out
+
+
+def test_near_dedup_recall_of_edited_pairs(spark):
+    texts = edited_pairs()
+    words = [WORD.findall(t) for t in texts]
+    df = collections.Counter(w for ws in words for w in set(ws))
+    weight = lambda k: sum(math.log(1 + 1 / max(near_dedup.IDF_FLOOR, df[w] / len(texts))) for w in k) / len(k)
+    bags = [collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in words]
+    scores = [similarity(bags[i], bags[i + 1], weight) for i in range(0, len(texts), 2)]
+    found = {r.id: r.class_id for r in near_dedup.classes(table(spark, texts)).collect()}
+    n_judged = 0
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        pairs = [2 * i for i, s in enumerate(scores) if low <= s < high]
+        hit = sum(found[i] == found[i + 1] for i in pairs)
+        print("similarity", low, "pairs", len(pairs), "recall", hit / len(pairs))
+        n_judged += len(pairs)
+        assert hit >= 0.9 * len(pairs)
+    assert n_judged >= 500
+    assert all(found[2 * i] != found[2 * i + 1] for i, s in enumerate(scores) if s < 0.799)
+
+
 def shared_passage_texts():
     """Texts that share buckets by a long passage and are else unrelated, with near copies hidden among them."""
     rng = random.Random(21)
