@@ -91,9 +91,10 @@ def table_to_markdown(rows: Column) -> Column:
     """A markdown table of rows padded to the widest; the first is the header."""
     width = F.array_max(F.transform(rows, lambda r: F.size(r)))
     cell = lambda c: F.replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\r?\n", " "), F.lit("|"), F.lit("\\|"))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
+    line = lambda r, wide: F.concat(F.lit("| "), F.array_join(F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), wide - F.size(r))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    lines = F.transform(rows, line)
+    # the width is found once a table, not once a row
+    lines = F.get(F.transform(F.array(width), lambda wide: F.transform(rows, lambda r: line(r, wide))), F.lit(0))
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))), "\n")).otherwise("")
 
 

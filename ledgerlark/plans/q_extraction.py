@@ -13,31 +13,35 @@ def _stamp(df, *names):
 
 
 def _responses(t):
+    """Answers that hold the whole text as JSON, plain or in a fence, and answers that are no object."""
     k = F.col("doc_id") % 4
-    n = F.col("n_chars")
-    good = F.concat(F.lit('{"n":'), n, F.lit("}"))
-    return t("documents").select("doc_id", F.when(k == 0, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).when(k == 1, good).when(k == 2, F.concat(F.lit("["), n, F.lit("]"))).otherwise("not json {").alias("response"))
+    good = F.to_json(F.struct(F.col("n_chars").alias("n"), "text"))
+    return t("documents").select("doc_id", F.when(k == 0, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).when(k == 1, good).when(k == 2, F.to_json(F.array("text"))).otherwise(F.concat(F.lit("not json {"), "text")).alias("response"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN '{\"n\":' || n_chars || '}' ELSE '{}' END AS json FROM {documents}")
+@query("SELECT doc_id, doc_id % 4 >= 2 AS is_empty, CASE WHEN doc_id % 4 < 2 THEN n_chars END AS n, CASE WHEN doc_id % 4 < 2 THEN text END AS text FROM {documents}")
 def parse_llm_json(t):
-    return X.parse_llm_json(_responses(t)).select("doc_id", "json")
+    rows = X.parse_llm_json(_responses(t)).select("doc_id", (F.col("json") == "{}").alias("is_empty"), F.from_json("json", "n bigint, text string").alias("v"))
+    return rows.select("doc_id", "is_empty", "v.n", "v.text")
 
 
 def _requirements(t):
-    """Extraction outputs with planted breaks by document number."""
+    """Extraction outputs that quote the whole text, with planted breaks by document number."""
     i = F.col("doc_id")
+    quote = F.regexp_extract(F.to_json(F.array("text"), {"ignoreNullFields": "false"}), r"(?s)^\[(.*)\]$", 1)
     json = F.concat(
         F.lit('{"award_summary":{"program_name":"P","funder_name":'), F.when(i % 5 == 0, F.lit("7")).otherwise(F.lit('"F"')), F.lit(',"award_min_usd":null,"award_max_usd":100},"reports":[{"title":"T","report_type":"'), F.when(i % 7 == 0, "other").otherwise("final"),
         F.lit('","due_offset_days":30,"period_months":12,"format":"pdf","narrative_sections":[{"key":"k","label":"l","field_type":"narrative","required":'), F.when(i % 3 == 0, F.lit('"yes"')).otherwise(F.lit("true")), F.lit("}]}],"),
-        F.when(i % 11 == 0, F.lit("")).otherwise(F.lit('"citations":[{"field":"f","page":1,"quote":"q"}],')), F.lit('"uncertainties":[],"extra":1}'),
+        F.when(i % 11 == 0, F.lit("")).otherwise(F.lit('"citations":[{"field":"f","page":1,"quote":')), F.when(i % 11 == 0, F.lit("")).otherwise(F.concat(quote, F.lit("}],"))), F.lit('"uncertainties":[],"extra":1}'),
     )
     return t("documents").select("doc_id", json.alias("json"))
 
 
-@query("""SELECT doc_id, (doc_id % 5 = 0)::INT + (doc_id % 7 = 0)::INT + (doc_id % 3 = 0)::INT + (doc_id % 11 = 0)::INT AS n_errors, NOT (doc_id % 5 = 0 OR doc_id % 7 = 0 OR doc_id % 3 = 0 OR doc_id % 11 = 0) AS valid FROM {documents}""")
+@query("""SELECT doc_id, concat_ws('; ', CASE WHEN doc_id % 11 = 0 THEN 'citations: not array' END, CASE WHEN doc_id % 5 = 0 THEN 'award_summary.funder_name: not string' END, CASE WHEN doc_id % 7 = 0 THEN 'reports.0.report_type: unknown value' END,
+    CASE WHEN doc_id % 3 = 0 THEN 'reports.0.narrative_sections.0.required: not boolean' END, CASE WHEN doc_id % 11 <> 0 AND text IS NULL THEN 'citations.0.quote: not string' END) AS errors,
+    NOT (doc_id % 5 = 0 OR doc_id % 7 = 0 OR doc_id % 3 = 0 OR doc_id % 11 = 0 OR text IS NULL) AS valid FROM {documents}""")
 def validate_requirements(t):
-    return X.validate_requirements(_requirements(t)).select("doc_id", F.size("errors").alias("n_errors"), "valid")
+    return X.validate_requirements(_requirements(t)).select("doc_id", F.array_join("errors", "; ").alias("errors"), "valid")
 
 
 def _reports(t):
@@ -162,7 +166,8 @@ def parser_scorecard(t):
     return X.parser_scorecard(rows).withColumns({c: F.round(c, 9) for c in ("table_f1", "heading", "token_ratio", "seconds_per_page")})
 
 
-@query("""SELECT c_custkey AS rubric_id, (CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 0 END + CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END) AS n_errors FROM {customer}""")
+@query("""SELECT c_custkey AS rubric_id, concat_ws('; ', CASE WHEN c_custkey % 4 = 0 THEN 'items: not 3 to 6' END, CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 7 = 0 THEN 'items: repeated id' END,
+    CASE WHEN c_custkey % 4 = 0 OR c_custkey % 5 = 0 THEN 'items: weights do not sum to 1' END, CASE WHEN c_custkey % 3 = 0 THEN 'items.0: fewer than 3 common failures' END) AS errors FROM {customer}""")
 def validate_rubrics(t):
     k = F.col("c_custkey")
     scoring = F.array(*[F.struct(F.lit(s).alias("score"), F.lit("text").alias("desc")) for s in (0, 1, 2)])
@@ -172,4 +177,4 @@ def validate_rubrics(t):
     last = F.when(k % 5 == 0, 0.5).otherwise(0.3)
     items = F.array(item("a", F.lit(0.3), few), item("b", F.lit(0.4), three), F.struct(F.when(k % 7 == 0, "a").otherwise("c").alias("id"), F.lit("l").alias("label"), F.lit("d").alias("description"), last.alias("weight"), scoring.alias("scoring"), three.alias("common_failures")))
     rubrics = t("customer").select(k.alias("rubric_id"), F.when(k % 4 == 0, F.slice(items, 1, 2)).otherwise(items).alias("items"))
-    return X.validate_rubrics(rubrics).select("rubric_id", F.size("errors").alias("n_errors"))
+    return X.validate_rubrics(rubrics).select("rubric_id", F.array_join("errors", "; ").alias("errors"))

@@ -27,33 +27,41 @@ def detect_headings(t):
 
 
 def _markdown(t):
+    """Whole texts between planted headings and tables."""
     i = F.col("doc_id")
     table = F.concat(F.lit("| a | b |\n|---|:-:|\n| "), i, F.lit(" | x |\n"))
-    text = F.concat(F.lit("# Top\nwords\n"), F.repeat(F.lit("#"), (i % 8 + 1).cast("int")), F.lit(" Part "), i, F.lit("\n"), F.when(i % 3 == 0, F.lit("")).otherwise(table), F.lit("after\n| lone |\nend\n#\n"))
-    return t("documents").select("doc_id", text.alias("markdown"))
+    part = F.concat(F.lit("\n"), F.repeat(F.lit("#"), (i % 8 + 1).cast("int")), F.lit(" Part "), i, F.lit("\n"), F.when(i % 3 == 0, F.lit("")).otherwise(table), F.lit("after\n| lone |\n"))
+    return t("documents").select("doc_id", F.concat(F.lit("# Top\n"), "text", part, "text", F.lit("\n#\n")).alias("markdown"))
 
 
-@query("""SELECT doc_id, CAST(0 AS INT) AS line_no, CAST(1 AS INT) AS level, 'Top' AS text FROM {documents} UNION ALL SELECT doc_id, 2, CAST(least(6, doc_id % 8 + 1) AS INT), 'Part ' || doc_id FROM {documents}""")
+_MD = r"""lines AS (SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS line_no, unnest(l) AS raw FROM (SELECT doc_id, string_split('# Top' || chr(10) || text || chr(10) || repeat('#', CAST(doc_id % 8 + 1 AS INT)) || ' Part ' || doc_id || chr(10)
+    || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '| a | b |' || chr(10) || '|---|:-:|' || chr(10) || '| ' || doc_id || ' | x |' || chr(10) END || 'after' || chr(10) || '| lone |' || chr(10) || text || chr(10) || '#' || chr(10), chr(10)) AS l FROM {documents})),
+    tabled AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM (SELECT doc_id, line_no, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS line FROM lines) WHERE starts_with(line, '|') AND ends_with(line, '|'))"""
+
+
+@query(rf"""WITH {_MD}, h AS (SELECT doc_id, line_no, length(regexp_extract(raw, '^\s*(#+)', 1)) AS marks, regexp_replace(regexp_replace(raw, '^\s*#+', ''), '^\s+|\s+$', '', 'g') AS text FROM lines)
+    SELECT doc_id, line_no, CAST(least(6, marks) AS INT) AS level, text FROM h WHERE marks > 0 AND text <> ''""")
 def markdown_headings(t):
     return B.markdown_headings(_markdown(t))
 
 
-@query("SELECT doc_id, CAST(3 AS INT) AS first_line, CAST(3 AS BIGINT) AS n_rows, CAST(2 AS INT) AS n_cols, CAST(-1 AS INT) AS page FROM {documents} WHERE doc_id % 3 <> 0")
+@query(f"WITH {_MD} SELECT doc_id, min(line_no) AS first_line, count(*) AS n_rows, CAST(max(length(line) - length(replace(line, '|', '')) - 1) AS INT) AS n_cols, CAST(-1 AS INT) AS page FROM tabled GROUP BY doc_id, run HAVING count(*) > 1")
 def markdown_tables(t):
     return B.markdown_tables(_markdown(t))
 
 
-@query("""SELECT doc_id, CAST(3 AS INT) AS line_no, 'a;b' AS cells FROM {documents} WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 5, doc_id || ';x' FROM {documents} WHERE doc_id % 3 <> 0
-    UNION ALL SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 7 END, 'lone' FROM {documents}""")
+@query(rf"""WITH {_MD} SELECT doc_id, line_no, array_to_string(list_transform(string_split(substr(line, 2, greatest(0, length(line) - 2)), '|'), lambda x: trim(x, ' ')), ';') AS cells FROM tabled WHERE NOT regexp_matches(line, '^\|(\s*:?-+:?\s*\|)+$')""")
 def markdown_table_cells(t):
     return B.markdown_table_cells(_markdown(t)).select("doc_id", "line_no", F.array_join("cells", ";").alias("cells"))
 
 
-@query("""SELECT doc_id, CAST(0 AS INT) AS place, CAST(1 AS INT) AS page_number, 'start ' || doc_id AS text FROM {documents} WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1, 2, 'middle' FROM {documents} UNION ALL SELECT doc_id, 2, 5, '' FROM {documents}""")
+@query(r"""WITH marked AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'start ' || text ELSE '' END || chr(10) || '2------------' || chr(10) || text || chr(10) || '5----------' || chr(10) AS md FROM {documents}),
+    parts AS (SELECT doc_id, string_split_regex(md, '(?m)^\s*(\d+)-{10,}\s*$|(\d+)-{10,}') AS p, regexp_extract_all(md, '(\d+)-{10,}', 1) AS n FROM marked),
+    each AS (SELECT doc_id, len(p) AS size, n, generate_subscripts(p, 1) AS i, regexp_replace(unnest(p), '^\s+|\s+$', '', 'g') AS text FROM parts)
+    SELECT doc_id, CAST(i - 1 AS INT) AS place, CASE WHEN i = 1 THEN 1 ELSE TRY_CAST(n[i - 1] AS INT) END AS page_number, text FROM each WHERE i > 1 OR text <> '' OR size = 1""")
 def split_page_markers(t):
-    i = F.col("doc_id")
-    text = F.concat(F.when(i % 2 == 0, F.concat(F.lit("start "), i)).otherwise(F.lit("")), F.lit("\n2------------\nmiddle\n5----------\n"))
-    return B.split_page_markers(t("documents").select("doc_id", text.alias("markdown")))
+    start = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("start "), "text")).otherwise(F.lit(""))
+    return B.split_page_markers(t("documents").select("doc_id", F.concat(start, F.lit("\n2------------\n"), "text", F.lit("\n5----------\n")).alias("markdown")))
 
 
 _CELLS = """SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS row_no, unnest(l) AS cells FROM (SELECT page_id AS doc_id, list_transform(list_filter(regexp_extract_all(html, '(?is)<(?:li)\\b[^>]*>(.*?)</(?:li)\\s*>', 1), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g')) <> ''), lambda x: trim(regexp_replace(regexp_replace(regexp_extract(x, '(?is)<a\\b[^>]*>(.*?)</a\\s*>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))) AS l FROM {pages})"""
@@ -77,20 +85,25 @@ def elements_to_pages(t):
 
 
 def _table(t):
-    i = F.col("doc_id").cast("string")
-    rows = F.array(F.array(F.lit("h1"), F.lit(None), F.lit("a|b")), F.array(F.lit(" "), F.lit(None)), F.array(i, F.lit("two\nlines")))
-    return t("documents").select("doc_id", rows.alias("rows"))
+    """Whole texts as tables: lines are rows, their sentences cells, empty ones null; one cell has a bar and a line break."""
+    cells = F.transform(F.split("text", "\n"), lambda x: F.transform(F.split(x, r"\. "), lambda c: F.nullif(c, F.lit(""))))
+    return t("documents").select("doc_id", F.concat(F.array(F.array(F.lit("a|b\nc"), F.col("doc_id").cast("string"))), cells).alias("rows"))
+
+
+_ROWS = """cleaned AS (SELECT doc_id, list_filter(list_concat([['a|b' || chr(10) || 'c', doc_id::VARCHAR]], list_transform(string_split(text, chr(10)), lambda x: string_split(x, '. '))), lambda r: len(list_filter(r, lambda c: trim(c, ' ') <> '')) > 0) AS rows FROM {documents} WHERE text IS NOT NULL)"""
 
 
-@query("SELECT doc_id, CAST(2 AS INT) AS n_rows, 'h1;;a|b' AS first FROM {documents}")
+@query(f"WITH {_ROWS} SELECT doc_id, CAST(len(rows) AS INT) AS n_rows, array_to_string(list_transform(rows, lambda r: array_to_string(r, ';')), chr(10)) AS cells FROM cleaned")
 def clean_table_rows(t):
-    rows = _table(t).withColumn("rows", B.clean_table_rows(F.col("rows")))
-    return rows.select("doc_id", F.size("rows").alias("n_rows"), F.array_join(F.get("rows", F.lit(0)), ";").alias("first"))
+    rows = _table(t).where("rows IS NOT NULL").withColumn("rows", B.clean_table_rows(F.col("rows")))
+    return rows.select("doc_id", F.size("rows").alias("n_rows"), F.array_join(F.transform("rows", lambda r: F.array_join(r, ";")), "\n").alias("cells"))
 
 
-@query("SELECT doc_id, '| h1 |  | a\\|b |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || doc_id || ' | two lines |  |' AS markdown FROM {documents}")
+@query(f"""WITH {_ROWS}, wide AS (SELECT doc_id, rows, list_max(list_transform(rows, lambda r: len(r))) AS width FROM cleaned),
+    lined AS (SELECT doc_id, width, list_transform(rows, lambda r: '| ' || array_to_string(list_concat(list_transform(r, lambda c: replace(replace(replace(c, chr(13) || chr(10), ' '), chr(10), ' '), '|', '\\|')), list_transform(range(width - len(r)), lambda z: '')), ' | ') || ' |') AS l FROM wide)
+    SELECT doc_id, array_to_string(list_concat(l[1:1], ['| ' || array_to_string(list_transform(range(width), lambda z: '---'), ' | ') || ' |'], l[2:]), chr(10)) AS markdown FROM lined""")
 def table_to_markdown(t):
-    return _table(t).select("doc_id", B.table_to_markdown(B.clean_table_rows(F.col("rows"))).alias("markdown"))
+    return _table(t).where("rows IS NOT NULL").select("doc_id", B.table_to_markdown(B.clean_table_rows(F.col("rows"))).alias("markdown"))
 
 
 _RULE = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
