@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -99,15 +100,26 @@ def known_programs(drafts: DataFrame, funder_programs: DataFrame, awards: DataFr
     return by_funder.unionByName(by_tenant).distinct()
 
 
-def ground_mentions(mentions: DataFrame, programs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``mentions`` with ``grounded``: within a known program, or around one, or within a chunk of the draft, without case."""
+def ground_mentions(mentions: DataFrame, programs: DataFrame | list[DataFrame], chunks: DataFrame, drafts: DataFrame | None = None) -> DataFrame:
+    """``mentions`` with ``grounded``: within a known program, or around one, or within a chunk of the draft, without case.
+
+    ``programs`` are tables of (key, program_name): the key is draft_id, or a column of ``drafts`` such as the funder or
+    the tenant, whose different mentions are then held against its different programs once, whatever the number of drafts.
+    A draft without that key has no programs of it; empty programs count for nothing."""
     low = F.lower("mention")
-    known = programs.where("program_name <> ''").select(F.col("draft_id").alias("p_draft"), F.lower("program_name").alias("p_name"))
     key = ["draft_id", "mention_no", "mention"]
-    in_program = mentions.join(known, (F.col("draft_id") == F.col("p_draft")) & (F.col("p_name").contains(low) | low.contains(F.col("p_name"))), "left_semi").select(*key)
+    in_program = []
+    for names in [programs] if isinstance(programs, DataFrame) else programs:
+        (scope,) = [c for c in names.columns if c != "program_name"]
+        rows = mentions.select(*key, low.alias("low"))
+        if scope != "draft_id":
+            rows = rows.join(drafts.select("draft_id", scope), "draft_id")
+        known = names.where("program_name <> ''").select(F.col(scope).alias("p_scope"), F.lower("program_name").alias("p_name")).distinct()
+        found = rows.select(scope, "low").distinct().join(known, (F.col(scope) == F.col("p_scope")) & (F.col("p_name").contains(F.col("low")) | F.col("low").contains(F.col("p_name"))), "left_semi")
+        in_program.append(rows.join(found, [scope, "low"], "left_semi").select(*key))
     text = chunks.select(F.col("draft_id").alias("c_draft"), F.lower(F.coalesce(F.nullif("excerpt", F.lit("")), "content")).alias("c_text"))
     in_chunk = mentions.join(text, (F.col("draft_id") == F.col("c_draft")) & F.col("c_text").contains(low), "left_semi").select(*key)
-    good = in_program.unionByName(in_chunk).distinct().withColumn("grounded", F.lit(True))
+    good = reduce(DataFrame.unionByName, in_program, in_chunk).distinct().withColumn("grounded", F.lit(True))
     return mentions.join(good, key, "left").withColumn("grounded", F.coalesce("grounded", F.lit(False)))
 
 

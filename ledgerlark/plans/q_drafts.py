@@ -75,7 +75,8 @@ def known_programs(t):
     return E.known_programs(drafts, t("known_programs"), t("awards"))
 
 
-_GROUND = f"""{_PROG}, known AS (SELECT draft_id, program_name AS p FROM {{draft_texts}} JOIN {{known_programs}} USING (funder_id)),
+_GROUND = f"""{_PROG}, known AS (SELECT DISTINCT draft_id, program_name AS p FROM (SELECT draft_id, program_name FROM {{draft_texts}} JOIN {{known_programs}} USING (funder_id)
+        UNION ALL SELECT draft_id, program_name FROM (SELECT draft_id, draft_id % 150 + 1 AS tenant_id FROM {{draft_texts}}) JOIN (SELECT DISTINCT tenant_id, program_name FROM {{awards}}) USING (tenant_id))),
     grounded AS (SELECT draft_id, mention_no, mention, EXISTS (SELECT 1 FROM known k WHERE k.draft_id = m.draft_id AND (contains(lower(p), lower(mention)) OR contains(lower(mention), lower(p))))
         OR contains(lower((SELECT content FROM {{draft_texts}} d WHERE d.draft_id = (m.draft_id + 1) % (SELECT count(*) FROM {{draft_texts}}))), lower(replace(mention, 'The ', ''))) AS grounded FROM mentions m)"""
 
@@ -84,8 +85,8 @@ def _grounded(t):
     drafts = _programs(t)
     n = t("draft_texts").count()
     chunks = t("draft_texts").select(((F.col("draft_id") + n - 1) % n).alias("draft_id"), F.lit("").alias("excerpt"), F.concat(F.lit("The "), F.col("content")).alias("content"))
-    known = drafts.select("draft_id", "funder_id").join(t("known_programs"), "funder_id").select("draft_id", "program_name")
-    return drafts, E.ground_mentions(E.program_mentions(drafts), known, chunks)
+    scopes = [t("known_programs").select("funder_id", "program_name"), t("awards").select("tenant_id", "program_name")]
+    return drafts, E.ground_mentions(E.program_mentions(drafts), scopes, chunks, drafts.withColumn("tenant_id", F.col("draft_id") % 150 + 1))
 
 
 _GROUND = _GROUND.replace("lower(replace(mention, 'The ', ''))", "lower(mention)").replace("contains(lower((SELECT content", "contains(lower((SELECT concat('The ', content)")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions.chunker import chunk, spans
 from ledgerlark.functions.stem import stems
-from ledgerlark.operators import chunking, deadlines, evaluation as E, extraction, reports, retrieval as R, tenancy
+from ledgerlark.operators import chunking, deadlines, evaluation as E, extraction, reports, retrieval as R, structure as B, tenancy
 from ledgerlark.operators.retrieval import cover_density
 from ledgerlark.sources import files
 from ledgerlark.streaming import jobs
@@ -184,6 +184,33 @@ def test_program_mentions(spark):
     assert got == ["The Rural Wellness Initiative", "Rural-Youth Grant"]
 
 
+def test_programs_by_scope_ground_as_programs_by_draft(spark):
+    drafts = spark.createDataFrame([(1, "f1", 10), (2, "f1", 20), (3, None, 20), (4, "f2", None)], "draft_id long, funder_id string, tenant_id long")
+    said = ["Clean Air Fund", "The Kids Grant", "Air", "Unheard Award"]
+    mentions = spark.createDataFrame([(d, n, m) for d in range(1, 5) for n, m in enumerate(said)], "draft_id long, mention_no int, mention string")
+    of_funders = spark.createDataFrame([("f1", "clean air fund"), ("f1", "clean air fund"), ("f1", ""), ("f2", None)], "funder_id string, program_name string")
+    of_awards = spark.createDataFrame([(20, "KIDS grant"), (20, "KIDS grant")], "tenant_id long, program_name string")
+    chunks = spark.createDataFrame([(4, "", "an unheard award of 1998"), (3, "the excerpt", "unheard award")], "draft_id long, excerpt string, content string")
+    as_set = lambda df: {(r.draft_id, r.mention) for r in df.where("grounded").collect()}
+    scoped = E.ground_mentions(mentions, [of_funders, of_awards], chunks, drafts)
+    by_draft = E.ground_mentions(mentions, E.known_programs(drafts, of_funders, of_awards), chunks)
+    want = {(1, "Clean Air Fund"), (1, "Air"), (2, "Clean Air Fund"), (2, "Air"), (2, "The Kids Grant"), (3, "The Kids Grant"), (4, "Unheard Award")}
+    assert as_set(scoped) == as_set(by_draft) == want and scoped.count() == by_draft.count() == 16
+
+
+def test_table_rows_and_tabbed_lines(spark):
+    html = "<TABLE><tr class=x><th>Name</th><td> <b>a</b>\n b </td></tr><tr><td> </td></tr><tr><td>1</td><td></td></tr></TABLE>"
+    pages = spark.createDataFrame([(1, html), (2, "no\nx\t y\n\t\nz\t"), (3, None), (4, "")], "doc_id long, html string")
+    got = sorted((r.doc_id, r.row_no, r.cells) for r in B.html_table_rows(pages).collect())
+    assert got == [(1, 0, ["Name", "a b"]), (1, 1, ["1", ""]), (2, 0, ["x", "y"]), (2, 1, ["z", ""])]
+
+
+def test_tables_of_uneven_rows(spark):
+    rows = spark.createDataFrame([(1, [["a|b"], ["1", "two\r\nlines", None]]), (2, []), (3, [["only"]])], "id long, rows array<array<string>>")
+    got = {r.id: r.m for r in rows.select("id", B.table_to_markdown(F.col("rows")).alias("m")).collect()}
+    assert got == {1: "| a\\|b |  |  |\n| --- | --- | --- |\n| 1 | two lines |  |", 2: "", 3: "| only |\n| --- |"}
+
+
 def test_readability_formula(spark):
     counts = E.text_counts(spark.createDataFrame([(1, "The cat sat. The dog ran."), (2, " ")], "draft_id long, content string"))
     got = {r.draft_id: r for r in counts.collect()}
