@@ -190,10 +190,18 @@ def normalize_rubric_weights(rubrics: DataFrame) -> DataFrame:
 
 
 def rubric_check(drafts: DataFrame, weights: DataFrame, scores: DataFrame) -> DataFrame:
-    """Per draft: weighted item scores from 0 to 2 as ``normalized`` (0 to 1) and ``overall`` (0 to 10); no rubric passes with 1."""
-    rows = drafts.select("draft_id", "rubric_id").join(weights, "rubric_id").join(scores, ["draft_id", "item_id"], "left")
+    """Per draft: weighted item scores from 0 to 2 as ``normalized`` (0 to 1) and ``overall`` (0 to 10); no rubric passes with 1.
+
+    ``scores`` are (key, item_id, score): the key is draft_id, or a column of ``drafts`` that those scored alike share.  Each
+    rubric is summed once a key, so the drafts themselves never meet its items; drafts of one id count together."""
+    (key,) = [c for c in scores.columns if c not in ("item_id", "score")]
+    given = scores.select(F.col(key).alias("s_key"), F.col("item_id").alias("s_item"), "score")
+    graded = drafts.select(F.col(key).alias("g_key"), F.col("rubric_id").alias("g_rubric")).distinct().join(weights, F.col("g_rubric") == F.col("rubric_id"))
+    graded = graded.join(given, (F.col("g_key") == F.col("s_key")) & (F.col("item_id") == F.col("s_item")), "left")
     item = F.least(F.lit(2.0), F.greatest(F.lit(0.0), F.coalesce(F.col("score").cast("double"), F.lit(0.0))))
-    per = rows.groupBy("draft_id").agg((F.sum(item * F.col("weight")) / 2).alias("normalized"))
+    sums = graded.groupBy("g_key", "g_rubric").agg((F.sum(item * F.col("weight")) / 2).alias("part"))
+    rows = drafts.select(*dict.fromkeys(["draft_id", key, "rubric_id"])).join(sums, F.col(key).eqNullSafe(F.col("g_key")) & (F.col("rubric_id") == F.col("g_rubric")))
+    per = rows.groupBy("draft_id").agg(F.sum("part").alias("normalized"))
     out = drafts.select("draft_id").join(per, "draft_id", "left").withColumn("reason", F.when(F.col("normalized").isNull(), "no rubric supplied"))
     out = out.withColumn("normalized", F.coalesce("normalized", F.lit(1.0)))
     return out.withColumns({"overall": F.col("normalized") * 10, "passed": F.col("normalized") >= RUBRIC})

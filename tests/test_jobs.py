@@ -178,6 +178,17 @@ def test_empty_draft_and_rubric(spark):
     assert row.passed and row.normalized == 1.0 and row.reason == "no rubric supplied"
 
 
+def test_drafts_scored_alike_share_their_scores(spark):
+    """Scores by a column of drafts give what the same scores by draft give, and a rubric is summed once a key."""
+    drafts = spark.createDataFrame([(1, 5, "a"), (2, 5, "a"), (3, 6, "a"), (4, 5, "b"), (5, 7, "a"), (6, None, "b"), (7, 5, None)], "draft_id long, rubric_id int, alike string")
+    weights = spark.createDataFrame([(5, 1, 0.25), (5, 2, 0.75), (6, 2, 1.0)], "rubric_id int, item_id long, weight double")
+    scores = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 1.0), ("b", 1, 9.0), ("b", 2, None)], "alike string, item_id long, score double")
+    by_draft = drafts.join(scores, "alike").select("draft_id", "item_id", "score")
+    got = {r.draft_id: (r.normalized, r.passed) for r in E.rubric_check(drafts, weights, scores).collect()}
+    assert got == {r.draft_id: (r.normalized, r.passed) for r in E.rubric_check(drafts, weights, by_draft).collect()}
+    assert got == {1: (0.625, False), 2: (0.625, False), 3: (0.5, False), 4: (0.25, False), 5: (1.0, True), 6: (1.0, True), 7: (0.0, False)}
+
+
 def test_program_mentions(spark):
     text = "The Rural Wellness  Initiative and rural wellness initiative. Rural-Youth Grant. A fund. THE RURAL WELLNESS INITIATIVE"
     got = [r.mention for r in E.program_mentions(spark.createDataFrame([(1, text)], "draft_id long, content string")).orderBy("mention_no").collect()]
