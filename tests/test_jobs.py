@@ -137,6 +137,27 @@ def test_lexical_arm_by_hand(spark):
     assert {(r.query_id, r.chunk_id) for r in plain.collect()} == {(4, 1)}
 
 
+def test_lexical_tiles_lose_nothing(spark):
+    """Small tiles find what one finds, with places; the best of each request and request classes give the same first rows."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(12)]
+    said = lambda n: " ".join(rng.choice(words, n))
+    chunks = spark.createDataFrame([(i, i % 3 or None, i % 2, said(int(rng.integers(0, 9)))) for i in range(60)], "chunk_id long, tenant_id long, funder_id int, content string")
+    asked = spark.createDataFrame([(i, i % 3, i % 4, said(1 + i % 3)) for i in range(40)], "query_id long, tenant_id long, funder_id int, query string")
+    terms, index = R.request_terms(asked), R.lexical_index(chunks)
+    rows = lambda df: sorted(str(r) for r in df.collect())
+    whole = R.lexical_hits(terms, index)
+    assert rows(whole) == rows(R.lexical_hits(terms, index, tile=(7, 20))) != []
+    holds = {(a.query_id, c.chunk_id) for a in asked.collect() for c in chunks.collect() if set(a.query.split()) <= set(c.content.split()) and (c.tenant_id == a.tenant_id or c.tenant_id is None and c.funder_id == a.funder_id)}
+    assert {(r.query_id, r.chunk_id) for r in whole.collect()} == holds
+    want = R.topk_per_query(R.bm25_rank(whole).withColumn("score", F.round("score", 9)), 2)
+    alike = R.request_classes(terms)
+    some = terms.join(alike.where("query_id = like").select("query_id"), "query_id", "left_semi")
+    best = R.topk_per_query(R.bm25_rank(R.lexical_hits(some, index, places=False, best=2, tile=(7, 20))).withColumn("score", F.round("score", 9)), 2)
+    best = best.withColumnRenamed("query_id", "like").join(alike, "like").select("query_id", "chunk_id", "score", "rank")
+    assert rows(best) == rows(want) and some.select("query_id").distinct().count() < alike.count() == 40
+
+
 def test_named_entities(spark):
     drafts = spark.createDataFrame([(1, "By the Rural Wellness Initiative and the Clean Air Act, a Kids Fund. Big Blue Sea Grants and CFDA 93.1")], "draft_id long, content string")
     known = spark.createDataFrame([(1, "clean air act of 1970"), (2, "rural wellness initiative")], "draft_id long, name string")
