@@ -94,10 +94,22 @@ def program_mentions(drafts: DataFrame) -> DataFrame:
 
 
 def known_programs(drafts: DataFrame, funder_programs: DataFrame, awards: DataFrame) -> DataFrame:
-    """(draft_id, program_name): the funder's programs and the tenant's awards' programs, distinct."""
-    by_funder = drafts.join(funder_programs, "funder_id").select("draft_id", "program_name")
-    by_tenant = drafts.join(awards.select("tenant_id", "program_name").distinct(), "tenant_id").select("draft_id", "program_name")
-    return by_funder.unionByName(by_tenant).distinct()
+    """(draft_id, program_name): the funder's programs and the tenant's awards' programs, distinct.
+
+    The result is as long as the drafts times their programs.  Names are made distinct by funder and tenant, so that the
+    pairs are written out last and never shuffled; only drafts with several funders or tenants have their own pairs compared."""
+    of_funder, of_tenant = funder_programs.select("funder_id", "program_name").distinct(), awards.select("tenant_id", "program_name").distinct()
+    rows = drafts.select("draft_id", "funder_id", "tenant_id").distinct().withColumn("n_rows", F.count("*").over(Window.partitionBy("draft_id")))
+    one, several = rows.where("n_rows = 1"), rows.where("n_rows > 1")
+    # of a tenant's names, those that the funder doesn't have
+    theirs = of_funder.select(F.col("funder_id").alias("f_funder"), F.col("program_name").alias("f_name"))
+    more = one.select("funder_id", "tenant_id").distinct().join(of_tenant, "tenant_id")
+    more = more.join(theirs, (F.col("funder_id") == F.col("f_funder")) & F.col("program_name").eqNullSafe(F.col("f_name")), "left_anti")
+    more = more.select(F.col("funder_id").alias("m_funder"), F.col("tenant_id").alias("m_tenant"), "program_name")
+    pairs = lambda drafts, by, names: drafts.join(names, by).select("draft_id", "program_name")
+    own = pairs(one, F.col("funder_id").eqNullSafe(F.col("m_funder")) & (F.col("tenant_id") == F.col("m_tenant")), more)
+    mixed = pairs(several, "funder_id", of_funder).unionByName(pairs(several, "tenant_id", of_tenant)).distinct()
+    return pairs(one, "funder_id", of_funder).unionByName(own).unionByName(mixed)
 
 
 def ground_mentions(mentions: DataFrame, programs: DataFrame | list[DataFrame], chunks: DataFrame, drafts: DataFrame | None = None) -> DataFrame:

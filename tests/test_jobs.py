@@ -216,6 +216,17 @@ def test_program_mentions(spark):
     assert got == ["The Rural Wellness Initiative", "Rural-Youth Grant"]
 
 
+def test_known_programs_are_written_out_last(spark):
+    """Names that funder and tenant share, empty and null ones and drafts of several owners count once; no pair is shuffled."""
+    drafts = spark.createDataFrame([(1, "f1", 10), (1, "f1", 10), (2, "f1", 20), (2, "f2", 10), (3, None, 20), (4, "f2", None), (5, None, None)], "draft_id long, funder_id string, tenant_id long")
+    of_funders = spark.createDataFrame([("f1", "a"), ("f1", "a"), ("f1", None), ("f2", "b"), (None, "z")], "funder_id string, program_name string")
+    of_awards = spark.createDataFrame([(10, "a"), (10, "c"), (10, None), (20, "c"), (20, "c"), (None, "z")], "tenant_id long, program_name string")
+    known = E.known_programs(drafts, of_funders, of_awards)
+    want = [(1, "None"), (1, "a"), (1, "c"), (2, "None"), (2, "a"), (2, "b"), (2, "c"), (3, "c"), (4, "b")]
+    assert sorted((r.draft_id, str(r.program_name)) for r in known.collect()) == want
+    assert known._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+
+
 def test_programs_by_scope_ground_as_programs_by_draft(spark):
     drafts = spark.createDataFrame([(1, "f1", 10), (2, "f1", 20), (3, None, 20), (4, "f2", None)], "draft_id long, funder_id string, tenant_id long")
     said = ["Clean Air Fund", "The Kids Grant", "Air", "Unheard Award"]
