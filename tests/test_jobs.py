@@ -378,6 +378,15 @@ def test_awards_of_other_tenants_are_not_found(spark):
     assert (got[2].failure, got[2].amount_usd, got[3].failure) == ("award_not_found", None, "report_not_found")
 
 
+def test_no_field_is_shuffled_with_its_funders_programs(spark):
+    fields, due = spark.createDataFrame([(1, 1, "Aims")], "report_id int, field_no int, label string"), spark.createDataFrame([(1, 5, 8)], "report_id int, award_id int, tenant_id int")
+    awards, tenants = spark.createDataFrame([(5, 8, 2, 1, "P")], "award_id int, tenant_id int, funder_id int, amount_usd long, program_name string"), spark.createDataFrame([(8, "T")], "tenant_id int, name string")
+    got = reports.draft_context(fields, due, awards, spark.createDataFrame([(2, "F", "[]", "a|b")], "funder_id int, name string, rubric string, known_programs string"), tenants)
+    assert got.first().known_programs == "a|b"
+    first = next(line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+    assert "funder_id" in first
+
+
 def test_last_step_is_the_status(spark):
     log = spark.createDataFrame([(1, 0, 1, "parsing", None), (1, 0, 3, "failed", "no_text"), (1, 2, 1, "parsing", None), (2, 0, 3, "indexed", None)], "document_id int, version int, step int, parse_status string, parse_error string")
     status = jobs.current_status(log)
