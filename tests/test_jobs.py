@@ -507,6 +507,16 @@ def test_heading_pairs(spark):
     assert rows[2].exact == rows[2].within_one == 1.0
 
 
+def test_headings_found_need_no_lists(spark):
+    """The share found comes from counts alone; near levels are given out one by one, nearest and first first."""
+    side = lambda rows: spark.createDataFrame(rows, "doc_id long, pos long, text string, level int")
+    truth, pred = side([(1, 0, "A", 2), (1, 1, "a", 3), (1, 2, "a ", 9), (1, 3, "b", 1)]), side([(1, 0, "a", 3), (1, 1, "a", 1), (1, 2, "c", 1)])
+    got = extraction.heading_accuracy(pred, truth, spark.createDataFrame([(1,)], "doc_id long"))
+    assert [tuple(r) for r in got.collect()] == [(1, 0.5, 0.25)]
+    plan = got.select("doc_id", "exact")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Python" not in plan
+
+
 def handled_one_by_one(orgs, users, members, events):
     """The events as a web hook would get them."""
     orgs, users, members = dict(orgs), dict(users), dict(members)
