@@ -157,11 +157,10 @@ def export_sections(fields: DataFrame, citations: DataFrame) -> DataFrame:
     rows = fields.where("human_approved").withColumn("body", body)
     order = Window.partitionBy("report_id").orderBy(F.desc("required"), F.lower("label"), "field_no")
     rows = rows.withColumn("place", F.row_number().over(order)).select("report_id", "field_no", "label", "place", "body")
-    cited = rows.select("report_id", "field_no", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\[(\d+)\]"), F.lit(1)))).alias("ref")).select("report_id", "field_no", F.expr("try_cast(ref AS int)").alias("id"))
-    first = Window.partitionBy("report_id", "field_no", "id").orderBy("pos")
-    used = citations.withColumn("nth", F.row_number().over(first)).where("nth = 1").join(cited, ["report_id", "field_no", "id"], "left_semi")
-    lists = used.groupBy("report_id", "field_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("cited_ids"))
-    return rows.join(lists, ["report_id", "field_no"], "left").withColumn("cited_ids", F.coalesce("cited_ids", F.lit("")))
+    refs = F.transform(F.regexp_extract_all("body", F.lit(r"\[(\d+)\]"), F.lit(1)), lambda r: r.try_cast("int").cast(dict(citations.dtypes)["id"]))
+    known = citations.groupBy("report_id", "field_no").agg(F.array_sort(F.collect_set("id")).alias("known"))
+    ids = F.array_join(F.transform(F.filter("known", lambda x: F.coalesce(F.array_contains(refs, x), F.lit(False))), lambda x: x.cast("string")), ",")
+    return rows.join(known, ["report_id", "field_no"], "left").withColumn("cited_ids", F.coalesce(ids, F.lit(""))).drop("known")
 
 
 def _cited_once(sections: str, citations: str) -> Column:

@@ -369,6 +369,16 @@ def test_payload_has_the_sections_in_order_and_the_first_sections_citations(spar
     assert [(r.place, r.label, r.body) for r in sections.orderBy("place").collect()] == [tuple(x) for x in got[1].sections]
 
 
+def test_sections_meet_their_citations_once(spark):
+    """Ids that the body cites and the citations know, ascending and once, with one window (places) and one join."""
+    fields = spark.createDataFrame([(1, 1, "b", True, True, "x [10] [2] [2] [7] [99999999999]", None), (1, 2, "a", True, True, "no", None), (1, 3, "c", False, True, None, " [2]")], "report_id int, field_no int, label string, required boolean, human_approved boolean, current_value string, draft_value string")
+    cites = spark.createDataFrame([(1, 1, 0, 10), (1, 1, 1, 2), (1, 1, 2, 2), (1, 1, 3, 5), (1, 1, 4, None), (1, 2, 0, 2), (2, 3, 0, 2)], "report_id int, field_no int, pos int, id int")
+    got = reports.export_sections(fields, cites)
+    assert sorted((r.field_no, r.place, r.body, r.cited_ids) for r in got.collect()) == [(1, 2, "x [10] [2] [2] [7] [99999999999]", "2,10"), (2, 1, "no", ""), (3, 3, "[2]", "")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("Join ") == 1
+
+
 def test_awards_of_other_tenants_are_not_found(spark):
     fields, due = spark.createDataFrame([(1, 1, "Aims"), (2, 1, "Aims"), (3, 1, "Aims")], "report_id int, field_no int, label string"), spark.createDataFrame([(1, 5, 8), (2, 5, 9)], "report_id int, award_id int, tenant_id int")
     awards = spark.createDataFrame([(5, 8, 2, 500_001, "P")], "award_id int, tenant_id int, funder_id int, amount_usd long, program_name string")
