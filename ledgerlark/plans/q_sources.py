@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..sources import files as A
+from ..sources.files import new_dir as _new_dir
 from ..streaming import jobs as K
 from .registry import query
 
 
-def _new_dir(spark):
-    """A folder in the shared one; a temporary folder where none is set."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{base.rstrip('/')}/jobs-{uuid.uuid4().hex}" if base else tempfile.mkdtemp()
-
-
 @query("""SELECT doc_id, octet_length(CAST(c AS BLOB)) AS length, CASE WHEN octet_length(CAST(c AS BLOB)) <= 104857600 THEN sha256(c) END AS sha256, CASE WHEN octet_length(CAST(c AS BLOB)) > 104857600 THEN 'pdf_too_large' WHEN doc_id % 4 = 0 THEN 'not_a_pdf' END AS reject_reason
     FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE '%PDF-' END || text AS c FROM {documents})""".replace("octet_length(CAST(c AS BLOB))", "strlen(c)"))
 def document_manifest(t):

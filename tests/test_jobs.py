@@ -158,6 +158,22 @@ def test_lexical_tiles_lose_nothing(spark):
     assert rows(best) == rows(want) and some.select("query_id").distinct().count() < alike.count() == 40
 
 
+def test_tiles_write_and_shuffle_no_copies(spark, tmp_path, monkeypatch):
+    """However small the tiles, each request and chunk is written once for each of its owners; words of one term in a chunk count once."""
+    chunks = spark.createDataFrame([(i, i % 3 or None, i % 2, f"runs running river w{i % 5}") for i in range(60)], "chunk_id long, tenant_id long, funder_id int, content string")
+    asked = spark.createDataFrame([(i, i % 3, i % 2, f"run w{i % 5}") for i in range(40)], "query_id long, tenant_id long, funder_id int, query string")
+    terms, index = R.request_terms(asked), R.lexical_index(chunks)
+    found = []
+    for tile in ((5, 20), (1000, 1000)):
+        monkeypatch.setattr(R, "new_dir", lambda _, tile=tile: f"{tmp_path}/{tile[0]}")
+        hits = R.lexical_hits(terms, index, tile=tile)
+        found.append({(r.query_id, r.chunk_id): (tuple(r.df), tuple(r.tf)) for r in hits.collect()})
+        assert spark.read.parquet(f"{tmp_path}/{tile[0]}/chunks").count() == 60 and spark.read.parquet(f"{tmp_path}/{tile[0]}/requests").count() == 80
+        assert "chunks" not in hits._jdf.queryExecution().optimizedPlan().toString() and "said" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert len(os.listdir(f"{tmp_path}/5/chunks")) > 10 and found[0] == found[1] != {}
+    assert {v for v in found[0].values()} == {((60, 12), (2, 1))}
+
+
 def test_named_entities(spark):
     drafts = spark.createDataFrame([(1, "By the Rural Wellness Initiative and the Clean Air Act, a Kids Fund. Big Blue Sea Grants and CFDA 93.1")], "draft_id long, content string")
     known = spark.createDataFrame([(1, "clean air act of 1970"), (2, "rural wellness initiative")], "draft_id long, name string")
