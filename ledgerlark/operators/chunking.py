@@ -12,21 +12,24 @@ from pyspark.sql.window import Window
 from ..functions.chunker import chunk, spans
 
 
-def chunk_documents(docs: DataFrame, target: int = 800, overlap: int = 100, backup: int = 200, tokenizer: Callable = spans) -> DataFrame:
-    """One row per chunk of (document_id, text); a blank document has none.  Narrow: no shuffle."""
+def chunk_documents(docs: DataFrame, target: int = 800, overlap: int = 100, backup: int = 200, tokenizer: Callable = spans, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per chunk of (document_id, text), with the document's ``keep``; a blank document has none.  Narrow: no shuffle."""
     if overlap >= target:
         raise ValueError("overlap must be less than target")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["document_id", "chunk_index", "content", "token_count", "char_start", "char_end"]
+        columns = ["document_id", "chunk_index", "content", "token_count", "char_start", "char_end", *keep]
         for batch in batches:
             for k in range(0, len(batch), 200):  # a few documents' chunks at a time
                 some = batch.iloc[k : k + 200]
-                rows = [(i, *c) for i, text in zip(some["document_id"], some["text"]) for c in chunk(text, target, overlap, backup, tokenizer)]
+                rows = [(i, *c, *kept) for i, text, *kept in zip(some["document_id"], some["text"], *[some[k] for k in keep]) for c in chunk(text, target, overlap, backup, tokenizer)]
                 yield pd.DataFrame(rows, columns=columns)
 
     kind = dict(docs.dtypes)["document_id"]
-    return docs.select("document_id", "text").mapInPandas(run, f"document_id {kind}, chunk_index int, content string, token_count int, char_start int, char_end int")
+    # what is kept goes as text, which loses nothing where numbers and nulls meet
+    texts = docs.select("document_id", "text", *[F.col(k).cast("string") for k in keep])
+    rows = texts.mapInPandas(run, f"document_id {kind}, chunk_index int, content string, token_count int, char_start int, char_end int" + "".join(f", {k} string" for k in keep))
+    return rows.withColumns({k: F.col(k).cast(docs.schema[k].dataType) for k in keep}) if keep else rows
 
 
 def heading_path(chunks: DataFrame, headings: DataFrame, max_depth: int = 6) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming.state import GroupState
 
 from ..operators.chunking import chunk_documents, embed_chunks
-from ..sources.files import commit_documents, embedded_chunks, read_batch, version_of
+from ..sources.files import commit_documents, embedded_chunks, new_dir, read_batch, version_of
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -37,13 +37,16 @@ def ingest_stream(queue: DataFrame, chunk_path: str, status_path: str, checkpoin
         version = version_of(spark, chunk_path, name)
         event = F.coalesce("event", F.lit("upload")) if "event" in batch.columns else F.lit("upload")
         one = F.min_by(F.struct("tenant_id", "text", "event"), F.struct(F.col("event") != "upload", F.col("text").isNull(), F.xxhash64("text"))).alias("d")
-        docs = batch.withColumn("event", event).where("event IN ('upload', 'requeue')").groupBy("document_id").agg(one).select("document_id", "d.*")
-        new = docs.where("event = 'upload'")
-        again = docs.where("event = 'requeue'").join(_before(spark, status_path, version, docs.schema["document_id"].dataType), "document_id", "left_semi")
-        if documents is not None:
-            stored = documents.select("document_id", F.col("tenant_id").alias("s_tenant"), F.col("text").alias("s_text"))
-            again = again.join(stored, "document_id", "left").select("document_id", F.coalesce("tenant_id", "s_tenant").alias("tenant_id"), F.coalesce("text", "s_text").alias("text"), "event")
-        docs = new.unionByName(again).drop("event")
+        has_text = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)).alias("has_text")
+        events = _kept(batch.withColumn("event", event).where("event IN ('upload', 'requeue')").groupBy("document_id").agg(one).select("document_id", "d.*"))
+        docs = events.where("event = 'upload'").select("document_id", "tenant_id", "text", has_text)
+        if events.where("event = 'requeue'").head(1):
+            again = _kept(events.where("event = 'requeue'").join(_before(spark, status_path, version, events.schema["document_id"].dataType), "document_id", "left_semi"))
+            if documents is not None:
+                # only the texts of documents that are done again are taken along
+                stored = documents.select("document_id", F.col("tenant_id").alias("s_tenant"), F.col("text").alias("s_text")).join(again.select("document_id"), "document_id")
+                again = again.join(stored, "document_id", "left").select("document_id", F.coalesce("tenant_id", "s_tenant").alias("tenant_id"), F.coalesce("text", "s_text").alias("text"))
+            docs = docs.unionByName(_kept(again.select("document_id", "tenant_id", "text", has_text)))
 
         def advance(rows: DataFrame, step: int, status, error=None) -> None:
             # a repeated micro-batch replaces its own folders
@@ -53,20 +56,28 @@ def ingest_stream(queue: DataFrame, chunk_path: str, status_path: str, checkpoin
         def reached(step: int) -> DataFrame:
             return spark.read.schema(docs.select("document_id").schema).parquet(f"{status_path}/version={version}/step={step}")
 
-        has_text = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
-        advance(docs, 0, "queued")
-        advance(docs.join(reached(0), "document_id", "left_semi"), 1, "parsing")
-        parsing = docs.join(reached(1), "document_id", "left_semi")
-        advance(parsing.where(has_text), 2, "parsed")
-        chunks = chunk_documents(parsing.where(has_text), **sizes).join(parsing.select("document_id", "tenant_id"), "document_id")
+        # steps are of ids, texts stay where they are
+        ids = docs.select("document_id", "has_text")
+        advance(ids, 0, "queued")
+        advance(ids.join(reached(0), "document_id", "left_semi"), 1, "parsing")
+        parsing = ids.join(reached(1), "document_id", "left_semi")
+        advance(parsing.where("has_text"), 2, "parsed")
+        chunks = chunk_documents(docs.where("has_text"), keep=("tenant_id",), **sizes)
         commit_documents(embedded_chunks(chunks, embed_chunks(chunks)), chunk_path, name)
         good = read_batch(spark, chunk_path, name).select("document_id").withColumn("ok", F.lit(True))
         ended = parsing.join(good, "document_id", "left")
-        advance(ended, 3, F.when(F.col("ok"), "indexed").otherwise("failed"), F.when(F.col("ok").isNull(), F.when(has_text, "embedding_failed").otherwise("no_text")))
+        advance(ended, 3, F.when(F.col("ok"), "indexed").otherwise("failed"), F.when(F.col("ok").isNull(), F.when(F.col("has_text"), "embedding_failed").otherwise("no_text")))
 
     return queue.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """``rows`` written to a folder of its own and read back: a micro-batch uses them for every step."""
+    path = f"{new_dir(rows.sparkSession)}/rows"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _before(spark: SparkSession, status_path: str, version: int, id_type) -> DataFrame:
     """(document_id) of the documents that earlier versions have."""
     schema = T.StructType([T.StructField("document_id", id_type), T.StructField("version", T.LongType()), T.StructField("step", T.IntegerType())])

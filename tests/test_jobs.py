@@ -491,6 +491,14 @@ def test_ingest_steps_and_requeue(spark, tmp_path):
     assert committed(spark, f"{base}/chunks") == sorted(want) and status["d2"] == ("failed", "no_text")
 
 
+def test_ingest_reads_stored_texts_for_requeues_only(spark, tmp_path):
+    """Where nothing is queued again, the table of texts, which fails here, isn't touched."""
+    base, odd = str(tmp_path), spark.createDataFrame([("a", 1)], "document_id string, tenant_id int").withColumn("text", F.raise_error(F.concat(F.lit("read "), "document_id")).cast("string"))
+    spark.createDataFrame([("a", 1, "First text.", "upload"), ("b", None, " ", None)], QUEUE).write.parquet(f"{base}/queue")
+    _, status = ingest(spark, base, "check", {"target": 20, "overlap": 4, "backup": 5}, odd)
+    assert status == {"a": ("indexed", None), "b": ("failed", "no_text")} and committed(spark, f"{base}/chunks") == [("a", 0, "First text.")]
+
+
 def test_a_new_checkpoint_destroys_nothing(spark, tmp_path):
     sizes, base = {"target": 20, "overlap": 4, "backup": 5}, str(tmp_path)
     spark.createDataFrame([("a", 1, "First text.", None)], QUEUE).write.parquet(f"{base}/queue")
