@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
 MAX_BYTES = 100 * 1024 * 1024
+FEW_ROWS, TASK_ROWS, MOST_ROWS, DIRECT = 20_000, 500_000, 1_500_000, 200
 EXPORT_TABLES = ("tenants", "users", "awards", "reports", "report_fields", "audit_log")
 _HEADING = "struct<text:string,level:int,page_number:int>"
 _TABLE = "struct<page_number:int,rows:array<array<string>>,markdown:string,caption:string>"
@@ -61,13 +62,32 @@ def flatten_tables(parsed: DataFrame) -> DataFrame:
     return rows.select("document_id", "page_pos", "pos", "t.page_number", "t.rows", "t.markdown", "t.caption")
 
 
-def embedded_chunks(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Chunks with their vectors, of documents all of whose chunks have one; of a repeated chunk any one counts."""
-    key = ["document_id", "chunk_index"]
-    v = vectors.dropDuplicates(key).withColumn("has_vector", F.lit(True))
-    rows = chunks.dropDuplicates(key).join(v, key, "left")
-    whole = F.count_if(F.col("has_vector").isNull()).over(Window.partitionBy("document_id"))
-    return rows.withColumn("lacking", whole).where("lacking = 0").drop("lacking", "has_vector")
+def task_count(spark: SparkSession, rows: int) -> int:
+    """Tasks to deal ``rows`` to: the session's while each gets ``FEW_ROWS``, and more once one would get over ``TASK_ROWS``.
+
+    Short rows shrink to a few bytes in a shuffle, so partitions put together by their shuffled bytes hold millions of them.
+    Up to ``DIRECT`` partitions (spark.shuffle.sort.bypassMergeThreshold) the tasks before a shuffle hold no rows; so there are
+    more only once one would get over ``MOST_ROWS``."""
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few, some, most = (-(-rows // each) for each in (FEW_ROWS, TASK_ROWS, MOST_ROWS))
+    return max(1, min(own, few), min(DIRECT, some), most)
+
+
+def embedded_chunks(chunks: DataFrame, vectors: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """Chunks with their vectors, of documents all of whose chunks have one; of a repeated chunk any one counts.
+
+    Chunks and vectors meet in one shuffle by document, dealt out by the number of chunks, which are counted unless
+    ``n_rows`` tells it."""
+    key, spark = ["document_id", "chunk_index"], chunks.sparkSession
+    n = task_count(spark, chunks.count() if n_rows is None else n_rows)
+    others = [[x for x in side.columns if x not in key] for side in (chunks, vectors)]
+    # a chunk keeps its own ids, whatever type it shares with its vector
+    c = chunks.select(*key, F.struct(*key, *others[0]).alias("c"))
+    v = vectors.where("document_id IS NOT NULL AND chunk_index IS NOT NULL").select(*key, F.struct(F.lit(True).alias("has_vector"), *others[1]).alias("v"))
+    both = c.unionByName(v, allowMissingColumns=True).repartition(n, "document_id")
+    rows = both.groupBy(*key).agg(F.first("c", True).alias("c"), F.first("v", True).alias("v")).where("c IS NOT NULL")
+    whole = F.count_if(F.col("v").isNull()).over(Window.partitionBy("document_id"))
+    return rows.withColumn("lacking", whole).where("lacking = 0").select("c.*", "v.*").drop("has_vector")
 
 
 _LOG = "version long, nth long, batch string, attempt string"
@@ -101,7 +121,8 @@ def commit_documents(rows: DataFrame, path: str, batch: str) -> None:
     tenant = {"tenant": F.concat(F.lit("t"), F.col("tenant_id").cast("string"))} if "tenant_id" in rows.columns else {}
     rows.withColumns(tenant).write.partitionBy(*tenant).parquet(f"{path}/data/attempt={attempt}")
     held = spark.read.schema(rows.schema).parquet(f"{path}/data/attempt={attempt}")
-    held.groupBy("document_id").agg(F.count("*").alias("n_rows")).write.parquet(f"{path}/documents/attempt={attempt}")
+    n = task_count(spark, held.count())
+    held.select("document_id").repartition(n, "document_id").groupBy("document_id").agg(F.count("*").alias("n_rows")).write.parquet(f"{path}/documents/attempt={attempt}")
     line = [(version_of(spark, path, batch), _log(spark, path).count() + 1, batch, attempt)]
     spark.createDataFrame(line, _LOG).coalesce(1).write.mode("append").json(f"{path}/log")
 
@@ -116,11 +137,13 @@ def read_current(spark: SparkSession, path: str, tenant_id=None) -> DataFrame:
     """The rows of the newest committed version of each document; of one tenant, only its folders are read."""
     good = _log(spark, path).groupBy("batch").agg(F.max_by(F.struct("version", "attempt"), "nth").alias("c")).select("c.*")
     pointers = spark.read.parquet(f"{path}/documents").join(good, "attempt")
-    newest = pointers.groupBy("document_id").agg(F.max_by("attempt", "version").alias("attempt"))
     rows = spark.read.parquet(f"{path}/data")
     if tenant_id is not None:
         rows = rows.where(F.col("tenant") == f"t{tenant_id}")
-    return rows.join(newest, ["document_id", "attempt"], "left_semi").drop("attempt", "tenant")
+    n = task_count(spark, rows.count() + spark.read.parquet(f"{path}/documents").count())
+    newest = pointers.repartition(n, "document_id").groupBy("document_id").agg(F.max_by("attempt", "version").alias("attempt"))
+    both = [side.repartition(n, "document_id", "attempt") for side in (rows, newest)]
+    return both[0].join(both[1], ["document_id", "attempt"]).select(*[c for c in rows.columns if c not in ("attempt", "tenant")])
 
 
 def write_chunks(chunks: DataFrame, vectors: DataFrame, path: str, batch: str) -> None:

@@ -62,8 +62,11 @@ def ingest_stream(queue: DataFrame, chunk_path: str, status_path: str, checkpoin
         advance(ids.join(reached(0), "document_id", "left_semi"), 1, "parsing")
         parsing = ids.join(reached(1), "document_id", "left_semi")
         advance(parsing.where("has_text"), 2, "parsed")
-        chunks = chunk_documents(docs.where("has_text"), keep=("tenant_id",), **sizes)
-        commit_documents(embedded_chunks(chunks, embed_chunks(chunks)), chunk_path, name)
+        texts = docs.where("has_text")
+        chunks = chunk_documents(texts, keep=("tenant_id",), **sizes)
+        # each 100 characters of a text stand for a chunk, so that none is cut for the count alone
+        n_rows = texts.agg(F.sum(F.ceil(F.length("text") / 100))).first()[0] or 0
+        commit_documents(embedded_chunks(chunks, embed_chunks(chunks), n_rows), chunk_path, name)
         good = read_batch(spark, chunk_path, name).select("document_id").withColumn("ok", F.lit(True))
         ended = parsing.join(good, "document_id", "left")
         advance(ended, 3, F.when(F.col("ok"), "indexed").otherwise("failed"), F.when(F.col("ok").isNull(), F.when(F.col("has_text"), "embedding_failed").otherwise("no_text")))

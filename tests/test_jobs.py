@@ -458,6 +458,39 @@ def test_a_killed_write_shows_nothing(spark, tmp_path, monkeypatch):
     assert committed(spark, path) == [("a", 0, "whole"), ("b", 0, "b0")]
 
 
+def rows_a_task(df):
+    return max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_short_rows_are_dealt_out_by_their_number(spark, tmp_path, monkeypatch):
+    """Rows that shrink in a shuffle don't gather in a few tasks, neither when they are written nor read."""
+    monkeypatch.setattr(files, "TASK_ROWS", 200, raising=False)
+    path, chunks = f"{tmp_path}/c", spark.range(4000).selectExpr("id div 2 AS document_id", "CAST(id % 2 AS INT) AS chunk_index")
+    vectors = chunks.withColumn("embedding", F.array(F.lit(1.0)))
+    assert rows_a_task(files.embedded_chunks(chunks, vectors)) < 400
+    files.write_chunks(chunks, vectors, path, "one")
+    files.write_chunks(chunks.where("document_id % 2 = 0 AND chunk_index = 0"), vectors, path, "two")
+    got = files.read_current(spark, path)
+    assert rows_a_task(got) < 400
+    assert {tuple(r) for r in got.select("document_id", "chunk_index").collect()} == {(d, i) for d in range(2000) for i in (0, 1) if d % 2 or i == 0} and got.count() == 3000
+
+
+def test_tasks_grow_with_rows(spark):
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [files.task_count(spark, n) for n in (0, 20_000, 20_001, 10**6, 36 * 10**6, 216 * 10**6, 15 * 10**8)] == [1, 1, 2, own, 72, 200, 1000]
+
+
+def test_chunks_and_vectors_meet_in_one_shuffle(spark):
+    """Repeated chunks count once; without a vector (or an id to find it by) a document is left out, and vectors of no chunk bring nothing in."""
+    chunks = spark.createDataFrame([("x", 1, 0), ("x", 1, 0), ("y", 1, 1), ("z", 2, 0), ("z", 2, 1), ("n", 3, None), ("o", 3, 0), ("p", None, 0), ("q", 5, 0)], "content string, document_id int, chunk_index int")
+    vectors = spark.createDataFrame([(1, 0, [1.0]), (1, 0, [1.0]), (1, 1, None), (2, 0, [2.0]), (3, 0, [3.0]), (3, None, [3.0]), (None, 0, [4.0]), (5, 0, [5.0]), (5, 1, [6.0]), (2**40, 0, [7.0])], "document_id long, chunk_index int, embedding array<double>")
+    got = files.embedded_chunks(chunks, vectors)
+    assert sorted(tuple(r) for r in got.select("document_id", "chunk_index", "content", "embedding").collect()) == [(1, 0, "x", [1.0]), (1, 1, "y", None), (5, 0, "q", [5.0])]
+    assert dict(got.dtypes) == {"document_id": "int", "chunk_index": "int", "content": "string", "embedding": "array<double>"}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 QUEUE = "document_id string, tenant_id int, text string, event string"
 
 
