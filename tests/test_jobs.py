@@ -2,7 +2,9 @@
 
 import os
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ledgerlark.functions.chunker import chunk, spans
 from ledgerlark.functions.stem import stems
 from ledgerlark.operators import chunking, deadlines, evaluation as E, extraction, reports, retrieval as R, structure as B, tenancy
 from ledgerlark.operators.retrieval import cover_density
+from ledgerlark.plans import registry
 from ledgerlark.sources import files
 from ledgerlark.streaming import jobs
 
@@ -413,6 +416,23 @@ def test_no_field_is_shuffled_with_its_funders_programs(spark):
     assert "funder_id" in first
 
 
+def test_a_field_meets_its_reports_links_in_one_join(spark):
+    """Reports, awards and tenants are joined before fields come in; repeated reports and tenants repeat the field."""
+    fields = spark.createDataFrame([(1, 1, "Aims"), (2, 1, "Aims"), (None, 1, "Aims")], "report_id int, field_no int, label string")
+    due, tenants = spark.createDataFrame([(1, 5, 8), (1, 5, 8), (None, 5, 8)], "report_id int, award_id int, tenant_id int"), spark.createDataFrame([(8, "T"), (8, "U")], "tenant_id int, name string")
+    awards, funders = spark.createDataFrame([(5, 8, 2, 1, "P")], "award_id int, tenant_id int, funder_id int, amount_usd long, program_name string"), spark.createDataFrame([(2, "F", "[]")], "funder_id int, name string, rubric string")
+    got = reports.draft_context(fields, due, awards, funders, tenants)
+    assert sorted((r.report_id or 0, r.tenant_name or "", r.failure or "") for r in got.collect()) == [(0, "", "report_not_found"), (1, "T", ""), (1, "T", ""), (1, "U", ""), (1, "U", ""), (2, "", "report_not_found")]
+    lines = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth, at = lambda line: len(line) - len(line.lstrip(" :+-")), next(i for i, line in enumerate(lines) if "label" in line and "Join" not in line and "Project" not in line)
+    above, least = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < least:
+            least = depth(line)
+            above.append(line)
+    assert sum("Join" in line for line in above) == 2
+
+
 def test_last_step_is_the_status(spark):
     log = spark.createDataFrame([(1, 0, 1, "parsing", None), (1, 0, 3, "failed", "no_text"), (1, 2, 1, "parsing", None), (2, 0, 3, "indexed", None)], "document_id int, version int, step int, parse_status string, parse_error string")
     status = jobs.current_status(log)
