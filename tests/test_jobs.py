@@ -604,6 +604,31 @@ def test_headings_found_need_no_lists(spark):
     assert "collect_list" not in plan and "Python" not in plan
 
 
+def test_near_levels_are_given_out(spark, tmp_path):
+    """The query gives the share within one level too, as a loop over the expected headings finds it."""
+    lines = [(1, n, 7.0 * (n % 2), "NAR"[n * n % 3]) for n in (1, 2, 3, 4, 5, 6, 7)] + [(2, 1, None, "A"), (2, None, 3.0, "A"), (2, 2, 3.0, "A"), (2, 4, 3.0, None), (4, 1, 1.0, "N")]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1,), (2,), (3,), (4,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    want = {3: (1.0, 1.0)}
+    for key in (1, 2, 4):
+        mine = sorted((r for r in lines if r[0] == key), key=lambda r: r[1] or 0)
+        free, found, near = [r for r in mine if r[3] in ("A", "R")], 0, 0
+        for _, n, quantity, _ in mine:
+            alike = [r for r in free if quantity is not None and r[2] is not None and int(r[2]) % 7 == int(quantity) % 7]
+            if alike:
+                gap = lambda r: 99 if n is None or r[1] is None else abs(r[1] - n % 3 - 1)
+                best = min(alike, key=gap)
+                free.remove(best)
+                found, near = found + 1, near + (gap(best) <= 1)
+        want[key] = (found / len(mine), near / len(mine))
+    got = {r.doc_id: (r.exact, r.within_one) for r in registry.QUERIES["heading_accuracy"](spark, str(tmp_path)).collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()} and any(a != b for a, b in want.values())
+    con = duckdb.connect()
+    for name in ("lineitem", "orders"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert {k: (a, b) for k, a, b in con.sql(registry.SQL["heading_accuracy"]).fetchall()} == {k: pytest.approx(v) for k, v in want.items()}
+
+
 def handled_one_by_one(orgs, users, members, events):
     """The events as a web hook would get them."""
     orgs, users, members = dict(orgs), dict(users), dict(members)
