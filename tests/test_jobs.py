@@ -177,6 +177,27 @@ def test_tiles_write_and_shuffle_no_copies(spark, tmp_path, monkeypatch):
     assert {v for v in found[0].values()} == {((60, 12), (2, 1))}
 
 
+def test_passages_are_found_wherever_they_begin(spark):
+    """A passage within words, one of stop words alone, an empty one and copies are held by each text with their characters; one reading a block."""
+    texts = {1: "the concatenated cat", 2: "of the", 3: "", 4: None, 5: "The Cat\nsat", 6: "xof they"}
+    passages = {1: "cat", 2: "of the", 3: "", 4: None, 5: "cat", 6: "Cat\ns", 7: "zebra"}
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id long, content string")
+    asked = spark.createDataFrame(list(passages.items()), "query_id int, query string")
+    want = {(q, c) for q, p in passages.items() for c, t in texts.items() if p is not None and t is not None and p in t}
+    for chars in (1, 1000):
+        got = R.held_requests(asked, chunks, chars)
+        assert sorted(map(tuple, got.collect())) == sorted(want) and dict(got.dtypes) == {"query_id": "int", "chunk_id": "bigint"}
+    assert R.held_requests(asked.where("false"), chunks).count() == 0
+
+
+def test_hit_rate_counts_passages_the_index_misses(spark, tmp_path):
+    write = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    write([(1, "rural gran"), (2, "of the"), (3, "river")], "item_id long, text string", "benchmark")
+    write([(1, "rural grants of the state", 25), (2, "river", 5)], "doc_id long, text string, n_chars long", "documents")
+    got = registry.QUERIES["retrieval_hit_rate"](spark, str(tmp_path)).first()
+    assert (got.n_queries, got.hit_rate) == (3, pytest.approx(1 / 3, abs=1e-8))
+
+
 def test_named_entities(spark):
     drafts = spark.createDataFrame([(1, "By the Rural Wellness Initiative and the Clean Air Act, a Kids Fund. Big Blue Sea Grants and CFDA 93.1")], "draft_id long, content string")
     known = spark.createDataFrame([(1, "clean air act of 1970"), (2, "rural wellness initiative")], "draft_id long, name string")
