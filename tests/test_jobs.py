@@ -209,6 +209,28 @@ def test_large_numbers_are_no_error(spark):
     assert [r.id for r in reports.coerce_citations(rows).collect()] == [2]
 
 
+def test_cover_densities_of_many_rows_equal_a_loop():
+    """All rows are scored at once, however they are cut; rows without a place of each term score 0."""
+    rng = np.random.default_rng(3)
+    rows = [None, [], [[]], [[1], []], *[[sorted(rng.choice(30, rng.integers(1, 6), replace=False).tolist()) for _ in range(rng.integers(1, 5))] for _ in range(300)]]
+
+    def loop(row):
+        if not row or not all(row):
+            return 0.0
+        last, score, previous = [-1] * len(row), 0.0, -1
+        for p, t in sorted((p, t) for t, places in enumerate(row) for p in places):
+            last[t] = p
+            if min(last) > previous:
+                previous = min(last)
+                score += len(row) / (p - previous + 1)
+        return score
+
+    lists = pa.array(rows, pa.list_(pa.list_(pa.int32())))
+    for step in (7, 4_000_000):
+        assert R._cover_densities(lists.slice(2), step).tolist() == pytest.approx([loop(r) for r in rows[2:]])
+    assert R._cover_densities(lists)[:2].tolist() == [0.0, 0.0]
+
+
 def test_cover_density():
     assert cover_density([np.array([0]), np.array([1])]) == pytest.approx(1.0)
     assert cover_density([np.array([0, 10]), np.array([5])]) == pytest.approx(2 / 6 + 2 / 6)
