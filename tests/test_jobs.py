@@ -177,6 +177,20 @@ def test_tiles_write_and_shuffle_no_copies(spark, tmp_path, monkeypatch):
     assert {v for v in found[0].values()} == {((60, 12), (2, 1))}
 
 
+def test_words_of_a_term_are_written_once_a_cell(spark, tmp_path, monkeypatch):
+    """Requests are written with terms alone; what the terms stand for comes once for each cell that asks them, whatever the number of requests."""
+    chunks = spark.createDataFrame([(i, 1, None, f"runs running river w{i % 5}") for i in range(20)], "chunk_id long, tenant_id long, funder_id int, content string")
+    asked = spark.createDataFrame([(i, 1, None, f"run w{i % 6}") for i in range(60)], "query_id long, tenant_id long, funder_id int, query string")
+    monkeypatch.setattr(R, "new_dir", lambda _: f"{tmp_path}/cells")
+    terms = R.request_terms(asked)
+    hits = R.lexical_hits(terms, R.lexical_index(chunks))
+    assert {r.query_id: list(zip(r.terms, r.df)) for r in hits.collect()} == {i: [("run", 20), (f"w{i % 6}", 4)] for i in range(60) if i % 6 < 5}
+    assert dict(spark.read.parquet(f"{tmp_path}/cells/requests").dtypes)["asked"] == "array<string>"
+    assert {r.h_term: sorted(r.forms) for r in spark.read.parquet(f"{tmp_path}/cells/forms").collect()} == {"run": ["running", "runs"], **{f"w{i}": [f"w{i}"] for i in range(5)}}
+    assert spark.read.parquet(f"{tmp_path}/cells/forms").count() == 6
+    assert "sha2(" in R.request_classes(terms)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_passages_are_found_wherever_they_begin(spark):
     """A passage within words, one of stop words alone, an empty one and copies are held by each text with their characters; one reading a block."""
     texts = {1: "the concatenated cat", 2: "of the", 3: "", 4: None, 5: "The Cat\nsat", 6: "xof they"}
